@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import langid, ngram_join
 
 QUERIES = {
+    "op10_language_id": langid.op10_language_id,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
 }
 
