@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, ngram_join
+from . import exact_dedup, langid, line_dedup, ngram_join
 
 QUERIES = {
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_language_id": langid.op10_language_id,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op7_exact_dedup": exact_dedup.OP7_SQL,
+}
