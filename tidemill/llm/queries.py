@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, line_dedup, ngram_join
+from . import exact_dedup, langid, line_dedup, ngram_join, packing
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_language_id": langid.op10_language_id,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
@@ -13,5 +14,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
