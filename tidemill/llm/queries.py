@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, line_dedup, ngram_join, packing
+from . import exact_dedup, langid, line_dedup, ngram_join, packing, quality, url_filter
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": url_filter.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
