@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, line_dedup, ngram_join, packing, quality, url_filter
+from . import exact_dedup, langid, line_dedup, media, ngram_join, packing, quality, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_language_id": langid.op10_language_id,
+    "op8_media_columns": media.op8_media_columns,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
 }
 
