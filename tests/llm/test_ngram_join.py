@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,28 @@ def brute(rows, k, pct):
     return {i: (len(s), links[i], find(i)) for i, s in sets}
 
 
+@given(st.integers(1, 400), st.sampled_from([80, 90]), st.integers(0, 2**32))
+@settings(max_examples=150, deadline=None)
+def test_sets_at_the_threshold_share_a_fragment(n, pct, seed):
+    rng = np.random.default_rng(seed)
+    pool = np.unique(rng.integers(0, 2**64, 2 * n + 10, dtype=np.uint64))
+    rng.shuffle(pool)
+    a = set(pool[:n].tolist())
+    b, rest = list(a), pool[n:].tolist()
+    while True:  # as far as the threshold allows: members go, come or are exchanged
+        b2 = list(b)
+        move = rng.integers(3)
+        if move != 1 and len(b2) > 1:
+            b2.pop(int(rng.integers(len(b2))))
+        if move != 0:
+            b2.append(rest.pop())
+        if 100 * len(a & set(b2)) < pct * len(a | set(b2)) or not rest:
+            break
+        b = b2
+    x, y = (ngram_join.fragment_keys(np.array(sorted(v), np.uint64), pct) for v in (a, b))
+    assert len(np.intersect1d(x, y))
+
+
 def got(df):
     return {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in df.collect()}
 

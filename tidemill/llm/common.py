@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Compute ``df`` once and keep it on the executors' disks until ``unpersist``; what an executor takes with it
+        is computed again. For tables that are read a few times and soon dropped, this saves writing them out."""
+        df = df.persist(StorageLevel.DISK_ONLY)
+        df.count()
+        return df
+
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
         jvm = self.spark._jvm
@@ -44,6 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def only(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept`` (one column, distinct), and those without an id."""
+    some = docs.filter(F.col(id_col).isNotNull()).join(kept.hint("shuffle_hash"), id_col, "left_semi")
+    return some.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
 def hash_split(modulus: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus)), F.lit(0))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, only, table
 from .textvec import U, mix
 
 #: Distinct digests in a bucket, about.
@@ -187,8 +187,7 @@ def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts the smallest doc_id stays."""
-    kept = dedup(docs, halves()).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    return only(docs, dedup(docs, halves()).filter("kept and doc_id is not null").select("doc_id").distinct())
 
 
 OP7_SQL = r"""

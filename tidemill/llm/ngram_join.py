@@ -1,282 +1,133 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document is the set of its distinct word n-grams. The n-grams have one global order, rare before frequent: the key of
-an n-gram is the logarithm of its count in a corpus-wide sketch (high 8 bits) and its hash (low 56 bits). The plan is
-
-1. count all n-grams of all documents into a sketch of fixed size; collapse documents with equal sets,
-2. emit the prefix of each set that any partner must share a member with (exact for the threshold), find the n-grams
-   which several prefixes hold, and give each document a home block of bounded size under its commonest such n-gram,
-3. pair the blocks that share a prefix n-gram, cut the global order into fragments, count the overlaps of each pair of
-   blocks within each fragment as a small matrix, and sum the matrices of a pair,
-4. compare with the threshold; each block pair returns one row per document (a local root and a count of links), never
-   the pairs themselves; components of the roots give the classes.
-
-Every pair of different sets is compared in at most one block pair, so links are exact and none is capped.
+A document is the set of its distinct word n-grams, in the global order of their 64-bit hashes. Cutting that order into
+m fragments cuts every set alike. Two sets at the threshold differ in at most H members, a bound that follows from their
+sizes, and each difference lies in one fragment; so with m > H fragments they are equal in at least m - H of them. The
+plan is
+
+1. collapse documents with equal sets,
+2. cut each set into the fragments of its class of sizes (and of the next class, if a partner may be in it) and hash each
+   fragment's members: sets at the threshold share such a hash, others hardly ever do. Empty fragments count only for
+   sets that have m - H of them or more, since any other partner shares a fragment with members too,
+3. pair blocks of sets that share a fragment, cut the order into a few coarse fragments, count the overlaps of each pair
+   of blocks in each as a small matrix, sum the matrices of a pair and compare with the threshold (see setlinks).
+
+The classes are exact, up to equal 64-bit hashes: every pair of different sets is compared in at most one block pair,
+links are neither capped nor listed, and no step depends on how often an n-gram occurs.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, only, table
+from .setlinks import link, signature
 from .textvec import U, mix, shingle_sets
 
-#: Counters of the sketch: fixed, so that its broadcast (one byte a counter, 4 MB) is.
-SKETCH_BITS = 22
-SLICE_BITS = 16
-LOW = U((1 << 56) - 1)
-#: Documents in a block, on average at most.
-BLOCK = 96
-#: N-grams from which a document counts as several in sizing blocks.
-LONG = 16_384
-
+#: Coarse fragments (a power of two) in which overlaps are counted.
+COARSE_BITS = 2
 
-def prefix_length(n: np.ndarray | int, threshold_pct: int):
-    """Members of a set of n of which a partner at the threshold holds one, whatever the common order."""
-    return n - -(-threshold_pct * n // 100) + 1
 
-
-def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    task = TaskContext.get().partitionId()
-    for batch in batches:
-        n, one, two = [], [], []
-        for s in shingle_sets(batch.column(1), k):
-            n.append(len(s))
-            one.append(int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64)) if len(s) else 0)
-            two.append(int(mix(s + U(0x14057B7EF767814F)).sum(dtype=U).view(np.int64)) if len(s) else 0)
-            np.add.at(sketch, (s & U((1 << SKETCH_BITS) - 1)).astype(np.int64), np.uint32(1))
-        m = len(n)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-            names=["doc_id", "n", "s1", "s2", "task", "slice", "counts"],
-        )
-    parts = sketch.reshape(-1, 1 << SLICE_BITS)
-    used = [i for i in range(len(parts)) if parts[i].any()]
-    none = pa.nulls(len(used), pa.int64())
-    yield pa.RecordBatch.from_arrays(
-        [none, none, none, none, pa.array([task] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())],
-        names=["doc_id", "n", "s1", "s2", "task", "slice", "counts"],
-    )
+@lru_cache
+def size_classes(threshold_pct: int) -> np.ndarray:
+    """First size of each class. Partners at the threshold are in the same class or in neighbouring ones."""
+    step, out = (100 / threshold_pct) ** 3, [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * step)))
+    return np.array(out)
 
 
-def _added(pdf: pd.DataFrame) -> np.ndarray:
-    total = np.zeros(1 << SLICE_BITS, np.uint64)
-    for blob in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(blob), np.uint32)
-    return np.minimum(total, U(0xFFFFFFFF)).astype(np.uint32)
+def fragments(last: int, threshold_pct: int) -> tuple[int, int]:
+    """For sets of ``last`` members at most: the fragments m, and how many of them partners have equal (m - H)."""
+    most = (100 - threshold_pct) * 2 * last // (100 + threshold_pct)
+    spare = max(1, most // 8)
+    return most + 1 + spare, 1 + spare
 
 
-def _part_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "counts": [zlib.compress(_added(pdf).tobytes(), 1)]})
-
-
-def _classes(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = _added(pdf)
-    kind = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)
-    mass = np.bincount(kind, weights=total, minlength=33)
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "kinds": [kind.tobytes()], "mass": [mass.tolist()]})
-
-
-def frequency_classes(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log2 classes of the sketch's counters (2**22 bytes, whatever the corpus) and the n-grams in each class."""
-    rows = profile.filter("slice is not null").select("slice", "task", "counts")
-    rows = rows.withColumn("part", F.expr("task div 64")).groupBy("slice", "part").applyInPandas(_part_sums, "slice int, counts binary")
-    kinds = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
-    mass = np.zeros(33)
-    for r in rows.groupBy("slice").applyInPandas(_classes, "slice int, kinds binary, mass array<double>").collect():  # 64 rows of 64 KB
-        kinds[r["slice"]] = np.frombuffer(r["kinds"], np.uint8)
-        mass += np.array(r["mass"])
-    return kinds.reshape(-1), mass
-
-
-def pivots(mass: np.ndarray, fragments: int) -> np.ndarray:
-    """Keys that cut the global order into fragments of equal mass: hashes are uniform within a class."""
-    total, edge = mass.sum(), np.concatenate([[0], np.cumsum(mass)])
+def fragment_keys(s: np.ndarray, threshold_pct: int) -> np.ndarray:
+    """Keys of which partners at the threshold share one. s: sorted members."""
+    first = size_classes(threshold_pct)
+    n = len(s)
+    own = int(np.searchsorted(first, n, "right")) - 1
     out = []
-    for f in range(1, fragments):
-        want = total * f / fragments
-        c = min(int(np.searchsorted(edge, want, "right")) - 1, len(mass) - 1)
-        inside = (want - edge[c]) / mass[c] if c >= 0 and mass[c] else 0.0
-        out.append((max(c, 0) << 56) + int(inside * (1 << 56)))
-    return np.array(out, U)
-
-
-def keys_of(hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """The n-grams' places in the global order, sorted."""
-    kind = kinds[(hashes & U((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(U)
-    return np.unique((kind << U(56)) | (hashes & LOW))
+    for c in (own, own + 1) if 100 * n >= threshold_pct * int(first[own + 1]) else (own,):
+        m, equal = fragments(int(first[c + 1]) - 1, threshold_pct)
+        place = ((s >> U(32)) * U(m)) >> U(32)
+        starts = np.flatnonzero(np.diff(place, prepend=~U(0)))
+        filled = place[starts]
+        out.append(mix(np.add.reduceat(mix(s * U(0x2545F4914F6CDD1D)), starts) ^ mix(filled + U(c << 44))))
+        if m - len(filled) >= equal:
+            out.append(mix(np.setdiff1d(np.arange(m, dtype=U), filled) + U((c << 44) + (1 << 43))))
+    return np.concatenate(out)
 
 
-def _overlaps(pack_a: list[np.ndarray], pack_b: list[np.ndarray] | None) -> np.ndarray:
-    """How many keys each document of one block shares with each of another (or of the same) in one fragment."""
-    both = pack_a + (pack_b or [])
-    sizes = np.array([len(x) for x in both])
-    keys = np.concatenate(both) if both else np.zeros(0, U)
-    owner = np.repeat(np.arange(len(both)), sizes)
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = keys[1:] != keys[:-1]
-    ids = np.cumsum(fresh) - 1
-    shared = np.bincount(ids, minlength=1)[ids] > 1 if len(ids) else np.zeros(0, bool)
-    ids, owner = ids[shared], owner[shared]
-    if len(ids):
-        step = np.ones(len(ids), bool)
-        step[1:] = ids[1:] != ids[:-1]
-        ids = np.cumsum(step) - 1
-    n, na = len(both), len(pack_a)
-    out = np.zeros((na, n - na if pack_b is not None else na), np.int32)
-    top = int(ids[-1]) + 1 if len(ids) else 0
-    for at in range(0, top, 8192):
-        lo, hi = np.searchsorted(ids, [at, at + 8192])
-        dense = np.zeros((n, min(8192, top - at)), np.float32)
-        dense[owner[lo:hi], ids[lo:hi] - at] = 1
-        left = dense[:na]
-        out += np.rint(left @ (dense[na:] if pack_b is not None else left).T).astype(np.int32)
-    return out
+def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[list] = [[], [], []]
+        for s in shingle_sets(batch.column(1), k):
+            for held, value in zip(rows, (len(s), *signature(s))):
+                held.append(value)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in rows)], names=["uid", "n", "s1", "s2"])
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            a = [np.frombuffer(x, U) for x in r.keys_a]
-            b = None if r.a == r.b else [np.frombuffer(x, U) for x in r.keys_b]
-            out.append(zlib.compress(_overlaps(a, b).tobytes(), 1))
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "ids_a": pdf["ids_a"], "ids_b": pdf["ids_b"], "n_a": pdf["n_a"], "n_b": pdf["n_b"], "w_a": pdf["w_a"], "w_b": pdf["w_b"], "part": out})
+def _fragmented(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [fragment_keys(s, threshold_pct).view(np.int64) if len(s) else [] for s in shingle_sets(batch.column(1), k)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["uid", "fragments"])
 
 
-def _linked(pdf: pd.DataFrame, threshold_pct: int) -> pd.DataFrame:
-    r = pdf.iloc[0]
-    ia, na, wa = (np.array(r[c], np.int64) for c in ("ids_a", "n_a", "w_a"))
-    same = r["a"] == r["b"]
-    ib, nb, wb = (ia, na, wa) if same else (np.array(r[c], np.int64) for c in ("ids_b", "n_b", "w_b"))
-    inter = np.zeros((len(ia), len(ib)), np.int64)
-    for blob in pdf["part"]:
-        inter += np.frombuffer(zlib.decompress(blob), np.int32).reshape(inter.shape)
-    link = (100 * inter >= threshold_pct * (na[:, None] + nb[None, :] - inter)) & (inter > 0)
-    if same:
-        np.fill_diagonal(link, False)
-    ids = ia if same else np.concatenate([ia, ib])
-    links = link @ wb if same else np.concatenate([link @ wb, link.T @ wa])
-    n = len(ids)
-    full = np.eye(n, dtype=bool)
-    if same:
-        full |= link
-    else:
-        full[: len(ia), len(ia) :] |= link
-        full[len(ia) :, : len(ia)] |= link.T
-    root = ids.copy()
-    while True:  # smallest id of the neighbourhood until nothing changes: a block is small
-        low = np.where(full, root[None, :], np.iinfo(np.int64).max).min(axis=1)
-        if (low == root).all():
-            break
-        root = low
-    keep = links > 0
-    return pd.DataFrame({"doc_id": ids[keep], "root": root[keep], "links": links[keep]})
+def _coarse(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    cuts = np.arange(1, 1 << COARSE_BITS, dtype=U) << U(64 - COARSE_BITS)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            rows: list[list] = [[], [], []]
+            for i, s in enumerate(shingle_sets(part.column(1), k)):
+                for f, piece in enumerate(np.split(s, np.searchsorted(s, cuts))):
+                    for held, value in zip(rows, (i, f, piece.tobytes())):
+                        held.append(value)
+            where = pa.array(rows[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(c).take(where) for c in (0, 2, 3, 4)] + [pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=["uid", "block", "n", "weight", "fragment", "keys"])
 
 
-def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, fragments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, n_links (documents it links with), component_id.
 
     ``docs`` needs an integer id and a text; other columns are not read, whatever their names. Null, empty and blank
     texts have an empty set, link with nothing and are their own component. Fewer than ``k`` words make one n-gram of
     the whole sequence. Rows that repeat a doc_id with the same text stay separate rows of one class; a null id is kept,
-    with a null component. Two documents link when 100 * |intersection| >= threshold_pct * |union|.
+    with a null component unless its text has copies. Two documents link when 100 * |intersection| >= threshold_pct *
+    |union|.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = scratch.keep(
-        docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n long, s1 long, s2 long, task int, slice int, counts binary"), "profile"
-    )
-    kinds, mass = frequency_classes(profile)
-    cuts = pivots(mass, fragments)
-    kinds = spark.sparkContext.broadcast(kinds)
-    sets = profile.filter("slice is null").select("doc_id", "n", "s1", "s2")
-    reps = scratch.keep(sets.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "reps")
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for s in shingle_sets(batch.column(1), k):
-                out.append(keys_of(s, kinds.value)[: prefix_length(len(s), threshold_pct)].view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "prefix"])
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    docs = docs.select(F.col(id_col).cast("long").alias("uid"), F.col(text_col).cast("string").alias("text"))
+    sets = scratch.keep(docs.mapInArrow(lambda it: _profile(it, k), "uid long, n long, s1 long, s2 long"), "sets")
 
-    first = docs.filter("doc_id is not null").mapInArrow(prefixes, "doc_id long, prefix array<long>")
-    first = first.join(reps.select(F.col("rep").alias("doc_id"), "n", "weight"), "doc_id").dropDuplicates(["doc_id"])
-    held = scratch.keep(first.select("doc_id", "n", "weight", F.explode("prefix").alias("gram")), "held")
-    common = held.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = scratch.keep(held.join(common, "gram").select("gram", "doc_id", "n", "weight", "m"), "shared")
-    scale = F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / LONG))).cast("int")
-    home = (
-        shared.groupBy("doc_id").agg(F.max(F.struct("m", "gram")).alias("top"), F.first("n").alias("n"), F.first("weight").alias("weight"))
-        .withColumn("scale", scale)
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("top.m") * F.pow(F.lit(2), F.col("scale")) / BLOCK)))
-        .select("doc_id", "n", "weight", F.xxhash64(F.col("top.gram"), "scale", "chunk").alias("block"))
-    )
-    home = scratch.keep(home, "home")
-    spans = home.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
-    placed = shared.select("gram", "doc_id").join(home.select("doc_id", "block"), "doc_id").select("gram", "block").distinct().join(spans, "block")
-    left, right = (placed.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high"))) for s in "ab")
-    near = (F.col("high_b") * 100 >= F.col("low_a") * threshold_pct) & (F.col("high_a") * 100 >= F.col("low_b") * threshold_pct)
-    pairs = left.join(right, "gram").filter((F.col("block_a") < F.col("block_b")) & near).select(F.col("block_a").alias("a"), F.col("block_b").alias("b")).distinct()
-    pairs = pairs.unionByName(spans.filter("size > 1").select(F.col("block").alias("a"), F.col("block").alias("b")))
-    pairs = scratch.keep(pairs, "pairs")
-
-    def fragmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[], [], []]
-            for i, s in enumerate(shingle_sets(batch.column(1), k)):
-                keys = keys_of(s, kinds.value)
-                for f, part in enumerate(np.split(keys, np.searchsorted(keys, cuts))):
-                    rows[0].append(i)
-                    rows[1].append(f)
-                    rows[2].append(part.tobytes())
-            at = pa.array(rows[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(at) for c in (0, 2, 3, 4)] + [pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())],
-                names=["doc_id", "block", "n", "weight", "fragment", "keys"],
-            )
-
-    wanted = docs.join(home.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "block", "n", "weight")
-    cut = wanted.mapInArrow(fragmented, "doc_id long, block long, n long, weight long, fragment int, keys binary")
-    packed = cut.groupBy("block", "fragment").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("doc_id", "n", "weight", "keys")))).alias("x"))
-    packed = scratch.keep(
-        packed.select("block", "fragment", *(F.col(f"x.{c}").alias(o) for c, o in (("doc_id", "ids"), ("n", "n"), ("weight", "w"), ("keys", "keys")))), "packed"
-    )
+    def held_of(reps: DataFrame) -> DataFrame:
+        cut = docs.filter("uid is not null").mapInArrow(lambda it: _fragmented(it, k, threshold_pct), "uid long, fragments array<long>")
+        return cut.join(reps.select("uid"), "uid").dropDuplicates(["uid"]).select(F.explode("fragments").alias("bucket"), "uid")
 
-    def side(s: str) -> DataFrame:
-        return packed.select(F.col("block").alias(s), "fragment", *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "n", "w", "keys")))
+    def cut_of(home: DataFrame) -> DataFrame:
+        wanted = docs.join(home.hint("shuffle_hash"), "uid").select("uid", "text", "block", "n", "weight")
+        return wanted.mapInArrow(lambda it: _coarse(it, k), "uid long, block long, n long, weight long, fragment int, keys binary")
 
-    empty = {c: F.array().cast(t) for c, t in (("ids_b", "array<long>"), ("n_b", "array<long>"), ("w_b", "array<long>"), ("keys_b", "array<binary>"))}
-    cols = ["a", "b", "fragment", "ids_a", "n_a", "w_a", "keys_a", "ids_b", "n_b", "w_b", "keys_b"]
-    alone = pairs.filter("a = b").join(side("a"), "a").withColumns(empty).select(cols)
-    apart = pairs.filter("a <> b").join(side("a"), "a").join(side("b"), ["b", "fragment"]).select(cols)
-    parts = alone.unionByName(apart).mapInPandas(
-        _count, "a long, b long, ids_a array<long>, ids_b array<long>, n_a array<long>, n_b array<long>, w_a array<long>, w_b array<long>, part binary"
-    )
-    linked = parts.groupBy("a", "b").applyInPandas(lambda pdf: _linked(pdf, threshold_pct), "doc_id long, root long, links long")
-    linked = scratch.keep(linked, "linked")
-    links = linked.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    comp = components(linked.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), scratch)
-    found = reps.join(links.withColumnRenamed("doc_id", "rep"), "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    found = found.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    found = link(sets, held_of, cut_of, threshold_pct, scratch)
     return sets.join(found, ["n", "s1", "s2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id")
+        F.col("uid").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "uid").alias("component_id")
     )
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Classes of ``documents`` over 3-word shingles at a similarity of 0.9."""
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, threshold_pct=90)
+    return classes(table(spark, sf_dir, "documents"), k=3, threshold_pct=90)
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each class over 5-word shingles at 0.8 the smallest doc_id stays."""
+    return only(docs, classes(docs).filter("doc_id = component_id").select("doc_id").distinct())

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE = 2_000_000
+SLICE = 1_000_000
 _ODD = U(0x9E3779B97F4A7C15)
 
 
