@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, line_dedup, media, ngram_join, packing, quality, substring_dedup, url_filter
+from . import exact_dedup, langid, line_dedup, media, ngram_join, packing, pieces, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
