@@ -30,7 +30,7 @@ from .common import table
 SPACE = "▁"
 LONG_WORD = 48
 #: Bytes of text in a pack.
-PACK = 24_000_000
+PACK = 16_000_000
 #: What a character without a piece costs a path, beside any score of a real model.
 UNKNOWN = -1e12
 NONE = 2_147_483_647
@@ -142,51 +142,49 @@ def long_ids(word: str, pieces: dict[str, tuple[int, int, float]], bytes_at: int
     return out
 
 
-_LATTICE = """flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, least({longest}, length(word) - i + 1)),
-  k -> struct(cast(i - 1 as int) as i, cast(i + k - 1 as int) as j, substring(word, i, k) as piece))))"""
+# An edge is one long: rank (24 bits), id (24), start (6), end (6), so that sorting edges sorts them by rank and start.
+_EDGE = "shiftleft(cast(rank as bigint), 36) | shiftleft(cast(id as bigint), 12) | shiftleft(cast(i as bigint), 6) | cast(j as bigint)"
+_I, _J = "cast(shiftright({e}, 6) & 63 as int)", "cast({e} & 63 as int)"
 # edges by rank; the state is (cuts, whether no better rank came too late); at a merge the two new pairs are looked up
-_MERGES = """aggregate(edges, named_struct('cuts', sequence(0, length(word)), 'clean', true), (b, e) ->
-  if(e.j - e.i < 2, b, element_at(transform(array(cast(array_position(b.cuts, e.i) as int)), p ->
-    if(p = 0 or coalesce(get(b.cuts, p + 1), -1) <> e.j, b, named_struct(
+_MERGES = f"""aggregate(edges, named_struct('cuts', sequence(0, length(word)), 'clean', true), (b, e) ->
+  if({_J} - {_I} < 2, b, element_at(transform(array(cast(array_position(b.cuts, {_I}) as int)), p ->
+    if(p = 0 or coalesce(get(b.cuts, p + 1), -1) <> {_J}, b, named_struct(
       'cuts', concat(slice(b.cuts, 1, p), slice(b.cuts, p + 2, size(b.cuts))),
-      'clean', b.clean and coalesce(try_element_at(ranks, get(b.cuts, p - 2) * 64 + e.j) > e.rank, true)
-        and coalesce(try_element_at(ranks, e.i * 64 + get(b.cuts, p + 2)) > e.rank, true)))), 1)))"""
+      'clean', b.clean and coalesce(try_element_at(known, get(b.cuts, p - 2) * 64 + {_J}) > e, true)
+        and coalesce(try_element_at(known, {_I} * 64 + get(b.cuts, p + 2)) > e, true)))), 1)))""".replace("{e}", "e")
 _AGAIN = f"""aggregate(sequence(1, length(word)), sequence(0, length(word)), (b, s) -> if(size(b) < 3, b,
-  element_at(transform(array(array_min(transform(sequence(0, size(b) - 3), t -> struct(coalesce(try_element_at(ranks, b[t] * 64 + b[t + 2]), {NONE}) as r, t as t)))),
+  element_at(transform(array(array_min(transform(sequence(0, size(b) - 3), t -> struct(coalesce(shiftright(try_element_at(known, b[t] * 64 + b[t + 2]), 36), {NONE}) as r, t as t)))),
     m -> if(m.r = {NONE}, b, concat(slice(b, 1, m.t + 1), slice(b, m.t + 3, size(b))))), 1)))"""
 # edges by end and start; the state holds for each place the best score of a path to it and that path's cuts
-_VITERBI = f"""element_at(aggregate(edges, array_repeat(named_struct('s', cast(null as double), 'cuts', array(0)), length(word) + 1), (b, e) ->
+_VITERBI = """element_at(aggregate(scored, array_repeat(named_struct('s', cast(null as double), 'cuts', array(0)), length(word) + 1), (b, e) ->
   element_at(transform(array(coalesce(get(b, e.i).s, if(e.i = 0, 0D, null)) + e.score), v -> if(v is null or coalesce(get(b, e.j).s >= v, false), b,
     concat(slice(b, 1, e.j), array(named_struct('s', v, 'cuts', concat(get(b, e.i).cuts, array(e.j)))), slice(b, e.j + 2, size(b))))), 1)), -1).cuts"""
+_IDS = """flatten(transform(sequence(1, size(cuts) - 1), t -> if(try_element_at(known, cuts[t - 1] * 64 + cuts[t]) is null,
+  transform(sequence(1, octet_length(encode(substring(word, cuts[t - 1] + 1, 1), 'UTF-8'))),
+    u -> {at} + cast(conv(substring(hex(encode(substring(word, cuts[t - 1] + 1, 1), 'UTF-8')), u * 2 - 1, 2), 16, 10) as int)),
+  array(cast(shiftright(try_element_at(known, cuts[t - 1] * 64 + cuts[t]), 12) & 16777215 as int)))))"""
 
 
 def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) for a table of distinct words of LONG_WORD characters at most; ids as big-endian 32-bit bytes.
+    """(word, ids) for a table of distinct words of LONG_WORD characters at most.
 
     Lattice, join and fold keep the partitioning of ``words`` by word, so nothing is shuffled here.
     """
     spark = words.sparkSession
     known = F.broadcast(pieces.frame(spark))  # as many rows as the vocabulary
-    parts = words.select("word", F.explode(F.expr(_LATTICE.format(longest=pieces.longest))).alias("x")).select("word", "x.*")
-    if pieces.kind == "unigram":
-        parts = parts.join(known, "piece", "left").filter("id is not null or j = i + 1").withColumn("score", F.coalesce("score", F.lit(UNKNOWN)))
-        edge = F.struct("j", "i", "rank", "id", "score")
+    unigram = pieces.kind == "unigram"
+    parts = words.select("word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("i"))
+    parts = parts.select("word", "i", F.explode(F.expr(f"sequence(i + 1, least(i + {pieces.longest}, length(word)))")).alias("j")).withColumn("piece", F.expr("substring(word, i + 1, j - i)"))
+    lattice = parts.join(known, "piece").groupBy("word").agg(F.array_sort(F.collect_list(F.expr(_EDGE))).alias("edges"))
+    lattice = words.join(lattice, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<long>")))  # a word may have no edge at all
+    lattice = lattice.withColumn("known", F.expr(f"map_from_arrays(transform(edges, e -> {_I} * 64 + {_J}), edges)".replace("{e}", "e")))
+    if unigram:
+        scored = parts.join(known, "piece", "left").filter("id is not null or j = i + 1").groupBy("word")
+        scored = scored.agg(F.array_sort(F.collect_list(F.struct("j", "i", F.coalesce("score", F.lit(UNKNOWN)).alias("score")))).alias("scored"))
+        folded = lattice.join(scored, "word").withColumn("cuts", F.expr(_VITERBI))
     else:
-        parts = parts.join(known, "piece").select("word", "i", "j", "rank", "id")
-        edge = F.struct("rank", "i", "j", "id")
-    lattice = parts.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    if pieces.kind != "unigram":  # a word may have no edge at all
-        lattice = words.join(lattice, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast(lattice.schema["edges"].dataType)))
-    lattice = lattice.withColumn("ids_at", F.expr("map_from_entries(transform(filter(edges, e -> e.id is not null), e -> struct(e.i * 64 + e.j, e.id)))"))
-    if pieces.kind == "unigram":
-        folded = lattice.withColumn("cuts", F.expr(_VITERBI))
-    else:
-        lattice = lattice.withColumn("ranks", F.expr("map_from_entries(transform(edges, e -> struct(e.i * 64 + e.j, e.rank)))"))
         folded = lattice.withColumn("once", F.expr(_MERGES)).withColumn("cuts", F.when(F.col("once.clean"), F.col("once.cuts")).otherwise(F.expr(_AGAIN)))
-    step = f"""array_join(transform(sequence(1, size(cuts) - 1), t -> coalesce(lpad(hex(try_element_at(ids_at, cuts[t - 1] * 64 + cuts[t])), 8, '0'),
-      array_join(transform(sequence(0, octet_length(encode(substring(word, cuts[t - 1] + 1, cuts[t] - cuts[t - 1]), 'UTF-8')) - 1),
-        u -> lpad(hex({pieces.bytes_at} + conv(substring(hex(encode(substring(word, cuts[t - 1] + 1, cuts[t] - cuts[t - 1]), 'UTF-8')), u * 2 + 1, 2), 16, 10)), 8, '0')), ''))), '')"""
-    return folded.select("word", F.unhex(F.expr(step)).alias("ids"))
+    return folded.select("word", F.expr(_IDS.replace("{at}", str(pieces.bytes_at))).alias("ids"))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,20 +209,43 @@ def _open(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def _distinct(texts: list[str | None]) -> list[str]:
+def _parts(texts: pa.ChunkedArray) -> set[str]:
+    """What stands between single spaces, over all texts."""
     seen: set[str] = set()
     for t in texts:
+        t = t.as_py()
         if t:
-            seen.update(split_words(t))
-    seen.discard("\n")
-    seen.discard("")
-    return sorted(w for w in seen if len(w) <= LONG_WORD)
+            seen.update(t.split(" "))
+    return seen
+
+
+def _part_words(part: str) -> list[str]:
+    """The words of a part that follows a space, or begins a text."""
+    first, *rest = part.split("\n")
+    out = [SPACE + first]
+    for r in rest:
+        out += ["\n", r] if r else ["\n"]
+    return out
+
+
+def _distinct(texts: pa.ChunkedArray) -> list[str]:
+    """The words of all texts for the lattice, in order."""
+    words: set[str] = set()
+    for part in _parts(texts):
+        words.update(_part_words(part))
+    for t in texts:  # runs of spaces
+        t = t.as_py()
+        if t and ("  " in t or "\n " in t or t[0] == " " or t[-1] == " "):
+            words.update(split_words(t))
+    words.discard("\n")
+    words.discard("")
+    return sorted(w for w in words if len(w) <= LONG_WORD)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = _distinct(_open(blob.as_py()).column(1).to_pylist())
+            words = _distinct(_open(blob.as_py()).column(1))
             for at in range(0, len(words), 100_000):
                 part = words[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([pack] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), pa.array(part, pa.string())], names=["pack", "place", "word"])
@@ -240,28 +261,37 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     packs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, "pack long, blob binary")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     listed = packs.mapInArrow(_words, "pack long, place int, word string").repartition(n, "word")  # a word once a pack at most
-    found = listed.join(word_ids(listed.select("word").distinct(), pieces), "word").select("pack", "place", "ids")
+    distinct = listed.groupBy("word").agg(F.max("pack").alias("p"), F.max("place").alias("q")).filter("p is not null and q is not null").select("word")  # all columns: one exchange serves both
+    found = listed.join(word_ids(distinct, pieces), "word").select("pack", "place", "ids")
     shared = spark.sparkContext.broadcast((pieces.ranked(), pieces.bytes_at, pieces.kind, pieces.longest))
 
     def assemble(found: pa.Table, packs: pa.Table) -> pa.Table:
-        known, bytes_at, kind, longest = shared.value
+        ranked, bytes_at, kind, longest = shared.value
         ids, rows = [], []
+        order = np.argsort(found["place"].to_numpy())
+        told = found["ids"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
+        flat, cuts = told.values.to_numpy().astype("<i4"), told.offsets.to_numpy()
+        raw = flat.tobytes()
         for blob in packs["blob"].to_pylist():
             t = _open(blob)
-            texts = t.column(1).to_pylist()
-            words = _distinct(texts)
-            order = np.argsort(found["place"].to_numpy())
-            told = dict(zip(words, found["ids"].take(pa.array(order)).to_pylist()))
-            told["\n"] = int(bytes_at + 10).to_bytes(4, "big")
-            told[""] = b""
-            for text in texts:
-                out = []
-                for w in split_words(text or ""):
-                    b = told.get(w)
-                    if b is None:
-                        b = told[w] = np.array(long_ids(w, known, bytes_at, kind, longest), ">u4").tobytes()
-                    out.append(b)
-                ids.append(np.frombuffer(b"".join(out), ">u4").astype(np.int32))
+            texts = t.column(1)
+            known = {w: raw[4 * cuts[i] : 4 * cuts[i + 1]] for w, i in zip(_distinct(texts), order.tolist())}
+            known["\n"], known[""] = int(bytes_at + 10).to_bytes(4, "little"), b""
+
+            def of(word: str) -> bytes:
+                b = known.get(word)
+                if b is None:
+                    b = known[word] = np.array(long_ids(word, ranked, bytes_at, kind, longest), "<i4").tobytes()
+                return b
+
+            parts = {p: b"".join(map(of, _part_words(p))) for p in _parts(texts)}
+            for x in texts:
+                text = x.as_py() or ""
+                if "  " in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+                    b = b"".join(map(of, split_words(text)))
+                else:
+                    b = b"".join(map(parts.__getitem__, text.split(" "))) if text else b""
+                ids.append(np.frombuffer(b, "<i4"))
             rows.append(t.column(0))
         column = pa.chunked_array([c for r in rows for c in r.chunks], pa.int64()) if rows else pa.chunked_array([], pa.int64())
         return pa.table({"doc_id": column.combine_chunks(), "ids": pa.array(ids, pa.list_(pa.int32()))})
