@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +55,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of at some later collection,
+    and hand the driver's freed memory back to the system where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    spark.sparkContext._jvm.System.gc()
+
+
 def only(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is in ``kept`` (one column, distinct), and those without an id."""
     some = docs.filter(F.col(id_col).isNotNull()).join(kept.hint("shuffle_hash"), id_col, "left_semi")

@@ -9,6 +9,9 @@ plan is
 2. cut each set into the fragments of its class of sizes (and of the next class, if a partner may be in it) and hash each
    fragment's members: sets at the threshold share such a hash, others hardly ever do. Empty fragments count only for
    sets that have m - H of them or more, since any other partner shares a fragment with members too,
+   A set that shares fewer fragments with all others together than a partner would alone is dropped. Before they are
+   shuffled, keys that the whole corpus holds once are left out as far as a sketch of fixed size can
+   tell them; where there are many times more keys than it has bits it lets all pass, with the same result,
 3. pair blocks of sets that share a fragment, cut the order into a few coarse fragments, count the overlaps of each pair
    of blocks in each as a small matrix, sum the matrices of a pair and compare with the threshold (see setlinks).
 
@@ -18,20 +21,24 @@ links are neither capped nor listed, and no step depends on how often an n-gram
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, table
+from .common import Scratch, only, release, table
 from .setlinks import link, signature
 from .textvec import U, mix, shingle_sets
 
 #: Coarse fragments (a power of two) in which overlaps are counted.
 COARSE_BITS = 2
+#: Bits of the sketch of keys: fixed, so that its broadcast (32 MB) is.
+SKETCH_BITS, SLICE_BITS = 28, 22
 
 
 @lru_cache
@@ -46,12 +53,13 @@ def size_classes(threshold_pct: int) -> np.ndarray:
 def fragments(last: int, threshold_pct: int) -> tuple[int, int]:
     """For sets of ``last`` members at most: the fragments m, and how many of them partners have equal (m - H)."""
     most = (100 - threshold_pct) * 2 * last // (100 + threshold_pct)
-    spare = max(1, most // 8)
+    spare = max(6, most // 2)  # what partners share beyond one: it sets them off from sets with a common passage
     return most + 1 + spare, 1 + spare
 
 
-def fragment_keys(s: np.ndarray, threshold_pct: int) -> np.ndarray:
-    """Keys of which partners at the threshold share one. s: sorted members."""
+def fragment_keys(s: np.ndarray, threshold_pct: int) -> list[tuple[int, np.ndarray]]:
+    """For each scheme that a partner at the threshold may follow, how many of its keys such a partner shares at least,
+    and the keys. s: sorted members."""
     first = size_classes(threshold_pct)
     n = len(s)
     own = int(np.searchsorted(first, n, "right")) - 1
@@ -61,10 +69,12 @@ def fragment_keys(s: np.ndarray, threshold_pct: int) -> np.ndarray:
         place = ((s >> U(32)) * U(m)) >> U(32)
         starts = np.flatnonzero(np.diff(place, prepend=~U(0)))
         filled = place[starts]
-        out.append(mix(np.add.reduceat(mix(s * U(0x2545F4914F6CDD1D)), starts) ^ mix(filled + U(c << 44))))
-        if m - len(filled) >= equal:
-            out.append(mix(np.setdiff1d(np.arange(m, dtype=U), filled) + U((c << 44) + (1 << 43))))
-    return np.concatenate(out)
+        keys = mix(np.add.reduceat(mix(s * U(0x2545F4914F6CDD1D)), starts) ^ mix(filled + U(c << 44)))
+        void = m - len(filled)
+        if void >= equal:
+            keys = np.concatenate([keys, mix(np.setdiff1d(np.arange(m, dtype=U), filled) + U((c << 44) + (1 << 43)))])
+        out.append((equal - void if void < equal else 1, keys))
+    return out
 
 
 def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -76,10 +86,66 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in rows)], names=["uid", "n", "s1", "s2"])
 
 
-def _fragmented(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int) -> Iterator[pa.RecordBatch]:
+def _seen(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int) -> Iterator[pa.RecordBatch]:
+    """By slice of the sketch, the places that a batch's keys hit once and those they hit more often."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
     for batch in batches:
-        out = [fragment_keys(s, threshold_pct).view(np.int64) if len(s) else [] for s in shingle_sets(batch.column(1), k)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["uid", "fragments"])
+        keys = [x for s in shingle_sets(batch.column(0), k) if len(s) for _, x in fragment_keys(s, threshold_pct)]
+        if not keys:
+            continue
+        place, n = np.unique(np.concatenate(keys) >> U(64 - SKETCH_BITS), return_counts=True)
+        cuts = np.searchsorted(place >> U(SLICE_BITS), np.arange(1 << (SKETCH_BITS - SLICE_BITS), dtype=U))
+        rows: list[list] = [[], [], []]
+        for i, (at, many) in enumerate(zip(np.split(place, cuts[1:]), np.split(n > 1, cuts[1:]))):
+            at = (at & U((1 << SLICE_BITS) - 1)).astype(np.uint32)
+            gaps = [np.diff(x, prepend=np.uint32(0)).astype(np.uint32).tobytes() for x in (at[~many], at[many])]
+            for held, value in zip(rows, (i, *(zlib.compress(g, 1) for g in gaps))):
+                held.append(value)
+        m = len(rows[0])
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([task] * m, pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["slice", "task", "once", "more"])
+
+
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    hits = np.zeros(1 << SLICE_BITS, np.uint8)
+    for once, more in zip(pdf["once"], pdf["more"]):
+        for blob, weight in ((once, 1), (more, 2)):
+            at = np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint32), dtype=np.uint32)
+            hits[at] = np.minimum(hits[at] + weight, 2)
+    gaps = [np.diff(np.flatnonzero(hits == w).astype(np.uint32), prepend=np.uint32(0)).astype(np.uint32).tobytes() for w in (1, 2)]
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "once": [zlib.compress(gaps[0], 1)], "more": [zlib.compress(gaps[1], 1)]})
+
+
+def _bits(pdf: pd.DataFrame) -> pd.DataFrame:
+    more = np.zeros(1 << SLICE_BITS, bool)
+    more[np.cumsum(np.frombuffer(zlib.decompress(_merged(pdf)["more"][0]), np.uint32), dtype=np.uint32)] = True
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "bits": [np.packbits(more, bitorder="little").tobytes()]})
+
+
+def shared_places(docs: DataFrame, k: int, threshold_pct: int) -> np.ndarray:
+    """The sketch: a bit for each place, set if two keys or more of all documents fall there."""
+    rows = docs.select("text").mapInArrow(lambda it: _seen(it, k, threshold_pct), "slice int, task int, once binary, more binary")
+    rows = rows.withColumn("part", F.expr("task div 64")).groupBy("slice", "part").applyInPandas(_merged, "slice int, once binary, more binary")
+    out = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
+    done = rows.groupBy("slice").applyInPandas(_bits, "slice int, bits binary").toArrow()  # 64 rows of 512 KB
+    for i in range(done.num_rows):
+        out[done["slice"][i].as_py()] = np.frombuffer(done["bits"][i].as_buffer(), np.uint8)
+    return out.reshape(-1)
+
+
+def _fragmented(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[list] = [[], [], [], []]
+        for i, s in enumerate(shingle_sets(batch.column(1), k)):
+            for tag, (need, keys) in enumerate(fragment_keys(s, threshold_pct) if len(s) else []):
+                place = (keys >> U(64 - SKETCH_BITS)).astype(np.int64)
+                keys = keys[(shared[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                if len(keys) >= need:
+                    for held, value in zip(rows, (i, tag, need, keys.view(np.int64))):
+                        held.append(value)
+        at = pa.array(rows[0], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.list_(pa.int64()))], names=["uid", "tag", "need", "fragments"])
 
 
 def _coarse(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -110,8 +176,11 @@ def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str =
     sets = scratch.keep(docs.mapInArrow(lambda it: _profile(it, k), "uid long, n long, s1 long, s2 long"), "sets")
 
     def held_of(reps: DataFrame) -> DataFrame:
-        cut = docs.filter("uid is not null").mapInArrow(lambda it: _fragmented(it, k, threshold_pct), "uid long, fragments array<long>")
-        return cut.join(reps.select("uid"), "uid").dropDuplicates(["uid"]).select(F.explode("fragments").alias("bucket"), "uid")
+        some = docs.filter("uid is not null")
+        shared = docs.sparkSession.sparkContext.broadcast(shared_places(some, k, threshold_pct))
+        release(docs.sparkSession)
+        cut = some.mapInArrow(lambda it: _fragmented(it, k, threshold_pct, shared.value), "uid long, tag int, need int, fragments array<long>")
+        return cut.join(reps.select("uid"), "uid").dropDuplicates(["uid", "tag"]).select(F.explode("fragments").alias("bucket"), "uid", "tag", "need")
 
     def cut_of(home: DataFrame) -> DataFrame:
         wanted = docs.join(home.hint("shuffle_hash"), "uid").select("uid", "text", "block", "n", "weight")

@@ -2,7 +2,7 @@
 
 Both near-duplicate operators end alike: sets stand in buckets that every pair at the threshold shares (or shares with a
 stated probability), and all pairs of a bucket have to be compared without a row for each. Here equal sets are collapsed,
-every set gets a home block of bounded size under its largest bucket, blocks that share a
+sets that hang together get blocks of bounded size, blocks that share a
 bucket are paired, and each pair of blocks counts its overlaps as small matrices, one for each fragment of the members'
 order, which are summed. A pair of sets is compared in at most one pair of blocks.
 """
@@ -18,13 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, release
 from .textvec import U, mix
 
 #: Sets in a block, on average at most.
-BLOCK = 96
+BLOCK = 384
+#: Rounds in which sets take over the largest bucket of those they share a bucket with.
+STEPS = 2
 #: Members from which a set counts as several in sizing blocks.
-LONG = 16_384
+LONG = 4_096
 
 
 def _overlaps(pack_a: list[np.ndarray], pack_b: list[np.ndarray] | None) -> np.ndarray:
@@ -102,30 +104,44 @@ def link(
     """Classes of sets: (n, s1, s2, component, links), a row for each distinct set with members.
 
     ``sets``: uid, n (members), s1, s2 (a 128-bit signature of the members). ``held_of`` takes the representatives (uid,
-    n, weight) and returns their buckets (bucket, uid, n, weight). ``cut_of`` takes (uid, block, n, weight) and returns
-    them with fragment and keys (binary, sorted 64-bit members in that fragment). links counts sets with copies.
+    n, weight) and returns their buckets (bucket, uid, tag, need), each once: partners share at least ``need`` buckets of
+    one tag, so sets that share fewer with all others together have no partner there. ``cut_of`` takes (uid, block, n,
+    weight) and returns them with fragment and keys (binary, sorted 64-bit members in that fragment). links counts sets
+    with copies.
     """
     reps = scratch.keep(sets.filter("n > 0 and uid is not null").groupBy("n", "s1", "s2").agg(F.min("uid").alias("uid"), F.count("*").alias("weight")), "reps")
     held = scratch.hold(held_of(reps.select("uid", "n", "weight")))
     common = held.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    near = scratch.hold(held.join(common, "bucket"))
+    near = scratch.keep(held.join(common.select("bucket"), "bucket"), "near0")
     held.unpersist()
+    for last in (False, True):  # dropping sets thins the buckets of others, so twice
+        strong = near.groupBy("uid", "tag", "need").agg(F.count("*").alias("has")).filter("has >= need").select("uid", "tag")
+        firm = near.join(strong, ["uid", "tag"])
+        again = firm.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
+        firm = firm.join(again, "bucket")
+        near = scratch.keep(firm.select("bucket", "uid", "m") if last else firm.select("bucket", "uid", "tag", "need"), "near2" if last else "near1")
+    del held, common, strong, again, firm
+    release(sets.sparkSession)
+    # sets of one dense group get one label: the largest bucket within a few steps, so that the group fills few blocks
+    label = near.groupBy("uid").agg(F.max(F.struct("m", "bucket")).alias("label"))
+    for _ in range(STEPS):
+        over = near.join(label, "uid").groupBy("bucket").agg(F.max("label").alias("label"))
+        label = near.join(over, "bucket").groupBy("uid").agg(F.max("label").alias("label"))
+    label = scratch.hold(label)
     scale = F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / LONG))).cast("int")
-    home = (
-        near.groupBy("uid").agg(F.max(F.struct("m", "bucket")).alias("top")).join(reps.select("uid", "n", "weight"), "uid")
-        .withColumn("scale", scale)
-        .withColumn("chunk", F.pmod(F.xxhash64("uid"), F.ceil(F.col("top.m") * F.pow(F.lit(2), F.col("scale")) / BLOCK)))
-        .select("uid", "n", "weight", F.xxhash64(F.col("top.bucket"), "scale", "chunk").alias("block"))
-    )
-    home = scratch.hold(home)
+    named = label.join(reps.select("uid", "n", "weight"), "uid").select("uid", "n", "weight", F.col("label.bucket").alias("label"), scale.alias("scale"))
+    total = named.groupBy("label", "scale").agg(F.count("*").alias("size"))
+    chunk = F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") * F.pow(F.lit(2), F.col("scale")) / BLOCK))
+    home = named.join(total, ["label", "scale"]).select("uid", "n", "weight", F.xxhash64("label", "scale", chunk).alias("block"))
+    home = scratch.keep(home, "home")
     spans = home.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
     placed = near.select("bucket", "uid").join(home.select("uid", "block"), "uid").select("bucket", "block").distinct().join(spans, "block")
     left, right = (placed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high"))) for s in "ab")
     fits = (F.col("high_b") * 100 >= F.col("low_a") * threshold_pct) & (F.col("high_a") * 100 >= F.col("low_b") * threshold_pct)
     pairs = left.join(right, "bucket").filter((F.col("block_a") < F.col("block_b")) & fits).select(F.col("block_a").alias("a"), F.col("block_b").alias("b")).distinct()
     pairs = pairs.unionByName(spans.filter("size > 1").select(F.col("block").alias("a"), F.col("block").alias("b")))
-    pairs = scratch.hold(pairs)
-    near.unpersist()
+    pairs = scratch.keep(pairs, "pairs")
+    label.unpersist()
     packed = cut_of(home).groupBy("block", "fragment").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("uid", "n", "weight", "keys")))).alias("x"))
     packed = packed.select("block", "fragment", *(F.col(f"x.{c}").alias(o) for c, o in (("uid", "ids"), ("n", "n"), ("weight", "w"), ("keys", "keys"))))
     packed = scratch.hold(packed)
@@ -142,8 +158,8 @@ def link(
     )
     linked = parts.groupBy("a", "b").applyInPandas(lambda pdf: _linked(pdf, threshold_pct), "uid long, root long, links long")
     linked = scratch.keep(linked, "linked")
-    for done in (home, pairs, packed):
-        done.unpersist()
+    packed.unpersist()
+    release(sets.sparkSession)
     links = linked.groupBy("uid").agg(F.sum("links").alias("links"))
     comp = components(linked.select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch)
     found = reps.join(links, "uid", "left").join(comp.select(F.col("node").alias("uid"), "component"), "uid", "left")

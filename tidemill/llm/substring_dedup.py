@@ -134,7 +134,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def held_of(reps: DataFrame) -> DataFrame:
         bands = units.select("uid", F.explode("bands").alias("band")).join(reps, "uid")
-        return bands.select("uid", F.explode(sized("band", "n", THRESHOLD_PCT)).alias("bucket"))
+        return bands.select("uid", F.explode(sized("band", "n", THRESHOLD_PCT)).alias("bucket"), F.lit(0).alias("tag"), F.lit(1).alias("need"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
