@@ -114,14 +114,16 @@ def link(
     common = held.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
     near = scratch.keep(held.join(common.select("bucket"), "bucket"), "near0")
     held.unpersist()
+    del held, common
+    release(sets.sparkSession)
     for last in (False, True):  # dropping sets thins the buckets of others, so twice
         strong = near.groupBy("uid", "tag", "need").agg(F.count("*").alias("has")).filter("has >= need").select("uid", "tag")
         firm = near.join(strong, ["uid", "tag"])
         again = firm.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
         firm = firm.join(again, "bucket")
         near = scratch.keep(firm.select("bucket", "uid", "m") if last else firm.select("bucket", "uid", "tag", "need"), "near2" if last else "near1")
-    del held, common, strong, again, firm
-    release(sets.sparkSession)
+        del strong, again, firm
+        release(sets.sparkSession)
     # sets of one dense group get one label: the largest bucket within a few steps, so that the group fills few blocks
     label = near.groupBy("uid").agg(F.max(F.struct("m", "bucket")).alias("label"))
     for _ in range(STEPS):
