@@ -92,10 +92,7 @@ def windows(grams: np.ndarray, hashes: np.ndarray, before: np.ndarray) -> tuple[
 
 
 def _line_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 40
-    names = ["uid", "doc_id", "start", "end", "n", "s1", "s2", "bands"]
+    names = ["doc_id", "start", "end", "n", "s1", "s2", "bands"]
     for batch in batches:
         for at, _, raw, offsets in slices(batch.column(1)):
             hashes, starts, _, before = words(raw, offsets)
@@ -111,10 +108,9 @@ def _line_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held.append(value)
             ids = batch.column(0).take(pa.array([at + f[0] for f in found]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(number, number + len(found)), pa.int64()), ids, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), *(pa.array(v, pa.int64()) for v in rows), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
+                [ids, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), *(pa.array(v, pa.int64()) for v in rows), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
                 names=names,
             )
-            number += len(found)
 
 
 def _window_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +126,8 @@ def _window_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, start, end, component_id): lines of clusters that several documents share. docs: doc_id, text."""
-    units = scratch.keep(docs.mapInArrow(_line_units, "uid long, doc_id long, start long, end long, n long, s1 long, s2 long, bands array<long>"), "lines")
+    units = docs.mapInArrow(_line_units, "doc_id long, start long, end long, n long, s1 long, s2 long, bands array<long>").filter("doc_id is not null")
+    units = scratch.hold(units.withColumn("uid", F.xxhash64("doc_id", "start")))  # the same ids however often a lost part is computed
 
     def held_of(reps: DataFrame) -> DataFrame:
         bands = units.select("uid", F.explode("bands").alias("band")).join(reps, "uid")
@@ -158,8 +155,9 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
         texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "lines")
         return texts.mapInArrow(cut, "uid long, block long, n long, weight long, fragment int, keys binary")
 
-    found = link(units.filter("doc_id is not null").select("uid", "n", "s1", "s2"), held_of, cut_of, THRESHOLD_PCT, scratch)
+    found = link(units.select("uid", "n", "s1", "s2"), held_of, cut_of, THRESHOLD_PCT, scratch)
     told = scratch.keep(units.join(found.filter("links > 0"), ["n", "s1", "s2"]).select("component", "doc_id", "start", "end"), "line-classes")
+    units.unpersist()
     first = told.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last")).filter("component_id < last")
     return told.join(first, "component").select("doc_id", "start", "end", "component_id")
 
