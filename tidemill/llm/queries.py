@@ -20,6 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
-    "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
