@@ -101,3 +101,25 @@ def test_edge_cases(spark):
     assert len(after) == len(rows) and (None, long) in after and (1, None) in after
     assert dict(x for x in after if x[0] == 8)[8].strip() == ""
     assert sd.spans(docs.limit(0)).collect() == [] and sd.clean(docs.limit(0)).collect() == []
+
+
+def test_passages_go_from_their_first_word_to_their_last(spark):
+    rng = random.Random(7)
+    passages = [" ".join(f"p{k}w{j}" for j in range(n)) for k, n in enumerate((51, 55, 70, 100, 300))]
+    rows, want = [], {}
+    for i in range(60):
+        head, tail = (" ".join(f"{side}{i}w{j}" for j in range(rng.randint(25, 60))) for side in "ht")
+        p = passages[i % 5]
+        rows.append((i, f"{head} {p} {tail}"))
+        want[i] = (len(head) + 1, len(head) + 1 + len(p), i % 5, i >= 5)
+    got = sd.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 60 and {r.doc_id: (r.start, r.end, r.component_id, r.removed) for r in got} == want
+
+
+def test_a_longer_passage_of_two_documents_around_one_of_three(spark):
+    core = " ".join(f"c{j}" for j in range(60))
+    more = [" ".join(f"{side}{j}" for j in range(12)) for side in "lr"]
+    own = [" ".join(f"{side}{i}w{j}" for j in range(40)) for i in range(3) for side in "ab"]
+    texts = [f"{own[0]} {core} {own[1]}", *(f"{own[2 * i]} {more[0]} {core} {more[1]} {own[2 * i + 1]}" for i in (1, 2))]
+    got = {(r.doc_id, r.removed): texts[r.doc_id][r.start : r.end] for r in sd.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(0, False): core, (1, True): core, (2, True): f"{more[0]} {core} {more[1]}"}

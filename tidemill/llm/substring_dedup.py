@@ -8,7 +8,9 @@ Two kinds of paragraphs of a text are compared, both over shingles of five words
 * windows of ``WINDOW`` words at content-defined places, for passages that begin and end within lines. Winnowing takes
   the smallest shingle hash of every ``STRIDE`` neighbouring places, so that equal stretches of WINDOW + STRIDE - 1
   words, 51, share a window wherever they stand. All rows of the band must agree here, that is the whole window, so a
-  bucket is a cluster.
+  bucket is a cluster. From the outer windows of a shared run, the words before and after are compared with those of all
+  documents of the bucket, one by one and up to STRIDE - 1 of them: no equal stretch reaches further beyond the outermost
+  window that its documents share. So passages go from their first equal word to their last.
 
 Of a cluster the paragraph with the smallest doc_id (then the smallest place) stays and those in other documents go; the
 removed stretches of a document are merged.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -119,11 +121,39 @@ def _window_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hashes, starts, ends, before = words(raw, offsets)
             row, first, key = windows(shingles(hashes, K), hashes, before)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), batch.column(0).take(pa.array(at + row)), pa.array(starts[first] - offsets[row], pa.int64()), pa.array(ends[first + WINDOW - 1] - offsets[row], pa.int64())] if len(row) else [pa.array([], pa.int64())] * 4,
-                names=["key", "doc_id", "start", "end"],
+                [pa.array(key.view(np.int64)), batch.column(0).take(pa.array(at + row)), pa.array(starts[first] - offsets[row], pa.int64()), pa.array(ends[first + WINDOW - 1] - offsets[row], pa.int64()), pa.array(first - before[row], pa.int64())] if len(row) else [pa.array([], pa.int64())] * 5,
+                names=["key", "doc_id", "start", "end", "word"],
             )
 
 
+def _context_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each wanted side of a window and each number of words, from 1 to STRIDE - 1: their hash with the window's key,
+    and the byte that they reach."""
+    names = ["context", "doc_id", "start", "side", "reach"]
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        wanted = batch.column(2)
+        flat, counts = wanted.flatten(), wanted.value_lengths().to_numpy()
+        owner = np.repeat(np.arange(batch.num_rows), counts)
+        key, word, start, side = (flat.field(c).to_numpy() for c in ("key", "word", "start", "side"))
+        for at, to, raw, offsets in slices(batch.column(1)):
+            hashes, starts, ends, before = words(raw, offsets)
+            mine = np.flatnonzero((owner >= at) & (owner < to))
+            row = owner[mine] - at
+            place = before[row] + word[mine]
+            mine, row, place = (x[place + WINDOW <= before[row + 1]] for x in (mine, row, place))
+            chain = mix(key[mine].view(U) + side[mine].astype(U))
+            for n in range(1, STRIDE):
+                now = np.where(side[mine] == 0, place - n, place + WINDOW + n - 1)
+                inside = (now >= before[row]) & (now < before[row + 1])
+                mine, row, place, now, chain = (x[inside] for x in (mine, row, place, now, chain))
+                if not len(mine):
+                    break
+                chain = mix(chain * U(0xC2B2AE3D27D4EB4F) + hashes[now])
+                reach = np.where(side[mine] == 0, starts[now], ends[now]) - offsets[row]
+                yield pa.RecordBatch.from_arrays([pa.array(chain.view(np.int64)), pa.array(ids[owner[mine]]), pa.array(start[mine]), pa.array(side[mine]), pa.array(reach)], names=names)
+
+
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, start, end, component_id): lines of clusters that several documents share. docs: doc_id, text."""
     units = docs.mapInArrow(_line_units, "doc_id long, start long, end long, n long, s1 long, s2 long, bands array<long>").filter("doc_id is not null")
@@ -162,11 +192,40 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return told.join(first, "component").select("doc_id", "start", "end", "component_id")
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, component_id): windows that several documents share. docs: doc_id, text."""
-    units = docs.filter("doc_id is not null").mapInArrow(_window_units, "key long, doc_id long, start long, end long")
+def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, start, end, component_id): stretches around windows that several documents share. docs: doc_id, text."""
+    docs = docs.filter("doc_id is not null")
+    units = docs.mapInArrow(_window_units, "key long, doc_id long, start long, end long, word long")
     first = units.groupBy("key").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last")).filter("component_id < last")
-    return units.join(first.select("key", "component_id"), "key").select("doc_id", "start", "end", "component_id")
+    found = scratch.keep(units.join(first.select("key", "component_id"), "key"), "windows")
+    return found.select("doc_id", "start", "end", "component_id").unionByName(_extended(docs, found))
+
+
+def _extended(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The shared windows at the ends of runs, from or to the last word that one more document has too."""
+    found = found.withColumn("removed", F.col("doc_id") > F.col("component_id"))
+    own = Window.partitionBy("doc_id", "removed").orderBy("word")
+    runs = found.withColumn("run", F.when(F.col("word") - F.lag("word").over(own) <= WINDOW, 0).otherwise(1)).withColumn("run", F.sum("run").over(own))
+    run = Window.partitionBy("doc_id", "removed", "run")
+    runs = runs.withColumn("from", F.min("word").over(run)).withColumn("to", F.max("word").over(run))
+    # what the run covers as far as any comparison would reach needs none
+    sides = F.array(F.when(F.col("word") - F.col("from") < STRIDE - 1, 0), F.when(F.col("to") - F.col("word") < STRIDE - 1, 1))
+    outer = runs.select("key", "doc_id", "start", "end", "component_id", "removed", F.explode(F.array_compact(sides)).alias("side"))
+    wanted = found.select("key", "doc_id", "word", "start").join(outer.select("key", "side").distinct(), "key")
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "word", "start", "side")).alias("wanted"))  # windows of one document
+    contexts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted")
+    contexts = contexts.mapInArrow(_context_units, "context long, doc_id long, start long, side int, reach long")
+    shared = contexts.groupBy("context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last")
+    reached = contexts.join(shared, "context").groupBy("doc_id", "start", "side").agg(
+        *(f(F.when(F.col("doc_id") > F.col("least"), F.col("reach"))).alias(n) for f, n in ((F.min, "go_from"), (F.max, "go_to"))),
+        *(f(F.when(F.col("doc_id") == F.col("least"), F.col("reach"))).alias(n) for f, n in ((F.min, "stay_from"), (F.max, "stay_to"))),
+    )
+    left = F.when(F.col("removed"), F.col("go_from")).otherwise(F.col("stay_from"))
+    right = F.when(F.col("removed"), F.col("go_to")).otherwise(F.col("stay_to"))
+    both = outer.join(reached, ["doc_id", "start", "side"]).select(
+        "doc_id", F.when(F.col("side") == 0, left).otherwise(F.col("start")).alias("start"), F.when(F.col("side") == 1, right).otherwise(F.col("end")).alias("end"), "component_id"
+    )
+    return both.filter("start is not null and end is not null")
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +261,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = repeated_lines(docs, scratch).unionByName(repeated_windows(docs)).withColumn("removed", F.col("doc_id") > F.col("component_id"))
+    found = repeated_lines(docs, scratch).unionByName(repeated_windows(docs, scratch)).withColumn("removed", F.col("doc_id") > F.col("component_id"))
     # of one document: no more rows than its words
     each = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("removed", "start", "end", "component_id"))).alias("spans"))
     return each.mapInPandas(_merge, "doc_id long, start long, end long, component_id long, removed boolean")
