@@ -61,3 +61,21 @@ def test_edge_cases(spark):
     none = langid.train(docs.limit(0).selectExpr("doc_id", "text", "score as lang"))
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
     assert langid.identify(docs.limit(0), model).collect() == []
+
+
+def test_a_model_keeps_every_gram(spark):
+    # 60,000 distinct grams, most of them seen once
+    rng = np.random.default_rng(4)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    texts = ["".join(letters[j] for j in rng.integers(0, 300, 600)) for _ in range(100)]
+    model = langid.train(spark.createDataFrame([(t, "x") for t in texts], "text string, lang string"))
+    want = {}
+    for t in texts:
+        padded = chr(1) * 4 + t
+        for j in range(len(t)):
+            want[padded[j : j + 5]] = want.get(padded[j : j + 5], 0) + 1
+    assert len(want) > 59_000 and len(model.grams[-1][0].keys) == len(want)
+    frame = pd.DataFrame([("x", g, n) for g, n in want.items()], columns=["lang", "gram", "n"])
+    whole = langid._estimate(["x"], frame, 5)
+    assert np.allclose(model.entropies(texts[:5])[0], whole.entropies(texts[:5])[0])
+    assert abs(np.exp(model.contexts[-1][1]).mean() - 0.9) < 0.05  # contexts seen once: the whole discount, clipped at 0.9

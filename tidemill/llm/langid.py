@@ -7,7 +7,8 @@ beside the interpolation weights), so a lookup that finds an n-gram needs no oth
 cross-entropy per character wins. A text is rejected if it has no letter, or if that cross-entropy lies further above
 what its language's training texts show than chance and a margin explain.
 
-A language keeps its ``max_grams`` commonest n-grams at most: that bounds the model, its collection and its broadcast.
+A model keeps every n-gram of its training texts, so it grows with their vocabulary. It is collected and broadcast; one
+of more than ``MOST_CELLS`` n-grams times languages is refused with an error and never cut.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .common import hash_split, release, table
 from .textvec import U, mix
 
 ORDER = 5
-#: Commonest n-grams of the highest order that a language's model keeps.
-MAX_GRAMS = 40_000
+#: Distinct n-grams of the highest order times languages, above which training stops with an error.
+MOST_CELLS = 40_000_000
 #: Training texts, by smallest hash, on which the rejection is calibrated.
 CALIBRATION_ROWS = 4_000
 #: Rejection: nats per character, and standard errors, above the mean of the language's texts.
@@ -101,15 +102,13 @@ def _rolling(codes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _hash(strings: np.ndarray, n: int) -> np.ndarray:
-    """The same hashes, mixed, of whole strings of n code points."""
-    if not len(strings) or n == 0:
-        return mix(np.full(len(strings), n, U))
-    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(U) + U(1)
-    total, power = np.zeros(len(strings), U), U(1)
+def _hash(codes: np.ndarray) -> np.ndarray:
+    """The same hashes, mixed, of whole strings of code points, one a row."""
+    n = codes.shape[1]
+    total, power = np.zeros(len(codes), U), U(1)
     with np.errstate(over="ignore"):
         for j in range(n):
-            total += codes[:, n - 1 - j] * power
+            total += (codes[:, n - 1 - j].astype(U) + U(1)) * power
             power = power * _P
     return mix(total * U(8) + U(n))
 
@@ -231,62 +230,56 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
 def _estimate(langs: list[str], counts: pd.DataFrame, order: int) -> Model:
     """Interpolated Kneser-Ney estimates for all languages at once. counts: lang (place), gram, n."""
     number = {x: i for i, x in enumerate(langs)}
+    codes = np.frombuffer("".join(counts["gram"]).encode("utf-32-le"), "<u4").reshape(-1, order)
+    _, first, back = np.unique(_hash(codes), return_index=True, return_inverse=True)
+    codes, matrix = codes[first], np.zeros((len(first), len(langs)))
+    np.add.at(matrix, (back, counts["lang"].map(number).to_numpy()), counts["n"].to_numpy(float))
     layers = []  # from the highest order: grams, counts by language
-    lang, gram, n = counts["lang"].map(number).to_numpy(), counts["gram"].to_numpy(object), counts["n"].to_numpy(float)
     for size in range(order, 0, -1):
         if size < order:  # continuation counts: distinct left neighbours
-            frame = pd.DataFrame({"lang": lang, "gram": [g[1:] for g in gram]}).value_counts(sort=False).reset_index(name="n")
-            lang, gram, n = frame["lang"].to_numpy(), frame["gram"].to_numpy(object), frame["n"].to_numpy(float)
-        code, names = pd.factorize(gram, sort=True)
-        matrix = np.zeros((len(names), len(langs)))
-        np.add.at(matrix, (code, lang), n)
-        layers.append((size, names, matrix))
+            _, first, back = np.unique(_hash(codes[:, 1:]), return_index=True, return_inverse=True)
+            seen, codes, matrix = matrix > 0, codes[first, 1:], np.zeros((len(first), len(langs)))
+            np.add.at(matrix, back, seen)
+        layers.append((size, codes, matrix))
     alphabet = len(layers[-1][1]) + 1
     floor = -np.log(alphabet)
-    below = np.full((1, len(langs)), 1 / alphabet)
-    below_names = np.array([""], object)
+    below, below_keys = np.full((1, len(langs)), 1 / alphabet), _hash(codes[:1, :0])
     grams, contexts = [], []
-    for size, names, matrix in reversed(layers):
+    while layers:
+        size, codes, matrix = layers.pop()
         once, twice = ((matrix == v).sum(axis=0) for v in (1, 2))
         discount = np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.9)
-        ctx, ctx_names = pd.factorize(np.array([g[:-1] for g in names], object), sort=True)
-        total = np.zeros((len(ctx_names), len(langs)))
+        ctx_keys, ctx = np.unique(_hash(codes[:, :-1]), return_inverse=True)
+        total = np.zeros((len(ctx_keys), len(langs)))
         kinds = np.zeros_like(total)
         np.add.at(total, ctx, matrix)
         np.add.at(kinds, ctx, matrix > 0)
         weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        lower = below[np.searchsorted(below_names.astype(str), np.array([g[1:] for g in names]).astype(str))] if size > 1 else np.repeat(below, len(names), axis=0)
+        lower = below[np.searchsorted(below_keys, _hash(codes[:, 1:]))]
         prob = np.maximum(matrix - discount, 0) / np.maximum(total, 1)[ctx] + weight[ctx] * lower
-        for out, strings, values, length in ((grams, names, prob, size), (contexts, ctx_names, weight, size - 1)):
-            keys = _hash(np.asarray(strings, object), length)
-            by = np.argsort(keys)
-            out.append((Hashes(keys[by]), np.log(values[by]).astype(np.float32)))
-        below, below_names = prob, np.asarray(names, object)
+        keys = _hash(codes)  # in order: np.unique has sorted them
+        grams.append((Hashes(keys), np.log(prob).astype(np.float32)))
+        contexts.append((Hashes(ctx_keys), np.log(weight).astype(np.float32)))
+        below, below_keys = prob, keys
     return Model(langs, order, grams, contexts, floor)
 
 
-def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, order: int = ORDER, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of all rows of ``docs`` that have a text and a language."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     counts = rows.mapInArrow(lambda it: _count(it, order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("size", F.floor(F.log2("n") * 16)).persist()
+    counts = counts.persist()
     try:
-        sizes = counts.groupBy("lang", "size").count().toPandas()  # some hundred rows a language
-        least = {}
-        for lang, part in sizes.groupby("lang"):
-            part = part.sort_values("size", ascending=False)
-            inside = part[part["count"].cumsum() <= max_grams]
-            least[lang] = int((inside if len(inside) else part.head(1))["size"].min())
-        langs = sorted(least)
+        sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+        langs = sorted(sizes)
         if not langs:
             return Model([], order, [], [], 0.0)
-        bound = F.lit(None).cast("long")
-        for lang in langs:
-            bound = F.when(F.col("lang") == lang, F.lit(least[lang])).otherwise(bound)
-        kept = counts.filter(F.col("size") >= bound).select("lang", "gram", "n").toArrow().to_pandas()
+        if sum(sizes.values()) * len(langs) > MOST_CELLS:
+            raise ValueError(f"{sum(sizes.values())} n-grams of {len(langs)} languages: more than a model of one machine holds (MOST_CELLS)")
+        kept = counts.select("lang", "gram", "n").toArrow().to_pandas()
     finally:
         counts.unpersist()
-    return _estimate(langs, kept.sort_values(["gram", "lang"]), order)
+    return _estimate(langs, kept, order)
 
 
 def calibrate(model: Model, docs: DataFrame, rows: int = CALIBRATION_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
