@@ -79,3 +79,31 @@ def test_a_model_keeps_every_gram(spark):
     whole = langid._estimate(["x"], frame, 5)
     assert np.allclose(model.entropies(texts[:5])[0], whole.entropies(texts[:5])[0])
     assert abs(np.exp(model.contexts[-1][1]).mean() - 0.9) < 0.05  # contexts seen once: the whole discount, clipped at 0.9
+
+
+def test_foreign_texts_are_rejected_in_rare_languages_too(spark):
+    rng = np.random.default_rng(6)
+
+    def texts(alphabet, n, size):
+        vocabulary = ["".join(rng.choice(list(alphabet), rng.integers(2, 8))) for _ in range(80)]
+        return [" ".join(rng.choice(vocabulary, size)) for _ in range(n)]
+
+    common, rare, foreign = texts("abcdefgh", 12_000, 20), texts("klmnopqr", 1, 400), texts("stuvwxyz", 20, 12)
+    docs = spark.createDataFrame([(i, t, "common") for i, t in enumerate(common)] + [(20_000, rare[0], "rare")], "doc_id long, text string, lang string")
+    model = langid.calibrate(langid.train(docs), docs)
+    assert set(model.norm) == {"common", "rare"} and np.isfinite(list(model.norm.values())).all()
+    near = ["".join(rng.choice(list("klmnopqr   "), n)) for n in (50, 60, 200) for _ in range(10)]  # of the rare letters, but gibberish
+    gibberish = ["".join(rng.choice(list("abcdefgh   "), n)) for n in (50, 60, 200) for _ in range(10)]
+    for odd in (near, gibberish, foreign):
+        said = model.predict(odd)
+        assert said["rejected"].all(), said
+    assert (model.predict(near)["lang_pred"] == "rare").all()
+    own = model.predict([*common[:200], rare[0], rare[0][:60]])
+    assert not own["rejected"].any() and list(own["lang_pred"][-2:]) == ["rare", "rare"]
+
+
+def test_a_language_without_texts_to_calibrate_on_has_a_limit(spark):
+    docs = spark.createDataFrame([(i, "the cat sat on the mat", "en") for i in range(40)] + [(40, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert np.isfinite(list(langid.calibrate(model, docs.filter("lang = 'en'")).norm.values())).all() and set(model.norm) == {"de", "en"}
+    assert np.isfinite(list(langid.calibrate(model, docs.limit(0)).norm.values())).all() and set(model.norm) == {"de", "en"}

@@ -5,7 +5,9 @@ All character n-grams of all training texts are counted; continuation counts of
 order is a sorted array of 64-bit n-gram hashes beside the log probabilities under every language (and one of contexts
 beside the interpolation weights), so a lookup that finds an n-gram needs no other order. The language with the lowest
 cross-entropy per character wins. A text is rejected if it has no letter, or if that cross-entropy lies further above
-what its language's training texts show than chance and a margin explain.
+what its language's training texts show than chance and a margin explain: above their median by the margin, and by so
+many standard errors of a mean of its number of characters. Both come from all training texts of each language; a
+language of fewer than ``LEAST_TEXTS`` texts, which its own model knows by heart, borrows from all of them together.
 
 A model keeps every n-gram of its training texts, so it grows with their vocabulary. It is collected and broadcast; one
 of more than ``MOST_CELLS`` n-grams times languages is refused with an error and never cut.
@@ -28,8 +30,8 @@ from .textvec import U, mix
 ORDER = 5
 #: Distinct n-grams of the highest order times languages, above which training stops with an error.
 MOST_CELLS = 40_000_000
-#: Training texts, by smallest hash, on which the rejection is calibrated.
-CALIBRATION_ROWS = 4_000
+#: Texts that a language needs for a rejection of its own.
+LEAST_TEXTS = 30
 #: Rejection: nats per character, and standard errors, above the mean of the language's texts.
 MARGIN, ERRORS = 1.0, 8.0
 UNDETERMINED = "und"
@@ -144,11 +146,16 @@ class Model:
     grams: list[tuple[Hashes, np.ndarray]]  # at n - 1: hashes, log probabilities by language
     contexts: list[tuple[Hashes, np.ndarray]]  # at n - 1: hashes of n - 1 code points, log interpolation weights
     floor: float
-    norm: dict[str, tuple[float, float]] | None = None  # mean and deviation per root character of the cross-entropy
+    norm: dict[str, tuple[float, float]] | None = None  # usual cross-entropy and deviation of single characters
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character under each language, and characters; rows without a letter have 0 characters."""
-        total = np.zeros((len(texts), len(self.langs)))
+        total, _, chars = self.sums(texts)
+        return -total / np.maximum(chars, 1)[:, None], chars
+
+    def sums(self, texts: list[str | None], squares: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of the characters' log probabilities under each language, of their squares if asked for, and characters."""
+        total, square = np.zeros((2, len(texts), len(self.langs)))
         chars = np.zeros(len(texts), np.int64)
         for codes, rows, told in _streams(texts, self.order, max(100_000, 4_000_000 // max(4, len(self.langs)))):
             rolled = _rolling(codes, self.order)
@@ -171,8 +178,10 @@ class Model:
             mine = rows[at]
             first = np.flatnonzero(np.diff(mine, prepend=-1))
             total[mine[first]] += np.add.reduceat(logp, first, axis=0, dtype=np.float64)
+            if squares:
+                square[mine[first]] += np.add.reduceat(logp * logp, first, axis=0, dtype=np.float64)
             np.add.at(chars, mine[first], np.diff(np.append(first, len(mine))))
-        return -total / np.maximum(chars, 1)[:, None], chars
+        return total, square, chars
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         entropy, chars = self.entropies(texts)
@@ -184,7 +193,7 @@ class Model:
         out = pd.DataFrame({"lang_pred": lang, "score": score, "entropy": np.where(chars > 0, low, np.nan), "letters": chars})
         limit = np.full(len(texts), np.inf)
         if self.norm:
-            mean, dev = (np.array([self.norm.get(x, (np.inf, 0.0))[i] for x in self.langs])[best] for i in (0, 1))
+            mean, dev = (np.array([self.norm[x][i] for x in self.langs])[best] for i in (0, 1))
             limit = mean + np.maximum(MARGIN, ERRORS * dev / np.sqrt(np.maximum(chars, 1)))
         out["rejected"] = (chars == 0) | (low > limit)
         return out
@@ -282,27 +291,32 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text", lang_col:
     return _estimate(langs, kept, order)
 
 
-def calibrate(model: Model, docs: DataFrame, rows: int = CALIBRATION_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Set what cross-entropy is usual in each language, from ``rows`` training texts at most."""
+def calibrate(model: Model, docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Set what cross-entropy is usual in each language, from all training texts."""
     if not model.langs:
         return model
-    some = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    picked = some.select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(rows).distinct()  # ids alone, then their texts
-    picked = some.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).join(F.broadcast(picked), "i")
-    shared = picked.sparkSession.sparkContext.broadcast(model)
+    some = docs.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t is not null and l is not null")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        places = {x: i for i, x in enumerate(m.langs)}
         for pdf in batches:
-            entropy, chars = m.entropies(list(pdf["t"]))
-            place = pdf["l"].map({x: i for i, x in enumerate(m.langs)}).to_numpy()
-            yield pd.DataFrame({"lang": pdf["l"], "entropy": entropy[np.arange(len(pdf)), place], "chars": chars})
-
-    seen = picked.select("t", "l").mapInPandas(measure, "lang string, entropy double, chars long").filter("chars > 0").toPandas()
-    norm = {}
-    for lang, part in seen.groupby("lang"):
-        mean = float(part["entropy"].median())
-        norm[lang] = (mean, float(((part["entropy"] - mean).abs() * np.sqrt(part["chars"])).quantile(0.9)))
+            pdf = pdf[pdf["l"].isin(places)]
+            total, square, chars = m.sums(list(pdf["t"]), squares=True)
+            own = np.arange(len(pdf)), pdf["l"].map(places).to_numpy(np.int64)
+            yield pd.DataFrame({"lang": pdf["l"].to_numpy(), "chars": chars, "total": -total[own], "square": square[own]})
+
+    seen = some.mapInPandas(measure, "lang string, chars long, total double, square double").filter("chars > 0")
+    entropy = F.col("total") / F.col("chars")
+    told = [F.percentile_approx(entropy, 0.5, 10_000).alias("mean"), *(F.sum(c).alias(c) for c in ("chars", "total", "square")), F.count("*").alias("n")]
+    norm: dict[str, tuple[float, float]] = {}
+    rows = seen.rollup("lang").agg(*told).collect()  # the row of all texts has no lang
+    usual = {r["lang"]: (r["mean"], float(np.sqrt(max(0.0, r["square"] / r["chars"] - (r["total"] / r["chars"]) ** 2))), r["n"]) for r in rows if r["chars"]}
+    pooled = usual.get(None, (-model.floor - MARGIN, 0.0, 0))  # without any text: no worse than chance
+    for lang in model.langs:
+        mean, deviation, n = usual.get(lang, pooled)
+        norm[lang] = (mean, deviation) if n >= LEAST_TEXTS else (max(mean, pooled[0]), max(deviation, pooled[1]))
     model.norm = norm
     return model
 
