@@ -78,3 +78,11 @@ def test_piece_checksums():
     running = np.frombuffer(running, np.uint32)
     for a, b in ((0, 16), (16, 1000), (32, 64), (0, 1000), (992, 1000)):
         assert packing.piece_crc(running, a, b) == zlib.crc32(ids[a:b].tobytes())
+
+
+def test_every_term_of_a_long_tail_scores():
+    # tail 0 shares with tail i only its term i, of any weight
+    terms = [np.arange(500, dtype=np.uint32), *(np.array([i, 500 + i], np.uint32) for i in range(500))]
+    counts = [np.arange(1, 501).astype(np.uint16), *(np.ones(2, np.uint16) for _ in range(500))]
+    index = packing.Index(terms, counts, np.array([c.sum() for c in counts]), np.ones(1000), 4.0)
+    assert (index.scores(0) > 0).all()
