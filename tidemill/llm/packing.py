@@ -3,7 +3,7 @@
 Every document is tokenised once. Its full windows are sequences of their own; what is left over (the tail) is packed
 with tails that resemble it. Tails are dealt in shards of bounded size by the term that tells most about them, so that
 any group of alike tails, however large, is spread over neighbouring shards. A shard holds a BM25 inverted index of its
-tails, with document frequencies counted over the whole corpus; each seed, longest first, takes its best-scoring unused
+tails alone, with document frequencies counted over the tails of all documents (not over their full windows); each seed, longest first, takes its best-scoring unused
 neighbours that fit whole, then the first part of the next one. Tails may be cut on a grid of ``GRID`` tokens, where
 running checksums are kept, so token ids themselves never leave the task that made them.
 """
