@@ -21,24 +21,21 @@ links are neither capped nor listed, and no step depends on how often an n-gram
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, only, release, table
 from .setlinks import link, signature
+from .sketch import held_places, shared_places
 from .textvec import U, mix, shingle_sets
 
 #: Coarse fragments (a power of two) in which overlaps are counted.
 COARSE_BITS = 2
-#: Bits of the sketch of keys: fixed, so that its broadcast (32 MB) is.
-SKETCH_BITS, SLICE_BITS = 28, 22
 
 
 @lru_cache
@@ -86,52 +83,11 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in rows)], names=["uid", "n", "s1", "s2"])
 
 
-def _seen(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int) -> Iterator[pa.RecordBatch]:
-    """By slice of the sketch, the places that a batch's keys hit once and those they hit more often."""
-    from pyspark import TaskContext
-
-    task = TaskContext.get().partitionId()
-    for batch in batches:
-        keys = [x for s in shingle_sets(batch.column(0), k) if len(s) for _, x in fragment_keys(s, threshold_pct)]
-        if not keys:
-            continue
-        place, n = np.unique(np.concatenate(keys) >> U(64 - SKETCH_BITS), return_counts=True)
-        cuts = np.searchsorted(place >> U(SLICE_BITS), np.arange(1 << (SKETCH_BITS - SLICE_BITS), dtype=U))
-        rows: list[list] = [[], [], []]
-        for i, (at, many) in enumerate(zip(np.split(place, cuts[1:]), np.split(n > 1, cuts[1:]))):
-            at = (at & U((1 << SLICE_BITS) - 1)).astype(np.uint32)
-            gaps = [np.diff(x, prepend=np.uint32(0)).astype(np.uint32).tobytes() for x in (at[~many], at[many])]
-            for held, value in zip(rows, (i, *(zlib.compress(g, 1) for g in gaps))):
-                held.append(value)
-        m = len(rows[0])
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([task] * m, pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["slice", "task", "once", "more"])
-
-
-def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    hits = np.zeros(1 << SLICE_BITS, np.uint8)
-    for once, more in zip(pdf["once"], pdf["more"]):
-        for blob, weight in ((once, 1), (more, 2)):
-            at = np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint32), dtype=np.uint32)
-            hits[at] = np.minimum(hits[at] + weight, 2)
-    gaps = [np.diff(np.flatnonzero(hits == w).astype(np.uint32), prepend=np.uint32(0)).astype(np.uint32).tobytes() for w in (1, 2)]
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "once": [zlib.compress(gaps[0], 1)], "more": [zlib.compress(gaps[1], 1)]})
-
-
-def _bits(pdf: pd.DataFrame) -> pd.DataFrame:
-    more = np.zeros(1 << SLICE_BITS, bool)
-    more[np.cumsum(np.frombuffer(zlib.decompress(_merged(pdf)["more"][0]), np.uint32), dtype=np.uint32)] = True
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "bits": [np.packbits(more, bitorder="little").tobytes()]})
-
-
-def shared_places(docs: DataFrame, k: int, threshold_pct: int) -> np.ndarray:
-    """The sketch: a bit for each place, set if two keys or more of all documents fall there."""
-    rows = docs.select("text").mapInArrow(lambda it: _seen(it, k, threshold_pct), "slice int, task int, once binary, more binary")
-    rows = rows.withColumn("part", F.expr("task div 64")).groupBy("slice", "part").applyInPandas(_merged, "slice int, once binary, more binary")
-    out = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
-    done = rows.groupBy("slice").applyInPandas(_bits, "slice int, bits binary").toArrow()  # 64 rows of 512 KB
-    for i in range(done.num_rows):
-        out[done["slice"][i].as_py()] = np.frombuffer(done["bits"][i].as_buffer(), np.uint8)
-    return out.reshape(-1)
+def _keys_of(texts: pa.Array, k: int, threshold_pct: int) -> Iterator[np.ndarray]:
+    for s in shingle_sets(texts, k):
+        if len(s):
+            for _, keys in fragment_keys(s, threshold_pct):
+                yield keys
 
 
 def _fragmented(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -139,8 +95,7 @@ def _fragmented(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int, s
         rows: list[list] = [[], [], [], []]
         for i, s in enumerate(shingle_sets(batch.column(1), k)):
             for tag, (need, keys) in enumerate(fragment_keys(s, threshold_pct) if len(s) else []):
-                place = (keys >> U(64 - SKETCH_BITS)).astype(np.int64)
-                keys = keys[(shared[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                keys = keys[held_places(shared, keys)]
                 if len(keys) >= need:
                     for held, value in zip(rows, (i, tag, need, keys.view(np.int64))):
                         held.append(value)
@@ -159,7 +114,7 @@ def _coarse(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                     for held, value in zip(rows, (i, f, piece.tobytes())):
                         held.append(value)
             where = pa.array(rows[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(c).take(where) for c in (0, 2, 3, 4)] + [pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=["uid", "block", "n", "weight", "fragment", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(c).take(where) for c in (0, 2, 3)] + [pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=["uid", "block", "weight", "fragment", "keys"])
 
 
 def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,14 +132,14 @@ def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str =
 
     def held_of(reps: DataFrame) -> DataFrame:
         some = docs.filter("uid is not null")
-        shared = docs.sparkSession.sparkContext.broadcast(shared_places(some, k, threshold_pct))
+        shared = docs.sparkSession.sparkContext.broadcast(shared_places(some.select("text"), partial(_keys_of, k=k, threshold_pct=threshold_pct)))
         release(docs.sparkSession)
         cut = some.mapInArrow(lambda it: _fragmented(it, k, threshold_pct, shared.value), "uid long, tag int, need int, fragments array<long>")
         return cut.join(reps.select("uid"), "uid").dropDuplicates(["uid", "tag"]).select(F.explode("fragments").alias("bucket"), "uid", "tag", "need")
 
     def cut_of(home: DataFrame) -> DataFrame:
-        wanted = docs.join(home.hint("shuffle_hash"), "uid").select("uid", "text", "block", "n", "weight")
-        return wanted.mapInArrow(lambda it: _coarse(it, k), "uid long, block long, n long, weight long, fragment int, keys binary")
+        wanted = docs.join(home.hint("shuffle_hash"), "uid").select("uid", "text", "block", "weight")
+        return wanted.mapInArrow(lambda it: _coarse(it, k), "uid long, block long, weight long, fragment int, keys binary")
 
     found = link(sets, held_of, cut_of, threshold_pct, scratch)
     return sets.join(found, ["n", "s1", "s2"], "left").select(

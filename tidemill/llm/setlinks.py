@@ -9,13 +9,12 @@ order, which are summed. A pair of sets is compared in at most one pair of block
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, release
@@ -29,65 +28,91 @@ STEPS = 2
 LONG = 4_096
 
 
-def _overlaps(pack_a: list[np.ndarray], pack_b: list[np.ndarray] | None) -> np.ndarray:
-    """How many keys each document of one block shares with each of another (or of the same) in one fragment."""
-    both = pack_a + (pack_b or [])
-    sizes = np.array([len(x) for x in both])
-    keys = np.concatenate(both) if both else np.zeros(0, U)
-    owner = np.repeat(np.arange(len(both)), sizes)
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = keys[1:] != keys[:-1]
-    ids = np.cumsum(fresh) - 1
-    shared = np.bincount(ids, minlength=1)[ids] > 1 if len(ids) else np.zeros(0, bool)
-    ids, owner = ids[shared], owner[shared]
-    if len(ids):
-        step = np.ones(len(ids), bool)
-        step[1:] = ids[1:] != ids[:-1]
-        ids = np.cumsum(step) - 1
-    n, na = len(both), len(pack_a)
-    out = np.zeros((na, n - na if pack_b is not None else na), np.int32)
-    top = int(ids[-1]) + 1 if len(ids) else 0
-    for at in range(0, top, 8192):
-        lo, hi = np.searchsorted(ids, [at, at + 8192])
-        dense = np.zeros((n, min(8192, top - at)), np.float32)
-        dense[owner[lo:hi], ids[lo:hi] - at] = 1
-        left = dense[:na]
-        out += np.rint(left @ (dense[na:] if pack_b is not None else left).T).astype(np.int32)
+def _encoded(ids: list[int], weight: list[int], keys: list[bytes]) -> bytes:
+    """One fragment of a block: its sets in order of their ids, the distinct members, and at which of them each set's are.
+    Places are kept as gaps, so that sets that are nearly alike take little."""
+    first = {x: i for i, x in enumerate(ids)}  # a part that was computed twice counts once
+    order = [first[x] for x in sorted(first)]
+    held = [np.frombuffer(keys[i], U) for i in order]
+    members, place = np.unique(np.concatenate(held), return_inverse=True)
+    sizes = np.array([len(x) for x in held], np.int64)
+    gaps = np.diff(place, prepend=0).astype(np.int32)
+    head = np.array([len(order), len(members), *(v[i] for v in (ids, weight) for i in order)], np.int64)
+    return zlib.compress(b"".join([head.tobytes(), sizes.tobytes(), members.tobytes(), gaps.tobytes()]), 1)
+
+
+class _Block:
+    def __init__(self, blob: bytes):
+        raw = zlib.decompress(blob)
+        count, distinct = np.frombuffer(raw, np.int64, 2)
+        self.ids, self.weight, self.sizes = np.frombuffer(raw, np.int64, 3 * count, 16).reshape(3, count)
+        at = 16 + 24 * int(count)
+        self.members = np.frombuffer(raw, U, distinct, at)
+        self.place = np.cumsum(np.frombuffer(raw, np.int32, -1, at + 8 * int(distinct)), dtype=np.int64)
+        self.owner = np.repeat(np.arange(count), self.sizes)
+
+    def dense(self, chosen: np.ndarray) -> Iterator[np.ndarray]:
+        """Sets by members, for some of the members (places in rising order) a few thousand at a time."""
+        rank = np.full(len(self.members), -1, np.int64)
+        rank[chosen] = np.arange(len(chosen))
+        at = rank[self.place]
+        owner, at = self.owner[at >= 0], at[at >= 0]
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        for base in range(0, len(chosen), 8192):
+            lo, hi = np.searchsorted(at, [base, base + 8192])
+            out = np.zeros((len(self.ids), min(8192, len(chosen) - base)), np.float32)
+            out[owner[lo:hi], at[lo:hi] - base] = 1
+            yield out
+
+
+def _overlaps(a: _Block, b: _Block | None) -> np.ndarray:
+    """How many members each set of one block shares with each of another (or of the same) in one fragment."""
+    if b is None:
+        shared = np.flatnonzero(np.bincount(a.place, minlength=len(a.members)) > 1)
+        out = np.zeros((len(a.ids), len(a.ids)), np.int32)
+        for x in a.dense(shared):
+            out += np.rint(x @ x.T).astype(np.int32)
+        return out
+    _, left, right = np.intersect1d(a.members, b.members, assume_unique=True, return_indices=True)
+    out = np.zeros((len(a.ids), len(b.ids)), np.int32)
+    for x, y in zip(a.dense(left), b.dense(right)):
+        out += np.rint(x @ y.T).astype(np.int32)
     return out
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            a = [np.frombuffer(x, U) for x in r.keys_a]
-            b = None if r.a == r.b else [np.frombuffer(x, U) for x in r.keys_b]
-            out.append(zlib.compress(_overlaps(a, b).tobytes(), 1))
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "ids_a": pdf["ids_a"], "ids_b": pdf["ids_b"], "n_a": pdf["n_a"], "n_b": pdf["n_b"], "w_a": pdf["w_a"], "w_b": pdf["w_b"], "part": out})
-
-
-def _linked(pdf: pd.DataFrame, threshold_pct: int) -> pd.DataFrame:
-    r = pdf.iloc[0]
-    ia, na, wa = (np.array(r[c], np.int64) for c in ("ids_a", "n_a", "w_a"))
-    same = r["a"] == r["b"]
-    ib, nb, wb = (ia, na, wa) if same else (np.array(r[c], np.int64) for c in ("ids_b", "n_b", "w_b"))
-    inter = np.zeros((len(ia), len(ib)), np.int64)
-    for blob in pdf["part"]:
-        inter += np.frombuffer(zlib.decompress(blob), np.int32).reshape(inter.shape)
-    link = (100 * inter >= threshold_pct * (na[:, None] + nb[None, :] - inter)) & (inter > 0)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sets = batch.column(1)[i].as_py()
+            blobs = [_encoded(*([x[c] for x in part] for c in ("uid", "weight", "keys"))) for f in sorted({x["fragment"] for x in sets}) for part in [[x for x in sets if x["fragment"] == f]]]
+            size = len({x["uid"] for x in sets})
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([size], pa.int32()), pa.array([blobs], pa.list_(pa.binary()))], names=["block", "size", "fragments"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], threshold_pct: int) -> Iterator[pa.RecordBatch]:
+    """Columns: the fragments of block a, and those of block b (none: a with itself). Overlaps are counted fragment by
+    fragment and summed."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            left, right = (batch.column(c)[i].as_py() for c in (0, 1))
+            yield _compared(left, right, threshold_pct)
+
+
+def _compared(left: list[bytes], right: list[bytes] | None, threshold_pct: int) -> pa.RecordBatch:
+    inter, n_a, n_b = 0, 0, 0
+    for f, blob in enumerate(left):
+        a, b = _Block(blob), _Block(right[f]) if right else None
+        inter, n_a, n_b = inter + _overlaps(a, b), n_a + a.sizes, n_b + (b or a).sizes
+    same = b is None
+    b = b or a
+    link = (100 * inter >= threshold_pct * (n_a[:, None] + n_b[None, :] - inter)) & (inter > 0)
     if same:
         np.fill_diagonal(link, False)
-    ids = ia if same else np.concatenate([ia, ib])
-    links = link @ wb if same else np.concatenate([link @ wb, link.T @ wa])
-    n = len(ids)
-    full = np.eye(n, dtype=bool)
-    if same:
-        full |= link
+        ids, links, full = a.ids, link @ a.weight, link | np.eye(len(a.ids), dtype=bool)
     else:
-        full[: len(ia), len(ia) :] |= link
-        full[len(ia) :, : len(ia)] |= link.T
+        ids, links = np.concatenate([a.ids, b.ids]), np.concatenate([link @ b.weight, link.T @ a.weight])
+        full = np.block([[np.eye(len(a.ids), dtype=bool), link], [link.T, np.eye(len(b.ids), dtype=bool)]])
     root = ids.copy()
     while True:  # smallest id of the neighbourhood until nothing changes: a block is small
         low = np.where(full, root[None, :], np.iinfo(np.int64).max).min(axis=1)
@@ -95,19 +120,40 @@ def _linked(pdf: pd.DataFrame, threshold_pct: int) -> pd.DataFrame:
             break
         root = low
     keep = links > 0
-    return pd.DataFrame({"uid": ids[keep], "root": root[keep], "links": links[keep]})
+    return pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (ids, root, links)], names=["uid", "root", "links"])
+
+
+def _strong(near: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, uid): of the shared buckets those that partners may meet in."""
+    for last in (False, True):  # dropping sets thins the buckets of others, so twice
+        strong = near.groupBy("uid", "tag", "need").agg(F.count("*").alias("has")).filter("has >= need").select("uid", "tag", "has")
+        firm = near.join(strong, ["uid", "tag"])
+        again = firm.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
+        near = scratch.keep(firm.join(again, "bucket").select("bucket", "uid", "tag", "need", *(["m"] if last else [])), "near2" if last else "near1")
+        scratch.drop("near1" if last else "near0")
+        del strong, firm, again
+        release(near.sparkSession)
+    # partners share so many buckets that, in order of size, what is left of each one's without the largest need - 1 has
+    # one in common: sets that share a common passage no longer meet in its large buckets
+    order = Window.partitionBy("uid", "tag")
+    near = near.withColumn("has", F.count("*").over(order)).withColumn("at", F.row_number().over(order.orderBy("m", "bucket"))).filter("at <= has - need + 1")
+    near = scratch.keep(near.select("bucket", "uid").distinct(), "near3")
+    scratch.drop("near2")
+    release(near.sparkSession)
+    return near
 
 
 def link(
-    sets: DataFrame, held_of: Callable[[DataFrame], DataFrame], cut_of: Callable[[DataFrame], DataFrame], threshold_pct: int, scratch: Scratch
+    sets: DataFrame, held_of: Callable[[DataFrame], DataFrame], cut_of: Callable[[DataFrame], DataFrame], threshold_pct: int, scratch: Scratch, counted: bool = True
 ) -> DataFrame:
     """Classes of sets: (n, s1, s2, component, links), a row for each distinct set with members.
 
     ``sets``: uid, n (members), s1, s2 (a 128-bit signature of the members). ``held_of`` takes the representatives (uid,
     n, weight) and returns their buckets (bucket, uid, tag, need), each once: partners share at least ``need`` buckets of
-    one tag, so sets that share fewer with all others together have no partner there. ``cut_of`` takes (uid, block, n,
-    weight) and returns them with fragment and keys (binary, sorted 64-bit members in that fragment). links counts sets
-    with copies.
+    one tag, so sets that share fewer with all others together have no partner there. With ``counted`` false one shared
+    bucket is enough, there are no columns tag and need, and n need not be the exact number of members. ``cut_of`` takes
+    (uid, block, n, weight) and returns uid, block, weight, fragment and keys (binary, sorted 64-bit members in that
+    fragment). links counts sets with copies.
     """
     reps = scratch.keep(sets.filter("n > 0 and uid is not null").groupBy("n", "s1", "s2").agg(F.min("uid").alias("uid"), F.count("*").alias("weight")), "reps")
     held = scratch.hold(held_of(reps.select("uid", "n", "weight")))
@@ -116,14 +162,13 @@ def link(
     held.unpersist()
     del held, common
     release(sets.sparkSession)
-    for last in (False, True):  # dropping sets thins the buckets of others, so twice
-        strong = near.groupBy("uid", "tag", "need").agg(F.count("*").alias("has")).filter("has >= need").select("uid", "tag")
-        firm = near.join(strong, ["uid", "tag"])
-        again = firm.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-        firm = firm.join(again, "bucket")
-        near = scratch.keep(firm.select("bucket", "uid", "m") if last else firm.select("bucket", "uid", "tag", "need"), "near2" if last else "near1")
-        del strong, again, firm
-        release(sets.sparkSession)
+    if counted:
+        near = _strong(near, scratch)
+    again = near.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
+    near = scratch.keep(near.select("bucket", "uid").join(again, "bucket"), "near4")
+    scratch.drop("near3" if counted else "near0")
+    del again
+    release(sets.sparkSession)
     # sets of one dense group get one label: the largest bucket within a few steps, so that the group fills few blocks
     label = near.groupBy("uid").agg(F.max(F.struct("m", "bucket")).alias("label"))
     for _ in range(STEPS):
@@ -137,30 +182,25 @@ def link(
     home = named.join(total, ["label", "scale"]).select("uid", "n", "weight", F.xxhash64("label", "scale", chunk).alias("block"))
     home = scratch.keep(home, "home")
     spans = home.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
+    fits = (F.col("high_b") * 100 >= F.col("low_a") * threshold_pct) & (F.col("high_a") * 100 >= F.col("low_b") * threshold_pct) if counted else F.lit(True)
     placed = near.select("bucket", "uid").join(home.select("uid", "block"), "uid").select("bucket", "block").distinct().join(spans, "block")
     left, right = (placed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high"))) for s in "ab")
-    fits = (F.col("high_b") * 100 >= F.col("low_a") * threshold_pct) & (F.col("high_a") * 100 >= F.col("low_b") * threshold_pct)
     pairs = left.join(right, "bucket").filter((F.col("block_a") < F.col("block_b")) & fits).select(F.col("block_a").alias("a"), F.col("block_b").alias("b")).distinct()
-    pairs = pairs.unionByName(spans.filter("size > 1").select(F.col("block").alias("a"), F.col("block").alias("b")))
     pairs = scratch.keep(pairs, "pairs")
     label.unpersist()
-    packed = cut_of(home).groupBy("block", "fragment").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("uid", "n", "weight", "keys")))).alias("x"))
-    packed = packed.select("block", "fragment", *(F.col(f"x.{c}").alias(o) for c, o in (("uid", "ids"), ("n", "n"), ("weight", "w"), ("keys", "keys"))))
-    packed = scratch.hold(packed)
-
-    def side(s: str) -> DataFrame:
-        return packed.select(F.col("block").alias(s), "fragment", *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "n", "w", "keys")))
-
-    empty = {c: F.array().cast(t) for c, t in (("ids_b", "array<long>"), ("n_b", "array<long>"), ("w_b", "array<long>"), ("keys_b", "array<binary>"))}
-    cols = ["a", "b", "fragment", "ids_a", "n_a", "w_a", "keys_a", "ids_b", "n_b", "w_b", "keys_b"]
-    alone = pairs.filter("a = b").join(side("a"), "a").withColumns(empty).select(cols)
-    apart = pairs.filter("a <> b").join(side("a"), "a").join(side("b"), ["b", "fragment"]).select(cols)
-    parts = alone.unionByName(apart).mapInPandas(
-        _count, "a long, b long, ids_a array<long>, ids_b array<long>, n_a array<long>, n_b array<long>, w_a array<long>, w_b array<long>, part binary"
-    )
-    linked = parts.groupBy("a", "b").applyInPandas(lambda pdf: _linked(pdf, threshold_pct), "uid long, root long, links long")
+    del label, placed, left, right
+    release(sets.sparkSession)
+    grouped = cut_of(home).groupBy("block").agg(F.collect_list(F.struct("uid", "weight", "fragment", "keys")).alias("sets"))  # bounded: a block
+    packed = scratch.keep(grouped.mapInArrow(_pack, "block long, size int, fragments array<binary>"), "packed")
+    scratch.drop("near4")
+    scratch.drop("home")
+    release(sets.sparkSession)  # the texts' shuffle too
+    alone = packed.filter("size > 1").select(F.col("fragments").alias("left"), F.lit(None).cast("array<binary>").alias("right"))
+    left, right = (packed.select(F.col("block").alias(s), F.col("fragments").alias(side)) for s, side in (("a", "left"), ("b", "right")))
+    apart = pairs.join(left, "a").join(right, "b").select("left", "right")
+    linked = alone.unionByName(apart).mapInArrow(lambda it: _linked(it, threshold_pct), "uid long, root long, links long")
     linked = scratch.keep(linked, "linked")
-    packed.unpersist()
+    scratch.drop("packed")
     release(sets.sparkSession)
     links = linked.groupBy("uid").agg(F.sum("links").alias("links"))
     comp = components(linked.select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch)
@@ -173,11 +213,3 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     if not len(s):
         return 0, 0
     return tuple(int(mix(s * U(0x2545F4914F6CDD1D) + U(c)).sum(dtype=U).view(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-
-
-def sized(bucket: str, n: str, threshold_pct: int):
-    """A bucket's keys for a set of n: partners' sizes lie within the threshold, so in the same or in neighbouring
-    classes of size; a set stands under its own class and under the next one."""
-    step = math.log(100 / min(threshold_pct, 99)) * (1 + 1e-9)  # so that rounding cannot part partners by two classes
-    kind = F.floor(F.log(F.col(n)) / step)
-    return F.array(F.xxhash64(bucket, kind), F.xxhash64(bucket, kind + 1))
