@@ -9,7 +9,7 @@ path prefixes for the longest rule.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,8 +19,8 @@ from .common import Scratch, table
 from .line_dedup import LOWER, UPPER
 
 SEP, TOP = "\x01", "\U0010ffff"
-#: Urls in a range, about.
-RANGE = 100_000
+#: Urls in a range, about, and groups of ranges at most.
+RANGE, GROUPS = 100_000, 2_048
 
 
 def split_url(df: DataFrame, url_col: str) -> DataFrame:
@@ -83,6 +83,18 @@ def _judge(urls: pd.DataFrame, rules: pd.DataFrame, default: str) -> pd.DataFram
     return out
 
 
+def _spread(rules: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:
+    """The rules with each of the ranges (part, low, high) that their intervals meet."""
+    bounds = sorted((_utf8(b.low), _utf8(b.high), b.part) for b in bounds.itertuples())
+    lows, highs = [b[0] for b in bounds], [b[1] for b in bounds]
+    out = []
+    for host, path, verdict in rules[["rule_host", "rule_path", "rule_verdict"]].itertuples(index=False, name=None):
+        begin = _utf8(canonical(host))
+        first, last = bisect.bisect_left(highs, begin), bisect.bisect_left(lows, begin + _utf8(TOP))
+        out += [(b[2], host, path, verdict) for b in bounds[first:last]]
+    return pd.DataFrame(out, columns=["part", "rule_host", "rule_path", "rule_verdict"])
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict.
 
@@ -97,24 +109,19 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     key = F.concat(F.array_join(F.reverse(F.split("_host", r"\.")), SEP), F.lit(SEP))
     urls = urls.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), key.alias("key"))
     count = pages.count()
-    ranges = urls.repartitionByRange(max(1, -(-count // RANGE)), "key", "page_id", "path")  # the id cuts a hot host too
-    urls = scratch.keep(ranges.withColumn("part", F.spark_partition_id()), "urls")
-    bounds = sorted((r["part"], r["low"], r["high"]) for r in urls.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect())  # one row a range
-    parts, lows, highs = [b[0] for b in bounds], [_utf8(b[1]) for b in bounds], [_utf8(b[2]) for b in bounds]
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import bisect
-
-        for pdf in batches:
-            out = []
-            for host, path, verdict in pdf.itertuples(index=False, name=None):
-                begin = _utf8(canonical(host))
-                first, last = bisect.bisect_left(highs, begin), bisect.bisect_left(lows, begin + _utf8(TOP))
-                out += [(p, host, path, verdict) for p in parts[first:last]]
-            yield pd.DataFrame(out, columns=["part", "rule_host", "rule_path", "rule_verdict"])
-
-    rules = rules.select("host", "path", "verdict").dropna().distinct().mapInPandas(spread, "part int, rule_host string, rule_path string, rule_verdict string")
-    both = urls.groupBy("part").cogroup(rules.groupBy("part"))
+    ranges = max(1, -(-count // RANGE))
+    urls = urls.repartitionByRange(ranges, "key", "page_id", "path")  # the id cuts a hot host too
+    urls = scratch.keep(urls.withColumn("part", F.spark_partition_id()), "urls")
+    ranges = max(ranges, 1 + (urls.agg(F.max("part")).first()[0] or 0))
+    bounds = urls.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    # rules go to groups of neighbouring ranges first, of which there are GROUPS at most, and from there to the ranges
+    bounds = scratch.keep(bounds.withColumn("group", F.floor(F.col("part") / -(-ranges // GROUPS)).cast("int")), "bounds")
+    wide = bounds.groupBy(F.col("group").alias("part")).agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    named = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).dropna().distinct()
+    kinds = "part int, rule_host string, rule_path string, rule_verdict string"
+    near = named.mapInPandas(lambda it: (_spread(pdf, wide) for pdf in it), kinds).withColumnRenamed("part", "group")
+    told = near.groupBy("group").cogroup(bounds.groupBy("group")).applyInPandas(_spread, kinds)
+    both = urls.groupBy("part").cogroup(told.groupBy("part"))
     return both.applyInPandas(lambda a, b: _judge(a, b, default), "page_id long, host string, path string, rule string, verdict string")
 
 
