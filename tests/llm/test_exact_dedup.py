@@ -21,11 +21,30 @@ def test_fuse_filter_holds_all_and_few_others():
 def test_screening_uses_the_snapshot(spark):
     docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(100)], "doc_id long, text string")
     prints = exact_dedup.fingerprints(docs)
-    snap = exact_dedup.Snapshot(prints.filter("doc_id < 30"), Scratch(spark, "t"))
+    path = Scratch(spark, "t").path("snapshot")
+    exact_dedup.Snapshot.build(prints.filter("doc_id < 30"), path)
+    snap = exact_dedup.Snapshot.open(spark, path)
     got = {(r.keep_id, r.n) for r in snap.classes(prints.filter("doc_id >= 30")).collect()}
     assert got == {(i, 3 if i < 20 else 2) for i in range(40)}
 
 
+def test_a_large_batch_on_a_small_snapshot_is_sliced(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET", 10)
+    prints = exact_dedup.fingerprints(spark.createDataFrame([(i, f"text {i % 150}") for i in range(300)], "doc_id long, text string"))
+    for first in (0, 5, 150):
+        snap = exact_dedup.Snapshot.build(prints.filter(f"doc_id < {first}"), Scratch(spark, "t").path("snapshot"))
+        got = {(r.keep_id, r.n) for r in snap.classes(prints.filter(f"doc_id >= {first}")).collect()}
+        assert got == {(i, 2) for i in range(150)}
+
+
+def test_collisions_of_texts_without_an_id(spark, monkeypatch):
+    """Equal digests of different texts are told apart by bytes, with an id or without."""
+    monkeypatch.setattr(exact_dedup, "WHITE", "[ab]+")  # the operator's own classes stay; two texts now normalise alike
+    docs = spark.createDataFrame([(None, "xay"), (None, "xby"), (3, "x y"), (4, "z")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.group_size, r.kept) for r in exact_dedup.dedup(docs, exact_dedup.halves()).collect())
+    assert got == [(0, 3, False), (0, 3, False), (3, 3, True), (4, 1, True)]
+
+
 def test_edge_cases(spark):
     rows = [(5, None), (3, ""), (9, " a  b"), (2, " a\tb"), (7, "a b"), (7, "a b"), (None, "zz"), (8, "zz"), (None, "only"), (11, "x" * 3_000_000), (12, "x" * 3_000_000)]
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n int, keep_id string")

@@ -10,9 +10,11 @@ shuffle; a collision, should there ever be one, is regrouped by the texts themse
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, only, table
@@ -49,7 +51,7 @@ class BinaryFuse:
         segment = 4 if n < 2 else min(1 << 18, 1 << int(np.floor(np.log(n) / np.log(3.33) + 2.25)))
         factor = 2.0 if n < 2 else max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(n))
         count = max(1, -(-round(n * factor) // segment) - 2)
-        for seed in range(1, 200):
+        for seed in itertools.count(1):  # a few; the room grows until peeling succeeds
             if seed % 20 == 0:
                 count += max(1, count // 8)
             places, prints = cls._places(keys, seed, segment, count)
@@ -76,7 +78,6 @@ class BinaryFuse:
                     out[at] = 0
                     out[at] = prints[key] ^ out[own[0]] ^ out[own[1]] ^ out[own[2]]
                 return cls(seed, segment, count, out)
-        raise RuntimeError("no peelable seed")
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """True for every key of the set, and for about one other key in 256."""
@@ -116,19 +117,43 @@ def _bucket(buckets: int):
 
 
 class Snapshot:
-    """An immutable set of seen texts: exact rows (digest, keep_id, n, bucket) and a filter for each bucket."""
+    """An immutable set of seen texts: exact rows (digest, keep_id, n, bucket) and a filter for each bucket.
+
+    It lives in a folder, which ``open`` reads again in a later session.
+    """
+
+    def __init__(self, rows: DataFrame, filters: DataFrame, buckets: int):
+        self.rows, self.filters, self.buckets = rows, filters, buckets
 
-    def __init__(self, prints: DataFrame, scratch: Scratch, name: str = "snapshot"):
-        rows = scratch.keep(grouped(prints), f"{name}-all")
-        self.buckets = max(1, -(-rows.count() // BUCKET))
-        self.rows = rows.withColumn("bucket", _bucket(self.buckets))
-        filters = self.rows.select("bucket", "digest").groupBy("bucket").applyInPandas(_build, "bucket long, seed long, segment long, count long, prints binary")
-        self.filters = scratch.keep(filters, f"{name}-filters")
+    @classmethod
+    def build(cls, prints: DataFrame, path: str) -> Snapshot:
+        """Of fingerprints (doc_id, digest), written to ``path``."""
+        spark = prints.sparkSession
+        grouped(prints).write.mode("overwrite").parquet(f"{path}/rows")
+        buckets = max(1, -(-spark.read.parquet(f"{path}/rows").count() // BUCKET))
+        rows = spark.read.parquet(f"{path}/rows").withColumn("bucket", _bucket(buckets))
+        filters = rows.select("bucket", "digest").groupBy("bucket").applyInPandas(_build, "bucket long, seed long, segment long, count long, prints binary")
+        filters.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/filters")
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Snapshot:
+        filters = spark.read.parquet(f"{path}/filters")
+        first = filters.select("buckets").first()
+        buckets = first["buckets"] if first else 1
+        return cls(spark.read.parquet(f"{path}/rows").withColumn("bucket", _bucket(buckets)), filters.drop("buckets"), buckets)
 
     def classes(self, batch: DataFrame) -> DataFrame:
-        """All classes of the snapshot and of a batch's fingerprints: digest, keep_id, n."""
-        new = grouped(batch).withColumn("bucket", _bucket(self.buckets))
-        told = new.groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInPandas(_screen, "digest binary, keep_id long, n long, maybe boolean")
+        """All classes of the snapshot and of a batch's fingerprints: digest, keep_id, n.
+
+        A batch of many more texts than the snapshot comes in slices of each bucket, which all get its filter.
+        """
+        scratch = Scratch(batch.sparkSession, "exact-dedup")
+        new = scratch.keep(grouped(batch), "batch")
+        many = max(1, -(-new.count() // (BUCKET * self.buckets)))
+        new = new.withColumns({"bucket": _bucket(self.buckets), "slice": F.pmod(F.xxhash64("digest", F.lit(1)), F.lit(many))})
+        filters = self.filters.withColumn("slice", F.explode(F.expr(f"sequence(0L, {many - 1}L)")))
+        told = new.groupBy("bucket", "slice").cogroup(filters.groupBy("bucket", "slice")).applyInPandas(_screen, "digest binary, keep_id long, n long, maybe boolean")
         return self._merge(told)
 
     def _merge(self, told: DataFrame) -> DataFrame:
@@ -155,12 +180,15 @@ def dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "exact-dedup")
     docs = docs.withColumn("_old", F.coalesce(in_snapshot, F.lit(False)))
     prints = scratch.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text_col), 256)).alias("digest"), "_old"), "prints")
-    classes = Snapshot(prints.filter("_old"), scratch).classes(prints.filter("not _old"))
+    classes = Snapshot.build(prints.filter("_old"), scratch.path("snapshot")).classes(prints.filter("not _old"))
     # one row a class meets the rows of the class: AQE splits a class that holds a large share of them
     told = scratch.keep(prints.join(classes, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size")), "told")
     again = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     members = again.join(told.filter("group_size > 1").select("doc_id", "digest").distinct().hint("shuffle_hash"), "doc_id")
-    spread = members.select("digest", normalised("_text").alias("t")).groupBy("digest").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    # texts without an id are found by their digest
+    nameless = again.filter("doc_id is null").select("_text", F.unhex(F.sha2(normalised("_text"), 256)).alias("digest"))
+    nameless = nameless.join(classes.filter("n > 1").select("digest"), "digest", "left_semi").select("digest", normalised("_text").alias("t"))
+    spread = members.select("digest", normalised("_text").alias("t")).unionByName(nameless).groupBy("digest").agg(F.min("t").alias("low"), F.max("t").alias("high"))
     differ = spread.filter("low <> high").select("digest")
     if differ.limit(1).count():
         told = _regrouped(docs, told, scratch.keep(differ, "collided"), id_col, text_col)
@@ -186,7 +214,8 @@ def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the smallest doc_id stays."""
+    """Pipeline stage: of equal texts the smallest doc_id stays. Rows without an id stay; rows that repeat an id stay or go
+    together; a null text counts as empty; all columns stay, whatever their names."""
     return only(docs, dedup(docs, halves()).filter("kept and doc_id is not null").select("doc_id").distinct())
 
 
