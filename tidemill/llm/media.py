@@ -11,6 +11,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -146,15 +147,24 @@ def _pdf(b: bytes, at: int) -> int | None:
     return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    p = at
+@lru_cache(maxsize=1)
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """Where the archives of a value end, by where they begin: an end record tells its archive's length, so one search of
+    the value finds them all. Of several that begin at one place the first counts."""
+    out: dict[int, int] = {}
+    p = 0
     while (p := b.find(b"PK\x05\x06", p)) >= 0:
         if p + 22 <= len(b):
             size, offset, note = struct.unpack_from("<IIH", b, p + 12)
-            if at + offset + size == p and b[at + offset : at + offset + 4] == b"PK\x01\x02" and p + 22 + note <= len(b):
-                return p + 22 + note
+            at = p - size - offset
+            if at >= 0 and b[at + offset : at + offset + 4] == b"PK\x01\x02" and p + 22 + note <= len(b):
+                out.setdefault(at, p + 22 + note)
         p += 4
-    return None
+    return out
+
+
+def _zip(b: bytes, at: int) -> int | None:
+    return _zip_ends(b).get(at)
 
 
 def _gzip(b: bytes, at: int) -> int | None:
