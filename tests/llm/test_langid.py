@@ -41,6 +41,82 @@ def test_estimates_against_definition():
         assert abs(got[0, i] + total / len(text)) < 1e-4
 
 
+def plain_codes(text):
+    """Lower-cased letters, every run of other characters one space, none at the start; character by character."""
+    out = ""
+    for c in text.lower():
+        if c.isalpha():
+            out += c
+        elif out and out[-1] != " ":
+            out += " "
+    return out
+
+
+class Brute:
+    """The definition again, with the sums that it needs kept."""
+
+    def __init__(self, counts, order, alphabet):
+        self.layers, self.order, self.alphabet = {order: counts}, order, alphabet
+        for n in range(order - 1, 0, -1):
+            self.layers[n] = {}
+            for g in self.layers[n + 1]:
+                self.layers[n][g[1:]] = self.layers[n].get(g[1:], 0) + 1
+        self.d, self.total, self.kinds = {}, {}, {}
+        for n, layer in self.layers.items():
+            once, twice = sum(v == 1 for v in layer.values()), sum(v == 2 for v in layer.values())
+            self.d[n] = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
+            for g, v in layer.items():
+                self.total[n, g[:-1]] = self.total.get((n, g[:-1]), 0) + v
+                self.kinds[n, g[:-1]] = self.kinds.get((n, g[:-1]), 0) + 1
+
+    def p(self, n, ctx, c):
+        if n == 0:
+            return 1 / self.alphabet
+        if (n, ctx) not in self.total:
+            return self.p(n - 1, ctx[1:], c)
+        own = max(self.layers[n].get(ctx + c, 0) - self.d[n], 0) / self.total[n, ctx]
+        return own + self.d[n] * self.kinds[n, ctx] / self.total[n, ctx] * self.p(n - 1, ctx[1:], c)
+
+    def entropy(self, text):
+        padded = chr(1) * (self.order - 1) + text
+        return -sum(np.log(self.p(self.order, padded[j : j + self.order - 1], padded[j + self.order - 1])) for j in range(len(text))) / len(text)
+
+
+def test_training_against_brute_force(spark, sf_dir):
+    """Counting, discounts, continuation counts and predictions of the production model, from plain dictionaries."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learn = docs.filter(langid.hash_split(3) != 1)
+    model = langid.train(learn)
+    counts = {}
+    for r in learn.collect():
+        if r.lang is not None and r.text is not None:
+            padded = chr(1) * 4 + plain_codes(r.text)
+            mine = counts.setdefault(r.lang, {})
+            for j in range(len(padded) - 4):
+                mine[padded[j : j + 5]] = mine.get(padded[j : j + 5], 0) + 1
+    assert model.langs == sorted(counts) and len(model.grams[-1][0].keys) == len({g for c in counts.values() for g in c})
+    letters = {g[-1] for c in counts.values() for g in c}
+    brute = [Brute(counts[x], 5, len(letters) + 1) for x in model.langs]
+    texts = [r.text[:600] for r in docs.orderBy("doc_id").limit(40).collect()]
+    texts = [t for t in texts if plain_codes(t)]
+    got, chars = model.entropies(texts)
+    for i, t in enumerate(texts):
+        codes = plain_codes(t)
+        assert chars[i] == len(codes)
+        want = [b.entropy(codes) for b in brute]
+        assert np.allclose(got[i], want, atol=2e-3), (got[i], want)
+        assert int(got[i].argmin()) == int(np.argmin(want))
+
+
+def test_ties_and_repeated_rows(spark):
+    """Texts that all languages find equally likely go to the first of them; rows that repeat are judged alike."""
+    rows = [(i, "abc abd", x) for i in range(40) for x in ("b", "a")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, "abc"), (1, "abc"), (2, "abc"), (None, "abc")], "doc_id long, text string")
+    got = langid.identify(docs, model).collect()
+    assert [r.lang_pred for r in got] == ["a"] * 4 and len({r.score for r in got}) == 1
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = langid.op10_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").toPandas()

@@ -44,3 +44,53 @@ def test_edge_cases(spark):
     one = quality.train(docs, spark.createDataFrame([(1, 1), (3, 1), (None, 0), (4, None)], "doc_id long, label int"))
     assert all(0 < r.score < 1 for r in quality.score(docs, one).collect())
     assert quality.score(docs.limit(0), one).collect() == []
+
+
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def plain_features(text):
+    """Every feature by its description, one character at a time."""
+    text = text or ""
+    raw = text.encode()
+    found, now = [], ""
+    for c in text:
+        if c in WHITE:
+            found += [now] if now else []
+            now = ""
+        else:
+            now += chr(ord(c) + 32) if "A" <= c <= "Z" else c
+    found += [now] if now else []
+    sizes = [len(w.encode()) for w in found]
+    n, size = max(len(found), 1), max(len(raw), 1)
+    has = lambda chars: sum(c in chars for c in raw)
+    upper, lower = has(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), has(b"abcdefghijklmnopqrstuvwxyz")
+    grams = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
+    mean = sum(sizes) / n
+    lines = raw.split(b"\n")
+    longest = max(len(x) + (i < len(lines) - 1) for i, x in enumerate(lines))
+    spread = (max(0.0, sum(x * x for x in sizes) / n - mean**2)) ** 0.5
+    return {
+        "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(found)), "word_bytes": mean, "upper": upper / max(upper + lower, 1), "digit": has(b"0123456789") / size,
+        "stop": has(b".,;:?'\"()-") / size, "symbol": has(b"#$%&*+/<=>@[\\]^_`{}~") / size, "bang": has(b"!") / size, "pipe": has(b"|") / size, "other_bytes": sum(c > 127 for c in raw) / size,
+        "newlines": has(b"\n") / n, "distinct_words": len(set(found)) / n if found else 0.0, "top_word": max((found.count(w) for w in set(found)), default=0) / n,
+        "distinct_grams": len(set(grams)) / len(grams) if grams else 1.0, "longest_line": longest / size, "short_words": sum(x <= 2 for x in sizes) / n, "word_spread": spread,
+        "ends_symbol": sum(w[-1] in "#$%&*+<=>@^_~|!" for w in found) / n,
+    }
+
+
+def test_features_against_plain_computation(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()] + [None, "", " \n ", "One two, THREE! 4 5% é|é\n\nx#"]
+    got = quality.features(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        for name, want in plain_features(t).items():
+            assert abs(got[i, quality.FEATURES.index(name)] - want) < 1e-6, (name, t)
+
+
+def test_repeated_ids(spark):
+    """Rows that repeat a doc_id, in documents or labels, each count; every row of documents gets its own score."""
+    docs = spark.createDataFrame([(1, "good text here"), (1, "!!! bad"), (2, "good text here"), (2, "good text here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, label int")
+    model = quality.train(docs, labels)
+    got = sorted((r.doc_id, round(r.score, 12)) for r in quality.score(docs, model).collect())
+    assert len(got) == 4 and got[2] == got[3] and got[2][1] in {x[1] for x in got[:2]}

@@ -66,6 +66,15 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with numbers for names: functions over batches do not take every name that a column can have."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of at some later collection,
     and hand the driver's freed memory back to the system where the C library can."""

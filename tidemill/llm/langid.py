@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_split, release, table
+from .common import hash_split, numbered, release, table
 from .textvec import U, mix
 
 ORDER = 5
@@ -325,10 +325,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """``docs`` with lang_pred, score (0 to 1), entropy (nats a character), letters and rejected.
 
     Columns of those names are replaced, all others kept. A null text, or one without a letter, is ``und`` with score 0
-    and rejected; ties go to the first language in order; without any learned language every row is ``und``.
+    and rejected; ties go to the first language in order; without any learned language every row is ``und``. Texts are
+    read whole, however long; rows that repeat are judged alike, each for itself; an empty table stays empty.
     """
     added = ["lang_pred", "score", "entropy", "letters", "rejected"]
-    docs = docs.select([c for c in docs.columns if c not in added])
+    docs = docs.drop(*added)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
     kinds = {"lang_pred": "string", "score": "double", "entropy": "double", "letters": "long", "rejected": "boolean"}
@@ -347,9 +348,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             else:
                 said = pd.DataFrame({"lang_pred": [UNDETERMINED] * len(texts), "score": 0.0, "entropy": np.nan, "letters": 0, "rejected": True}, index=range(len(texts)))
             new = [pa.array(said["lang_pred"], pa.string()), pa.array(said["score"], pa.float64()), pa.array(said["entropy"], pa.float64(), from_pandas=True), pa.array(said["letters"], pa.int64()), pa.array(said["rejected"], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[x.name for x in schema])
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, schema)
 
 
 def trained_on(docs: DataFrame) -> Model:
@@ -368,5 +369,7 @@ def op10_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the language models reject go."""
-    return identify(docs, trained_on(docs)).filter(~F.col("rejected")).select(docs.columns)
+    """Pipeline stage: documents that the language models reject go, among them those without text or letters; without any
+    learned language all go. Rows are judged each by its own text, whatever their ids; all columns stay, whatever their names."""
+    said = identify(numbered(docs), trained_on(docs.select("doc_id", "text", "lang")), f"c{docs.columns.index('text')}")
+    return said.filter(~F.col("rejected")).drop("lang_pred", "score", "entropy", "letters", "rejected").toDF(*docs.columns)

@@ -123,7 +123,8 @@ def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str =
     ``docs`` needs an integer id and a text; other columns are not read, whatever their names. Null, empty and blank
     texts have an empty set, link with nothing and are their own component. Fewer than ``k`` words make one n-gram of
     the whole sequence. Rows that repeat a doc_id with the same text stay separate rows of one class; a null id is kept,
-    with a null component unless its text has copies. Two documents link when 100 * |intersection| >= threshold_pct *
+    with a null component unless its text has copies; links count such rows only where the texts are equal and one of
+    them has an id. Two documents link when 100 * |intersection| >= threshold_pct *
     |union|.
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
@@ -153,5 +154,6 @@ def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class over 5-word shingles at 0.8 the smallest doc_id stays."""
+    """Pipeline stage: of each class over 5-word shingles at 0.8 the smallest doc_id stays. Rows without an id stay; rows
+    that repeat an id stay or go together; all columns stay, whatever their names."""
     return only(docs, classes(docs).filter("doc_id = component_id").select("doc_id").distinct())
