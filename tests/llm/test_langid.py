@@ -1,5 +1,5 @@
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from tidemill.llm import langid
 
@@ -29,7 +29,7 @@ def brute_prob(counts, order, context, char, alphabet):
 
 def test_estimates_against_definition():
     counts = {"a": {"aab": 3, "aba": 2, "bab": 1, "baa": 2, "cab": 1}, "b": {"ccb": 2, "cba": 1, "bac": 4, "acc": 2}}
-    frame = pd.DataFrame([(x, g, n) for x, c in counts.items() for g, n in c.items()], columns=["lang", "gram", "n"])
+    frame = pa.Table.from_pylist([{"lang": x, "gram": g, "n": n} for x, c in counts.items() for g, n in c.items()])
     model = langid._estimate(["a", "b"], frame, 3)
     alphabet = 3 + 1
     text = "abacabaccbab"
@@ -151,7 +151,7 @@ def test_a_model_keeps_every_gram(spark):
         for j in range(len(t)):
             want[padded[j : j + 5]] = want.get(padded[j : j + 5], 0) + 1
     assert len(want) > 59_000 and len(model.grams[-1][0].keys) == len(want)
-    frame = pd.DataFrame([("x", g, n) for g, n in want.items()], columns=["lang", "gram", "n"])
+    frame = pa.Table.from_pylist([{"lang": "x", "gram": g, "n": n} for g, n in want.items()])
     whole = langid._estimate(["x"], frame, 5)
     assert np.allclose(model.entropies(texts[:5])[0], whole.entropies(texts[:5])[0])
     assert abs(np.exp(model.contexts[-1][1]).mean() - 0.9) < 0.05  # contexts seen once: the whole discount, clipped at 0.9

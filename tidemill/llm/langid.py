@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,13 +237,26 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
         yield from rows()
 
 
-def _estimate(langs: list[str], counts: pd.DataFrame, order: int) -> Model:
-    """Interpolated Kneser-Ney estimates for all languages at once. counts: lang (place), gram, n."""
-    number = {x: i for i, x in enumerate(langs)}
-    codes = np.frombuffer("".join(counts["gram"]).encode("utf-32-le"), "<u4").reshape(-1, order)
+def _text(strings: pa.Array) -> str:
+    """All strings of an array as one, from its buffer."""
+    strings = strings.cast(pa.large_string())
+    if not len(strings):
+        return ""
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return strings.buffers()[2].to_pybytes()[ends[0] : ends[-1]].decode()
+
+
+def _estimate(langs: list[str], counts: pa.Table, order: int) -> Model:
+    """Interpolated Kneser-Ney estimates for all languages at once. counts: lang, gram, n.
+
+    Grams are taken from Arrow's buffers, not as objects: all have ``order`` code points.
+    """
+    parts = [np.frombuffer(_text(c).encode("utf-32-le"), "<u4") for c in counts["gram"].chunks]
+    codes = np.concatenate(parts).reshape(-1, order)
+    lang = np.concatenate([pa.compute.index_in(c, pa.array(langs, c.type)).to_numpy(zero_copy_only=False) for c in counts["lang"].chunks])
     _, first, back = np.unique(_hash(codes), return_index=True, return_inverse=True)
     codes, matrix = codes[first], np.zeros((len(first), len(langs)))
-    np.add.at(matrix, (back, counts["lang"].map(number).to_numpy()), counts["n"].to_numpy(float))
+    np.add.at(matrix, (back, lang), counts["n"].to_numpy().astype(float))
     layers = []  # from the highest order: grams, counts by language
     for size in range(order, 0, -1):
         if size < order:  # continuation counts: distinct left neighbours
@@ -285,7 +299,7 @@ def train(docs: DataFrame, order: int = ORDER, text_col: str = "text", lang_col:
             return Model([], order, [], [], 0.0)
         if sum(sizes.values()) * len(langs) > MOST_CELLS:
             raise ValueError(f"{sum(sizes.values())} n-grams of {len(langs)} languages: more than a model of one machine holds (MOST_CELLS)")
-        kept = counts.select("lang", "gram", "n").toArrow().to_pandas()
+        kept = counts.select("lang", "gram", "n").toArrow()
     finally:
         counts.unpersist()
     return _estimate(langs, kept, order)

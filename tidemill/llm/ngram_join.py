@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, only, release, table
 from .setlinks import link, signature
-from .sketch import held_places, shared_places
+from .sketch import Sketch, shared_places
 from .textvec import U, mix, shingle_sets
 
 #: Coarse fragments (a power of two) in which overlaps are counted.
@@ -90,12 +90,12 @@ def _keys_of(texts: pa.Array, k: int, threshold_pct: int) -> Iterator[np.ndarray
                 yield keys
 
 
-def _fragmented(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _fragmented(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int, shared: Sketch) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[list] = [[], [], [], []]
         for i, s in enumerate(shingle_sets(batch.column(1), k)):
             for tag, (need, keys) in enumerate(fragment_keys(s, threshold_pct) if len(s) else []):
-                keys = keys[held_places(shared, keys)]
+                keys = keys[shared.held(keys)]
                 if len(keys) >= need:
                     for held, value in zip(rows, (i, tag, need, keys.view(np.int64))):
                         held.append(value)

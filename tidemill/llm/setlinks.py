@@ -123,26 +123,6 @@ def _compared(left: list[bytes], right: list[bytes] | None, threshold_pct: int)
     return pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (ids, root, links)], names=["uid", "root", "links"])
 
 
-def _strong(near: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, uid): of the shared buckets those that partners may meet in."""
-    for last in (False, True):  # dropping sets thins the buckets of others, so twice
-        strong = near.groupBy("uid", "tag", "need").agg(F.count("*").alias("has")).filter("has >= need").select("uid", "tag", "has")
-        firm = near.join(strong, ["uid", "tag"])
-        again = firm.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-        near = scratch.keep(firm.join(again, "bucket").select("bucket", "uid", "tag", "need", *(["m"] if last else [])), "near2" if last else "near1")
-        scratch.drop("near1" if last else "near0")
-        del strong, firm, again
-        release(near.sparkSession)
-    # partners share so many buckets that, in order of size, what is left of each one's without the largest need - 1 has
-    # one in common: sets that share a common passage no longer meet in its large buckets
-    order = Window.partitionBy("uid", "tag")
-    near = near.withColumn("has", F.count("*").over(order)).withColumn("at", F.row_number().over(order.orderBy("m", "bucket"))).filter("at <= has - need + 1")
-    near = scratch.keep(near.select("bucket", "uid").distinct(), "near3")
-    scratch.drop("near2")
-    release(near.sparkSession)
-    return near
-
-
 def link(
     sets: DataFrame, held_of: Callable[[DataFrame], DataFrame], cut_of: Callable[[DataFrame], DataFrame], threshold_pct: int, scratch: Scratch, counted: bool = True
 ) -> DataFrame:
@@ -158,15 +138,21 @@ def link(
     reps = scratch.keep(sets.filter("n > 0 and uid is not null").groupBy("n", "s1", "s2").agg(F.min("uid").alias("uid"), F.count("*").alias("weight")), "reps")
     held = scratch.hold(held_of(reps.select("uid", "n", "weight")))
     common = held.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    near = scratch.keep(held.join(common.select("bucket"), "bucket"), "near0")
+    near = held.join(common, "bucket")
+    if counted:
+        # Partners share need buckets at least. So a set with fewer shared ones has none; and, in order of size, what is
+        # left of each one's without the largest need - 1 has a bucket in common: sets with a common passage no longer
+        # meet in its large buckets.
+        own = Window.partitionBy("uid", "tag")
+        near = near.withColumn("has", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("m", "bucket"))).filter("has >= need and at <= has - need + 1")
+        near = near.select("bucket", "uid").distinct()
+    near = scratch.keep(near.select("bucket", "uid"), "near")
     held.unpersist()
     del held, common
     release(sets.sparkSession)
-    if counted:
-        near = _strong(near, scratch)
     again = near.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    near = scratch.keep(near.select("bucket", "uid").join(again, "bucket"), "near4")
-    scratch.drop("near3" if counted else "near0")
+    near = scratch.keep(near.join(again, "bucket"), "shared")
+    scratch.drop("near")
     del again
     release(sets.sparkSession)
     # sets of one dense group get one label: the largest bucket within a few steps, so that the group fills few blocks
@@ -192,7 +178,7 @@ def link(
     release(sets.sparkSession)
     grouped = cut_of(home).groupBy("block").agg(F.collect_list(F.struct("uid", "weight", "fragment", "keys")).alias("sets"))  # bounded: a block
     packed = scratch.keep(grouped.mapInArrow(_pack, "block long, size int, fragments array<binary>"), "packed")
-    scratch.drop("near4")
+    scratch.drop("shared")
     scratch.drop("home")
     release(sets.sparkSession)  # the texts' shuffle too
     alone = packed.filter("size > 1").select(F.col("fragments").alias("left"), F.lit(None).cast("array<binary>").alias("right"))

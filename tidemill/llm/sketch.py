@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .textvec import U
 
 #: Fixed, so that the broadcast (32 MB) is.
@@ -75,10 +76,30 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _bits(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "bits": [np.packbits(_hits(pdf) > 1, bitorder="little").tobytes()]})
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "bits": [_packed(np.flatnonzero(_hits(pdf) > 1).astype(np.uint32))]})
 
 
-def shared_places(values: DataFrame, keys_of: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
+class Sketch:
+    """The set places by slice, packed; they are unpacked where they are first asked for, in 32 MB."""
+
+    def __init__(self, slices: dict[int, bytes]):
+        self.slices = slices
+        self.bits: np.ndarray | None = None
+
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key may occur more than once."""
+        if self.bits is None:
+            bits = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
+            for i, blob in self.slices.items():
+                one = np.zeros(1 << SLICE_BITS, bool)
+                one[_places(blob)] = True
+                bits[i] = np.packbits(one, bitorder="little")
+            self.bits = bits.reshape(-1)
+        place = (keys >> U(64 - SKETCH_BITS)).astype(np.int64)
+        return (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def shared_places(values: DataFrame, keys_of: Callable[[pa.Array], Iterator[np.ndarray]]) -> Sketch:
     """The sketch of the keys that ``keys_of`` gives for batches of the one column of ``values``."""
     kinds = "slice int, part long, once binary, more binary"
     tasks = values.rdd.getNumPartitions()
@@ -86,14 +107,6 @@ def shared_places(values: DataFrame, keys_of: Callable[[pa.Array], Iterator[np.n
     while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
         rows = rows.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("slice", "part").applyInPandas(_merged, kinds)
-    out = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
-    done = rows.groupBy("slice").applyInPandas(_bits, "slice int, bits binary").toArrow()  # 64 rows of 512 KB
-    for i in range(done.num_rows):
-        out[done["slice"][i].as_py()] = np.frombuffer(done["bits"][i].as_buffer(), np.uint8)
-    return out.reshape(-1)
-
-
-def held_places(sketch: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key may occur more than once."""
-    place = (keys >> U(64 - SKETCH_BITS)).astype(np.int64)
-    return (sketch[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    release(values.sparkSession)
+    done = rows.groupBy("slice").applyInPandas(_bits, "slice int, bits binary").toArrow()  # 64 rows of a bounded size
+    return Sketch(dict(zip(done["slice"].to_pylist(), done["bits"].to_pylist())))

@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, release, table
+from .common import Scratch, fresh, numbered, quoted, release, table
 from .setlinks import link
-from .sketch import held_places, shared_places
+from .sketch import Sketch, shared_places
 from .textvec import U, mix, powers, shingles, slices, words
 
 K, THRESHOLD_PCT = 5, 80
@@ -130,7 +130,7 @@ def _window_keys(texts: pa.Array) -> Iterator[np.ndarray]:
 UNITS = "doc_id long, rid long, word int, words int, start long, end long, s1 long, s2 long, bands array<long>"
 
 
-def _units(batches: Iterator[pa.RecordBatch], least: int, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], least: int, shared: Sketch) -> Iterator[pa.RecordBatch]:
     """Lines and pieces with their bands, and windows (without) that another may share."""
     for batch in batches:
         for at, _, raw, offsets in slices(batch.column(2)):
@@ -140,7 +140,7 @@ def _units(batches: Iterator[pa.RecordBatch], least: int, shared: np.ndarray) ->
             grams, whole = shingles(hashes, K), _Sequences(hashes)
             _, first = windows(grams, before)
             keys = whole.of(first, first + WINDOW)
-            hit = held_places(shared, keys[0])
+            hit = shared.held(keys[0])
             first, keys = first[hit], [k[hit] for k in keys]
             found = [(a, b, *whole.of(a, b), kind) for kind, (a, b) in enumerate(paragraphs(raw, offsets, grams, starts, before, least))]
             for x, y, s1, s2, kind in (*found, (first, first + WINDOW, *keys, None)):
@@ -365,11 +365,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(schema)])
 
-    return stay.unionByName(both.filter(F.col(names[2]).isNotNull()).select(*map(quoted, docs.columns), names[2]).mapInArrow(cut, schema))
-
-
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    gone = both.filter(F.col(names[2]).isNotNull()).select(*map(quoted, docs.columns), names[2])
+    return stay.unionByName(numbered(gone).mapInArrow(cut, schema))
 
 
 def cut_text(text: str | None, cuts: list[tuple[int, int]]) -> str | None:
