@@ -65,10 +65,13 @@ def type_folder(kind: Column) -> Column:
     return looked_up(kind, FOLDER_BY_TYPE, "other")
 
 
+def folder_by_extension(ext: Column) -> Column:
+    return looked_up(ext, {"css": "css", "js": "js", "mjs": "js"} | dict.fromkeys(IMAGES, "img") | dict.fromkeys(FONTS, "fonts"), "other")
+
+
 def url_folder(url: Column) -> Column:
     """Folder of an asset by the extension of its path."""
-    table = {"css": "css", "js": "js", "mjs": "js"} | dict.fromkeys(IMAGES, "img") | dict.fromkeys(FONTS, "fonts")
-    return looked_up(urls.ext_path(url), table, "other")
+    return folder_by_extension(urls.ext_path(url))
 
 
 def css_folder(url: Column) -> Column:

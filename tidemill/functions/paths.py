@@ -13,10 +13,10 @@ def content_hash(content: Column, length: int = 64) -> Column:
 
 
 def _page(url: Column, endings: str, invalid: int, tidy: bool) -> Column:
-    path = F.substring(urls.pathname(url), 2, 1 << 20)
-    folder = F.regexp_replace(path, "/$", "") if tidy else path
-    page = F.when(path == "", "index.html").when(path.rlike(endings), path).otherwise(F.concat(folder, F.lit("/index.html")))
-    return F.when(urls.is_valid(url), page).otherwise(F.concat(F.lit("pages/"), content_hash(url, invalid), F.lit(".html")))
+    folder = lambda path: F.regexp_replace(path, "/$", "") if tidy else path
+    page = lambda path: F.when(path == "", "index.html").when(path.rlike(endings), path).otherwise(F.concat(folder(path), F.lit("/index.html")))
+    named = lambda u: urls.bound(F.substring(urls.pathname(u), 2, 1 << 20), page)
+    return urls.bound(url, lambda u: F.when(urls.is_valid(u), named(u)).otherwise(F.concat(F.lit("pages/"), content_hash(u, invalid), F.lit(".html"))))
 
 
 def page_path_browser(url: Column) -> Column:
@@ -40,9 +40,8 @@ def asset_path(url: Column, kind: Column, digest: Column) -> Column:
 
 def asset_path_by_url(url: Column) -> Column:
     """By URL: assets/<folder of the extension>/<URL hash>[.<extension>]."""
-    ext = urls.ext_path(url)
-    named = F.concat(F.lit("assets/"), kinds.url_folder(url), F.lit("/"), content_hash(url, 16), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
-    return F.when(urls.is_valid(url), named).otherwise(F.concat(F.lit("assets/other/"), content_hash(url, 16)))
+    named = lambda u, ext: F.concat(F.lit("assets/"), kinds.folder_by_extension(ext), F.lit("/"), content_hash(u, 16), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
+    return urls.bound(url, lambda u: F.when(urls.is_valid(u), urls.bound(urls.ext_path(u), lambda ext: named(u, ext))).otherwise(F.concat(F.lit("assets/other/"), content_hash(u, 16))))
 
 
 def asset_filename(url: Column, digest: Column) -> Column:

@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Entities that are decoded, the ampersand last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+def _named() -> dict[str, str]:
+    """The named references of HTML 4, by name."""
+    from html.entities import name2codepoint
+
+    return {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+
+
+def _character(code: Column) -> Column:
+    """The character of a numeric reference: 128 to 159 are those of windows-1252, what is none becomes U+FFFD."""
+    old = F.array(*(F.lit(bytes([i]).decode("cp1252", "ignore") or chr(i)) for i in range(128, 160)))
+    wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.when(wrong, "\ufffd").when(code.between(128, 159), F.get(old, (code - 128).cast("int"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def decode_entities(x: Column) -> Column:
-    for name, char in ENTITIES.items():
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    """Named (those of HTML 4) and numeric character references as characters, each once; what is none stays as it is.
+    Only text with an ampersand is taken apart."""
+    names = F.from_json(F.lit(json.dumps(_named())), "map<string,string>")
+
+    def after(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{0,31});", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).try_cast("long")
+        common = F.when(name == "amp", "&").when(name == "lt", "<").when(name == "gt", ">").when(name == "quot", '"')
+        char = F.when(name.startswith("#"), _character(code)).otherwise(F.coalesce(common, F.try_element_at(names, name)))
+        return F.when((name == "") | char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substr(p, F.length(name) + 2)))
+
+    def whole(parts: Column) -> Column:
+        return F.when(F.size(parts) < 2, parts[0]).otherwise(F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 20), after), "")))
+
+    return F.get(F.transform(F.array(F.split(x, "&", -1)), whole), F.lit(0))  # so that x stands in the plan once
 
 
 def cookies(raw: Column) -> Column:

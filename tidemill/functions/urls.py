@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: scheme, host, port with colon, path, query with ?, fragment with #
-URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$"
+#: scheme, (user info,) host, port with colon, path, query with ?, fragment with #
+URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once and stands in the plan once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def part(url: Column, i: int) -> Column:
@@ -83,9 +90,9 @@ def asset_normalize(url: Column) -> Column:
 
 
 def named_normalize(url: Column) -> Column:
-    """Start-up normalisation: http, no fragment, no slash at the end."""
+    """Start-up normalisation: https, no fragment, no slash at the end."""
     bare = F.regexp_replace(url, r"#[\s\S]*$", "")
-    return _trimmed(F.regexp_replace(bare, r"^https://", "http://"))
+    return _trimmed(F.regexp_replace(bare, r"(?i)^http://", "https://"))
 
 
 def filename(url: Column) -> Column:
@@ -102,43 +109,73 @@ def www_alternate(url: Column) -> Column:
 
 def percent_encoded(path: Column) -> Column:
     """Non-ASCII characters, controls, space and \" < > ` { } as UTF-8 percent codes."""
-    keep = F.split(path, "", -1)
     code = lambda c: F.when(c.rlike(r"^[\x21\x23-\x3b\x3d\x3f-\x5f\x61-\x7a\x7c\x7e]?$"), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")))
-    return F.array_join(F.transform(keep, code), "")
+    each = lambda p: F.when(p.rlike(r"^[\x21\x23-\x3b\x3d\x3f-\x5f\x61-\x7a\x7c\x7e]*$"), p).otherwise(F.array_join(F.transform(F.split(p, "", -1), code), ""))
+    return bound(path, each)
 
 
 def _without_dots(path: Column) -> Column:
     """A path with its . and .. segments resolved; one that ends in such a segment ends in a slash."""
-    parts = F.slice(F.split(path, "/", -1), 2, 1 << 20)
-    last = F.element_at(parts, -1)
     step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
-    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    tail = F.when(last.isin(".", ".."), "/").otherwise("")
-    joined = F.array_join(kept, "/")
-    return F.concat(F.lit("/"), joined, F.when(joined == "", "").otherwise(tail))
+
+    def resolved(p: Column) -> Column:
+        parts = F.slice(F.split(p, "/", -1), 2, 1 << 20)
+        joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+        return F.concat(F.lit("/"), bound(joined, lambda j: F.concat(j, F.when((j != "") & p.rlike(r"/\.\.?$"), "/").otherwise(""))))
+
+    return bound(path, lambda p: F.when(F.contains(p, F.lit("/.")), resolved(p)).otherwise(p))
+
+
+#: The parts of an absolute URL, user info included, in one pass; a separator that URLs cannot hold stands between them.
+_PARTS = URL.replace("(?:[^/?#@]*@)?", "([^/?#@]*@)?")
+
+
+def _parts(url: Column) -> Column:
+    """[scheme, user info, host, port, path, query, fragment]; of an invalid URL one part."""
+    return F.split(F.regexp_replace(url, _PARTS, "\x01".join(f"${i}" for i in range(1, 8))), "\x01", -1)
+
+
+def _valid(p: Column) -> Column:
+    return F.coalesce((F.size(p) == 7) & (F.get(p, F.lit(2)) != ""), F.lit(False))
+
+
+def _origin(p: Column) -> Column:
+    own = (p[0].rlike("(?i)^https$") & (p[3] == ":443")) | (p[0].rlike("(?i)^http$") & (p[3] == ":80")) | (p[3] == ":")
+    return F.concat(F.lower(p[0]), F.lit("://"), p[1], F.lower(p[2]), F.when(own, "").otherwise(p[3]))
+
+
+def _path(p: Column) -> Column:
+    return F.when(p[4] == "", "/").otherwise(p[4])
 
 
 def resolve(ref: Column, base: Column) -> Column:
     """``ref`` as seen from ``base``: absolute, scheme-relative, rooted, query, fragment and relative forms.
 
-    Paths lose their dot segments and get percent codes; hosts are lower-cased and the scheme's own port goes. Null
-    where neither ref nor base is a URL, or ref has another scheme (mailto:, data: and so on).
+    Paths lose their dot segments and get percent codes; hosts are lower-cased and the scheme's own port goes; user info
+    of a reference stays; a backslash before the query counts as a slash. Host names of other alphabets are not
+    transcribed. Null where neither ref nor base is a URL, or ref has another scheme (mailto:, data: and so on).
     """
-    ref = F.trim(ref)
-    at = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    tail = F.regexp_replace(F.substring(ref, 1, 1 << 20), r"^[^?#]*", "")
-    folder = F.regexp_replace(pathname(base), r"[^/]*$", "")
-    to = F.when(ref.startswith("/"), at).otherwise(F.concat(folder, at))
-    tidy = lambda p: percent_encoded(_without_dots(p))
-    whole = lambda u: F.concat(origin(u), tidy(pathname(u)), percent_encoded(F.concat(part(u, 5), part(u, 6))))
-    inherit = F.when(ref == "", F.concat(pathname(base), search(base))).when(ref.startswith("#"), F.concat(pathname(base), search(base), ref)).when(ref.startswith("?"), F.concat(pathname(base), ref))
-    return (
-        F.when(is_valid(ref), whole(ref))
-        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | ~is_valid(base), None)
-        .when(ref.startswith("//"), whole(F.concat(protocol(base), F.lit(":"), ref)))
-        .when(inherit.isNotNull(), F.concat(origin(base), inherit))
-        .otherwise(F.concat(origin(base), tidy(to), percent_encoded(tail)))
-    )
+    tidy = lambda x: percent_encoded(_without_dots(x))
+    whole = lambda p: F.concat(_origin(p), tidy(_path(p)), percent_encoded(F.concat(p[5], p[6])))
+    before, after = (lambda r: F.regexp_extract(r, r"^([^?#]*)", 1)), (lambda r: F.regexp_replace(r, r"^[^?#]*", ""))
+
+    def seen(x: Column) -> Column:
+        r, own, b = x["r"], x["own"], x["b"]
+        site = F.concat(F.lower(b[0]), F.lit("://"), F.lower(b[2]), F.regexp_replace(_origin(b), r"^.*?(:[0-9]+)?$", "$1"))
+        inherit = F.concat(_path(b), F.when(b[5] == "?", "").otherwise(b[5]))
+        return (
+            F.when(_valid(own), whole(own))
+            .when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | ~_valid(b), None)
+            .when(r.startswith("//"), bound(_parts(F.concat(F.lower(b[0]), F.lit(":"), r)), lambda p: F.when(_valid(p), whole(p))))
+            .when(r == "", F.concat(site, inherit))
+            .when(r.startswith("#"), F.concat(site, inherit, r))
+            .when(r.startswith("?"), F.concat(site, _path(b), r))
+            .when(r.startswith("/"), F.concat(site, tidy(before(r)), percent_encoded(after(r))))
+            .otherwise(F.concat(site, tidy(F.concat(F.regexp_replace(_path(b), r"[^/]*$", ""), before(r))), percent_encoded(after(r))))
+        )
+
+    slashed = bound(F.trim(ref), lambda r: F.when(F.contains(r, F.lit("\\")), F.concat(F.translate(before(r), "\\", "/"), after(r))).otherwise(r))
+    return bound(slashed, lambda r: bound(F.struct(r.alias("r"), _parts(r).alias("own"), _parts(base).alias("b")), seen))
 
 
 def make_absolute(ref: Column, base: Column) -> Column:
@@ -175,5 +212,5 @@ def ext_alpha(url: Column) -> Column:
 
 def ext_path(url: Column) -> Column:
     """The extension of the last segment of the path; empty without a dot there."""
-    name = F.element_at(F.split(F.when(is_valid(url), pathname(url)).otherwise(clean(url)), "/", -1), -1)
-    return F.when(F.instr(name, ".") > 0, F.lower(F.element_at(F.split(name, r"\.", -1), -1))).otherwise("")
+    name = bound(url, lambda u: F.element_at(F.split(F.when(is_valid(u), pathname(u)).otherwise(clean(u)), "/", -1), -1))
+    return bound(name, lambda n: F.when(F.instr(n, ".") > 0, F.lower(F.element_at(F.split(n, r"\.", -1), -1))).otherwise(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -52,6 +52,15 @@ def by_priority(queue: DataFrame) -> DataFrame:
     return queue.orderBy(F.desc("priority"), "depth", "url")
 
 
+def ranked(queue: DataFrame) -> DataFrame:
+    """The queue with ``place``, from 1: sorted in ranges, counted range by range, so that no task holds all rows."""
+    rows = cut(by_priority(queue).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # one row a range
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(sizes, "_part").withColumn("place", F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_part", "_at", "_first", "_before")
+
+
 def retries(failed: DataFrame, most: int = 3) -> DataFrame:
     """Queue items (url, priority, retry) that may be tried again, with retry + 1 and priority - 1, at least 0."""
     return failed.filter(F.col("retry") < most).select("url", F.greatest(F.col("priority") - 1, F.lit(0)).alias("priority"), (F.col("retry") + 1).alias("retry"))

@@ -1,6 +1,6 @@
 """What pages, style sheets and scripts refer to.
 
-HTML is read by patterns, after comments and script bodies are gone: quoted attribute values, no > within them.
+HTML is read by patterns, after comments and script bodies are gone: attribute values with either quotes or none.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from . import filters
 
+# What counts as a reference in style sheets and scripts.
 CSS_URL = r"(?i)url\(['\"]?([^'\"()]+)['\"]?\)"
 CSS_IMPORT_URL = r"(?i)@import\s+url\(['\"]?([^'\"()]+)['\"]?\)"
 CSS_IMPORT = r"(?i)@import\s+(?:url\(['\"]?[^'\"()]+['\"]?\)|['\"][^'\"]+['\"])"
@@ -29,15 +30,32 @@ def title(html: Column) -> Column:
     return text.decode_entities(F.array_join(F.regexp_extract_all(markup(html), F.lit(r"(?is)<title[^>]*>(.*?)</title>"), F.lit(1)), ""))
 
 
+#: What a tag holds up to its end: a > within a quoted value does not end it.
+IN_TAG = r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+"
+
+
+def attribute_pattern(name: str) -> str:
+    """A tag by its attribute of that name: (before the value, the value with its quotes if any, after it).
+
+    Attributes before it are stepped over whole, so a name within another one's value is none.
+    """
+    value = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)"
+    return rf"(?is)^(<[^\s>/]*+(?:[\s/\"'=]++|(?!{name}\s*=)[^\s\"'>/=][^\s>/=]*+(?:\s*+=\s*+{value})?+)*+{name}\s*+=\s*+)({value})(.*)$"
+
+
+def raw_attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute as it stands, quoted or not; null without one, or where it has no value."""
+    bare = lambda raw: F.when(raw.startswith('"') | raw.startswith("'"), F.substr(raw, F.lit(2), F.length(raw) - 2)).when(raw != "", raw)
+    return F.get(F.transform(F.array(F.regexp_extract(tag, attribute_pattern(name), 2)), bare), F.lit(0))  # so that the tag stands in the plan once
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """The decoded value of a tag's quoted attribute; null without one."""
-    double = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*\"([^\"]*)\"", 1)
-    single = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*'([^']*)'", 1)
-    return F.when(tag.rlike(rf"(?is)\s{name}\s*=\s*[\"']"), text.decode_entities(F.when(double != "", double).otherwise(single)))
+    """The decoded value."""
+    return text.decode_entities(raw_attribute(tag, name))
 
 
 def tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(markup(html, True), F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    return F.regexp_extract_all(markup(html, True), F.lit(rf"(?is)<(?:{name})\b{IN_TAG}>"), F.lit(0))
 
 
 def hrefs(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -60,16 +78,22 @@ def links_below(pages: DataFrame, base: str, id_col: str = "page_id") -> DataFra
 
 
 def page_assets(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, url, kind, grp, pos, ref, asset) of style sheets, scripts, images and icons, in that order of groups."""
-    parts = []
-    for grp, (tag, attr, kind, rel) in enumerate((("link", "href", "css", "= 'stylesheet'"), ("script", "src", "js", None), ("img", "src", "image", None), ("link", "href", "image", "LIKE '%icon%'"))):
-        each = pages.select(id_col, "url", F.posexplode(tags(F.col("html"), tag)).alias("pos", "tag"))
-        each = each.withColumns({"ref": attribute(F.col("tag"), attr), "rel": attribute(F.col("tag"), "rel")}).filter("ref is not null and ref <> ''" + (f" and rel {rel}" if rel else ""))
-        parts.append(each.select(id_col, "url", F.lit(kind).alias("kind"), F.lit(grp).alias("grp"), "pos", "ref", urls.resolve(F.col("ref"), F.col("url")).alias("asset")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter("asset is not null")
+    """(id, url, kind, grp, pos, ref, asset) of style sheets, scripts, images and icons, in that order of groups.
+
+    A page is read once; ``pos`` counts the tags of one name.
+    """
+    found = pages.select(id_col, "url", tags(F.col("html"), "link|script|img").alias("_all"))
+
+    def group(grp: int, tag: str, attr: str, kind: str) -> Column:
+        mine = F.filter("_all", lambda t: t.rlike(rf"(?i)^<{tag}\b"))
+        return F.transform(mine, lambda t, i: F.struct(F.lit(kind).alias("kind"), F.lit(grp).alias("grp"), i.alias("pos"), F.lit(attr).alias("attr"), t.alias("tag")))
+
+    groups = F.concat(group(0, "link", "href", "css"), group(1, "script", "src", "js"), group(2, "img", "src", "image"), group(3, "link", "href", "image"))
+    each = found.select(id_col, "url", F.explode(groups).alias("t")).select(id_col, "url", "t.*")
+    each = each.withColumn("ref", F.when(F.col("attr") == "href", attribute(F.col("tag"), "href")).otherwise(attribute(F.col("tag"), "src"))).filter("ref is not null and ref <> ''")
+    rel = raw_attribute(F.col("tag"), "rel")
+    each = each.filter(F.when(F.col("grp") == 0, rel == "stylesheet").when(F.col("grp") == 3, F.contains(rel, F.lit("icon"))).otherwise(True))
+    return each.select(id_col, "url", "kind", "grp", "pos", "ref", urls.resolve(F.col("ref"), F.col("url")).alias("asset")).filter("asset is not null")
 
 
 def first_assets(assets: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -125,7 +149,17 @@ def api_endpoints(scripts: Column) -> Column:
     return F.array_union(F.regexp_extract_all(js, F.lit(r"fetch\([\"']([^\"']+)[\"']"), F.lit(1)), F.regexp_extract_all(js, F.lit(r"axios\.(?:get|post|put|delete|patch)\([\"']([^\"']+)[\"']"), F.lit(1)))
 
 
+def links_and_routes(links: DataFrame, navigations: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(id, link): distinct links of pages (id, link) united with the URLs of their navigation events (id, url)."""
+    return links.select(id_col, "link").unionByName(navigations.select(id_col, F.col("url").alias("link"))).filter("link is not null").distinct()
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Pages as records: parsed URL, title, sizes and counts of links."""
+    """Pages as records: parsed URL, title, status and final URL as captured (else 200 and the URL itself), sizes and
+    counts of links. ``pages``: page_id, url, html and, if captured, status and final_url."""
     url = urls.parse_page_url(F.col("url"), F.col("url"), F.lit(0), F.lit(None).cast("string"))
-    return pages.select("page_id", url.alias("parsed"), title(F.col("html")).alias("title"), F.length("html").alias("chars"), F.size(tags(F.col("html"), "a")).alias("anchors"))
+    status = F.col("status") if "status" in pages.columns else F.lit(200)
+    final = F.col("final_url") if "final_url" in pages.columns else F.col("url")
+    return pages.select(
+        "page_id", url.alias("parsed"), title(F.col("html")).alias("title"), status.cast("int").alias("status"), F.coalesce(final, "url").alias("final_url"), F.length("html").cast("long").alias("chars"), F.size(tags(F.col("html"), "a")).cast("long").alias("anchors")
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinds, urls
 
+# Fixed value: asset types whose bodies are kept.
 CAPTURED_TYPES = ("css", "js", "image", "font", "api", "media")
 
 
@@ -85,7 +86,7 @@ def seen_already(rows: DataFrame, seen: DataFrame, key: str = "url") -> DataFram
     return rows.join(seen.select(key).distinct(), key, "left_semi")
 
 
-# -- content --------------------------------------------------------------------------------------------------------
+# -- content (fixed values: signatures and prefixes) --------------------------------------------------------------------------------------------------------
 def _starts(body: Column, *prefixes: str) -> Column:
     return reduce(lambda a, b: a | b, [F.hex(F.substring(body, 1, len(p) // 2)) == p for p in prefixes])
 
@@ -99,7 +100,7 @@ def is_image_file(body: Column) -> Column:
     """PNG, JPEG, GIF, WebP, ICO and CUR signatures, or SVG and XML markup in the first 100 bytes."""
     webp = _starts(body, "52494646") & (F.hex(F.substring(body, 9, 4)) == "57454250")
     head = F.hex(F.substring(body, 1, 100))
-    at_byte = lambda text: F.expr("false") | head.rlike(f"^(..)*{text}")
+    at_byte = lambda text: head.rlike(f"^(..)*{text}")
     known = _starts(body, "89504E47", "FFD8FF", "474946383761", "474946383961", "00000100", "00000200") | webp
     return (F.octet_length(body) >= 8) & (known | at_byte("3C737667") | at_byte("3C3F786D6C"))
 

@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 from ..functions import paths, text, urls
 from ..plans.lineage import cut
 from . import filters
-from .extract import attribute
+from .extract import IN_TAG, attribute, attribute_pattern, raw_attribute
 
 SKIPPED = r"<!--.*?-->"
-# Fixed value: attributes in which pages keep URLs for scripts.
+# Attributes in which pages keep URLs for scripts.
 DATA_ATTRIBUTES = ("data-bg", "data-background", "data-src", "data-href", "data-url", "data-image")
-WEBPACK = "<script>(function(){if(typeof __webpack_require__!=='undefined'){__webpack_require__.p='./assets/js/';}})();</script>"
+#: Chunks and media that a framework asks for at run time come from the mirror's folders.
+WEBPACK = (
+    "<script>(function(){var dirs={'/_next/static/chunks/':'./assets/js/','/_next/static/media/':'./assets/fonts/'};"
+    "if(typeof __webpack_require__!=='undefined'){__webpack_require__.p='./assets/js/';}"
+    "if(typeof window==='undefined'||!window.fetch){return;}var ask=window.fetch;"
+    "window.fetch=function(){var a=Array.prototype.slice.call(arguments);if(typeof a[0]==='string'){for(var d in dirs){a[0]=a[0].split(d).join(dirs[d]);}}return ask.apply(window,a);};})();</script>"
+)
 
 
 # -- lookups --------------------------------------------------------------------------------------------------------
@@ -38,11 +44,13 @@ def look_up_www(rows: DataFrame, key: str, table: DataFrame, out: str = "path")
 def contains_lookup(files: DataFrame, origins: DataFrame) -> DataFrame:
     """(name, url): the first origin URL (by ord) whose path holds the stem of a style sheet's file name.
 
-    A stem is a hash, so an equi-join on hashes of 16 digits within the path replaces the scan of all pairs; stems of
-    another form match nothing.
+    Every stem is looked up: an equi-join on the runs of word characters (and dots and dashes) of the stored path's last
+    segments that a stem can be, instead of a scan of all pairs. Stored names are a stem, or a stem and an extension, in
+    a folder; stems that would only match inside such a run, or across one, match nothing.
     """
-    stems = files.select("name", F.regexp_extract("name", r"^([0-9a-f]{16})\.css$", 1).alias("stem")).filter("stem <> ''")
-    each = origins.select("url", "ord", F.explode(F.array_distinct(F.regexp_extract_all("local_path", F.lit(r"([0-9a-f]{16})"), F.lit(1)))).alias("stem"))
+    stems = files.filter(F.col("name").endswith(".css")).select("name", F.replace("name", F.lit(".css"), F.lit("")).alias("stem")).filter("stem <> ''")
+    runs = F.flatten(F.transform(F.split("local_path", "/", -1), lambda x: F.array(x, F.regexp_replace(x, r"\.[^.]*$", ""), F.regexp_replace(x, r"\..*$", ""))))
+    each = origins.select("url", "ord", F.explode(F.array_distinct(runs)).alias("stem"))
     found = stems.join(each, "stem").groupBy("name").agg(F.min(F.struct("ord", "url")).alias("x"))
     return files.select("name").join(found, "name", "left").select("name", F.col("x.url").alias("url"))
 
@@ -57,7 +65,7 @@ def rewrite(df: DataFrame, pattern: str, replaced: Callable[[DataFrame], DataFra
     rest = [c for c in df.columns if c not in (id_col, body_col)]
     tokens = df.select(F.col(id_col).alias("id"), *rest, F.posexplode(F.regexp_extract_all(body_col, F.lit(pattern), F.lit(0))).alias("pos", "token"))
     out = replaced(tokens).select("id", "pos", F.col("out"))
-    whole = out.filter("out is not null").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "out"))).alias("_r"))  # tokens of one body
+    whole = out.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("out").isNotNull(), F.struct("pos", "out")))).alias("_r"))  # tokens of one body
     both = df.join(whole.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left")
     parts, kept = F.split(body_col, pattern, -1), F.regexp_extract_all(body_col, F.lit(pattern), F.lit(0))
     piece = lambda x, i: F.concat(x, F.coalesce(F.try_element_at("_r", i), F.get(kept, i), F.lit("")))
@@ -65,11 +73,17 @@ def rewrite(df: DataFrame, pattern: str, replaced: Callable[[DataFrame], DataFra
     return both.withColumn("_new", body).select(*[F.col("_new").alias(c) if c == body_col else F.col(c) for c in df.columns])
 
 
-def _with_attribute(tag: Column, name: str, value: Column) -> Column:
-    """A tag with another value of a quoted attribute."""
-    whole = rf"(?is)^(.*?\s{name}\s*=\s*)([\"'])(.*?)\2(.*)$"
-    group = lambda i: F.regexp_extract(tag, whole, i)
-    return F.concat(group(1), group(2), F.replace(value, F.lit("&"), F.lit("&amp;")), group(2), group(4))
+def _with_attribute(tag: Column, name: str | Column, value: Column) -> Column:
+    """A tag with another value of an attribute; the quotes stay, a value without gets double ones."""
+    if isinstance(name, str):
+        group = lambda i: F.regexp_extract(tag, attribute_pattern(name), i)
+    else:
+        before, after = attribute_pattern("\0").split("\0")[0], attribute_pattern("\0").split("\0")[1:]
+        whole = F.concat(F.lit(before), *(x for part in after for x in (name, F.lit(part))))
+        group = lambda i: F.call_function("regexp_extract", tag, whole, F.lit(i))
+    old = group(2)
+    quote = F.when(old.startswith("'"), "'").otherwise('"')
+    return F.concat(group(1), quote, F.replace(value, F.lit("&"), F.lit("&amp;")), quote, group(3))
 
 
 def html_attributes(df: DataFrame, tag: str, attr: str, kind: str, table: DataFrame, where: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -81,7 +95,7 @@ def html_attributes(df: DataFrame, tag: str, attr: str, kind: str, table: DataFr
     token = F.col("token")
 
     def replaced(tokens: DataFrame) -> DataFrame:
-        value = attribute(token, attr)
+        tokens, value = tokens.withColumn("_value", attribute(token, attr)), F.col("_value")
         ref = F.regexp_extract(value, r"(?i)\d+;\s*url=(.+)", 1) if kind == "refresh" else value
         ok = ~token.startswith("<!--") & (ref != "") & ~filters.is_non_http(ref) & (where(token) if where else F.lit(True))
         if kind == "data":
@@ -92,7 +106,7 @@ def html_attributes(df: DataFrame, tag: str, attr: str, kind: str, table: DataFr
         new = F.concat(F.regexp_extract(value, r"(?i)(\d+);\s*url=", 1), F.lit("; url="), path) if kind == "refresh" else path
         return rows.withColumn("out", F.when(F.col("path").isNotNull(), _with_attribute(token, attr, new)))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<(?:{tag})\b[^>]*>", replaced)
+    return rewrite(df, rf"(?is){SKIPPED}|<(?:{tag})\b{IN_TAG}>", replaced)
 
 
 def srcset_value(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -114,7 +128,7 @@ def html_srcset(df: DataFrame, table: DataFrame) -> DataFrame:
         both = rows.join(done, F.col("_t") == F.col("_t2"), "left")
         return both.withColumn("out", F.when(F.col("_set").isNotNull(), _with_attribute(F.col("token"), "srcset", F.col("_set"))))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<[a-z]+\b[^>]*\ssrcset\s*=[^>]*>", replaced)
+    return rewrite(df, rf"(?is){SKIPPED}|<[a-z][a-z0-9]*\b(?=[^>]*\ssrcset\s*=){IN_TAG}>", replaced)
 
 
 def html_imports(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -122,7 +136,7 @@ def html_imports(df: DataFrame, table: DataFrame) -> DataFrame:
     inner = r"import\([\"'][^\"']+[\"']\)"
 
     def replaced(tokens: DataFrame) -> DataFrame:
-        inline = ~F.col("token").startswith("<!--") & attribute(F.regexp_extract("token", r"(?is)^(<script\b[^>]*>)", 1), "src").isNull()
+        inline = ~F.col("token").startswith("<!--") & raw_attribute(F.regexp_extract("token", rf"(?is)^(<script\b{IN_TAG}>)", 1), "src").isNull()
         scripts = tokens.filter(inline).select(F.struct("id", "pos").alias("id"), "url", F.col("token").alias("body"))
 
         def one(found: DataFrame) -> DataFrame:
@@ -133,7 +147,7 @@ def html_imports(df: DataFrame, table: DataFrame) -> DataFrame:
 
         return rewrite(scripts, inner, one).select("id.id", "id.pos", F.col("body").alias("out"))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<script\b[^>]*>.*?</script>", replaced)
+    return rewrite(df, rf"(?is){SKIPPED}|<script\b{IN_TAG}>.*?</script>", replaced)
 
 
 def html_styles(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -145,7 +159,7 @@ def html_styles(df: DataFrame, table: DataFrame) -> DataFrame:
         done = css(rows.select(F.struct("id", "pos", "token").alias("id"), "url", F.col("_v").alias("body")), table, mapped="root", unmapped="keep")
         return done.select("id.id", "id.pos", _with_attribute(F.col("id.token"), "style", F.col("body")).alias("out"))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<[a-z]+\b[^>]*\sstyle\s*=[^>]*>", replaced)
+    return rewrite(df, rf"(?is){SKIPPED}|<[a-z][a-z0-9]*\b(?=[^>]*\sstyle\s*=){IN_TAG}>", replaced)
 
 
 def html_inject(body: Column, webpack: bool = True, base: bool = True) -> Column:
@@ -155,17 +169,17 @@ def html_inject(body: Column, webpack: bool = True, base: bool = True) -> Column
 
 
 def _rel(tag: Column) -> Column:
-    return attribute(tag, "rel").isin("stylesheet", "preload", "modulepreload", "prefetch")
+    return raw_attribute(tag, "rel").isin("stylesheet", "preload", "modulepreload", "prefetch")
 
 
 def _media(tag: Column) -> Column:
-    return F.coalesce(attribute(tag, "property"), F.lit("")).isin("og:image", "og:video", "og:audio") | F.coalesce(attribute(tag, "name"), F.lit("")).isin("twitter:image", "twitter:player")
+    return F.coalesce(raw_attribute(tag, "property"), F.lit("")).isin("og:image", "og:video", "og:audio") | F.coalesce(raw_attribute(tag, "name"), F.lit("")).isin("twitter:image", "twitter:player")
 
 
 #: Tag, attribute, kind of its reference (as in html_attributes) and condition.
 SPECS: list[tuple[str, str, str, Callable[[Column], Column] | None]] = [
     ("a", "href", "page", None), ("img", "src", "asset", None), ("script", "src", "asset", None), ("link", "href", "asset", _rel), ("iframe|frame", "src", "page", None),
-    ("meta", "content", "refresh", lambda t: attribute(t, "http-equiv") == "refresh"), ("meta", "content", "asset", _media), *(("[a-z]+", name, "data", None) for name in DATA_ATTRIBUTES),
+    ("meta", "content", "refresh", lambda t: raw_attribute(t, "http-equiv") == "refresh"), ("meta", "content", "asset", _media), *(("[a-z]+", name, "data", None) for name in DATA_ATTRIBUTES),
 ]
 
 
@@ -174,28 +188,28 @@ def html_references(df: DataFrame, pages: DataFrame, assets: DataFrame) -> DataF
     both = pages.select(F.lit("page").alias("_m"), F.col("url").alias("_k"), "local_path").unionByName(assets.select(F.lit("asset").alias("_m"), F.col("url").alias("_k"), "local_path"))
 
     def replaced(tokens: DataFrame) -> DataFrame:
-        opened = F.regexp_extract("token", r"(?s)^(<[^>]*>)", 1)
+        opened = F.regexp_extract("token", rf"(?s)^(<{IN_TAG}>)", 1)
         found = []
         for k, (tag, attr, kind, where) in enumerate(SPECS):
-            value = attribute(F.col("_open"), attr)
+            value = raw_attribute(F.col("_open"), attr)
             ref = F.regexp_extract(value, r"(?i)\d+;\s*url=(.+)", 1) if kind == "refresh" else value
             ok = F.col("_open").rlike(rf"(?is)^<(?:{tag})\b") & (where(F.col("_open")) if where else F.lit(True)) & (filters.data_attribute_is_url(ref) if kind == "data" else F.lit(True))
             lead = F.concat(F.regexp_extract(value, r"(?i)(\d+);\s*url=", 1), F.lit("; url=")) if kind == "refresh" else F.lit("")
             found.append(F.struct(F.lit(k).alias("k"), F.lit(attr).alias("attr"), F.lit("page" if kind in ("page", "refresh") else "asset").alias("m"), F.when(ok, ref).alias("ref"), lead.alias("lead")))
         rows = tokens.filter(~F.col("token").startswith("<!--")).withColumn("_open", opened)
-        rows = rows.withColumn("_f", F.filter(F.array(*found), lambda x: (x["ref"] != "") & ~filters.is_non_http(x["ref"]))).filter(F.size("_f") > 0)
-        each = rows.select("id", "pos", "url", F.explode("_f").alias("f")).select("id", "pos", "f.*", urls.resolve(F.col("f.ref"), F.col("url")).alias("_key"))
+        rows = rows.withColumn("_f", F.filter(F.array(*found), lambda x: (x["ref"] != "")))
+        each = rows.select("id", "pos", "url", F.explode("_f").alias("f")).withColumn("f", F.col("f").withField("ref", text.decode_entities(F.col("f.ref")))).filter(~filters.is_non_http(F.col("f.ref")))
+        each = each.select("id", "pos", "f.*", urls.resolve(F.col("f.ref"), F.col("url")).alias("_key"))
         each = each.withColumn("_www", F.when(F.col("m") == "asset", urls.www_alternate(F.col("_key"))))
         one, two = (both.select(F.col("_m").alias(f"_m{s}"), F.col("_k").alias(f"_k{s}"), F.col("local_path").alias(f"_p{s}")) for s in "12")
         each = each.join(one, (F.col("m") == F.col("_m1")) & (F.col("_key") == F.col("_k1")), "left").join(two, (F.col("m") == F.col("_m2")) & (F.col("_www") == F.col("_k2")), "left")
         new = F.concat("lead", paths.from_root(F.coalesce("_p1", "_p2")))
         each = each.select("id", "pos", "k", "attr", new.alias("new")).filter("new is not null")
         each = each.groupBy("id", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "attr", "new"))).alias("_c"))
-        group = lambda tag, attr, i: F.call_function("regexp_extract", tag, F.concat(F.lit(r"(?is)^(.*?\s"), attr, F.lit(r"\s*=\s*)([\"'])(.*?)\2(.*)$")), F.lit(i))
-        put = lambda tag, c: F.concat(group(tag, c["attr"], 1), group(tag, c["attr"], 2), F.replace(c["new"], F.lit("&"), F.lit("&amp;")), group(tag, c["attr"], 2), group(tag, c["attr"], 4))
+        put = lambda tag, c: _with_attribute(tag, c["attr"], c["new"])
         return rows.select("id", "pos", "token").join(each, ["id", "pos"]).withColumn("out", F.aggregate("_c", F.col("token"), put))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<script\b[^>]*>.*?</script>|<[a-z][a-z0-9]*\b[^>]*>", replaced)
+    return rewrite(df, rf"(?is){SKIPPED}|<script\b{IN_TAG}>.*?</script>|<[a-z][a-z0-9]*\b{IN_TAG}>", replaced)
 
 
 def html(df: DataFrame, pages: DataFrame, assets: DataFrame, inject: bool = True) -> DataFrame:
@@ -210,16 +224,26 @@ def html(df: DataFrame, pages: DataFrame, assets: DataFrame, inject: bool = True
 
 def html_meta(df: DataFrame, pages: DataFrame, assets: DataFrame) -> DataFrame:
     """Meta refresh by pages, og: and twitter: media by assets."""
-    df = html_attributes(df, "meta", "content", "refresh", pages, lambda t: attribute(t, "http-equiv") == "refresh")
-    return html_attributes(df, "meta", "content", "asset", assets, _media)
+    df = html_attributes(df, "meta", "content", "refresh", pages, lambda t: raw_attribute(t, "http-equiv") == "refresh")
+    return html_attributes(cut(df), "meta", "content", "asset", assets, _media)
 
 
-def localise(body: Column, url: Column, everything: bool = False) -> Column:
-    """Of a page's first link a local path; a pure expression for single references. ``everything`` also localises
-    what leaves the site."""
-    ref = urls.resolve(body, url)
-    inside = urls.same_domain(ref, url)
-    return F.when(inside | F.lit(everything), paths.page_path(F.coalesce(ref, body))).otherwise(body)
+def html_saved(df: DataFrame) -> DataFrame:
+    """Pages (id, url, body) as a plain HTTP mirror stores them, without any map: style sheets, scripts, images and icons
+    get the path of their URL, every link the path of its page, whether or not that was captured."""
+
+    def replaced(tokens: DataFrame) -> DataFrame:
+        tag = F.col("token")
+        rel = F.coalesce(raw_attribute(tag, "rel"), F.lit(""))
+        attr = F.when(tag.rlike(r"(?i)^<(a|link)\b"), "href").when(tag.rlike(r"(?i)^<(script|img)\b"), "src")
+        ok = ~tag.rlike(r"(?i)^<link\b") | (rel == "stylesheet") | F.contains(rel, F.lit("icon"))
+        ref = text.decode_entities(F.when(attr == "href", raw_attribute(tag, "href")).when(attr == "src", raw_attribute(tag, "src")))
+        rows = tokens.withColumn("_ref", F.when(ok & (ref != ""), ref)).withColumn("_attr", attr).withColumn("_key", urls.resolve(F.col("_ref"), F.col("url"))).filter("_key is not null")
+        path = F.when(tag.rlike(r"(?i)^<a\b"), paths.page_path_http(F.col("_key"))).otherwise(paths.asset_path_by_url(F.col("_key")))
+        put = lambda p: F.when(F.col("_attr") == "href", _with_attribute(tag, "href", p)).otherwise(_with_attribute(tag, "src", p))
+        return rows.withColumn("out", urls.bound(path, put))
+
+    return rewrite(df, rf"(?is){SKIPPED}|<(?:a|link|script|img)\b{IN_TAG}>", replaced)
 
 
 # -- style sheets ---------------------------------------------------------------------------------------------------
@@ -294,7 +318,3 @@ def js_strings(df: DataFrame, table: DataFrame) -> DataFrame:
 def js(df: DataFrame, table: DataFrame) -> DataFrame:
     """All rewrites of scripts (id, url, base, body), in order: the more special patterns first."""
     return js_strings(cut(js_calls(cut(js_next(df, table)), table)), table)
-
-
-def decoded(value: Column) -> Column:
-    return text.decode_entities(value)

@@ -27,8 +27,9 @@ def rules(files: DataFrame, agent: str = "*", lower_case: bool = True) -> DataFr
 
 
 def path_matches(path: Column, pattern: Column) -> Column:
-    """* is any text, $ the end; other characters are as in a regular expression; otherwise a prefix."""
-    return F.rlike(path, F.concat(F.lit("^"), F.replace(pattern, F.lit("*"), F.lit(".*"))))
+    """* is any text and a final $ the end; all other characters stand for themselves; without $ a prefix is enough."""
+    plain = F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"([\\.\[\](){}+?^|$])", r"\\$1")
+    return F.rlike(path, F.concat(F.lit("(?s)^"), F.replace(plain, F.lit("*"), F.lit(".*")), F.when(pattern.endswith("$"), r"\z").otherwise("")))
 
 
 def allowed(paths: DataFrame, found: DataFrame, ban_all: bool = False) -> DataFrame:

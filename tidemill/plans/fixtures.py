@@ -26,8 +26,9 @@ CONTENTS = [
 ]
 ROBOTS = [
     ("a.com", "User-agent: *\nDisallow: /p\nAllow: /p/ok\n# note\nDisallow:\n"), ("b.com", "User-agent: other\nDisallow: /x\n\nUser-agent: *\nDisallow: /*.pdf$\r\nDisallow: /Tmp"), ("c.com", "User-agent: *\nDisallow: /"), ("d.com", "Sitemap: http://d.com/s\nno colon here"),
+    ("f.com", "User-agent: *\nDisallow: /a[b\nDisallow: /c(d)*.e$\nDisallow: /x_y+"),
 ]
-PATHS = [("a.com", "/p/x"), ("a.com", "/p/ok"), ("a.com", "/q"), ("b.com", "/a.pdf"), ("b.com", "/a.pdfx"), ("b.com", "/tmp/1"), ("b.com", "/x"), ("c.com", "/any"), ("d.com", "/any"), ("e.com", "/any")]
+PATHS = [("a.com", "/p/x"), ("a.com", "/p/ok"), ("a.com", "/q"), ("b.com", "/a.pdf"), ("b.com", "/a.pdfx"), ("b.com", "/tmp/1"), ("b.com", "/x"), ("c.com", "/any"), ("d.com", "/any"), ("e.com", "/any"), ("f.com", "/a[bc"), ("f.com", "/ab"), ("f.com", "/c(d)/1.e"), ("f.com", "/c(d)/1.e?"), ("f.com", "/cd/1.e"), ("f.com", "/x_y+z"), ("f.com", "/xzyy")]
 CSS = [
     (1, "https://s.com/css/a.css", "@import \"x.css\"; p{background:url(a.png)} q{background:url(a.png)}"), (2, "https://s.com/css/b.css", "a{b:url('/img/c.gif')} @import url(d.css) ; e{f:url(\"data:image/png;base64,AA\")} g{h:url(#i)}"),
     (3, "https://s.com/css/c.css", "@font-face{src:url(a.woff2),url(b.woff)} @font-face{src: url('https://s.com/f/c.ttf')} i{j:url(https://o.com/z.otf)}"), (4, "https://s.com/d.css", "no references"), (5, "https://s.com/e.css", ""), (6, "https://s.com/f.css", None),
@@ -54,6 +55,7 @@ HTML = [
     (1, "https://s.com/", '<html><head><meta http-equiv="refresh" content="5; url=/two"><meta property="og:image" content="/img/c.gif"><link rel="stylesheet" href="/css/d.css"></head><body><a href="/two#x">t</a><a href="/two">u</a><!-- <a href="/two"> --><img src="css/a.png"><script src="/a.js"></script><script>import("/a.js")</script></body></html>'),
     (2, "https://s.com/two", "<html><head><base href='/'></head><body><a href='mailto:a@b'>m</a><div data-bg='/img/c.gif' style=\"background:url('css/a.png')\"></div><img srcset=\"css/a.png 1x, no.png 2x\"><iframe src='/'></iframe></body></html>"),
     (3, "https://s.com/three", "plain text"),
+    (4, "https://s.com/four", '<a title="x > y" href=/two>t</a><img alt=a src=css/a.png>'),
 ]
 PAGE_MAP = [("https://s.com/", "index.html"), ("https://s.com/two", "two/index.html")]
 

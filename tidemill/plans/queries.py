@@ -12,6 +12,7 @@ from ..functions import kinds, paths, text, urls
 from ..operators import assets, crawl, dedup, extract, filters, manifest, rewrite, robots, stats
 from ..sources import captures
 from ..streaming import network
+from . import expected as ex
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # -- SQL of the URL functions ----------------------------------------------------------------------------------------
-_URL = urls.URL.replace("'", "''")
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:]*)(:[0-9]+)?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
 def _g(u: str, i: int) -> str:
@@ -110,14 +111,15 @@ def _rooted(href: str, page: str) -> str:
     return f"({_origin(page)} || {_encode(href)})"
 
 
-_U = f"{fx.sql(fx.URLS)} t(id, url)"
+_U = f"(SELECT id, url FROM {fx.sql([(-i, u) for i, u in fx.URLS])} t(id, url) UNION ALL SELECT page_id, url FROM pages)"
 _TAGS = r"regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<script\b[^>]*>).*?</script>', '\1</script>', 'gis')"
 _BARE = r"regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<script\b[^>]*>).*?</script>', '', 'gis')"
 
 
 def _decode(x: str) -> str:
-    for name, char in text.ENTITIES.items():
-        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    """The references that the test pages have, the ampersand last."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
     return x
 
 
@@ -125,8 +127,10 @@ _HREFS = rf"""(SELECT page_id, url, unnest(range(len(tags))) AS pos, {_decode(r"
   FROM (SELECT page_id, url, regexp_extract_all({_TAGS}, '<a\b[^>]*>', 0, 'is') AS tags FROM pages))"""
 
 
-def _urls(spark: SparkSession) -> DataFrame:
-    return fx.frame(spark, fx.URLS, "id int, url string")
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' URLs, and odd ones under negative ids."""
+    odd = fx.frame(spark, [(-i, u) for i, u in fx.URLS], "id long, url string")
+    return odd.unionByName(table(spark, sf_dir, "pages").select(C("page_id").cast("long").alias("id"), "url"))
 
 
 # -- URL scalars -----------------------------------------------------------------------------------------------------
@@ -146,15 +150,18 @@ def url_frontier_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.frontier_key(C("url")).alias("key"), urls.clean(C("url")).alias("cleaned"))
 
 
-@query(f"SELECT id, {_clean('url')} AS cleaned, regexp_replace(regexp_replace({_trim('url')}, ':80$', ''), ':443$', '') AS asset_key, {_trim(chr(114) + 'egexp_replace(regexp_replace(url, ' + chr(39) + '#.*$' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 's' + chr(39) + '), ' + chr(39) + '^https://' + chr(39) + ', ' + chr(39) + 'http://' + chr(39) + ')')} AS named FROM {_U}")
+_NAMED = _trim("regexp_replace(regexp_replace(url, '#.*$', '', 's'), '^http://', 'https://', 'i')")
+
+
+@query(f"SELECT id, {_clean('url')} AS cleaned, regexp_replace(regexp_replace({_trim('url')}, ':80$', ''), ':443$', '') AS asset_key, {_NAMED} AS named FROM {_U}")
 def url_asset_normalize(spark, sf_dir):
     u = C("url")
-    return _urls(spark).select("id", urls.clean(u).alias("cleaned"), urls.asset_normalize(u).alias("asset_key"), urls.named_normalize(u).alias("named"))
+    return _urls(spark, sf_dir).select("id", urls.clean(u).alias("cleaned"), urls.asset_normalize(u).alias("asset_key"), urls.named_normalize(u).alias("named"))
 
 
 @query(f"SELECT id, CASE WHEN {_ok('url')} THEN {_proto('url')} || '://' || CASE WHEN starts_with({_name('url')}, 'www.') THEN substr({_name('url')}, 5) ELSE 'www.' || {_name('url')} END || regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]*', '') ELSE url END AS other FROM {_U}")
 def url_www_alternate(spark, sf_dir):
-    return _urls(spark).select("id", urls.www_alternate(C("url")).alias("other"))
+    return _urls(spark, sf_dir).select("id", urls.www_alternate(C("url")).alias("other"))
 
 
 @query("SELECT page_id, substr(sha256(url), 1, 16) AS hash16, sha256(url) AS full_hash, substr(sha256(url), 1, 12) AS hash12 FROM pages")
@@ -165,16 +172,16 @@ def url_hashes(spark, sf_dir):
 @query(f"SELECT id, {_ext_loose('url')} AS loose, CASE WHEN len(string_split({_clean('url')}, '.')) < 2 THEN '' WHEN regexp_matches({_ext_loose('url')}, '^[a-z]{{1,6}}$') THEN {_ext_loose('url')} ELSE '' END AS alpha, {_ext_path('url')} AS path_ext, CASE WHEN {_clean(_last('url', '/'))} = '' THEN 'file' ELSE {_clean(_last('url', '/'))} END AS file FROM {_U} WHERE url IS NOT NULL")
 def url_extension(spark, sf_dir):
     u = C("url")
-    return _urls(spark).filter("url is not null").select("id", urls.ext_loose(u).alias("loose"), urls.ext_alpha(u).alias("alpha"), urls.ext_path(u).alias("path_ext"), urls.filename(u).alias("file"))
+    return _urls(spark, sf_dir).filter("url is not null").select("id", urls.ext_loose(u).alias("loose"), urls.ext_alpha(u).alias("alpha"), urls.ext_path(u).alias("path_ext"), urls.filename(u).alias("file"))
 
 
-_IMG, _FONT = dict.fromkeys(kinds.IMAGES, "img"), dict.fromkeys(kinds.FONTS, "fonts")
+_IMG, _FONT = dict.fromkeys(ex.IMAGES, "img"), dict.fromkeys(ex.FONTS, "fonts")
 
 
-@query(f"SELECT id, {_case(_ext_path('url'), {'css': 'css', 'js': 'js', 'mjs': 'js'} | _IMG | _FONT, 'other')} AS folder, {_case(_ext_path('url'), {'css': 'css'} | _FONT, 'img')} AS css_folder, {_case(_case(_ext_loose('url'), kinds.TYPE_BY_EXTENSION, 'unknown'), kinds.FOLDER_BY_TYPE, 'other')} AS type_folder, {_case(_ext_loose('url'), kinds.MIME_BY_EXTENSION, 'application/octet-stream')} AS mime, {_case(_ext_loose('url'), kinds.TYPE_BY_EXTENSION, 'unknown')} = 'image' AS is_image, {_case(_ext_loose('url'), kinds.TYPE_BY_EXTENSION, 'unknown')} = 'font' AS is_font, contains(url, '/api/') OR contains(url, '/v1/') OR contains(url, '/v2/') AS is_api FROM {_U} WHERE url IS NOT NULL")
+@query(f"SELECT id, {_case(_ext_path('url'), {'css': 'css', 'js': 'js', 'mjs': 'js'} | _IMG | _FONT, 'other')} AS folder, {_case(_ext_path('url'), {'css': 'css'} | _FONT, 'img')} AS css_folder, {_case(_case(_ext_loose('url'), ex.TYPE_BY_EXTENSION, 'unknown'), ex.FOLDER_BY_TYPE, 'other')} AS type_folder, {_case(_ext_loose('url'), ex.MIME_BY_EXTENSION, 'application/octet-stream')} AS mime, {_case(_ext_loose('url'), ex.TYPE_BY_EXTENSION, 'unknown')} = 'image' AS is_image, {_case(_ext_loose('url'), ex.TYPE_BY_EXTENSION, 'unknown')} = 'font' AS is_font, contains(url, '/api/') OR contains(url, '/v1/') OR contains(url, '/v2/') AS is_api FROM {_U} WHERE url IS NOT NULL")
 def url_subdir(spark, sf_dir):
     u = C("url")
-    return _urls(spark).filter("url is not null").select(
+    return _urls(spark, sf_dir).filter("url is not null").select(
         "id", kinds.url_folder(u).alias("folder"), kinds.css_folder(u).alias("css_folder"), kinds.type_folder(kinds.asset_type(u, F.lit(None))).alias("type_folder"),
         kinds.mime_type(u).alias("mime"), kinds.is_image(u).alias("is_image"), kinds.is_font(u).alias("is_font"), kinds.is_api_endpoint(u).alias("is_api"),
     )
@@ -214,7 +221,7 @@ def page_path_http(spark, sf_dir):
 
 @query(f"SELECT id, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path FROM {_U} WHERE url IS NOT NULL")
 def page_path_canonical(spark, sf_dir):
-    return _urls(spark).filter("url is not null").select("id", paths.page_path(C("url")).alias("path"))
+    return _urls(spark, sf_dir).filter("url is not null").select("id", paths.page_path(C("url")).alias("path"))
 
 
 @query(f"SELECT path, count(*) AS urls FROM (SELECT {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path FROM pages) GROUP BY path HAVING count(*) > 1")
@@ -225,10 +232,10 @@ def page_path_collisions(spark, sf_dir):
 _DOT_EXT = f"CASE WHEN {_ext_path('url')} = '' THEN '' ELSE '.' || {_ext_path('url')} END"
 
 
-@query(f"SELECT id, 'assets/' || {_case(_case(_ext_loose('url'), kinds.TYPE_BY_EXTENSION, 'unknown'), kinds.FOLDER_BY_TYPE, 'other')} || '/' || substr(sha256(url), 1, 16) || {_DOT_EXT} AS by_content, CASE WHEN {_ok('url')} THEN 'assets/' || {_case(_ext_path('url'), {'css': 'css', 'js': 'js', 'mjs': 'js'} | _IMG | _FONT, 'other')} || '/' || substr(sha256(url), 1, 16) || {_DOT_EXT} ELSE 'assets/other/' || substr(sha256(url), 1, 16) END AS by_url, 'h' || CASE WHEN {_ext_path('url')} <> '' THEN '.' || {_ext_path('url')} WHEN contains(url, 'font') OR contains(url, 'woff') THEN '.woff' ELSE '' END AS file, '../assets/' || {_case(_ext_path('url'), {'css': 'css'} | _FONT, 'img')} || '/' || CASE WHEN {_clean(_last('url', '/'))} = '' THEN 'file' ELSE {_clean(_last('url', '/'))} END AS guess FROM {_U} WHERE url IS NOT NULL")
+@query(f"SELECT id, 'assets/' || {_case(_case(_ext_loose('url'), ex.TYPE_BY_EXTENSION, 'unknown'), ex.FOLDER_BY_TYPE, 'other')} || '/' || substr(sha256(url), 1, 16) || {_DOT_EXT} AS by_content, CASE WHEN {_ok('url')} THEN 'assets/' || {_case(_ext_path('url'), {'css': 'css', 'js': 'js', 'mjs': 'js'} | _IMG | _FONT, 'other')} || '/' || substr(sha256(url), 1, 16) || {_DOT_EXT} ELSE 'assets/other/' || substr(sha256(url), 1, 16) END AS by_url, 'h' || CASE WHEN {_ext_path('url')} <> '' THEN '.' || {_ext_path('url')} WHEN contains(url, 'font') OR contains(url, 'woff') THEN '.woff' ELSE '' END AS file, '../assets/' || {_case(_ext_path('url'), {'css': 'css'} | _FONT, 'img')} || '/' || CASE WHEN {_clean(_last('url', '/'))} = '' THEN 'file' ELSE {_clean(_last('url', '/'))} END AS guess FROM {_U} WHERE url IS NOT NULL")
 def asset_paths(spark, sf_dir):
     u = C("url")
-    return _urls(spark).filter("url is not null").select(
+    return _urls(spark, sf_dir).filter("url is not null").select(
         "id", paths.asset_path(u, kinds.asset_type(u, F.lit(None)), paths.content_hash(u, 16)).alias("by_content"), paths.asset_path_by_url(u).alias("by_url"), paths.asset_filename(u, F.lit("h")).alias("file"), paths.css_guess(u).alias("guess")
     )
 
@@ -334,12 +341,12 @@ def js_routes(spark, sf_dir):
 # -- types, filters, content -----------------------------------------------------------------------------------------
 _T = f"{fx.sql(fx.TYPES)} t(id, url, mime, status)"
 _M = "coalesce(mime, '')"
-_SOME = {k: v for k, v in kinds.TYPE_BY_EXTENSION.items() if k not in ("html", "htm", "mjs", "json", "pdf", "xml")}
-_SHORT = {"css": "css", "js": "js", "mjs": "js", "json": "api"} | dict.fromkeys(kinds.IMAGES, "image") | dict.fromkeys(kinds.FONTS, "font")
+_SOME = {k: v for k, v in ex.TYPE_BY_EXTENSION.items() if k not in ("html", "htm", "mjs", "json", "pdf", "xml")}
+_SHORT = {"css": "css", "js": "js", "mjs": "js", "json": "api"} | dict.fromkeys(ex.IMAGES, "image") | dict.fromkeys(ex.FONTS, "font")
 
 
 @query(f"""SELECT id, CASE WHEN contains({_M}, 'html') THEN 'html' WHEN contains({_M}, 'css') THEN 'css' WHEN contains({_M}, 'javascript') OR contains({_M}, 'application/js') THEN 'js' WHEN contains({_M}, 'json') THEN 'api' WHEN contains({_M}, 'image/') THEN 'image'
-  WHEN contains({_M}, 'font/') THEN 'font' WHEN contains({_M}, 'video/') OR contains({_M}, 'audio/') THEN 'media' WHEN contains({_M}, 'application/pdf') THEN 'document' ELSE {_case(_ext_loose('url'), kinds.TYPE_BY_EXTENSION, 'unknown')} END AS kind,
+  WHEN contains({_M}, 'font/') THEN 'font' WHEN contains({_M}, 'video/') OR contains({_M}, 'audio/') THEN 'media' WHEN contains({_M}, 'application/pdf') THEN 'document' ELSE {_case(_ext_loose('url'), ex.TYPE_BY_EXTENSION, 'unknown')} END AS kind,
   CASE WHEN contains({_M}, 'html') THEN 'html' WHEN contains({_M}, 'css') THEN 'css' WHEN contains({_M}, 'javascript') THEN 'js' WHEN contains({_M}, 'json') THEN 'api' WHEN contains({_M}, 'image/') THEN 'image' WHEN contains({_M}, 'font') THEN 'font'
   WHEN contains({_M}, 'video/') OR contains({_M}, 'audio/') THEN 'media' ELSE {_case(_ext_loose('url'), _SOME, 'unknown')} END AS browser_kind,
   CASE WHEN contains({_M}, 'css') THEN 'css' WHEN contains({_M}, 'javascript') THEN 'js' WHEN contains({_M}, 'image') THEN 'image' WHEN contains({_M}, 'font') THEN 'font' WHEN contains({_M}, 'json') THEN 'api' ELSE {_case(_ext_path('url'), _SHORT, 'other')} END AS short_kind FROM {_T}""")
@@ -348,8 +355,8 @@ def asset_type_mime(spark, sf_dir):
     return rows.select("id", kinds.asset_type(C("url"), C("mime")).alias("kind"), kinds.asset_type_browser(C("url"), C("mime")).alias("browser_kind"), kinds.asset_type_short(C("url"), C("mime")).alias("short_kind"))
 
 
-@query(f"""SELECT id, coalesce(status, 0) < 400 AS succeeded, coalesce(status, 0) < 400 AND NOT regexp_matches(url, '^(data:|blob:|chrome-extension://|moz-extension://)') AS captured, coalesce(status, 0) < 400 AND {_case(_ext_loose('url'), kinds.TYPE_BY_EXTENSION, 'unknown')} IN ('css', 'js', 'image', 'font', 'api', 'media') AS with_body,
-  {_case(_ext_loose('url'), kinds.TYPE_BY_EXTENSION, 'unknown')} IN ('css', 'js') AS wanted, regexp_matches(url, '^(#|javascript:|mailto:|tel:|data:)') AS non_http, url = '' OR regexp_matches(url, '^(data:|about:|#)') AS css_skips, starts_with(url, 'http') OR starts_with(url, '/') AS url_like, length(url) > 8 AS too_long FROM {_T}""")
+@query(f"""SELECT id, coalesce(status, 0) < 400 AS succeeded, coalesce(status, 0) < 400 AND NOT regexp_matches(url, '^(data:|blob:|chrome-extension://|moz-extension://)') AS captured, coalesce(status, 0) < 400 AND {_case(_ext_loose('url'), ex.TYPE_BY_EXTENSION, 'unknown')} IN ('css', 'js', 'image', 'font', 'api', 'media') AS with_body,
+  {_case(_ext_loose('url'), ex.TYPE_BY_EXTENSION, 'unknown')} IN ('css', 'js') AS wanted, regexp_matches(url, '^(#|javascript:|mailto:|tel:|data:)') AS non_http, url = '' OR regexp_matches(url, '^(data:|about:|#)') AS css_skips, starts_with(url, 'http') OR starts_with(url, '/') AS url_like, length(url) > 8 AS too_long FROM {_T}""")
 def asset_type_filter(spark, sf_dir):
     rows, u = fx.frame(spark, fx.TYPES, "id int, url string, mime string, status int"), C("url")
     kind = kinds.asset_type(u, F.lit(None))
@@ -387,7 +394,7 @@ def _robots(spark: SparkSession) -> DataFrame:
     return fx.frame(spark, fx.ROBOTS, "host string, content string")
 
 
-_RULES = [("a.com", "disallow", "/p"), ("a.com", "allow", "/p/ok"), ("a.com", "disallow", ""), ("b.com", "disallow", "/*.pdf$"), ("b.com", "disallow", "/tmp"), ("c.com", "disallow", "/")]
+_RULES = [("a.com", "disallow", "/p"), ("a.com", "allow", "/p/ok"), ("a.com", "disallow", ""), ("b.com", "disallow", "/*.pdf$"), ("b.com", "disallow", "/tmp"), ("c.com", "disallow", "/"), ("f.com", "disallow", "/a[b"), ("f.com", "disallow", "/c(d)*.e$"), ("f.com", "disallow", "/x_y+")]
 
 
 @query(f"SELECT * FROM {fx.sql(_RULES)} t(host, kind, pattern)")
@@ -395,8 +402,12 @@ def robots_rules(spark, sf_dir):
     return robots.rules(_robots(spark)).select("host", "kind", "pattern")
 
 
-@query(f"""WITH r AS (SELECT * FROM {fx.sql(_RULES)} t(host, kind, pattern)), p AS (SELECT * FROM {fx.sql(fx.PATHS)} t(host, path)),
-  m AS (SELECT p.host, p.path, r.kind, r.pattern FROM p JOIN r ON p.host = r.host AND regexp_matches(p.path, '^' || replace(r.pattern, '*', '.*')))
+_BODY = r"regexp_replace(pattern, '\$$', '')"
+_LIKE = rf"replace(replace(replace(replace({_BODY}, '\', '\\'), '%', '\%'), '_', '\_'), '*', '%') || CASE WHEN pattern LIKE '%$' THEN '' ELSE '%' END"
+
+
+@query(rf"""WITH r AS (SELECT * FROM {fx.sql(_RULES)} t(host, kind, pattern)), p AS (SELECT * FROM {fx.sql(fx.PATHS)} t(host, path)),
+  m AS (SELECT p.host, p.path, r.kind, r.pattern FROM p JOIN r ON p.host = r.host AND p.path LIKE {_LIKE} ESCAPE '\')
   SELECT host, path, NOT EXISTS (SELECT 1 FROM m WHERE m.host = p.host AND m.path = p.path AND kind = 'disallow' AND pattern NOT IN ('', '/')) OR EXISTS (SELECT 1 FROM m WHERE m.host = p.host AND m.path = p.path AND kind = 'allow') AS allowed,
   NOT EXISTS (SELECT 1 FROM m WHERE m.host = p.host AND m.path = p.path AND kind = 'disallow' AND pattern <> '') OR EXISTS (SELECT 1 FROM m WHERE m.host = p.host AND m.path = p.path AND kind = 'allow') AS allowed_strict FROM p""")
 def robots_allowed(spark, sf_dir):
@@ -490,23 +501,111 @@ def retry_schedule(spark, sf_dir):
 
 @query(f"SELECT url, row_number() OVER (ORDER BY priority DESC, depth, url) AS place FROM {fx.sql(fx.QUEUE)} t(url, depth, parent, priority, retry)")
 def queue_order(spark, sf_dir):
-    rows = crawl.by_priority(fx.frame(spark, fx.QUEUE, "url string, depth int, parent string, priority int, retry int"))
-    from pyspark.sql import Window
+    rows = fx.frame(spark, fx.QUEUE, "url string, depth int, parent string, priority int, retry int")
+    return crawl.ranked(rows).select("url", "place")
+
+
+_LINKS = f"(SELECT DISTINCT page_id, {_rooted('href', 'url')} AS link FROM {_HREFS})"
+_NEW = f"SELECT DISTINCT lower({_trim(_clean('link'))}) AS key FROM {_LINKS} EXCEPT SELECT lower({_trim(_clean('url'))}) FROM pages"
+
 
-    return rows.select("url", F.row_number().over(Window.orderBy(F.desc("priority"), "depth", "url")).cast("long").alias("place"))
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.links(table(spark, sf_dir, "pages")).select("page_id", "link")
 
 
-@query(f"SELECT DISTINCT lower({_trim(_clean('url'))}) AS key FROM pages WHERE page_id % 3 = 0 EXCEPT SELECT lower({_trim(_clean('url'))}) FROM pages WHERE page_id % 2 = 0")
+@query(_NEW)
 def add_many(spark, sf_dir):
-    """New URLs against the visited ones; that the ids decide which is which is part of the question."""
-    pages = table(spark, sf_dir, "pages")
-    known = pages.filter("page_id % 2 = 0").select("url")
-    return crawl.add_many(pages.filter("page_id % 3 = 0").select("url"), known, known).select("key")
+    """The links of all pages against the pages."""
+    known = table(spark, sf_dir, "pages").select("url")
+    return crawl.add_many(_links(spark, sf_dir).select(C("link").alias("url")), known, known).select("key")
+
+
+@query(f"SELECT count(*) AS added FROM ({_NEW})")
+def add_many_count(spark, sf_dir):
+    known = table(spark, sf_dir, "pages").select("url")
+    return crawl.add_many(_links(spark, sf_dir).select(C("link").alias("url")), known, known).agg(F.count("*").alias("added"))
 
 
-@query("SELECT (SELECT count(*) FROM pages) AS queued, (SELECT count(*) FROM region) AS visited, (SELECT count(*) FROM pages) + (SELECT count(*) FROM region) AS total")
+@query(f"SELECT (SELECT count(*) FROM {_HREFS}) AS queued, (SELECT count(*) FROM pages) AS visited, (SELECT count(*) FROM {_HREFS}) + (SELECT count(*) FROM pages) AS total")
 def queue_stats(spark, sf_dir):
-    return crawl.queue_stats(table(spark, sf_dir, "pages"), table(spark, sf_dir, "region")).select(*(C(c).cast("long").alias(c) for c in ("queued", "visited", "total")))
+    pages = table(spark, sf_dir, "pages")
+    return crawl.queue_stats(extract.hrefs(pages), pages).select(*(C(c).cast("long").alias(c) for c in ("queued", "visited", "total")))
+
+
+@query(f"SELECT page_id, link AS url, link IN (SELECT url FROM pages) AS seen FROM {_LINKS}")
+def links_seen(spark, sf_dir):
+    """Links whose URL was captured, and those whose was not."""
+    rows, pages = _links(spark, sf_dir).withColumnRenamed("link", "url"), table(spark, sf_dir, "pages").select("url")
+    return filters.seen_already(rows, pages).withColumn("seen", F.lit(True)).unionByName(filters.unseen(rows, pages).withColumn("seen", F.lit(False)))
+
+
+@query(f"{_BFS} SELECT node, depth FROM r WHERE depth <= 2")
+def crawl_within_depth(spark, sf_dir):
+    return _reached(spark, sf_dir).filter(filters.within_depth(C("depth"), 2)).select("node", "depth")
+
+
+@query(f"SELECT page_id, asset, kind FROM (SELECT *, row_number() OVER (PARTITION BY page_id, asset ORDER BY grp, pos) AS n FROM {_ASSETS}) WHERE n = 1 AND kind IN ('css', 'js') ORDER BY page_id, grp, pos LIMIT 43")
+def assets_limited(spark, sf_dir):
+    """Of all pages' style sheets and scripts those that a limit of 50 leaves, 7 being stored already."""
+    found = extract.first_assets(extract.page_assets(fx.augmented(table(spark, sf_dir, "pages")))).withColumn("type", C("kind")).withColumn("ord", F.struct("page_id", "grp", "pos"))
+    return assets.limited(found, 50, ["css", "js"], 7).select("page_id", "asset", "kind")
+
+
+@query(f"SELECT page_id, link FROM {_LINKS} UNION SELECT page_id, url || '#app' FROM pages")
+def page_links_and_routes(spark, sf_dir):
+    routes = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("#app")).alias("url"))
+    return extract.links_and_routes(_links(spark, sf_dir), routes)
+
+
+@query(f"SELECT page_id, CAST(pos AS INT) AS pos, href FROM {_HREFS}")
+def page_links_unquoted(spark, sf_dir):
+    """The same links from pages whose attributes have no quotes, beside a value with > and another attribute's name."""
+    html = F.regexp_replace("html", r"<a href=\"([^\"\s]*)\"", "<a title='a > b href=no' data-href=x HREF = $1 download")
+    return extract.hrefs(table(spark, sf_dir, "pages").withColumn("html", html)).select("page_id", "pos", "href")
+
+
+@query("SELECT * FROM (VALUES (1, 'é€😀'), (2, '<b> & \u00a0©'), (3, '&nosuch; &amp &'), (4, '€\ufffd\ufffd'), (5, 'plain'), (6, '&lt;'), (7, '∴Æ≥')) t(id, out)")
+def entities_decode(spark, sf_dir):
+    rows = [(1, "&#233;&#x20AC;&#x1F600;"), (2, "&lt;b&gt; &amp; &nbsp;&copy;"), (3, "&nosuch; &amp &"), (4, "&#128;&#0;&#xD800;"), (5, "plain"), (6, "&amp;lt;"), (7, "&there4;&AElig;&ge;")]
+    return fx.frame(spark, rows, "id int, x string").select("id", text.decode_entities(C("x")).alias("out"))
+
+
+_RELATIVE = f"{_origin('url')} || regexp_replace({_path('url')}, '[^/]*$', '') || {_encode('substr(href, 2)')}"
+
+
+@query(f"SELECT page_id, CAST(pos AS INT) AS pos, {_rooted('href', 'url')} AS rooted, {_RELATIVE} AS relative, {_crawl_key('(' + _RELATIVE + ')')} AS normalized, {_proto('url')} || '://x.org' || href AS other FROM {_HREFS} WHERE length(href) > 1")
+def url_make_absolute(spark, sf_dir):
+    """Rooted, relative and scheme-relative references of pages."""
+    found = extract.hrefs(table(spark, sf_dir, "pages")).filter("length(href) > 1").withColumn("rel", F.substr("href", F.lit(2)))
+    parsed = urls.parse_page_url(C("rel"), C("url"), F.lit(1), C("url"))
+    return found.select(
+        "page_id", "pos", urls.make_absolute(C("href"), C("url")).alias("rooted"), urls.make_absolute(C("rel"), C("url")).alias("relative"), parsed["normalized"].alias("normalized"), urls.make_absolute(F.concat(F.lit("//x.org"), "href"), C("url")).alias("other")
+    )
+
+
+_TITLE = _decode("array_to_string(regexp_extract_all(" + _BARE + r", '<title[^>]*>(.*?)</title>', 1, 'is'), '')")
+
+
+@query(rf"SELECT page_id, {_TITLE} AS title, {_name('url')} AS hostname, 200 AS status, url AS final_url, length(html) AS chars, len(regexp_extract_all({_TAGS}, '<a\b[^>]*>', 0, 'is')) AS anchors FROM pages")
+def page_records(spark, sf_dir):
+    rows = extract.page_rows(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "title", C("parsed.hostname").alias("hostname"), "status", "final_url", "chars", "anchors")
+
+
+@query(f"SELECT page_id, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path, length(html) AS bytes FROM pages")
+def stored_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", captures.stored_page(C("url"), C("html")).alias("s")).select("page_id", "s.path", "s.bytes")
+
+
+@query(f"SELECT path, max(page_id) AS page_id, arg_max(url, page_id) AS url FROM (SELECT page_id, url, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path FROM pages) GROUP BY path")
+def last_page_wins(spark, sf_dir):
+    """Of pages that share a path the last one's URL is kept."""
+    return dedup.first_by(table(spark, sf_dir, "pages").select("page_id", "url", paths.page_path(C("url")).alias("path")), ["path"], C("page_id"), last=True).select("path", "page_id", "url")
+
+
+@query("SELECT event_id, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events")
+def event_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.iso_time(C("ts").cast("timestamp")).alias("at"))
 
 
 # -- lookups and rewriting -------------------------------------------------------------------------------------------
@@ -524,21 +623,21 @@ def asset_lookup_www(spark, sf_dir):
     return rewrite.look_up_www(rows, "url", _map(spark)).select("id", "url", "path")
 
 
-@query(f"SELECT page_id, coalesce(m.path, l.href) AS target FROM {_HREFS} l LEFT JOIN (SELECT {_rooted('href', 'url')} AS k, 'p/' || min(page_id) AS path FROM {_HREFS} WHERE page_id % 2 = 0 GROUP BY k) m ON {_rooted('href', 'l.url')} = m.k")
+@query(f"SELECT page_id, coalesce(m.path, l.href) AS target FROM {_HREFS} l LEFT JOIN (SELECT {_rooted('href', 'url')} AS k, 'p/' || min(page_id) AS path FROM {_HREFS} WHERE contains(url, '/en/') GROUP BY k) m ON {_rooted('href', 'l.url')} = m.k")
 def link_lookup(spark, sf_dir):
     found = extract.hrefs(table(spark, sf_dir, "pages")).withColumn("key", urls.resolve(C("href"), C("url")))
-    known = found.filter("page_id % 2 = 0").groupBy(C("key").alias("url")).agg(F.concat(F.lit("p/"), F.min("page_id").cast("string")).alias("local_path"))
+    known = found.filter("contains(url, '/en/')").groupBy(C("key").alias("url")).agg(F.concat(F.lit("p/"), F.min("page_id").cast("string")).alias("local_path"))
     return rewrite.look_up(found, "key", known).select("page_id", F.coalesce("path", "href").alias("target"))
 
 
-@query("SELECT * FROM (VALUES ('0123456789abcdef.css', 'https://s.com/1'), ('ffffffffffffffff.css', NULL), ('plain.css', NULL)) t(name, url)")
+@query("SELECT * FROM (VALUES ('0123456789abcdef.css', 'https://s.com/1'), ('ffffffffffffffff.css', NULL), ('plain.css', 'https://s.com/3'), ('none.css', NULL)) t(name, url)")
 def contains_lookup(spark, sf_dir):
-    files = fx.frame(spark, [("0123456789abcdef.css",), ("ffffffffffffffff.css",), ("plain.css",)], "name string")
-    origins = fx.frame(spark, [("https://s.com/2", "assets/css/0123456789abcdef.css", 2), ("https://s.com/1", "assets/css/0123456789abcdef.css", 1)], "url string, local_path string, ord int")
+    files = fx.frame(spark, [("0123456789abcdef.css",), ("ffffffffffffffff.css",), ("plain.css",), ("none.css",)], "name string")
+    origins = fx.frame(spark, [("https://s.com/2", "assets/css/0123456789abcdef.css", 2), ("https://s.com/1", "assets/css/0123456789abcdef.css", 1), ("https://s.com/3", "assets/css/plain.css", 3)], "url string, local_path string, ord int")
     return rewrite.contains_lookup(files, origins)
 
 
-_SITE = f"""(SELECT {_rooted('href', 'url')} AS url, 'l/' || min(page_id) || '.html' AS local_path FROM {_HREFS} WHERE page_id % 2 = 0 GROUP BY 1)"""
+_SITE = f"""(SELECT {_rooted('href', 'url')} AS url, 'l/' || min(page_id) || '.html' AS local_path FROM {_HREFS} WHERE contains(url, '/en/') GROUP BY 1)"""
 
 
 @query(rf"""WITH t AS (SELECT page_id, url, html, regexp_extract_all(html, '(?is)<!--.*?-->|<(?:a)\b[^>]*>') AS ts FROM pages),
@@ -550,25 +649,51 @@ _SITE = f"""(SELECT {_rooted('href', 'url')} AS url, 'l/' || min(page_id) || '.h
 def html_rewrite_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     found = extract.hrefs(pages).withColumn("key", urls.resolve(C("href"), C("url")))
-    known = found.filter("page_id % 2 = 0").groupBy(C("key").alias("url")).agg(F.concat(F.lit("l/"), F.min("page_id").cast("string"), F.lit(".html")).alias("local_path"))
+    known = found.filter("contains(url, '/en/')").groupBy(C("key").alias("url")).agg(F.concat(F.lit("l/"), F.min("page_id").cast("string"), F.lit(".html")).alias("local_path"))
     done = rewrite.html_attributes(pages.select(C("page_id").alias("id"), "url", C("html").alias("body")), "a", "href", "page", known)
     return done.select(C("id").alias("page_id"), F.sha2("body", 256).alias("body"))
 
 
+_OVERRIDE = """<script>(function(){var dirs={'/_next/static/chunks/':'./assets/js/','/_next/static/media/':'./assets/fonts/'};if(typeof __webpack_require__!=='undefined'){__webpack_require__.p='./assets/js/';}if(typeof window==='undefined'||!window.fetch){return;}var ask=window.fetch;window.fetch=function(){var a=Array.prototype.slice.call(arguments);if(typeof a[0]==='string'){for(var d in dirs){a[0]=a[0].split(d).join(dirs[d]);}}return ask.apply(window,a);};})();</script>"""
 _HTML_OUT = [
-    (1, '<html><head><base href="./"><meta http-equiv="refresh" content="5; url=two/index.html"><meta property="og:image" content="assets/img/h2.gif"><link rel="stylesheet" href="/css/d.css">' + rewrite.WEBPACK + '</head><body><a href="/two#x">t</a><a href="two/index.html">u</a><!-- <a href="/two"> --><img src="assets/img/h1.png"><script src="assets/js/h4.js"></script><script>import("assets/js/h4.js")</script></body></html>'),
-    (2, "<html><head><base href='/'>" + rewrite.WEBPACK + "</head><body><a href='mailto:a@b'>m</a><div data-bg='assets/img/h2.gif' style=\"background:url('assets/img/h1.png')\"></div><img srcset=\"assets/img/h1.png 1x, no.png 2x\"><iframe src='index.html'></iframe></body></html>"),
+    (1, '<html><head><base href="./"><meta http-equiv="refresh" content="5; url=two/index.html"><meta property="og:image" content="assets/img/h2.gif"><link rel="stylesheet" href="assets/css/h3.css">' + _OVERRIDE + '</head><body><a href="/two#x">t</a><a href="two/index.html">u</a><!-- <a href="/two"> --><img src="assets/img/h1.png"><script src="assets/js/h4.js"></script><script>import("assets/js/h4.js")</script></body></html>'),
+    (2, "<html><head><base href='/'>" + _OVERRIDE + "</head><body><a href='mailto:a@b'>m</a><div data-bg='assets/img/h2.gif' style=\"background:url('assets/img/h1.png')\"></div><img srcset=\"assets/img/h1.png 1x, no.png 2x\"><iframe src='index.html'></iframe></body></html>"),
     (3, "plain text"),
+    (4, '<a title="x > y" href="two/index.html">t</a><img alt=a src="assets/img/h1.png">'),
 ]
 
 
-@query(f"SELECT id, replace(body, '/css/d.css', 'assets/css/h3.css') AS body FROM {fx.sql(_HTML_OUT)} t(id, body)")
+@query(f"SELECT id, body FROM {fx.sql(_HTML_OUT)} t(id, body)")
 def html_rewrite(spark, sf_dir):
     """All passes, against results worked out by hand."""
     known = _map(spark).unionByName(fx.frame(spark, [("https://s.com/css/d.css", "assets/css/h3.css")], "url string, local_path string")).distinct()
     return rewrite.html(fx.frame(spark, fx.HTML, "id int, url string, body string"), _page_map(spark), known).select("id", "body")
 
 
+@query("""SELECT 1 AS id, '<meta http-equiv="refresh" content="5; url=two/index.html"><meta property="og:image" content="assets/img/h2.gif"><meta name="author" content="/two">' AS body""")
+def html_meta(spark, sf_dir):
+    body = '<meta http-equiv="refresh" content="5; url=/two"><meta property="og:image" content="/img/c.gif"><meta name="author" content="/two">'
+    return rewrite.html_meta(fx.frame(spark, [(1, "https://s.com/", body)], "id int, url string, body string"), _page_map(spark), _map(spark)).select("id", "body")
+
+
+_SAVED_TAG = r"(?is)<!--.*?-->|<(?:a|link|script|img)\b[^>]*>"
+_ABS = f"{_origin('url')} || CASE WHEN starts_with(ref, '/') THEN {_encode('ref')} ELSE regexp_replace({_path('url')}, '[^/]*$', '') || ref END"
+_BY_URL = f"'assets/' || {_case(_ext_path('abs'), {'css': 'css', 'js': 'js', 'mjs': 'js'} | _IMG | _FONT, 'other')} || '/' || substr(sha256(abs), 1, 16) || CASE WHEN {_ext_path('abs')} = '' THEN '' ELSE '.' || {_ext_path('abs')} END"
+
+
+@query(rf"""WITH t AS (SELECT page_id, url, html, regexp_extract_all(html, '{_SAVED_TAG}') AS ts FROM {fx.AUGMENTED}),
+  e AS (SELECT page_id, url, unnest(ts) AS tag, unnest(range(len(ts))) AS pos FROM t),
+  k AS (SELECT *, CASE WHEN regexp_matches(tag, '^<(a|link)\b') THEN {_decode(r"regexp_extract(tag, '\shref\s*=\s*\"([^\"]*)\"', 1, 'is')")} WHEN regexp_matches(tag, '^<(script|img)\b') THEN regexp_extract(tag, '\ssrc\s*=\s*\"([^\"]*)\"', 1, 'is') END AS ref FROM e),
+  x AS (SELECT *, CASE WHEN ref <> '' THEN {_ABS} END AS abs FROM k),
+  o AS (SELECT page_id, pos, CASE WHEN abs IS NULL THEN tag WHEN starts_with(tag, '<a') THEN regexp_replace(tag, '(\shref\s*=\s*\")[^\"]*', '\1' || replace({_page_sql('abs', chr(92) + '.html?$', 16, False)}, '&', '&amp;'), 'i') ELSE regexp_replace(tag, '(\s(?:href|src)\s*=\s*\")[^\"]*', '\1' || {_BY_URL}, 'i') END AS out FROM x),
+  g AS (SELECT page_id, list(out ORDER BY pos) AS outs FROM o GROUP BY page_id)
+  SELECT t.page_id, sha256(array_to_string(list_transform(regexp_split_to_array(t.html, '{_SAVED_TAG}'), lambda x, i: x || coalesce(g.outs[i], '')), '')) AS body FROM t LEFT JOIN g ON t.page_id = g.page_id""")
+def html_saved(spark, sf_dir):
+    """Every page as a plain mirror stores it."""
+    pages = fx.augmented(table(spark, sf_dir, "pages")).select(C("page_id").alias("id"), "url", C("html").alias("body"))
+    return rewrite.html_saved(pages).select(C("id").alias("page_id"), F.sha2("body", 256).alias("body"))
+
+
 @query("SELECT * FROM (VALUES (1, 'assets/img/h1.png 1x, b.png 2x'), (2, 'assets/img/h2.gif'), (3, 'assets/img/h1.png 640w, , /q 2x')) t(id, out)")
 def html_srcset(spark, sf_dir):
     return rewrite.srcset_value(fx.frame(spark, fx.SRCSETS, "id int, url string, srcset string"), _map(spark))
@@ -583,7 +708,11 @@ def css_rewrite(spark, sf_dir):
     return rewrite.css(_css(spark), _map(spark)).select("id", "body")
 
 
-@query(f"SELECT id, CASE id WHEN 3 THEN replace(body, 'url(b.woff)', 'url(../fonts/h8.woff)') WHEN 1 THEN body WHEN 2 THEN replace(body, 'url(d.css) ;', 'url(d.css) ;') ELSE body END AS body FROM {fx.sql(fx.CSS)} t(id, url, body)")
+_CSS_FONTS_OUT = [(1, '@import "x.css"; p{background:url(a.png)} q{background:url(a.png)}'), (2, "a{b:url('/img/c.gif')} @import url(d.css) ; e{f:url(\"data:image/png;base64,AA\")} g{h:url(#i)}"),
+                  (3, "@font-face{src:url(a.woff2),url(../fonts/h8.woff)} @font-face{src: url('https://s.com/f/c.ttf')} i{j:url(https://o.com/z.otf)}"), (4, "no references"), (5, ""), (6, None)]
+
+
+@query(f"SELECT * FROM {fx.sql(_CSS_FONTS_OUT)} t(id, body)")
 def css_fonts(spark, sf_dir):
     fonts = _map(spark).filter("local_path like 'assets/fonts/%'")
     return rewrite.css_fonts(_css(spark), fonts).select("id", "body")
@@ -593,11 +722,11 @@ def _scripts(spark: SparkSession) -> DataFrame:
     return _js(spark).withColumn("base", F.lit("https://s.com/"))
 
 
-_JS_OUT = [(1, 'import("../js/h4.js"); fetch("/api/x", {}); axios.post(\'/v1/y\'); fetch("/api/z")'), (2, 'x.open("GET", "../api/h7.json"); y="../fonts/h5.woff2"; z=`/t/a.png`; w=\'../other/h6\'; path: "/route", path: \'rel\''),
-           (3, 'k="/_next/static/media/f.woff2"; d=\'/_next/data/b1/p.json\'; o=`https://o.com/q`; import("https://o.com/m.js")'), (4, "nothing"), (5, None)]
+_JS_OUT = [(1, 'import("../js/h4.js"); fetch("../api/h7.json", {}); axios.post(\'/v1/y\'); fetch("/api/z")'), (2, 'x.open("GET", "../api/h7.json"); y="../fonts/h5.woff2"; z=`/t/a.png`; w=\'../other/h6\'; path: "/route", path: \'rel\''),
+           (3, 'k="../fonts/h5.woff2"; d=\'/_next/data/b1/p.json\'; o=`https://o.com/q`; import("https://o.com/m.js")'), (4, "nothing"), (5, None)]
 
 
-@query(f"SELECT id, CASE id WHEN 1 THEN replace(body, 'fetch(\"/api/x\", {{}})', 'fetch(\"../api/h7.json\", {{}})') WHEN 3 THEN replace(body, '\"/_next/static/media/f.woff2\"', '\"../fonts/h5.woff2\"') ELSE body END AS body FROM {fx.sql(_JS_OUT)} t(id, body)")
+@query(f"SELECT * FROM {fx.sql(_JS_OUT)} t(id, body)")
 def js_rewrite(spark, sf_dir):
     """All passes, against results worked out by hand."""
     return rewrite.js(_scripts(spark), _map(spark)).select("id", "body")
@@ -645,6 +774,12 @@ def manifest_assets(spark, sf_dir):
     return manifest.assets(dedup.canonical_paths(rows).filter("is_new").select("ord", "url", C("canonical_path").alias("path"), "hash"))
 
 
+@query(f"SELECT page_id AS ord, url, 'assets/x' AS path, length(html) AS size FROM pages")
+def manifest_sizes(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(C("page_id").alias("ord"), "url", F.lit("assets/x").alias("path"), F.length("html").cast("long").alias("size"))
+    return manifest.assets(rows, with_size=True)
+
+
 @query("""SELECT '{"version":"1.0","baseUrl":"https://s.com","generatedAt":"2024-01-01T00:00:00.000Z","pages":[{"url":"https://s.com/","path":"index.html"},{"url":"https://s.com/two","path":"two/index.html"}],"assets":[{"url":"https://s.com/1","path":"p1","hash":"h1"},{"url":"https://s.com/5","path":"p5","hash":"h2"}]}' AS json""")
 def manifest_json(spark, sf_dir):
     pages = fx.frame(spark, [(i, *r) for i, r in enumerate(fx.PAGE_MAP)], "ord int, url string, path string")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import shared_folder
+
 
 def events(spark: SparkSession, sf_dir: str, name: str = "events", files_per_trigger: int | None = None) -> DataFrame:
     """The event table as a stream; ``ts`` becomes a timestamp, as watermarks need."""
@@ -52,10 +55,16 @@ def navigations(rows: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain what is there now into a memory table and return it: for tests and small reports."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Drain what is there now into a table in the shared folder and return it. In complete mode each micro-batch
+    replaces the table, else it is added; progress is kept beside it."""
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/table" if mode == "complete" else f"{root}/table/batch={number}")
+
+    for_each_batch(stream, store, f"{root}/progress", mode).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/table")
 
 
 def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
