@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, release, table
 
 SPACE = "▁"
-LONG_WORD = 48
+LONG_WORD = 60
 #: Bytes of text in a pack.
-PACK = 16_000_000
+PACK = 5_000_000
 #: What a character without a piece costs a path, beside any score of a real model.
 UNKNOWN = -1e12
 NONE = 2_147_483_647
@@ -67,7 +67,8 @@ class Pieces:
         return {self.names[i]: (r, i, self.scores[i]) for r, i in enumerate(order)}
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(p, r, i, s) for p, (r, i, s) in self.ranked().items()], "piece string, rank int, id int, score double")
+        rows = [(p, r, i, s) for p, (r, i, s) in self.ranked().items()]
+        return spark.createDataFrame([*rows, ("", (1 << 24) - 1, 0, 0.0)], "piece string, rank int, id int, score double")
 
     @property
     def longest(self) -> int:
@@ -145,13 +146,26 @@ def long_ids(word: str, pieces: dict[str, tuple[int, int, float]], bytes_at: int
 # An edge is one long: rank (24 bits), id (24), start (6), end (6), so that sorting edges sorts them by rank and start.
 _EDGE = "shiftleft(cast(rank as bigint), 36) | shiftleft(cast(id as bigint), 12) | shiftleft(cast(i as bigint), 6) | cast(j as bigint)"
 _I, _J = "cast(shiftright({e}, 6) & 63 as int)", "cast({e} & 63 as int)"
-# edges by rank; the state is (cuts, whether no better rank came too late); at a merge the two new pairs are looked up
-_MERGES = f"""aggregate(edges, named_struct('cuts', sequence(0, length(word)), 'clean', true), (b, e) ->
-  if({_J} - {_I} < 2, b, element_at(transform(array(cast(array_position(b.cuts, {_I}) as int)), p ->
-    if(p = 0 or coalesce(get(b.cuts, p + 1), -1) <> {_J}, b, named_struct(
-      'cuts', concat(slice(b.cuts, 1, p), slice(b.cuts, p + 2, size(b.cuts))),
-      'clean', b.clean and coalesce(try_element_at(known, get(b.cuts, p - 2) * 64 + {_J}) > e, true)
-        and coalesce(try_element_at(known, {_I} * 64 + get(b.cuts, p + 2)) > e, true)))), 1)))""".replace("{e}", "e")
+# Edges by rank. The state is one long: a bit for each place where the word is still cut, and DIRTY once a merge has made
+# one of better rank possible, which the walk has passed already. An edge is a merge if both its ends are cuts and just
+# one cut lies between them.
+_DIRTY = 1 << 62
+_INNER = "(shiftright(b, {I} + 1) & (shiftleft(1L, {J} - {I} - 1) - 1))"
+_TOP = "if({x} >= 16777216, 24 + cast(log2(shiftright({x}, 24) + 0.5D) as int), cast(log2({x} + 0.5D) as int))"
+_LEFT, _RIGHT = "(m & (shiftleft(1L, {I}) - 1))", f"shiftright(m & {_DIRTY - 1}L, {{J}} + 1)"
+
+
+def _walk() -> str:
+    """The fold's expression: an aggregate over ``edges``, with ``known`` to look up the two new neighbours of a merge."""
+    i, j = _I.format(e="e"), _J.format(e="e")
+    inner, left, right = (x.format(I=i, J=j) for x in (_INNER, _LEFT, _RIGHT))
+    before = f"{left} <> 0 and coalesce(try_element_at(known, ({_TOP.format(x=left)}) * 64 + {j}) < e, false)"
+    after = f"{right} <> 0 and coalesce(try_element_at(known, {i} * 64 + {j} + 1 + bit_count(({right} & -{right}) - 1)) < e, false)"
+    merged = f"transform(array(b & ~shiftleft({inner}, {i} + 1)), m -> if(({before}) or ({after}), m | {_DIRTY}L, m))[0]"
+    merges = f"{j} - {i} > 1 and (shiftright(b, {i}) & 1) = 1 and (shiftright(b, {j}) & 1) = 1 and bit_count({inner}) = 1"
+    return f"aggregate(edges, shiftleft(1L, length(word) + 1) - 1, (b, e) -> if({merges}, {merged}, b))"
+
+
 _AGAIN = f"""aggregate(sequence(1, length(word)), sequence(0, length(word)), (b, s) -> if(size(b) < 3, b,
   element_at(transform(array(array_min(transform(sequence(0, size(b) - 3), t -> struct(coalesce(shiftright(try_element_at(known, b[t] * 64 + b[t + 2]), 36), {NONE}) as r, t as t)))),
     m -> if(m.r = {NONE}, b, concat(slice(b, 1, m.t + 1), slice(b, m.t + 3, size(b))))), 1)))"""
@@ -174,16 +188,17 @@ def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
     known = F.broadcast(pieces.frame(spark))  # as many rows as the vocabulary
     unigram = pieces.kind == "unigram"
     parts = words.select("word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("i"))
-    parts = parts.select("word", "i", F.explode(F.expr(f"sequence(i + 1, least(i + {pieces.longest}, length(word)))")).alias("j")).withColumn("piece", F.expr("substring(word, i + 1, j - i)"))
-    lattice = parts.join(known, "piece").groupBy("word").agg(F.array_sort(F.collect_list(F.expr(_EDGE))).alias("edges"))
-    lattice = words.join(lattice, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<long>")))  # a word may have no edge at all
+    # with an empty substring at the start, whose edge is the last and no merge: so every word has one
+    parts = parts.select("word", "i", F.explode(F.expr(f"sequence(if(i = 0, 0, i + 1), least(i + {pieces.longest}, length(word)))")).alias("j")).withColumn("piece", F.expr("substring(word, i + 1, j - i)"))
+    lattice = parts.join(known, "piece").groupBy("word").agg(F.sort_array(F.collect_list(F.expr(_EDGE))).alias("edges"))
     lattice = lattice.withColumn("known", F.expr(f"map_from_arrays(transform(edges, e -> {_I} * 64 + {_J}), edges)".replace("{e}", "e")))
     if unigram:
-        scored = parts.join(known, "piece", "left").filter("id is not null or j = i + 1").groupBy("word")
-        scored = scored.agg(F.array_sort(F.collect_list(F.struct("j", "i", F.coalesce("score", F.lit(UNKNOWN)).alias("score")))).alias("scored"))
+        scored = parts.filter("j > i").join(known, "piece", "left").filter("id is not null or j = i + 1").groupBy("word")
+        scored = scored.agg(F.sort_array(F.collect_list(F.struct("j", "i", F.coalesce("score", F.lit(UNKNOWN)).alias("score")))).alias("scored"))
         folded = lattice.join(scored, "word").withColumn("cuts", F.expr(_VITERBI))
     else:
-        folded = lattice.withColumn("once", F.expr(_MERGES)).withColumn("cuts", F.when(F.col("once.clean"), F.col("once.cuts")).otherwise(F.expr(_AGAIN)))
+        cuts = F.expr("filter(sequence(0, length(word)), t -> (shiftright(once, t) & 1) = 1)")
+        folded = lattice.withColumn("once", F.expr(_walk())).withColumn("cuts", F.when(F.col("once") < _DIRTY, cuts).otherwise(F.expr(_AGAIN)))
     return folded.select("word", F.expr(_IDS.replace("{at}", str(pieces.bytes_at))).alias("ids"))
 
 
@@ -259,10 +274,13 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     packs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, "pack long, blob binary")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    listed = packs.mapInArrow(_words, "pack long, place int, word string").repartition(n, "word")  # a word once a pack at most
-    distinct = listed.groupBy("word").agg(F.max("pack").alias("p"), F.max("place").alias("q")).filter("p is not null and q is not null").select("word")  # all columns: one exchange serves both
-    found = listed.join(word_ids(distinct, pieces), "word").select("pack", "place", "ids")
+    listed = packs.mapInArrow(_words, "pack long, place int, word string")  # a word once a pack at most
+    # distinct words are folded on their own and written down; the join that hands their ids out can be split where many
+    # packs hold the same word
+    scratch = Scratch(spark, "pieces")
+    known = scratch.keep(word_ids(listed.select("word").distinct(), pieces), "words")
+    release(spark)
+    found = listed.join(known.hint("merge"), "word").select("pack", "place", "ids")
     shared = spark.sparkContext.broadcast((pieces.ranked(), pieces.bytes_at, pieces.kind, pieces.longest))
 
     def assemble(found: pa.Table, packs: pa.Table) -> pa.Table:
