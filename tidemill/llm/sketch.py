@@ -76,11 +76,11 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _bits(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "bits": [_packed(np.flatnonzero(_hits(pdf) > 1).astype(np.uint32))]})
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1].to_numpy(), "bits": [zlib.compress(np.packbits(_hits(pdf) > 1, bitorder="little").tobytes(), 1)]})
 
 
 class Sketch:
-    """The set places by slice, packed; they are unpacked where they are first asked for, in 32 MB."""
+    """A bit for each place by slice, compressed: 512 KB a slice at most. They are unpacked where they are first asked for."""
 
     def __init__(self, slices: dict[int, bytes]):
         self.slices = slices
@@ -91,9 +91,7 @@ class Sketch:
         if self.bits is None:
             bits = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
             for i, blob in self.slices.items():
-                one = np.zeros(1 << SLICE_BITS, bool)
-                one[_places(blob)] = True
-                bits[i] = np.packbits(one, bitorder="little")
+                bits[i] = np.frombuffer(zlib.decompress(blob), np.uint8)
             self.bits = bits.reshape(-1)
         place = (keys >> U(64 - SKETCH_BITS)).astype(np.int64)
         return (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
