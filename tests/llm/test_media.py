@@ -76,3 +76,35 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, content int")
     got = media.samples_of(media.sniff(media.store(docs).selectExpr("*", "'x' as declared"), "content", "declared")).collect()
     assert sorted((r.n_bytes, r.payload_bytes) for r in got) == [(0, 192), (0, 192), (1, 192), (192, 192), (200_000, 200_064), (200_000, 200_064)]
+
+
+def test_many_headers_without_an_archive_take_linear_time():
+    import time
+
+    from tidemill.llm import media
+
+    took = []
+    for n in (4_000, 32_000):
+        b = b"PK\x03\x04" + bytes(6)
+        start = time.perf_counter()
+        assert all(media._zip(b * n, at) is None for at in range(0, 200, 10))
+        value = b * n
+        assert media._zip(value, 0) is None and all(media._zip(value, at) is None for at in range(0, len(value), 10))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 60 * max(took[0], 0.005)
+
+
+def test_archives_within_a_value():
+    import io
+    import zipfile
+
+    from tidemill.llm import media
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "x" * 50)
+    one = out.getvalue()
+    value = b"some text " + one + b" between " + one + b"!"
+    first, second = 10, 10 + len(one) + 9
+    assert media._zip(value, first) == first + len(one) and media._zip(value, second) == second + len(one)
+    assert media._zip(value, first + 1) is None

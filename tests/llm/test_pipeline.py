@@ -57,3 +57,39 @@ def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.count() > 0
+
+
+def test_stages_with_odd_rows(spark, sf_dir):
+    """Nulls anywhere, empty and long texts, repeated rows and ids, and columns with clashing names: every stage has a
+    defined result."""
+    prose = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) > 600 and lang = 'en'").orderBy("doc_id").limit(6).collect()]
+    rows = [(1, prose[0], "en"), (1, prose[0], "en"), (2, prose[0], None), (3, prose[1], "en"), (3, prose[2], "en"), (None, prose[3], "en"), (4, None, "en"), (5, "", None), (6, " \n", "en"), (7, (prose[4] + "\n") * 60, "en"), (8, prose[5], "en")]
+    extra = ("s", 1, True, "r", 2, "x", 3)
+    names = ["doc_id", "text", "lang", "score", "letters", "rejected", "rid", "keep_id", "_old", "component_id"]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, lang string, score string, letters int, rejected boolean, rid string, keep_id int, _old string, component_id int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+            break
+        assert out.columns == names
+        got = out.collect()
+        assert all(tuple(r)[3:] == extra for r in got)
+        ids = sorted((r.doc_id or 0, len(r.text or "")) for r in got)
+        n = [len(p) for p in prose]
+        if name == "language_id":  # rows without letters go, each by its own text
+            assert ids == sorted([(1, n[0]), (1, n[0]), (2, n[0]), (3, n[1]), (3, n[2]), (0, n[3]), (7, 60 * (n[4] + 1)), (8, n[5])])
+            docs = out.unionByName(docs.filter("doc_id in (4, 5)")).cache()  # the next stages see null and empty texts too
+        elif name == "exact_dedup":  # of the null and the empty text the smaller id stays
+            assert [i for i, _ in ids] == [0, 1, 1, 3, 3, 4, 7, 8]
+            docs = out.cache()
+        else:
+            assert [i for i, _ in ids] == [0, 1, 1, 3, 3, 4, 7, 8]
+            docs = out.cache()
+
+
+def test_stages_with_empty_tables(spark, sf_dir):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.collect() == [] and (name == "packing" or out.columns == docs.columns)

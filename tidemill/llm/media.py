@@ -195,6 +195,7 @@ def _ogg(b: bytes, at: int) -> int | None:
 
 
 def _flac(b: bytes, at: int) -> int | None:
+    """Metadata blocks are followed to the first frame. Frames tell no lengths, so the stream is taken to fill the value."""
     p, first = at + 4, True
     while p + 4 <= len(b):
         kind, size = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
@@ -311,7 +312,8 @@ def carve(df: DataFrame, content_col: str, embedded_col: str = "embedded") -> Da
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and content: each text as samples of a WAVE file. Null counts as empty."""
+    """doc_id, n_bytes and content: each text as samples of a WAVE file. Null counts as empty; rows that repeat an id are
+    stored each for itself. A text of 4 GB and more does not fit a WAVE file; Spark's strings end at 2 GB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -189,7 +189,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additive:
-    """Fit on ``rows`` labelled documents at most. labels: doc_id, label (0 or 1); docs: doc_id, text."""
+    """Fit on ``rows`` labels at most, those with the smallest hash of the id. labels: doc_id, label (0 or 1); docs: doc_id,
+    text. Labels that repeat an id each count, and each row of ``docs`` that repeats a labelled id is learned from with
+    every label of it. Null ids and other labels are no labels; a null text counts as empty; without any label the model
+    scores 0.5."""
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # ``rows`` short rows
@@ -205,7 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additiv
 
 
 def score(docs: DataFrame, model: Additive, text_col: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1); a column of that name is replaced. Null and empty texts get a score too."""
+    """``docs`` with score (0 to 1); a column of that name is replaced. Every row gets a score from its own text alone, read
+    whole, so rows that repeat an id with other texts differ; null and empty texts get one too."""
     docs = docs.select([c for c in docs.columns if c != "score"])
     place = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
