@@ -113,3 +113,39 @@ def test_streams(spark, sf_dir, tmp_path):
     rows = [(day + datetime.timedelta(minutes=m), u) for m, u in ((0, 1), (1, 1), (30, 1), (0, 2))]
     got = network.quiet_sessions(spark.createDataFrame(rows, "ts timestamp, user_id long"), "5 minutes", "1 hour").collect()
     assert sorted((r.user_id, r.n) for r in got) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_attributes_of_odd_tags(spark):
+    from tidemill.operators import extract
+
+    tags = [
+        "<a href=/x>", "<a title='href=\"no\"' href = '/y'>", "<A HREF=\"/z?a=1&amp;b=2\" x>", "<a href>", "<a data-href=no>", "<a href=\"\">", "<a title=it's href=/q/r>", "<a/href=/s>", "<a \"stray\" href=/t>", "<a href='a > b'>",
+    ]
+    rows = spark.createDataFrame(list(enumerate(tags)), "i int, tag string")
+    got = [r.v for r in rows.orderBy("i").select(extract.attribute(F.col("tag"), "href").alias("v")).collect()]
+    assert got == ["/x", "/y", "/z?a=1&b=2", None, None, "", "/q/r", "/s", "/t", "a > b"]
+    page = spark.createDataFrame([(1, "https://a.com/", "<a title='1 > 0' href=/x>t</a><!-- <a href=/no> --><script>'<a href=/no>'</script>")], "page_id int, url string, html string")
+    assert [r.href for r in extract.hrefs(page).collect()] == ["/x"]
+
+
+def test_robots_patterns_are_literal(spark):
+    from tidemill.operators import robots
+
+    rows = [("/a[b", "/a[bc", True), ("/a[b", "/ab", False), ("/x.y", "/xzy", False), ("/p(*)$", "/p(q)", True), ("/p(*)$", "/p(q)r", False), ("/$a", "/$a", True), ("/\\E", "/\\E1", True), ("/*", "/", True)]
+    df = spark.createDataFrame(rows, "pattern string, path string, want boolean")
+    assert all(r.want == r.got for r in df.select("want", robots.path_matches(F.col("path"), F.col("pattern")).alias("got")).collect())
+
+
+def test_limits_ranks_and_routes(spark):
+    from tidemill.operators import assets, extract
+
+    rows = spark.createDataFrame([("css", 3), ("js", 1), ("image", 2), ("css", 4)], "type string, ord int")
+    assert [r.ord for r in assets.limited(rows, 3, ["css", "js"], stored=1).collect()] == [1, 3]
+    assert assets.limited(rows, 3, stored=5).count() == 0
+    queue = spark.createDataFrame([(f"u{i:03}", i % 7, i % 3) for i in range(200)], "url string, depth int, priority int")
+    want = sorted(((f"u{i:03}", i % 7, i % 3) for i in range(200)), key=lambda r: (-r[2], r[1], r[0]))
+    got = {r.url: r.place for r in crawl.ranked(queue.repartition(5)).collect()}
+    assert got == {r[0]: i for i, r in enumerate(want, 1)}
+    links = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "page_id int, link string")
+    routes = spark.createDataFrame([(1, "a"), (1, "c")], "page_id int, url string")
+    assert {tuple(r) for r in extract.links_and_routes(links, routes).collect()} == {(1, "a"), (1, "c"), (2, "b")}
