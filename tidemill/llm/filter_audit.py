@@ -20,7 +20,7 @@ import json
 from itertools import permutations
 from math import factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -71,8 +71,8 @@ def cells(docs: DataFrame, labels: DataFrame, part_col: str = "lang") -> DataFra
         F.min("doc_id").alias("doc_id"),
         F.min_by("n", "doc_id").alias("at_least"),
     )
-    least = held.groupBy(F.col("digest").alias("d_"), F.col("size").alias("s_")).agg(F.min("doc_id").alias("first"))
-    held = held.join(least, (F.col("digest") == F.col("d_")) & (F.col("size") == F.col("s_")))
+    # a window of few rows: one for each part and pair of labels that a text has
+    held = held.withColumn("first", F.min("doc_id").over(Window.partitionBy("digest", "size")))
     first = F.col("no_id") + F.when(F.col("doc_id") == F.col("first"), F.col("at_least")).otherwise(0)
     again = 1 << FILTERS.index(REPEATED)
     split = F.explode(F.array(F.struct(F.col("own").alias("mask"), first.alias("n")), F.struct((F.col("own") + again).alias("mask"), (F.col("n") - first).alias("n"))))
