@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialog_repair, exact_dedup, filter_audit, langid, line_dedup, media, ngram_join, packing, pieces, quality, substring_dedup, url_filter
+from . import dialog_repair, exact_dedup, filter_audit, langid, line_dedup, media, ngram_join, packing, pieces, quality, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_media_columns": media.op8_media_columns,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_quality_rules": quality_rules.op12_quality_rules,
     "op13_conversation_repair": dialog_repair.op13_conversation_repair,
 }
 

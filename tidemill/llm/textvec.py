@@ -52,8 +52,8 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.nd
         at = to
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased: (64-bit hashes, first bytes, bytes after the last, words before each row)."""
+def words(raw: np.ndarray, offsets: np.ndarray, lower_case: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, or as they are: (64-bit hashes, first bytes, bytes after the last, words before each row)."""
     n_rows = len(offsets) - 1
     if not len(raw):
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n_rows + 1, np.int64)
@@ -68,7 +68,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last = ~white
     last[:-1] &= white[1:] | edge[1:]
     ends = np.flatnonzero(last) + 1
-    lower = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
+    lower = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32) if lower_case else raw
     at = np.repeat(starts, np.diff(np.append(starts, len(raw))))
     inside = np.arange(starts[0], len(raw)) - at
     body = lower[starts[0] :].astype(U) + U(1)
