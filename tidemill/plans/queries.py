@@ -836,3 +836,6 @@ def spa_routes(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_scope(spark, sf_dir)
+
+
+from . import stream_queries  # noqa: E402, F401  registers its queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -54,17 +55,36 @@ def navigations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("url").agg(F.min("ord").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"]).alias("urls"))
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def run_to_end(stream: DataFrame, name: str, mode: str = "complete", provider: str | None = None) -> DataFrame:
     """Drain what is there now into a table in the shared folder and return it. In complete mode each micro-batch
-    replaces the table, else it is added; progress is kept beside it."""
+    replaces the table, else it is added; progress is kept beside it. ``provider``: the state store it needs, if not the
+    session's own."""
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/table" if mode == "complete" else f"{root}/table/batch={number}")
 
-    for_each_batch(stream, store, f"{root}/progress", mode).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/table")
+    with state_store(spark, provider):
+        running = for_each_batch(stream, store, f"{root}/progress", mode)
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/table").select(stream.columns)
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession, provider: str | None):
+    """Streams that start within have this state store; the session's setting is then what it was."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if provider:
+        spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        if provider and before:
+            spark.conf.set(key, before)
+        elif provider:
+            spark.conf.unset(key)
 
 
 def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
