@@ -1,7 +1,4 @@
-"""What pages, style sheets and scripts refer to.
-
-HTML is read by patterns, after comments and script bodies are gone: attribute values with either quotes or none.
-"""
+"""What pages, style sheets and scripts refer to. HTML is read as tokens (see markup)."""
 
 from __future__ import annotations
 
@@ -9,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from . import filters
+from . import filters, markup
+from .markup import attribute, attribute_pattern, raw_attribute  # noqa: F401
 
 # What counts as a reference in style sheets and scripts.
 CSS_URL = r"(?i)url\(['\"]?([^'\"()]+)['\"]?\)"
@@ -19,61 +17,32 @@ JS_IMPORT, JS_FETCH = r"import\([\"']([^\"']+)[\"']\)", r"fetch\([\"']([^\"']+)[
 JS_TEMPLATE, JS_STRING = r"`((?:https?://[^$`]+)|(?:/[^$`]+))`", r"([\"'])(/[^\"'\s)}]+)\1"
 
 
-def markup(html: Column, keep_script_tags: bool = False) -> Column:
-    """HTML without comments and without what stands inside scripts."""
-    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(bare, r"(?is)(<script\b[^>]*>).*?</script>", "$1</script>" if keep_script_tags else "")
-
-
 def title(html: Column) -> Column:
     """The text of all titles; empty without any."""
-    return text.decode_entities(F.array_join(F.regexp_extract_all(markup(html), F.lit(r"(?is)<title[^>]*>(.*?)</title>"), F.lit(1)), ""))
+    return text.decode_entities(F.array_join(markup.raw_texts(html, "title"), ""))
 
 
 #: What a tag holds up to its end: a > within a quoted value does not end it.
 IN_TAG = r"(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+"
 
 
-def attribute_pattern(name: str) -> str:
-    """A tag by its attribute of that name: (before the value, the value with its quotes if any, after it).
-
-    Attributes before it are stepped over whole, so a name within another one's value is none.
-    """
-    value = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)"
-    return rf"(?is)^(<[^\s>/]*+(?:[\s/\"'=]++|(?!{name}\s*=)[^\s\"'>/=][^\s>/=]*+(?:\s*+=\s*+{value})?+)*+{name}\s*+=\s*+)({value})(.*)$"
-
-
-def raw_attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's attribute as it stands, quoted or not; null without one, or where it has no value."""
-    bare = lambda raw: F.when(raw.startswith('"') | raw.startswith("'"), F.substr(raw, F.lit(2), F.length(raw) - 2)).when(raw != "", raw)
-    return F.get(F.transform(F.array(F.regexp_extract(tag, attribute_pattern(name), 2)), bare), F.lit(0))  # so that the tag stands in the plan once
-
-
-def attribute(tag: Column, name: str) -> Column:
-    """The decoded value."""
-    return text.decode_entities(raw_attribute(tag, name))
-
-
-def tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(markup(html, True), F.lit(rf"(?is)<(?:{name})\b{IN_TAG}>"), F.lit(0))
-
-
 def hrefs(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, url, pos, href) of every a[href], in order."""
-    each = pages.select(id_col, "url", F.posexplode(tags(F.col("html"), "a")).alias("pos", "tag"))
-    return each.select(id_col, "url", "pos", attribute(F.col("tag"), "href").alias("href")).filter("href is not null")
+    """(id, url, base, pos, href) of every a[href], in order; ``base`` is what it is relative to."""
+    found = pages.select(id_col, "url", markup.base_url(F.col("html"), F.col("url")).alias("base"), markup.tags(F.col("html"), "a").alias("tags"))
+    each = found.select(id_col, "url", "base", F.posexplode("tags").alias("pos", "tag"))
+    return each.select(id_col, "url", "base", "pos", attribute(F.col("tag"), "href").alias("href")).filter("href is not null")
 
 
 def links(pages: DataFrame, include: list[str] = (), exclude: list[str] = (), same_domain_only: bool = True, id_col: str = "page_id") -> DataFrame:
     """(id, url, pos, link): resolved links that should be crawled, the first of equal ones on a page."""
-    found = hrefs(pages, id_col).withColumn("link", urls.resolve(F.col("href"), F.col("url")))
+    found = hrefs(pages, id_col).withColumn("link", urls.resolve(F.col("href"), F.col("base")))
     found = found.filter(filters.should_crawl(F.col("link"), F.col("url"), include, exclude, same_domain_only))
     return found.groupBy(id_col, "url", "link").agg(F.min("pos").alias("pos"))
 
 
 def links_below(pages: DataFrame, base: str, id_col: str = "page_id") -> DataFrame:
     """(id, link): the distinct resolved links that start with ``base``."""
-    found = hrefs(pages, id_col).withColumn("link", urls.resolve(F.col("href"), F.col("url")))
+    found = hrefs(pages, id_col).withColumn("link", urls.resolve(F.col("href"), F.col("base")))
     return found.filter(F.col("link").startswith(base)).select(id_col, "link").distinct()
 
 
@@ -82,18 +51,18 @@ def page_assets(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 
     A page is read once; ``pos`` counts the tags of one name.
     """
-    found = pages.select(id_col, "url", tags(F.col("html"), "link|script|img").alias("_all"))
+    found = pages.select(id_col, "url", markup.base_url(F.col("html"), F.col("url")).alias("_base"), markup.tags(F.col("html"), "link|script|img").alias("_all"))
 
     def group(grp: int, tag: str, attr: str, kind: str) -> Column:
         mine = F.filter("_all", lambda t: t.rlike(rf"(?i)^<{tag}\b"))
         return F.transform(mine, lambda t, i: F.struct(F.lit(kind).alias("kind"), F.lit(grp).alias("grp"), i.alias("pos"), F.lit(attr).alias("attr"), t.alias("tag")))
 
     groups = F.concat(group(0, "link", "href", "css"), group(1, "script", "src", "js"), group(2, "img", "src", "image"), group(3, "link", "href", "image"))
-    each = found.select(id_col, "url", F.explode(groups).alias("t")).select(id_col, "url", "t.*")
+    each = found.select(id_col, "url", "_base", F.explode(groups).alias("t")).select(id_col, "url", "_base", "t.*")
     each = each.withColumn("ref", F.when(F.col("attr") == "href", attribute(F.col("tag"), "href")).otherwise(attribute(F.col("tag"), "src"))).filter("ref is not null and ref <> ''")
     rel = raw_attribute(F.col("tag"), "rel")
     each = each.filter(F.when(F.col("grp") == 0, rel == "stylesheet").when(F.col("grp") == 3, F.contains(rel, F.lit("icon"))).otherwise(True))
-    return each.select(id_col, "url", "kind", "grp", "pos", "ref", urls.resolve(F.col("ref"), F.col("url")).alias("asset")).filter("asset is not null")
+    return each.select(id_col, "url", "kind", "grp", "pos", "ref", urls.resolve(F.col("ref"), F.col("_base")).alias("asset")).filter("asset is not null")
 
 
 def first_assets(assets: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -161,5 +130,5 @@ def page_rows(pages: DataFrame) -> DataFrame:
     status = F.col("status") if "status" in pages.columns else F.lit(200)
     final = F.col("final_url") if "final_url" in pages.columns else F.col("url")
     return pages.select(
-        "page_id", url.alias("parsed"), title(F.col("html")).alias("title"), status.cast("int").alias("status"), F.coalesce(final, "url").alias("final_url"), F.length("html").cast("long").alias("chars"), F.size(tags(F.col("html"), "a")).cast("long").alias("anchors")
+        "page_id", url.alias("parsed"), title(F.col("html")).alias("title"), status.cast("int").alias("status"), F.coalesce(final, "url").alias("final_url"), F.length("html").cast("long").alias("chars"), F.size(markup.tags(F.col("html"), "a")).cast("long").alias("anchors")
     )

@@ -8,18 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinds, urls
+from . import globs
 
 # Fixed value: asset types whose bodies are kept.
 CAPTURED_TYPES = ("css", "js", "image", "font", "api", "media")
 
 
-def glob_regex(pattern: str) -> str:
-    """A glob as an anchored regular expression: * any text, ? any character; other characters as they are."""
-    return "^" + pattern.replace("*", ".*").replace("?", ".") + "$"
-
-
-def _any(url: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [url.rlike(glob_regex(p)) for p in patterns], F.lit(False))
+def _any(url: Column, patterns: list[str], literal: bool = True) -> Column:
+    """Whether any glob of a list matches; lists too long for a plan are tables (see substrings.matched)."""
+    return url.rlike(globs.pattern(list(patterns), literal)) if patterns else F.lit(False)
 
 
 def included(url: Column, include: list[str]) -> Column:

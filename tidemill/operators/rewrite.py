@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text, urls
 from ..plans.lineage import cut
-from . import filters
-from .extract import IN_TAG, attribute, attribute_pattern, raw_attribute
+from . import filters, markup, substrings
+from .extract import IN_TAG
+from .markup import attribute, attribute_pattern, raw_attribute
 
-SKIPPED = r"<!--.*?-->"
+#: Where tags are none: comments, and elements other than scripts whose content is text.
+SKIPPED = "|".join([markup.COMMENT, *(rf"<{n}(?=[\s/>]){markup.INSIDE}>.*?(?=</{n}[\s/>]|\z)" for n in markup.RAW.split("|") if n not in ("script", "iframe"))])
 # Attributes in which pages keep URLs for scripts.
 DATA_ATTRIBUTES = ("data-bg", "data-background", "data-src", "data-href", "data-url", "data-image")
 #: Chunks and media that a framework asks for at run time come from the mirror's folders.
@@ -42,17 +44,13 @@ def look_up_www(rows: DataFrame, key: str, table: DataFrame, out: str = "path")
 
 
 def contains_lookup(files: DataFrame, origins: DataFrame) -> DataFrame:
-    """(name, url): the first origin URL (by ord) whose path holds the stem of a style sheet's file name.
-
-    Every stem is looked up: an equi-join on the runs of word characters (and dots and dashes) of the stored path's last
-    segments that a stem can be, instead of a scan of all pairs. Stored names are a stem, or a stem and an extension, in
-    a folder; stems that would only match inside such a run, or across one, match nothing.
-    """
-    stems = files.filter(F.col("name").endswith(".css")).select("name", F.replace("name", F.lit(".css"), F.lit("")).alias("stem")).filter("stem <> ''")
-    runs = F.flatten(F.transform(F.split("local_path", "/", -1), lambda x: F.array(x, F.regexp_replace(x, r"\.[^.]*$", ""), F.regexp_replace(x, r"\..*$", ""))))
-    each = origins.select("url", "ord", F.explode(F.array_distinct(runs)).alias("stem"))
-    found = stems.join(each, "stem").groupBy("name").agg(F.min(F.struct("ord", "url")).alias("x"))
-    return files.select("name").join(found, "name", "left").select("name", F.col("x.url").alias("url"))
+    """(name, url): the first origin URL (by ord) whose path holds the stem of a style sheet's file name anywhere; null
+    without one, and for names of other files. Found by the index of grams, not by a scan of all pairs."""
+    stems = files.filter(F.col("name").endswith(".css")).select("name", F.replace("name", F.lit(".css"), F.lit("")).alias("stem")).filter("stem <> ''").distinct()
+    held = substrings.containing(origins.select(F.col("local_path").alias("text")), stems.select(F.col("stem").alias("needle")))
+    first = origins.groupBy(F.col("local_path").alias("text")).agg(F.min(F.struct("ord", "url")).alias("x"))
+    found = held.join(first, "text").groupBy(F.col("needle").alias("stem")).agg(F.min("x").alias("x"))
+    return files.join(stems.join(found, "stem"), "name", "left").select("name", F.col("x.url").alias("url"))
 
 
 # -- the engine -----------------------------------------------------------------------------------------------------
@@ -60,13 +58,15 @@ def rewrite(df: DataFrame, pattern: str, replaced: Callable[[DataFrame], DataFra
     """``df`` with each match of ``pattern`` in the body replaced.
 
     ``replaced`` takes (id, pos, token, and the other columns of ``df``) and returns (id, pos, out); a null out keeps
-    the token. Bodies without a match, and null ones, stay as they are. ids must be unique.
+    the token. Bodies without a match, and null ones, stay as they are. Rows may repeat an id: what is replaced belongs to
+    the id, the body and the other columns together.
     """
     rest = [c for c in df.columns if c not in (id_col, body_col)]
-    tokens = df.select(F.col(id_col).alias("id"), *rest, F.posexplode(F.regexp_extract_all(body_col, F.lit(pattern), F.lit(0))).alias("pos", "token"))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(body_col, *rest).alias("of"))
+    tokens = df.select(key.alias("id"), *rest, F.posexplode(F.regexp_extract_all(body_col, F.lit(pattern), F.lit(0))).alias("pos", "token"))
     out = replaced(tokens).select("id", "pos", F.col("out"))
-    whole = out.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("out").isNotNull(), F.struct("pos", "out")))).alias("_r"))  # tokens of one body
-    both = df.join(whole.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left")
+    whole = out.groupBy("id").agg(F.map_from_entries(F.collect_set(F.when(F.col("out").isNotNull(), F.struct("pos", "out")))).alias("_r"))  # tokens of one body
+    both = df.join(whole.withColumnRenamed("id", "_id"), key == F.col("_id"), "left")
     parts, kept = F.split(body_col, pattern, -1), F.regexp_extract_all(body_col, F.lit(pattern), F.lit(0))
     piece = lambda x, i: F.concat(x, F.coalesce(F.try_element_at("_r", i), F.get(kept, i), F.lit("")))
     body = F.when(F.col("_r").isNull(), F.col(body_col)).otherwise(F.array_join(F.transform(parts, piece), ""))
@@ -106,7 +106,8 @@ def html_attributes(df: DataFrame, tag: str, attr: str, kind: str, table: DataFr
         new = F.concat(F.regexp_extract(value, r"(?i)(\d+);\s*url=", 1), F.lit("; url="), path) if kind == "refresh" else path
         return rows.withColumn("out", F.when(F.col("path").isNotNull(), _with_attribute(token, attr, new)))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<(?:{tag})\b{IN_TAG}>", replaced)
+    script = "" if "script" in tag.split("|") else rf"|<script\b{IN_TAG}>.*?(?=</script[\s/>]|\z)"
+    return rewrite(df, rf"(?is){SKIPPED}{script}|<(?:{tag})\b{IN_TAG}>", replaced)
 
 
 def srcset_value(rows: DataFrame, table: DataFrame) -> DataFrame:

@@ -264,7 +264,7 @@ def page_links_resolved(spark, sf_dir):
 
 @query(f"SELECT {_name('url')} AS host, count(DISTINCT page_id) AS pages, count(href) AS links, count(DISTINCT {_rooted('href', 'url')}) AS distinct_links, count(CASE WHEN {_name(_rooted('href', 'url'))} = {_name('url')} THEN 1 END) AS internal FROM {_HREFS} GROUP BY 1")
 def link_scope(spark, sf_dir):
-    found = extract.hrefs(table(spark, sf_dir, "pages")).withColumn("link", urls.resolve(C("href"), C("url")))
+    found = extract.hrefs(table(spark, sf_dir, "pages")).withColumn("link", urls.resolve(C("href"), C("base")))
     inside = urls.same_domain(C("link"), C("url"))
     return found.groupBy(urls.hostname(C("url")).alias("host")).agg(F.countDistinct("page_id").alias("pages"), F.count("href").alias("links"), F.countDistinct("link").alias("distinct_links"), F.count_if(inside).alias("internal"))
 
@@ -625,7 +625,7 @@ def asset_lookup_www(spark, sf_dir):
 
 @query(f"SELECT page_id, coalesce(m.path, l.href) AS target FROM {_HREFS} l LEFT JOIN (SELECT {_rooted('href', 'url')} AS k, 'p/' || min(page_id) AS path FROM {_HREFS} WHERE contains(url, '/en/') GROUP BY k) m ON {_rooted('href', 'l.url')} = m.k")
 def link_lookup(spark, sf_dir):
-    found = extract.hrefs(table(spark, sf_dir, "pages")).withColumn("key", urls.resolve(C("href"), C("url")))
+    found = extract.hrefs(table(spark, sf_dir, "pages")).withColumn("key", urls.resolve(C("href"), C("base")))
     known = found.filter("contains(url, '/en/')").groupBy(C("key").alias("url")).agg(F.concat(F.lit("p/"), F.min("page_id").cast("string")).alias("local_path"))
     return rewrite.look_up(found, "key", known).select("page_id", F.coalesce("path", "href").alias("target"))
 
@@ -648,7 +648,7 @@ _SITE = f"""(SELECT {_rooted('href', 'url')} AS url, 'l/' || min(page_id) || '.h
   SELECT t.page_id, sha256(array_to_string(list_transform(regexp_split_to_array(t.html, '(?is)<!--.*?-->|<(?:a)\b[^>]*>'), lambda x, i: x || coalesce(g.outs[i], '')), '')) AS body FROM t LEFT JOIN g ON t.page_id = g.page_id""")
 def html_rewrite_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    found = extract.hrefs(pages).withColumn("key", urls.resolve(C("href"), C("url")))
+    found = extract.hrefs(pages).withColumn("key", urls.resolve(C("href"), C("base")))
     known = found.filter("contains(url, '/en/')").groupBy(C("key").alias("url")).agg(F.concat(F.lit("l/"), F.min("page_id").cast("string"), F.lit(".html")).alias("local_path"))
     done = rewrite.html_attributes(pages.select(C("page_id").alias("id"), "url", C("html").alias("body")), "a", "href", "page", known)
     return done.select(C("id").alias("page_id"), F.sha2("body", 256).alias("body"))
