@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemill import schemas
-from tidemill.operators import crawl, filters, manifest, rewrite, stats
+from tidemill.operators import crawl, filters, globs, manifest, rewrite, stats
 from tidemill.plans import config
 from tidemill.sources import captures
 from tidemill.streaming import network
@@ -35,7 +35,7 @@ def test_works_without_the_llm_part(tmp_path):
 
 
 def test_globs():
-    assert filters.glob_regex("https://a.com/*") == "^https://a.com/.*$" and filters.glob_regex("/a?") == "^/a.$"
+    assert globs.pattern(["https://a.com/*"]) == r"(?s)\Ahttps://a\.com/.*\z" and globs.pattern(["/a?"], literal=False) == r"(?s)\A(?:/a.)\z"
 
 
 def test_config():

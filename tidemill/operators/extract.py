@@ -98,12 +98,14 @@ def direct_fonts(css: Column) -> Column:
     return F.filter(found, lambda u: u.rlike("^https?://"))
 
 
-def font_urls(sheets: DataFrame, base: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
-    """(font): distinct font URLs of style sheets (url, body), resolved against their own URL, in the crawl's scope."""
-    named = sheets.select("url", F.explode(font_faces(F.col("body"))).alias("ref")).filter(~F.col("ref").startswith("data:"))
-    named = named.select(urls.resolve(F.col("ref"), F.col("url")).alias("font"))
-    direct = sheets.select(F.explode(direct_fonts(F.col("body"))).alias("font"))
-    return named.unionByName(direct).filter(filters.should_crawl(F.col("font"), F.lit(base), include, exclude)).distinct()
+def font_urls(sheets: DataFrame, base: str | None = None, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """(font): distinct font URLs of style sheets (url, body), resolved against their own URL, in the crawl's scope: the
+    site of ``base``, or of each sheet."""
+    home = F.col("url") if base is None else F.lit(base)
+    named = sheets.select(home.alias("home"), "url", F.explode(font_faces(F.col("body"))).alias("ref")).filter(~F.col("ref").startswith("data:"))
+    named = named.select("home", urls.resolve(F.col("ref"), F.col("url")).alias("font"))
+    direct = sheets.select(home.alias("home"), F.explode(direct_fonts(F.col("body"))).alias("font"))
+    return named.unionByName(direct).filter(filters.should_crawl(F.col("font"), F.col("home"), include, exclude)).select("font").distinct()
 
 
 def routes(html: Column, scripts: Column) -> Column:

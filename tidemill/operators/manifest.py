@@ -28,3 +28,17 @@ def manifest(page_rows: DataFrame, asset_rows: DataFrame, base_url: str, generat
     both = listed(page_rows, ["url", "path"], "pages").join(listed(asset_rows, fields, "assets"), "_j")
     when = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return both.select(F.to_json(F.struct(F.lit("1.0").alias("version"), F.lit(base_url).alias("baseUrl"), when.alias("generatedAt"), "pages", "assets")).alias("json"))
+
+
+def by_site(page_rows: DataFrame, asset_rows: DataFrame, generated_at: str | None = None) -> DataFrame:
+    """(site, json): a manifest for each site of pages (site, ord, url, path) and assets (site, ord, url, path, hash). Its rows
+    meet by site, so a mirror of many sites is never one document."""
+
+    def listed(df: DataFrame, cols: list[str], out: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("ord", *cols)))  # of one site: what its document holds
+        return df.groupBy("site").agg(F.transform(ordered, lambda x: F.struct(*(x[c].alias(c) for c in cols))).alias(out))
+
+    both = listed(page_rows, ["url", "path"], "pages").join(listed(asset_rows, ["url", "path", "hash"], "assets"), "site", "left")
+    when = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    none = F.array().cast(both.schema["assets"].dataType)
+    return both.select("site", F.to_json(F.struct(F.lit("1.0").alias("version"), F.col("site").alias("baseUrl"), when.alias("generatedAt"), "pages", F.coalesce("assets", none).alias("assets"))).alias("json"))

@@ -1,7 +1,9 @@
-"""Small inputs of the registered queries, as rows for Spark and as VALUES for SQL."""
+"""Inputs of the registered queries: small rows for Spark and as VALUES for SQL, and what they are for every page."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,28 @@ def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+#: Every page with a host of its own.
+PAGES = "(SELECT page_id, 'p' || page_id || '.' || lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages)"
+
+
+def on_pages(pages: DataFrame, rows: list[tuple], schema: str, host: str = "s.com") -> DataFrame:
+    """The rows for every page: ids are page_id * 100 + id, and ``host`` in any text is the page's own host."""
+    names = [f.split() for f in schema.split(", ")]
+    each = F.from_json(F.lit(json.dumps([dict(zip((n for n, _ in names), r)) for r in rows])), f"array<struct<{schema}>>")
+    own = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("."), F.lower(F.regexp_extract("url", "://([^/?#:]*)", 1)))
+    every = pages.select("page_id", own.alias("_own"), F.explode(each).alias("r"))
+    value = {"int": lambda n: F.col(f"r.{n}"), "string": lambda n: F.replace(F.col(f"r.{n}"), F.lit(host), F.col("_own"))}
+    return every.select(*((F.col("page_id") * 100 + F.col("r.id") if n == "id" else value[kind](n)).alias(n) for n, kind in names))
+
+
+def on_pages_sql(rows: list[tuple], names: str, host: str = "s.com") -> str:
+    """The same in SQL."""
+    cols = names.split(", ")
+    text = [any(isinstance(r[i], str) for r in rows) for i in range(len(cols))]
+    each = ("page_id * 100 + id AS id" if n == "id" else f"replace({n}, '{host}', host) AS {n}" if t else n for n, t in zip(cols, text))
+    return f"(SELECT {', '.join(each)} FROM {PAGES}, {sql(rows)} t({names}))"
+
+
 def augmented(pages: DataFrame) -> DataFrame:
     """Pages with a style sheet, a script, an icon and an image, whose names repeat over pages."""
     page = F.col("page_id")

@@ -191,10 +191,10 @@ _RESOLVED = {1: "https://a.com/x/b.html", 2: "https://a.com/b%20c/%C3%A9", 3: "h
              9: "https://a.com/p?m", 10: None, 11: None, 12: "https://a.com/", 13: "https://a.com/dir/", 14: "http://c.com:8080/a?b=%C3%A9#%C3%BC"}
 
 
-@query(f"SELECT * FROM {fx.sql(sorted(_RESOLVED.items()))} t(id, resolved)")
+@query(f"SELECT * FROM {fx.on_pages_sql(sorted(_RESOLVED.items()), 'id, resolved', 'a.com')}")
 def url_resolve(spark, sf_dir):
-    """Against results worked out by hand."""
-    return fx.frame(spark, fx.REFS, "id int, ref string, base string").select("id", urls.resolve(C("ref"), C("base")).alias("resolved"))
+    """References of every page's host, against results worked out by hand."""
+    return _each(spark, sf_dir, fx.REFS, "id int, ref string, base string", "a.com").select("id", urls.resolve(C("ref"), C("base")).alias("resolved"))
 
 
 @query(f"SELECT page_id, url AS original, {_crawl_key('url')} AS normalized, {_name('url')} AS hostname, 0 AS depth, CAST(NULL AS VARCHAR) AS parent_url FROM pages")
@@ -240,10 +240,15 @@ def asset_paths(spark, sf_dir):
     )
 
 
-@query(f"SELECT id, regexp_replace(p, '^/', '') AS root, '../' || regexp_replace(regexp_replace(p, '^/', ''), '^assets/', '') AS script FROM {fx.sql([(1, '/a/b'), (2, 'assets/img/x.png'), (3, 'index.html'), (4, '/assets/js/y.js')])} t(id, p)")
+_PLACES = f"(SELECT page_id, unnest(['/' || path, 'assets/img/' || path, path, '/assets/js/' || page_id || '.js']) AS p FROM (SELECT page_id, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path FROM pages))"
+
+
+@query(f"SELECT page_id, p, regexp_replace(p, '^/', '') AS root, '../' || regexp_replace(regexp_replace(p, '^/', ''), '^assets/', '') AS script FROM {_PLACES}")
 def relative_paths(spark, sf_dir):
-    rows = fx.frame(spark, [(1, "/a/b"), (2, "assets/img/x.png"), (3, "index.html"), (4, "/assets/js/y.js")], "id int, p string")
-    return rows.select("id", paths.from_root(C("p")).alias("root"), paths.from_script(C("p")).alias("script"))
+    path = paths.page_path(C("url"))
+    places = F.array(F.concat(F.lit("/"), path), F.concat(F.lit("assets/img/"), path), path, F.concat(F.lit("/assets/js/"), C("page_id").cast("string"), F.lit(".js")))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(places).alias("p"))
+    return rows.select("page_id", "p", paths.from_root(C("p")).alias("root"), paths.from_script(C("p")).alias("script"))
 
 
 # -- extraction ------------------------------------------------------------------------------------------------------
@@ -298,48 +303,55 @@ def page_assets_first_wins(spark, sf_dir):
     return extract.first_assets(extract.page_assets(fx.augmented(table(spark, sf_dir, "pages")))).select("page_id", "asset", "kind", "grp")
 
 
-def _strings(rows: dict[int, list[str] | None]) -> str:
-    return "(VALUES " + ", ".join(f"({i}, CAST(" + ("NULL" if v is None else "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in v) + "]") + " AS VARCHAR[]))" for i, v in rows.items()) + ")"
+def _strings(rows: dict[int, list[str] | None], name: str = "found") -> str:
+    """(id, lists) for every page, with the page's own host."""
+    values = ", ".join(f"({i}, CAST(" + ("NULL" if v is None else "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in v) + "]") + " AS VARCHAR[]))" for i, v in rows.items())
+    return f"(SELECT page_id * 100 + id AS id, list_transform({name}, lambda x: replace(x, 's.com', host)) AS {name} FROM {fx.PAGES}, (VALUES {values}) t(id, {name}))"
+
+
+def _each(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str, host: str = "s.com") -> DataFrame:
+    """The rows for every page, with a host of its own."""
+    return fx.on_pages(table(spark, sf_dir, "pages"), rows, schema, host)
 
 
-def _css(spark: SparkSession) -> DataFrame:
-    return fx.frame(spark, fx.CSS, "id int, url string, body string")
+def _css(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(spark, sf_dir, fx.CSS, "id int, url string, body string")
 
 
-def _js(spark: SparkSession) -> DataFrame:
-    return fx.frame(spark, fx.JS, "id int, url string, body string")
+def _js(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(spark, sf_dir, fx.JS, "id int, url string, body string")
 
 
-@query(f"SELECT * FROM {_strings({1: ['a.png', 'x.css'], 2: ['/img/c.gif', 'd.css', '#i'], 3: ['a.woff2', 'b.woff', 'https://s.com/f/c.ttf', 'https://o.com/z.otf'], 4: [], 5: [], 6: None})} t(id, found)")
+@query(f"SELECT * FROM {_strings({1: ['a.png', 'x.css'], 2: ['/img/c.gif', 'd.css', '#i'], 3: ['a.woff2', 'b.woff', 'https://s.com/f/c.ttf', 'https://o.com/z.otf'], 4: [], 5: [], 6: None}, 'found')} t")
 def css_urls(spark, sf_dir):
-    return _css(spark).select("id", extract.css_urls(C("body")).alias("found"))
+    return _css(spark, sf_dir).select("id", extract.css_urls(C("body")).alias("found"))
 
 
-@query(f"SELECT * FROM {_strings({1: [], 2: [], 3: ['a.woff2', 'b.woff', 'https://s.com/f/c.ttf'], 4: [], 5: []})} t(id, every) JOIN {_strings({1: [], 2: [], 3: ['b.woff', 'https://s.com/f/c.ttf'], 4: [], 5: []})} u(id, last) USING (id) JOIN {_strings({1: [], 2: [], 3: ['https://s.com/f/c.ttf', 'https://o.com/z.otf'], 4: [], 5: []})} v(id, direct) USING (id)")
+@query(f"SELECT * FROM {_strings({1: [], 2: [], 3: ['a.woff2', 'b.woff', 'https://s.com/f/c.ttf'], 4: [], 5: []}, 'every')} t JOIN {_strings({1: [], 2: [], 3: ['b.woff', 'https://s.com/f/c.ttf'], 4: [], 5: []}, 'last')} u USING (id) JOIN {_strings({1: [], 2: [], 3: ['https://s.com/f/c.ttf', 'https://o.com/z.otf'], 4: [], 5: []}, 'direct')} v USING (id)")
 def css_font_faces(spark, sf_dir):
     b = C("body")
-    return _css(spark).filter("body is not null").select("id", extract.font_faces(b).alias("every"), extract.font_faces(b, False).alias("last"), extract.direct_fonts(b).alias("direct"))
+    return _css(spark, sf_dir).filter("body is not null").select("id", extract.font_faces(b).alias("every"), extract.font_faces(b, False).alias("last"), extract.direct_fonts(b).alias("direct"))
 
 
-@query("SELECT * FROM (VALUES ('https://s.com/css/a.woff2'), ('https://s.com/css/b.woff'), ('https://s.com/f/c.ttf')) t(font)")
+@query(f"SELECT replace(font, 's.com', host) AS font FROM {fx.PAGES}, (VALUES ('https://s.com/css/a.woff2'), ('https://s.com/css/b.woff'), ('https://s.com/f/c.ttf')) t(font)")
 def css_font_urls(spark, sf_dir):
-    return extract.font_urls(_css(spark), "https://s.com/")
+    return extract.font_urls(_css(spark, sf_dir))
 
 
-@query(f"SELECT * FROM {_strings({1: ['/a.js', 'https://s.com/api/z', '/api/x', '/v1/y'], 2: ['/t/a.png', '/api/x', '/_next/static/media/f.woff2', '/plain/one', '/route'], 3: ['https://o.com/m.js', 'https://o.com/q', '/_next/data/b1/p.json'], 4: [], 5: None})} t(id, found)")
+@query(f"SELECT * FROM {_strings({1: ['/a.js', 'https://s.com/api/z', '/api/x', '/v1/y'], 2: ['/t/a.png', '/api/x', '/_next/static/media/f.woff2', '/plain/one', '/route'], 3: ['https://o.com/m.js', 'https://o.com/q', '/_next/data/b1/p.json'], 4: [], 5: None}, 'found')} t")
 def js_urls(spark, sf_dir):
-    return _js(spark).select("id", extract.js_urls(C("body")).alias("found"))
+    return _js(spark, sf_dir).select("id", extract.js_urls(C("body")).alias("found"))
 
 
-@query(f"SELECT * FROM {_strings({1: ['/h'], 2: ['/route', '/h'], 3: ['/h'], 4: ['/h']})} t(id, routes) JOIN {_strings({1: ['/api/x', 'https://s.com/api/z', '/v1/y'], 2: [], 3: [], 4: []})} u(id, endpoints) USING (id)")
+@query(f"SELECT * FROM {_strings({1: ['/h'], 2: ['/route', '/h'], 3: ['/h'], 4: ['/h']}, 'routes')} t JOIN {_strings({1: ['/api/x', 'https://s.com/api/z', '/v1/y'], 2: [], 3: [], 4: []}, 'endpoints')} u USING (id)")
 def js_routes(spark, sf_dir):
-    rows = _js(spark).filter("body is not null")
+    rows = _js(spark, sf_dir).filter("body is not null")
     page = F.lit('<a href="/h"><a href="//no"><a href=\'/h\'>')
     return rows.select("id", extract.routes(page, F.array("body")).alias("routes"), extract.api_endpoints(F.array("body")).alias("endpoints"))
 
 
 # -- types, filters, content -----------------------------------------------------------------------------------------
-_T = f"{fx.sql(fx.TYPES)} t(id, url, mime, status)"
+_T = fx.on_pages_sql(fx.TYPES, "id, url, mime, status", "a.com")
 _M = "coalesce(mime, '')"
 _SOME = {k: v for k, v in ex.TYPE_BY_EXTENSION.items() if k not in ("html", "htm", "mjs", "json", "pdf", "xml")}
 _SHORT = {"css": "css", "js": "js", "mjs": "js", "json": "api"} | dict.fromkeys(ex.IMAGES, "image") | dict.fromkeys(ex.FONTS, "font")
@@ -351,14 +363,14 @@ _SHORT = {"css": "css", "js": "js", "mjs": "js", "json": "api"} | dict.fromkeys(
   WHEN contains({_M}, 'video/') OR contains({_M}, 'audio/') THEN 'media' ELSE {_case(_ext_loose('url'), _SOME, 'unknown')} END AS browser_kind,
   CASE WHEN contains({_M}, 'css') THEN 'css' WHEN contains({_M}, 'javascript') THEN 'js' WHEN contains({_M}, 'image') THEN 'image' WHEN contains({_M}, 'font') THEN 'font' WHEN contains({_M}, 'json') THEN 'api' ELSE {_case(_ext_path('url'), _SHORT, 'other')} END AS short_kind FROM {_T}""")
 def asset_type_mime(spark, sf_dir):
-    rows = fx.frame(spark, fx.TYPES, "id int, url string, mime string, status int")
+    rows = _each(spark, sf_dir, fx.TYPES, "id int, url string, mime string, status int", "a.com")
     return rows.select("id", kinds.asset_type(C("url"), C("mime")).alias("kind"), kinds.asset_type_browser(C("url"), C("mime")).alias("browser_kind"), kinds.asset_type_short(C("url"), C("mime")).alias("short_kind"))
 
 
 @query(f"""SELECT id, coalesce(status, 0) < 400 AS succeeded, coalesce(status, 0) < 400 AND NOT regexp_matches(url, '^(data:|blob:|chrome-extension://|moz-extension://)') AS captured, coalesce(status, 0) < 400 AND {_case(_ext_loose('url'), ex.TYPE_BY_EXTENSION, 'unknown')} IN ('css', 'js', 'image', 'font', 'api', 'media') AS with_body,
   {_case(_ext_loose('url'), ex.TYPE_BY_EXTENSION, 'unknown')} IN ('css', 'js') AS wanted, regexp_matches(url, '^(#|javascript:|mailto:|tel:|data:)') AS non_http, url = '' OR regexp_matches(url, '^(data:|about:|#)') AS css_skips, starts_with(url, 'http') OR starts_with(url, '/') AS url_like, length(url) > 8 AS too_long FROM {_T}""")
 def asset_type_filter(spark, sf_dir):
-    rows, u = fx.frame(spark, fx.TYPES, "id int, url string, mime string, status int"), C("url")
+    rows, u = _each(spark, sf_dir, fx.TYPES, "id int, url string, mime string, status int", "a.com"), C("url")
     kind = kinds.asset_type(u, F.lit(None))
     return rows.select(
         "id", filters.succeeded(C("status")).alias("succeeded"), filters.should_capture(u, C("status")).alias("captured"), filters.should_capture_body(kind, C("status")).alias("with_body"), filters.of_types(kind, ["css", "js"]).alias("wanted"),
@@ -369,18 +381,25 @@ def asset_type_filter(spark, sf_dir):
 _VALID = {1: True, 2: False, 3: False, 4: True, 5: True, 6: True, 7: True, 8: False, 9: True, 10: True, 11: False, 12: True, 13: True, 14: True, 15: True, 16: False}
 
 
-@query(f"SELECT * FROM {fx.sql(sorted(_VALID.items()))} t(id, valid)")
+@query(f"SELECT * FROM {fx.on_pages_sql(sorted(_VALID.items()), 'id, valid')}")
 def content_validation(spark, sf_dir):
-    """Against results worked out by hand: an icon of four bytes is too short, GIF88a is none."""
-    rows = fx.frame(spark, fx.CONTENTS, "id int, body string, mime string, url string").withColumn("body", F.unhex("body"))
+    """Bodies that begin as given and end as the page does, against results worked out by hand: an icon of four bytes is too short."""
+    rows = _each(spark, sf_dir, fx.CONTENTS, "id int, body string, mime string, url string").withColumn("body", F.unhex("body"))
     return rows.select("id", filters.is_valid_content(C("body"), C("mime"), C("url")).alias("valid"))
 
 
-@query("SELECT * FROM (VALUES ('a.png', 'image', 'image/png', 200, '4c4b6a3be1314ab8'), ('a.css', 'css', 'text/css', 200, CAST(NULL AS VARCHAR))) t(url, type, mime_type, status, hash)")
+_HEAD = "unhex('89504E470D0A1A0A')"
+
+
+@query(f"""SELECT url || '.png' AS url, 'image' AS type, 'image/png' AS mime_type, 200 AS status, substr(sha256({_HEAD} || encode(html)), 1, 16) AS hash FROM pages
+  UNION ALL SELECT url || '.css', 'css', 'text/css', 304, NULL FROM pages UNION ALL SELECT url || '.html', 'html', 'text/html', 200, substr(sha256(html), 1, 16) FROM pages""")
 def response_assets(spark, sf_dir):
-    rows = [("a.png", "image/png", 8, "89504E470D0A1A0A", 200), ("b.css", "text/css", 6, "3C68746D6C3E", 200), ("a.css", "text/css", 0, None, 200)]
-    found = assets.from_responses(fx.frame(spark, rows, "url string, mime string, size long, body string, status int").withColumn("body", F.unhex("body")))
-    return found.select("url", "type", "mime_type", "status", "hash")
+    """Four responses for each page: an image, a style sheet without a body, the page, and the page in place of a style sheet, which is no asset."""
+    html = C("html").cast("binary")
+    each = [(".png", "image/png", 200, F.concat(F.unhex(F.lit("89504E470D0A1A0A")), html)), (".css", "text/css", 304, F.lit(None).cast("binary")), (".html", "text/html", 200, html), (".css", "text/css", 200, html)]
+    rows = F.array(*(F.struct(F.concat("url", F.lit(e)).alias("url"), F.lit(m).alias("mime"), F.lit(s).alias("status"), b.alias("body")) for e, m, s, b in each))
+    rows = table(spark, sf_dir, "pages").select(F.explode(rows).alias("r")).select("r.*").withColumn("size", F.octet_length("body").cast("long"))
+    return assets.from_responses(rows).select("url", "type", "mime_type", "status", "hash")
 
 
 @query("SELECT doc_id, 'unknown' AS type, 'application/octet-stream' AS mime_type, CAST(strlen(text) AS BIGINT) AS size, substr(sha256(text), 1, 16) AS hash FROM documents")
@@ -390,30 +409,45 @@ def basic_assets(spark, sf_dir):
 
 
 # -- robots ----------------------------------------------------------------------------------------------------------
-def _robots(spark: SparkSession) -> DataFrame:
-    return fx.frame(spark, fx.ROBOTS, "host string, content string")
+# Every page adds a line to its host's file: what begins as its path does is closed or open, endings are closed, and
+# sections of other agents stand between.
+_HOSTED = f"(SELECT page_id, {_name('url')} AS host, {_path('url')} AS path FROM pages)"
+_RULES = f"""(SELECT host, CASE page_id % 4 WHEN 1 THEN 'allow' ELSE 'disallow' END AS kind, lower(CASE page_id % 4 WHEN 0 THEN left(path, length(path) * 2 // 3) WHEN 1 THEN left(path, length(path) - 1) || '*' WHEN 2 THEN '/*' || right(path, 2) || '$' END) AS pattern
+  FROM {_HOSTED} WHERE page_id % 4 < 3)"""
+
+
+def _hosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.hostname(C("url")).alias("host"), urls.pathname(C("url")).alias("path"))
 
 
-_RULES = [("a.com", "disallow", "/p"), ("a.com", "allow", "/p/ok"), ("a.com", "disallow", ""), ("b.com", "disallow", "/*.pdf$"), ("b.com", "disallow", "/tmp"), ("c.com", "disallow", "/"), ("f.com", "disallow", "/a[b"), ("f.com", "disallow", "/c(d)*.e$"), ("f.com", "disallow", "/x_y+")]
+def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, status, content) of robots files."""
+    n, path = C("page_id") % 4, C("path")
+    closed, opened = F.concat(F.lit("Disallow: "), F.substr(path, F.lit(1), (F.length(path) * 2 / 3).cast("int"))), F.concat(F.lit("Allow: "), F.substr(path, F.lit(1), F.length(path) - 1), F.lit("*"))
+    ending = F.concat(F.lit("Disallow: /*"), F.right(path, F.lit(2)), F.lit("$\r"))
+    line = F.when(n == 0, closed).when(n == 1, opened).when(n == 2, ending).otherwise("# other\nUser-agent: other\nDisallow: /\n\nUser-agent: b\nUser-agent: *\nDisallow:")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))), lambda x: x["line"]), "\n")  # of one robots file
+    files = _hosted(spark, sf_dir).groupBy("host").agg(F.concat(F.lit("User-Agent: *\nCrawl-delay: 1\n"), lines).alias("content"))
+    return captures.robots(files.withColumn("status", F.lit(200)))
 
 
-@query(f"SELECT * FROM {fx.sql(_RULES)} t(host, kind, pattern)")
+@query(f"SELECT host, kind, pattern FROM {_RULES} UNION ALL SELECT host, 'disallow', '' FROM {_HOSTED} WHERE page_id % 4 = 3")
 def robots_rules(spark, sf_dir):
-    return robots.rules(_robots(spark)).select("host", "kind", "pattern")
+    return robots.rules(_robots(spark, sf_dir)).select("host", "kind", "pattern")
 
 
 _BODY = r"regexp_replace(pattern, '\$$', '')"
 _LIKE = rf"replace(replace(replace(replace({_BODY}, '\', '\\'), '%', '\%'), '_', '\_'), '*', '%') || CASE WHEN pattern LIKE '%$' THEN '' ELSE '%' END"
 
 
-@query(rf"""WITH r AS (SELECT * FROM {fx.sql(_RULES)} t(host, kind, pattern)), p AS (SELECT * FROM {fx.sql(fx.PATHS)} t(host, path)),
-  m AS (SELECT p.host, p.path, r.kind, r.pattern FROM p JOIN r ON p.host = r.host AND p.path LIKE {_LIKE} ESCAPE '\')
-  SELECT host, path, NOT EXISTS (SELECT 1 FROM m WHERE m.host = p.host AND m.path = p.path AND kind = 'disallow' AND pattern NOT IN ('', '/')) OR EXISTS (SELECT 1 FROM m WHERE m.host = p.host AND m.path = p.path AND kind = 'allow') AS allowed,
-  NOT EXISTS (SELECT 1 FROM m WHERE m.host = p.host AND m.path = p.path AND kind = 'disallow' AND pattern <> '') OR EXISTS (SELECT 1 FROM m WHERE m.host = p.host AND m.path = p.path AND kind = 'allow') AS allowed_strict FROM p""")
+@query(rf"""WITH r AS (SELECT DISTINCT * FROM {_RULES}), p AS (SELECT * FROM {_HOSTED}), a AS (SELECT DISTINCT host, path FROM p),
+  m AS (SELECT a.host, a.path, bool_or(kind = 'allow') AS opened, bool_or(kind = 'disallow' AND pattern <> '/') AS closed, bool_or(kind = 'disallow') AS strictly FROM a JOIN r ON a.host = r.host AND a.path LIKE {_LIKE} ESCAPE '\' GROUP BY ALL)
+  SELECT page_id, coalesce(opened OR NOT closed, true) AS allowed, coalesce(opened OR NOT strictly, true) AS allowed_strict FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path""")
 def robots_allowed(spark, sf_dir):
-    found, asked = robots.rules(_robots(spark)), fx.frame(spark, fx.PATHS, "host string, path string")
+    """Every page against its host's rules."""
+    found, asked = robots.rules(_robots(spark, sf_dir)), _hosted(spark, sf_dir)
     loose = robots.allowed(asked, found)
-    return robots.allowed(loose.withColumnRenamed("allowed", "loose"), found, ban_all=True).select("host", "path", C("loose").alias("allowed"), C("allowed").alias("allowed_strict"))
+    return robots.allowed(loose.withColumnRenamed("allowed", "loose"), found, ban_all=True).select("page_id", C("loose").alias("allowed"), C("allowed").alias("allowed_strict"))
 
 
 # -- dedup -----------------------------------------------------------------------------------------------------------
@@ -430,9 +464,14 @@ def content_dedup(spark, sf_dir):
     return dedup.canonical_paths(rows).select("ord", "is_new", "canonical_path")
 
 
-@query("SELECT * FROM (VALUES ('https://s.com/1', 'p1', true), ('https://s.com/2', 'p1', false), ('https://s.com/3', 'p3', true), ('https://s.com/4', 'p4', true), ('https://s.com/5', 'p5', true)) t(url, canonical_path, is_new)")
+_STORED = "(SELECT doc_id AS ord, 'u' || doc_id AS url, CASE WHEN length(text) >= 200 THEN substr(sha256(text), 1, 16) END AS hash FROM documents)"
+
+
+@query(f"SELECT url, 'p' || CASE WHEN hash IS NULL THEN ord ELSE min(ord) OVER (PARTITION BY hash) END AS canonical_path, hash IS NULL OR ord = min(ord) OVER (PARTITION BY hash) AS is_new FROM {_STORED}")
 def dedup_canonical_path(spark, sf_dir):
-    return dedup.canonical_paths(fx.frame(spark, fx.STORED, "url string, hash string, local_path string, ord int, size int")).select("url", "canonical_path", "is_new")
+    """Short documents count as bodies that were not kept: without a hash they share nothing."""
+    rows = _docs(spark, sf_dir).withColumn("local_path", F.concat(F.lit("p"), C("ord").cast("string"))).withColumn("hash", F.when(C("size") >= 200, C("hash")))
+    return dedup.canonical_paths(rows).select("url", "canonical_path", "is_new")
 
 
 @query(f"SELECT hash, list_sort(list(DISTINCT url)) AS urls FROM {_D} GROUP BY hash")
@@ -445,31 +484,37 @@ def dedup_stats(spark, sf_dir):
     return dedup.stats(_docs(spark, sf_dir), 1024)
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false)) t(ord, added)")
+@query(f"""WITH d AS (SELECT ord, lang || size AS url, hash FROM {_D} JOIN documents ON ord = doc_id), u AS (SELECT url, min(ord) AS ord, arg_min(hash, ord) AS hash FROM d GROUP BY url),
+  f AS (SELECT min(ord) AS ord FROM u GROUP BY hash) SELECT ord, ord IN (SELECT ord FROM f) AS added FROM d""")
 def dedup_adds(spark, sf_dir):
-    return dedup.add_results(fx.frame(spark, fx.ADDS, "url string, hash string, size long, ord int"))
+    """Documents of a language and length share a URL: only its first is an addition, if its content is new."""
+    lang = table(spark, sf_dir, "documents").select(C("doc_id").alias("ord"), "lang")
+    return dedup.add_results(_docs(spark, sf_dir).join(lang, "ord").withColumn("url", F.concat("lang", C("size").cast("string"))))
 
 
-@query(f"SELECT id, nav_id, url, status FROM (SELECT *, row_number() OVER (PARTITION BY nav_id, url ORDER BY id DESC) AS n FROM {fx.sql(fx.RESPONSES)} t(id, nav_id, url, status, size)) WHERE n = 1")
+@query("SELECT event_id AS id, nav_id, url, status FROM (SELECT event_id, user_id AS nav_id, json_extract_string(props, '$.k') AS url, event_type AS status, row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
 def last_response_wins(spark, sf_dir):
-    rows = fx.frame(spark, fx.RESPONSES, "id int, nav_id int, url string, status int, size int")
-    return network.latest_by_navigation(rows.withColumn("ord", C("id"))).select("id", "nav_id", "url", "status")
+    rows = table(spark, sf_dir, "events").select(C("event_id").alias("id"), C("user_id").alias("nav_id"), F.get_json_object("props", "$.k").alias("url"), C("event_type").alias("status"), C("event_id").alias("ord"))
+    return network.latest_by_navigation(rows).select("id", "nav_id", "url", "status")
 
 
 # -- crawl -----------------------------------------------------------------------------------------------------------
-_E = "(SELECT page_id AS src, (page_id * 2 + 1) % n AS dst FROM pages, (SELECT count(*) AS n FROM pages) UNION ALL SELECT page_id, (page_id * 3 + 2) % n FROM pages, (SELECT count(*) AS n FROM pages))"
-_BFS = f"""WITH RECURSIVE e AS (SELECT * FROM {_E}), walk(node, depth, parent) AS (SELECT 0::BIGINT, 0, NULL::BIGINT UNION SELECT e.dst, depth + 1, e.src FROM walk JOIN e ON walk.node = e.src WHERE depth < 3),
-  b AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node), r AS (SELECT b.node, b.depth, min(w.parent) AS parent FROM b JOIN walk w ON b.node = w.node AND b.depth = w.depth GROUP BY b.node, b.depth)"""
+# A crawl over captured links, followed both ways: from a page to what it links to, and from there to the pages that link to it.
+_GRAPH = f"(SELECT DISTINCT url AS page, {_rooted('href', 'url')} AS link FROM {_HREFS})"
+_SEED = f"(SELECT arg_min(url, page_id) AS url FROM {_HOSTED} JOIN pages USING (page_id) GROUP BY host)"
+_BFS = f"""WITH RECURSIVE g AS (SELECT * FROM {_GRAPH}), e AS (SELECT page AS src, link AS dst FROM g UNION SELECT link, page FROM g), walk(node, depth) AS (SELECT url, 0 FROM {_SEED} UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON walk.node = e.src WHERE depth < 4),
+  b AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node), r AS (SELECT b.node, b.depth, min(p.node) AS parent FROM b LEFT JOIN e ON e.dst = b.node LEFT JOIN b p ON p.node = e.src AND p.depth = b.depth - 1 GROUP BY b.node, b.depth)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id")
-    n = F.lit(pages.count())
-    return pages.select(C("page_id").alias("src"), ((C("page_id") * 2 + 1) % n).alias("dst")).unionByName(pages.select(C("page_id").alias("src"), ((C("page_id") * 3 + 2) % n).alias("dst")))
+    found = extract.links(table(spark, sf_dir, "pages"), same_domain_only=False).select(C("url").alias("src"), C("link").alias("dst"))
+    return found.unionByName(found.select(C("dst").alias("src"), C("src").alias("dst"))).distinct()
 
 
 def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.bfs(spark.createDataFrame([(0,)], "node long"), _edges(spark, sf_dir), 3)
+    """From the first page of every host."""
+    first = table(spark, sf_dir, "pages").groupBy(urls.hostname(C("url"))).agg(F.min_by("url", "page_id").alias("node"))
+    return crawl.bfs(first, _edges(spark, sf_dir), 4)
 
 
 @query(f"{_BFS} SELECT node, depth, parent FROM r")
@@ -494,36 +539,48 @@ def frontier_dedup(spark, sf_dir):
     return crawl.frontier_first(rows).select("key", "ord")
 
 
-@query(f"SELECT url, greatest(priority - 1, 0) AS priority, retry + 1 AS retry FROM {fx.sql(fx.QUEUE)} t(url, depth, parent, priority, retry) WHERE retry < 3")
+_QUEUE = "(SELECT url, page_id, length(url) % 5 AS priority, len(string_split(url, '/')) AS depth, page_id % 5 AS retry FROM pages)"
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as queue items: short-lived ones by the length of their URL."""
+    return table(spark, sf_dir, "pages").select("url", (F.length("url") % 5).alias("priority"), F.size(F.split("url", "/", -1)).alias("depth"), (C("page_id") % 5).alias("retry"))
+
+
+@query(f"SELECT url, CAST(greatest(priority - 1, 0) AS INT) AS priority, retry + 1 AS retry FROM {_QUEUE} WHERE retry < 3")
 def retry_schedule(spark, sf_dir):
-    return crawl.retries(fx.frame(spark, fx.QUEUE, "url string, depth int, parent string, priority int, retry int"))
+    return crawl.retries(_queue(spark, sf_dir))
 
 
-@query(f"SELECT url, row_number() OVER (ORDER BY priority DESC, depth, url) AS place FROM {fx.sql(fx.QUEUE)} t(url, depth, parent, priority, retry)")
+@query(f"SELECT url, row_number() OVER (ORDER BY priority DESC, depth, url) AS place FROM {_QUEUE}")
 def queue_order(spark, sf_dir):
-    rows = fx.frame(spark, fx.QUEUE, "url string, depth int, parent string, priority int, retry int")
-    return crawl.ranked(rows).select("url", "place")
+    return crawl.ranked(_queue(spark, sf_dir)).select("url", "place")
 
 
 _LINKS = f"(SELECT DISTINCT page_id, {_rooted('href', 'url')} AS link FROM {_HREFS})"
-_NEW = f"SELECT DISTINCT lower({_trim(_clean('link'))}) AS key FROM {_LINKS} EXCEPT SELECT lower({_trim(_clean('url'))}) FROM pages"
+_SHARED = f"(SELECT link FROM {_LINKS} GROUP BY link HAVING count(*) > 1)"
+_NEW = f"SELECT DISTINCT lower({_trim(_clean('link'))}) AS key FROM {_LINKS} EXCEPT SELECT lower({_trim(_clean('url'))}) FROM pages EXCEPT SELECT lower({_trim(_clean('link'))}) FROM {_SHARED}"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.links(table(spark, sf_dir, "pages")).select("page_id", "link")
 
 
+def _added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all pages; visited are the pages, queued the links that several pages have."""
+    found = _links(spark, sf_dir).select("page_id", C("link").alias("url"))
+    queued = found.groupBy("url").agg(F.count("*").alias("n")).filter("n > 1").select("url")
+    return crawl.add_many(found.select("url"), table(spark, sf_dir, "pages").select("url"), queued)
+
+
 @query(_NEW)
 def add_many(spark, sf_dir):
-    """The links of all pages against the pages."""
-    known = table(spark, sf_dir, "pages").select("url")
-    return crawl.add_many(_links(spark, sf_dir).select(C("link").alias("url")), known, known).select("key")
+    return _added(spark, sf_dir).select("key")
 
 
 @query(f"SELECT count(*) AS added FROM ({_NEW})")
 def add_many_count(spark, sf_dir):
-    known = table(spark, sf_dir, "pages").select("url")
-    return crawl.add_many(_links(spark, sf_dir).select(C("link").alias("url")), known, known).agg(F.count("*").alias("added"))
+    return _added(spark, sf_dir).agg(F.count("*").alias("added"))
 
 
 @query(f"SELECT (SELECT count(*) FROM {_HREFS}) AS queued, (SELECT count(*) FROM pages) AS visited, (SELECT count(*) FROM {_HREFS}) + (SELECT count(*) FROM pages) AS total")
@@ -564,10 +621,13 @@ def page_links_unquoted(spark, sf_dir):
     return extract.hrefs(table(spark, sf_dir, "pages").withColumn("html", html)).select("page_id", "pos", "href")
 
 
-@query("SELECT * FROM (VALUES (1, 'é€😀'), (2, '<b> & \u00a0©'), (3, '&nosuch; &amp &'), (4, '€\ufffd\ufffd'), (5, 'plain'), (6, '&lt;'), (7, '∴Æ≥')) t(id, out)")
+_DECODED = [(1, "é€😀"), (2, "<b> & \u00a0©"), (3, "&nosuch; &amp &"), (4, "€\ufffd\ufffd"), (5, "plain"), (6, "&lt;"), (7, "∴Æ≥")]
+
+
+@query(f"SELECT * FROM {fx.on_pages_sql([(i, x + ' s.com') for i, x in _DECODED], 'id, out')}")
 def entities_decode(spark, sf_dir):
     rows = [(1, "&#233;&#x20AC;&#x1F600;"), (2, "&lt;b&gt; &amp; &nbsp;&copy;"), (3, "&nosuch; &amp &"), (4, "&#128;&#0;&#xD800;"), (5, "plain"), (6, "&amp;lt;"), (7, "&there4;&AElig;&ge;")]
-    return fx.frame(spark, rows, "id int, x string").select("id", text.decode_entities(C("x")).alias("out"))
+    return _each(spark, sf_dir, [(i, x + "&#32;s.com") for i, x in rows], "id int, x string").select("id", text.decode_entities(C("x")).alias("out"))
 
 
 _RELATIVE = f"{_origin('url')} || regexp_replace({_path('url')}, '[^/]*$', '') || {_encode('substr(href, 2)')}"
@@ -609,35 +669,44 @@ def event_times(spark, sf_dir):
 
 
 # -- lookups and rewriting -------------------------------------------------------------------------------------------
-def _map(spark: SparkSession) -> DataFrame:
-    return fx.frame(spark, fx.ASSETS, "url string, local_path string")
+def _map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was stored of every page's host."""
+    return _each(spark, sf_dir, fx.ASSETS, "url string, local_path string")
+
 
+def _page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(spark, sf_dir, fx.PAGE_MAP, "url string, local_path string")
 
-def _page_map(spark: SparkSession) -> DataFrame:
-    return fx.frame(spark, fx.PAGE_MAP, "url string, local_path string")
 
+_ASKED = [(1, "https://s.com/a.js"), (2, "https://www.s.com/img/c.gif"), (3, "https://s.com/none")]
+_STORES = fx.on_pages_sql(fx.ASSETS, "k, p")
 
-@query(f"SELECT id, u AS url, coalesce(a.p, b.p) AS path FROM (VALUES (1, 'https://s.com/a.js'), (2, 'https://www.s.com/img/c.gif'), (3, 'https://s.com/none')) t(id, u) LEFT JOIN {fx.sql(fx.ASSETS)} a(k, p) ON u = a.k LEFT JOIN {fx.sql(fx.ASSETS)} b(k, p) ON b.k = CASE WHEN contains(u, '://www.') THEN replace(u, '://www.', '://') ELSE replace(u, '://', '://www.') END")
+
+@query(f"SELECT id, u AS url, coalesce(a.p, b.p) AS path FROM {fx.on_pages_sql(_ASKED, 'id, u')} LEFT JOIN {_STORES} a ON u = a.k LEFT JOIN {_STORES} b ON b.k = CASE WHEN contains(u, '://www.') THEN replace(u, '://www.', '://') ELSE replace(u, '://', '://www.') END")
 def asset_lookup_www(spark, sf_dir):
-    rows = fx.frame(spark, [(1, "https://s.com/a.js"), (2, "https://www.s.com/img/c.gif"), (3, "https://s.com/none")], "id int, url string")
-    return rewrite.look_up_www(rows, "url", _map(spark)).select("id", "url", "path")
+    return rewrite.look_up_www(_each(spark, sf_dir, _ASKED, "id int, url string"), "url", _map(spark, sf_dir)).select("id", "url", "path")
 
 
-@query(f"SELECT page_id, coalesce(m.path, l.href) AS target FROM {_HREFS} l LEFT JOIN (SELECT {_rooted('href', 'url')} AS k, 'p/' || min(page_id) AS path FROM {_HREFS} WHERE contains(url, '/en/') GROUP BY k) m ON {_rooted('href', 'l.url')} = m.k")
+@query(f"SELECT page_id, coalesce(m.path, l.href) AS target FROM {_HREFS} l LEFT JOIN (SELECT {_rooted('href', 'url')} AS k, 'p/' || min(page_id) AS path FROM {_HREFS} GROUP BY k HAVING count(DISTINCT page_id) > 1) m ON {_rooted('href', 'l.url')} = m.k")
 def link_lookup(spark, sf_dir):
     found = extract.hrefs(table(spark, sf_dir, "pages")).withColumn("key", urls.resolve(C("href"), C("base")))
-    known = found.filter("contains(url, '/en/')").groupBy(C("key").alias("url")).agg(F.concat(F.lit("p/"), F.min("page_id").cast("string")).alias("local_path"))
+    known = found.groupBy(C("key").alias("url")).agg(F.countDistinct("page_id").alias("n"), F.concat(F.lit("p/"), F.min("page_id").cast("string")).alias("local_path")).filter("n > 1").drop("n")
     return rewrite.look_up(found, "key", known).select("page_id", F.coalesce("path", "href").alias("target"))
 
 
-@query("SELECT * FROM (VALUES ('0123456789abcdef.css', 'https://s.com/1'), ('ffffffffffffffff.css', NULL), ('plain.css', 'https://s.com/3'), ('none.css', NULL)) t(name, url)")
+_STEMS = f"(SELECT DISTINCT substr(href, 2) AS stem FROM {_HREFS} WHERE length(href) > 1)"
+_PLACED = "(SELECT page_id AS ord, url, regexp_replace(url, '^[a-z]*://', '') AS local_path FROM pages)"
+
+
+@query(f"SELECT stem || '.css' AS name, arg_min(url, ord) AS url FROM {_STEMS} LEFT JOIN {_PLACED} ON contains(local_path, stem) GROUP BY stem")
 def contains_lookup(spark, sf_dir):
-    files = fx.frame(spark, [("0123456789abcdef.css",), ("ffffffffffffffff.css",), ("plain.css",), ("none.css",)], "name string")
-    origins = fx.frame(spark, [("https://s.com/2", "assets/css/0123456789abcdef.css", 2), ("https://s.com/1", "assets/css/0123456789abcdef.css", 1), ("https://s.com/3", "assets/css/plain.css", 3)], "url string, local_path string, ord int")
-    return rewrite.contains_lookup(files, origins)
+    """Every word that pages link to, as a stored style sheet's name, looked up anywhere in the paths of all pages."""
+    pages = table(spark, sf_dir, "pages")
+    files = extract.hrefs(pages).filter("length(href) > 1").select(F.concat(F.substr("href", F.lit(2)), F.lit(".css")).alias("name")).distinct()
+    return rewrite.contains_lookup(files, pages.select(C("page_id").alias("ord"), "url", F.regexp_replace("url", "^[a-z]*://", "").alias("local_path")))
 
 
-_SITE = f"""(SELECT {_rooted('href', 'url')} AS url, 'l/' || min(page_id) || '.html' AS local_path FROM {_HREFS} WHERE contains(url, '/en/') GROUP BY 1)"""
+_SITE = f"""(SELECT {_rooted('href', 'url')} AS url, 'l/' || min(page_id) || '.html' AS local_path FROM {_HREFS} GROUP BY 1 HAVING count(DISTINCT page_id) > 1)"""
 
 
 @query(rf"""WITH t AS (SELECT page_id, url, html, regexp_extract_all(html, '(?is)<!--.*?-->|<(?:a)\b[^>]*>') AS ts FROM pages),
@@ -649,7 +718,7 @@ _SITE = f"""(SELECT {_rooted('href', 'url')} AS url, 'l/' || min(page_id) || '.h
 def html_rewrite_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     found = extract.hrefs(pages).withColumn("key", urls.resolve(C("href"), C("base")))
-    known = found.filter("contains(url, '/en/')").groupBy(C("key").alias("url")).agg(F.concat(F.lit("l/"), F.min("page_id").cast("string"), F.lit(".html")).alias("local_path"))
+    known = found.groupBy(C("key").alias("url")).agg(F.countDistinct("page_id").alias("n"), F.concat(F.lit("l/"), F.min("page_id").cast("string"), F.lit(".html")).alias("local_path")).filter("n > 1").drop("n")
     done = rewrite.html_attributes(pages.select(C("page_id").alias("id"), "url", C("html").alias("body")), "a", "href", "page", known)
     return done.select(C("id").alias("page_id"), F.sha2("body", 256).alias("body"))
 
@@ -663,17 +732,17 @@ _HTML_OUT = [
 ]
 
 
-@query(f"SELECT id, body FROM {fx.sql(_HTML_OUT)} t(id, body)")
+@query(f"SELECT * FROM {fx.on_pages_sql(_HTML_OUT, 'id, body')}")
 def html_rewrite(spark, sf_dir):
-    """All passes, against results worked out by hand."""
-    known = _map(spark).unionByName(fx.frame(spark, [("https://s.com/css/d.css", "assets/css/h3.css")], "url string, local_path string")).distinct()
-    return rewrite.html(fx.frame(spark, fx.HTML, "id int, url string, body string"), _page_map(spark), known).select("id", "body")
+    """All passes, for every page's host, against results worked out by hand."""
+    known = _map(spark, sf_dir).unionByName(_each(spark, sf_dir, [("https://s.com/css/d.css", "assets/css/h3.css")], "url string, local_path string")).distinct()
+    return rewrite.html(_each(spark, sf_dir, fx.HTML, "id int, url string, body string"), _page_map(spark, sf_dir), known).select("id", "body")
 
 
-@query("""SELECT 1 AS id, '<meta http-equiv="refresh" content="5; url=two/index.html"><meta property="og:image" content="assets/img/h2.gif"><meta name="author" content="/two">' AS body""")
+@query("""SELECT page_id * 100 + 1 AS id, '<meta http-equiv="refresh" content="5; url=two/index.html"><meta property="og:image" content="assets/img/h2.gif"><meta name="author" content="/two">' AS body FROM pages""")
 def html_meta(spark, sf_dir):
     body = '<meta http-equiv="refresh" content="5; url=/two"><meta property="og:image" content="/img/c.gif"><meta name="author" content="/two">'
-    return rewrite.html_meta(fx.frame(spark, [(1, "https://s.com/", body)], "id int, url string, body string"), _page_map(spark), _map(spark)).select("id", "body")
+    return rewrite.html_meta(_each(spark, sf_dir, [(1, "https://s.com/", body)], "id int, url string, body string"), _page_map(spark, sf_dir), _map(spark, sf_dir)).select("id", "body")
 
 
 _SAVED_TAG = r"(?is)<!--.*?-->|<(?:a|link|script|img)\b[^>]*>"
@@ -694,42 +763,42 @@ def html_saved(spark, sf_dir):
     return rewrite.html_saved(pages).select(C("id").alias("page_id"), F.sha2("body", 256).alias("body"))
 
 
-@query("SELECT * FROM (VALUES (1, 'assets/img/h1.png 1x, b.png 2x'), (2, 'assets/img/h2.gif'), (3, 'assets/img/h1.png 640w, , /q 2x')) t(id, out)")
+@query(f"SELECT * FROM {fx.on_pages_sql([(1, 'assets/img/h1.png 1x, b.png 2x'), (2, 'assets/img/h2.gif'), (3, 'assets/img/h1.png 640w, , /q 2x')], 'id, out')}")
 def html_srcset(spark, sf_dir):
-    return rewrite.srcset_value(fx.frame(spark, fx.SRCSETS, "id int, url string, srcset string"), _map(spark))
+    return rewrite.srcset_value(_each(spark, sf_dir, fx.SRCSETS, "id int, url string, srcset string"), _map(spark, sf_dir))
 
 
 _CSS_OUT = [(1, '@import "../assets/css/x.css"; p{background:url(../img/h1.png)} q{background:url(../img/h1.png)}'), (2, "a{b:url('../img/h2.gif')} @import url(../css/h3.css); e{f:url(\"data:image/png;base64,AA\")} g{h:url(#i)}"),
             (3, "@font-face{src:url(../assets/fonts/a.woff2),url(../fonts/h8.woff)} @font-face{src: url('../assets/fonts/c.ttf')} i{j:url(../assets/fonts/z.otf)}"), (4, "no references"), (5, ""), (6, None)]
 
 
-@query(f"SELECT * FROM {fx.sql(_CSS_OUT)} t(id, body)")
+@query(f"SELECT * FROM {fx.on_pages_sql(_CSS_OUT, 'id, body')}")
 def css_rewrite(spark, sf_dir):
-    return rewrite.css(_css(spark), _map(spark)).select("id", "body")
+    return rewrite.css(_css(spark, sf_dir), _map(spark, sf_dir)).select("id", "body")
 
 
 _CSS_FONTS_OUT = [(1, '@import "x.css"; p{background:url(a.png)} q{background:url(a.png)}'), (2, "a{b:url('/img/c.gif')} @import url(d.css) ; e{f:url(\"data:image/png;base64,AA\")} g{h:url(#i)}"),
                   (3, "@font-face{src:url(a.woff2),url(../fonts/h8.woff)} @font-face{src: url('https://s.com/f/c.ttf')} i{j:url(https://o.com/z.otf)}"), (4, "no references"), (5, ""), (6, None)]
 
 
-@query(f"SELECT * FROM {fx.sql(_CSS_FONTS_OUT)} t(id, body)")
+@query(f"SELECT * FROM {fx.on_pages_sql(_CSS_FONTS_OUT, 'id, body')}")
 def css_fonts(spark, sf_dir):
-    fonts = _map(spark).filter("local_path like 'assets/fonts/%'")
-    return rewrite.css_fonts(_css(spark), fonts).select("id", "body")
+    fonts = _map(spark, sf_dir).filter("local_path like 'assets/fonts/%'")
+    return rewrite.css_fonts(_css(spark, sf_dir), fonts).select("id", "body")
 
 
-def _scripts(spark: SparkSession) -> DataFrame:
-    return _js(spark).withColumn("base", F.lit("https://s.com/"))
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _js(spark, sf_dir).withColumn("base", F.concat(urls.origin(C("url")), F.lit("/")))
 
 
 _JS_OUT = [(1, 'import("../js/h4.js"); fetch("../api/h7.json", {}); axios.post(\'/v1/y\'); fetch("/api/z")'), (2, 'x.open("GET", "../api/h7.json"); y="../fonts/h5.woff2"; z=`/t/a.png`; w=\'../other/h6\'; path: "/route", path: \'rel\''),
            (3, 'k="../fonts/h5.woff2"; d=\'/_next/data/b1/p.json\'; o=`https://o.com/q`; import("https://o.com/m.js")'), (4, "nothing"), (5, None)]
 
 
-@query(f"SELECT * FROM {fx.sql(_JS_OUT)} t(id, body)")
+@query(f"SELECT * FROM {fx.on_pages_sql(_JS_OUT, 'id, body')}")
 def js_rewrite(spark, sf_dir):
     """All passes, against results worked out by hand."""
-    return rewrite.js(_scripts(spark), _map(spark)).select("id", "body")
+    return rewrite.js(_scripts(spark, sf_dir), _map(spark, sf_dir)).select("id", "body")
 
 
 # -- statistics, manifests -------------------------------------------------------------------------------------------
@@ -748,19 +817,30 @@ def storage_stats(spark, sf_dir):
     return stats.storage_stats(dedup.canonical_paths(rows))
 
 
-@query(f"SELECT id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN format('{{:.2f}} B', CAST(n AS DOUBLE)) WHEN n < 1048576 THEN format('{{:.2f}} KB', n / 1024.0) WHEN n < 1073741824 THEN format('{{:.2f}} MB', n / 1048576.0) ELSE format('{{:.2f}} GB', n / 1073741824.0) END AS shown FROM {fx.sql(fx.SIZES)} t(id, n)")
+_SIZES = "(SELECT doc_id AS id, CAST(n_chars AS BIGINT) * (1024 ** CAST(doc_id % 4 AS INT))::BIGINT AS n FROM documents)"
+
+
+@query(f"SELECT id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN format('{{:.2f}} B', CAST(n AS DOUBLE)) WHEN n < 1048576 THEN format('{{:.2f}} KB', n / 1024.0 + 1e-9) WHEN n < 1073741824 THEN format('{{:.2f}} MB', n / 1048576.0 + 1e-9) ELSE format('{{:.2f}} GB', n / 1073741824.0 + 1e-9) END AS shown FROM {_SIZES}")
 def format_bytes(spark, sf_dir):
-    return fx.frame(spark, fx.SIZES, "id int, n long").select("id", paths.format_bytes(C("n")).alias("shown"))
+    """Lengths of documents as bytes, KB, MB and GB."""
+    rows = table(spark, sf_dir, "documents").select(C("doc_id").alias("id"), (C("n_chars") * F.pow(F.lit(1024), C("doc_id") % 4).cast("long")).alias("n"))
+    return rows.select("id", paths.format_bytes(C("n")).alias("shown"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a', '1'), (1, 'b', 'x=y'), (3, 'flag', ''), (4, 's', 't')) t(id, name, value)")
+@query("SELECT event_id AS id, name, value FROM (SELECT event_id, unnest([{'name': 'u', 'value': user_id::VARCHAR}, {'name': 'b', 'value': event_type || '=y'}, {'name': 'flag', 'value': ''}, {'name': 's', 'value': props}], recursive := true) FROM events)")
 def cookies_parse(spark, sf_dir):
-    return fx.frame(spark, fx.COOKIES, "id int, raw string").select("id", F.explode(text.cookies(C("raw"))).alias("c")).select("id", "c.name", "c.value")
+    """A cookie header for each event: a value with =, an empty name, one without a value, spaces."""
+    raw = F.concat(F.lit("u="), C("user_id").cast("string"), F.lit("; b="), C("event_type"), F.lit("=y; =z;flag; ; s = "), C("props"), F.lit(" "))
+    rows = table(spark, sf_dir, "events").select(C("event_id").alias("id"), raw.alias("raw"))
+    return rows.select("id", F.explode(text.cookies(C("raw"))).alias("c")).select("id", "c.name", "c.value")
 
 
-@query("SELECT * FROM (VALUES (1, 12), (2, NULL), (3, -3), (4, 7)) t(id, n)")
+@query("SELECT event_id AS id, CAST(CASE event_type WHEN 'view' THEN event_id WHEN 'click' THEN NULL WHEN 'error' THEN -event_id ELSE floor(value) END AS BIGINT) AS n FROM events")
 def int_parse(spark, sf_dir):
-    return fx.frame(spark, [(1, "12px"), (2, "x1"), (3, " -3"), (4, "7")], "id int, x string").select("id", text.parse_int(C("x")).alias("n"))
+    """Numbers before a unit, after a space, with a sign, with decimals; none where letters come first."""
+    number = C("event_id").cast("string")
+    raw = F.when(C("event_type") == "view", F.concat(number, F.lit("px"))).when(C("event_type") == "click", F.concat(F.lit("x"), number)).when(C("event_type") == "error", F.concat(F.lit(" -"), number)).otherwise(C("value").cast("string"))
+    return table(spark, sf_dir, "events").select(C("event_id").alias("id"), text.parse_int(raw).alias("n"))
 
 
 @query(f"SELECT page_id AS ord, url, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path FROM pages")
@@ -780,22 +860,34 @@ def manifest_sizes(spark, sf_dir):
     return manifest.assets(rows, with_size=True)
 
 
-@query("""SELECT '{"version":"1.0","baseUrl":"https://s.com","generatedAt":"2024-01-01T00:00:00.000Z","pages":[{"url":"https://s.com/","path":"index.html"},{"url":"https://s.com/two","path":"two/index.html"}],"assets":[{"url":"https://s.com/1","path":"p1","hash":"h1"},{"url":"https://s.com/5","path":"p5","hash":"h2"}]}' AS json""")
+_AT = "2024-01-01T00:00:00.000Z"
+
+
+@query(f"""WITH p AS (SELECT {_origin('url')} AS site, page_id, url, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path, substr(sha256(html), 1, 16) AS hash FROM pages),
+  a AS (SELECT site, hash, min(page_id) AS ord, arg_min(url, page_id) AS url, arg_min(path, page_id) AS path FROM p GROUP BY site, hash)
+  SELECT site, '{{"version":"1.0","baseUrl":"' || site || '","generatedAt":"{_AT}","pages":[' || (SELECT string_agg('{{"url":"' || url || '","path":"' || path || '"}}', ',' ORDER BY page_id) FROM p q WHERE q.site = s.site) ||
+  '],"assets":[' || (SELECT string_agg('{{"url":"' || url || '","path":"' || path || '","hash":"' || hash || '"}}', ',' ORDER BY ord) FROM a q WHERE q.site = s.site) || ']}}' AS json FROM (SELECT DISTINCT site FROM p) s""")
 def manifest_json(spark, sf_dir):
-    pages = fx.frame(spark, [(i, *r) for i, r in enumerate(fx.PAGE_MAP)], "ord int, url string, path string")
-    stored = fx.frame(spark, fx.STORED, "url string, hash string, local_path string, ord int, size int").filter("hash is not null")
-    kept = dedup.canonical_paths(stored).filter("is_new").select("ord", "url", C("canonical_path").alias("path"), "hash")
-    return manifest.manifest(manifest.pages(pages), manifest.assets(kept), "https://s.com", "2024-01-01T00:00:00.000Z")
+    """A manifest for each site: its pages, and bodies that are stored once."""
+    rows = table(spark, sf_dir, "pages").select(urls.origin(C("url")).alias("site"), C("page_id").alias("ord"), "url", paths.page_path(C("url")).alias("path"), paths.content_hash(C("html"), 16).alias("hash"))
+    return manifest.by_site(rows.drop("hash"), dedup.first_by(rows, ["site", "hash"], C("ord")), _AT)
 
 
-@query("SELECT 'index.html' AS path")
+@query(f"SELECT path FROM (SELECT page_id, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path FROM pages) ORDER BY path LIKE '%index.html' DESC, page_id LIMIT 1")
 def open_page(spark, sf_dir):
-    return stats.open_path(fx.frame(spark, [("a.html", 1), ("index.html", 2), ("b/index.html", 3)], "path string, ord int"))
+    return stats.open_path(table(spark, sf_dir, "pages").select(paths.page_path(C("url")).alias("path"), C("page_id").alias("ord")))
+
+
+_WANTED = f"(SELECT page_id, path, unnest(['/' || path || '?x=1', '/' || path || 'x', '/' || path || '/']) AS asked FROM (SELECT page_id, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path FROM pages))"
 
 
-@query("SELECT * FROM (VALUES ('/', 'index.html', 200), ('/a/index.html?x=1', 'a/index.html', 200), ('/missing', 'index.html', 200), ('/a/', 'index.html', 200), ('/css/x.css', 'css/x.css', 200)) t(path, file, status)")
+@query(f"SELECT asked AS path, CASE WHEN asked LIKE '%?x=1' THEN path ELSE 'index.html' END AS file, 200 AS status FROM {_WANTED}")
 def served_files(spark, sf_dir):
-    return captures.served(fx.frame(spark, fx.ASKED, "path string"), fx.frame(spark, fx.FILES, "path string"))
+    """Every stored page with a query, a file that is missing, and a folder."""
+    stored = table(spark, sf_dir, "pages").select(paths.page_path(C("url")).alias("path"))
+    asked = stored.select(F.explode(F.array(*(F.concat(F.lit("/"), C("path"), F.lit(end)) for end in ("?x=1", "x", "/")))).alias("path"))
+    root = stored.agg(F.lit("index.html").alias("path"))
+    return captures.served(asked, stored.unionByName(root))
 
 
 # -- events ----------------------------------------------------------------------------------------------------------
@@ -829,9 +921,11 @@ def network_stats(spark, sf_dir):
     return stats.network_stats(e.select(C("event_id").alias("id")), e.select(C("user_id").alias("id"), C("event_type").alias("url")), e.select(C("event_type").alias("url")))
 
 
-@query("SELECT ['/a', '/b', '/c'] AS urls")
+@query("""WITH f AS (SELECT user_id, json_extract_string(props, '$.k') AS item, min((epoch_us(ts), event_id)) AS first FROM events GROUP BY ALL) SELECT user_id, list(item ORDER BY first) AS urls FROM f WHERE item IS NOT NULL GROUP BY user_id""")
 def spa_routes(spark, sf_dir):
-    return network.navigations(fx.frame(spark, fx.SPA, "ord int, type string, url string"))
+    """The distinct routes of each page, in order of first occurrence."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").alias("url"), F.struct("ts", "event_id").alias("ord"))
+    return network.navigations(rows.filter("url is not null"), "user_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,9 +50,10 @@ def quiet_sessions(rows: DataFrame, gap: str, late: str, key: str = "user_id") -
     return marked.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
 
 
-def navigations(rows: DataFrame) -> DataFrame:
-    """(urls): the distinct URLs of SPA events (url, ord), in order of first occurrence. A route list of one page."""
-    return rows.groupBy("url").agg(F.min("ord").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"]).alias("urls"))
+def navigations(rows: DataFrame, page: str) -> DataFrame:
+    """(page, urls): the distinct URLs of each page's navigation events (page, url, ord), in order of first occurrence."""
+    first = rows.groupBy(page, "url").agg(F.min("ord").alias("ord"))
+    return first.groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"]).alias("urls"))
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete", provider: str | None = None) -> DataFrame:
