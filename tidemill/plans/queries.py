@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kinds, paths, text, urls
+from ..functions import hosts, kinds, paths, text, urls
 from ..operators import assets, crawl, dedup, extract, filters, manifest, rewrite, robots, stats
 from ..sources import captures
 from ..streaming import network
@@ -203,6 +203,25 @@ def page_url_records(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", parsed.alias("p")).select("page_id", *(f"p.{c}" for c in ("original", "normalized", "hostname", "depth", "parent_url")))
 
 
+_N = "(page_id * 2654435761 % 4294967296)"
+_V4 = f"({_N} >> 24) || '.' || ({_N} >> 16 & 255) || '.' || ({_N} >> 8 & 255) || '.' || ({_N} & 255)"
+_V6 = f"'[::' || CASE WHEN {_N} >> 16 > 0 THEN lower(hex({_N} >> 16)) || ':' ELSE '' END || CASE WHEN {_N} > 0 THEN lower(hex({_N} & 65535)) ELSE '' END || ']'"
+
+
+@query(f"""SELECT page_id, unnest(range(6)) AS form, unnest(['http://' || {_V4} || '/x', 'http://' || {_V4} || '/x', 'http://' || {_V4} || '/x', 'http://' || {_V4} || ':8080/x', 'https://' || {_V6} || '/x', 'https://' || {_name('url')} || '/x']) AS url FROM pages""")
+def url_hosts(spark, sf_dir):
+    """Addresses written as one number, in hexadecimal, octal, in parts and as IPv6, and host names in capitals."""
+    n, text = C("page_id") * F.lit(2654435761) % F.lit(4294967296), (lambda c: c.cast("string"))
+    low = F.pmod(n, F.lit(65536))
+    high = F.floor(n / 65536)
+    parts = F.concat(F.lit("0"), F.conv(text(F.floor(n / 16777216)), 10, 8), F.lit("."), text(F.pmod(high, F.lit(256))), F.lit("."), text(low))
+    long = F.concat(F.lit("[0:0:0:0:0:0:"), F.hex(high), F.lit(":"), F.hex(low), F.lit("]"))
+    forms = [("http", text(n), ""), ("http", F.concat(F.lit("0x"), F.hex(n)), ":80"), ("http", parts, ""), ("HTTP", F.concat(text(n), F.lit(".")), ":8080"), ("https", long, ":443"), ("https", F.upper(urls.part(C("url"), 2)), "")]
+    each = F.array(*(F.concat(F.lit(f"{scheme}://"), host, F.lit(f"{port}/x")) for scheme, host, port in forms))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(each).alias("form", "raw"))
+    return hosts.with_canonical_url(rows, "raw", "url").select("page_id", C("form").cast("long").alias("form"), "url")
+
+
 # -- paths -----------------------------------------------------------------------------------------------------------
 def _page_sql(u: str, ending: str, n: int, tidy: bool) -> str:
     p = f"substr({_path(u)}, 2)"
