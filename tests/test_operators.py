@@ -35,7 +35,7 @@ def test_works_without_the_llm_part(tmp_path):
 
 
 def test_globs():
-    assert globs.pattern(["https://a.com/*"]) == r"(?s)\Ahttps://a\.com/.*\z" and globs.pattern(["/a?"], literal=False) == r"(?s)\A(?:/a.)\z"
+    assert globs.pattern(["https://a.com/*"]) == r"(?s)\A(?:https://a\.com/.*)\z" and globs.pattern(["/a?"], literal=False) == r"(?s)\A(?:(?:/a.))\z"
 
 
 def test_config():

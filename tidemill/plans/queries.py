@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hosts, kinds, paths, text, urls
-from ..operators import assets, crawl, dedup, extract, filters, manifest, rewrite, robots, stats
-from ..sources import captures
+from ..operators import assets, crawl, dedup, extract, filters, frontier, manifest, rewrite, robots, stats
+from ..sources import captures, mirror
 from ..streaming import network
 from . import expected as ex
 from . import fixtures as fx
+from .lineage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -558,6 +559,35 @@ def frontier_dedup(spark, sf_dir):
     return crawl.frontier_first(rows).select("key", "ord")
 
 
+_BUDGET, _DEEP = 10, 3
+
+
+def _frontier_sql() -> str:
+    """Level after level, written out."""
+    key = lambda u: f"lower({_trim(_clean(u))})"
+    parts = [f"g AS (SELECT * FROM {_GRAPH})", f"e AS (SELECT DISTINCT {key('page')} AS src, link AS dst FROM g UNION SELECT DISTINCT {key('link')}, page FROM g)", f"l0 AS (SELECT {key('url')} AS key, url, {_name('url')} AS host, 0 AS depth, CAST(NULL AS VARCHAR) AS parent FROM {_SEED})", "k0 AS (SELECT * FROM l0)"]
+    for d in range(1, _DEEP + 1):
+        parts += [
+            f"c{d} AS (SELECT {key('dst')} AS key, min(dst) AS url, min(l.url) AS parent FROM l{d - 1} l JOIN e ON e.src = l.key GROUP BY 1)",
+            f"r{d} AS (SELECT *, {_name('url')} AS host, row_number() OVER (PARTITION BY {_name('url')} ORDER BY url, key) AS n FROM c{d} WHERE key NOT IN (SELECT key FROM k{d - 1}))",
+            f"s{d} AS (SELECT host AS h, count(*) AS spent FROM k{d - 1} WHERE depth > 0 GROUP BY host)",
+            f"l{d} AS (SELECT key, url, host, {d} AS depth, parent FROM r{d} LEFT JOIN s{d} ON host = h WHERE n <= {_BUDGET} - coalesce(spent, 0))",
+            f"k{d} AS (SELECT * FROM k{d - 1} UNION ALL SELECT * FROM l{d})",
+        ]
+    return f"WITH {', '.join(parts)} SELECT key, url, depth, parent FROM k{_DEEP}"
+
+
+@query(_frontier_sql())
+def crawl_frontier(spark, sf_dir):
+    """The same crawl with a budget of pages for each host, from a frontier that is kept in the shared folder."""
+    root = f"{shared_folder(spark)}/frontier-{uuid.uuid4().hex}"
+    first = table(spark, sf_dir, "pages").groupBy(urls.hostname(C("url"))).agg(F.min_by("url", "page_id").alias("url")).select("url")
+    kept = frontier.Frontier(spark, root, _BUDGET, _DEEP).start(first, _edges(spark, sf_dir))
+    kept.run()
+    kept.close()
+    return spark.read.schema(frontier.NODE).parquet(f"{root}/known").select("key", "url", "depth", "parent")
+
+
 _QUEUE = "(SELECT url, page_id, length(url) % 5 AS priority, len(string_split(url, '/')) AS depth, page_id % 5 AS retry FROM pages)"
 
 
@@ -676,6 +706,25 @@ def stored_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", captures.stored_page(C("url"), C("html")).alias("s")).select("page_id", "s.path", "s.bytes")
 
 
+@query(f"SELECT path, sha256(arg_max(html, page_id)) AS body FROM (SELECT page_id, html, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path FROM pages) GROUP BY path")
+def mirror_pages(spark, sf_dir):
+    """Every page as a file of a mirror, read back; of pages with one path the last stays."""
+    root = f"{shared_folder(spark)}/mirror-{uuid.uuid4().hex}"
+    mirror.write_mirror(table(spark, sf_dir, "pages").select(paths.page_path(C("url")).alias("path"), C("html").cast("binary").alias("content"), C("page_id").alias("ord")), root)
+    return mirror.stored(spark, root).select("path", F.sha2("content", 256).alias("body"))
+
+
+@query("SELECT url, CAST(strlen(html) AS BIGINT) AS length, sha256(html) AS body FROM pages WHERE starts_with(url, 'https://') AND strlen(html) > 3000")
+def archive_records(spark, sf_dir):
+    """Pages written to archives and read back in ranges; the reader passes over what the filters exclude."""
+    root = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select("url", F.lit("response").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("at"), C("html").cast("binary").alias("body"))
+    mirror.write_archive(rows, root, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = mirror.archive(spark, root, split=1 << 20).filter(C("url").startswith("https://") & (C("length") > 3000))
+    return found.select("url", "length", F.sha2("body", 256).alias("body"))
+
+
 @query(f"SELECT path, max(page_id) AS page_id, arg_max(url, page_id) AS url FROM (SELECT page_id, url, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path FROM pages) GROUP BY path")
 def last_page_wins(spark, sf_dir):
     """Of pages that share a path the last one's URL is kept."""
