@@ -86,6 +86,26 @@ def test_near_group_larger_than_a_block(spark):
     assert got(ngram_join.classes(docs, 3, 90)) == brute(rows, 3, 90)
 
 
+def test_ids_with_several_texts(spark):
+    """Each text of a document links; the document is one node of the components."""
+    t, u, v = ([f"{c}{i}" for i in range(41)] for c in "tuv")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(t)), (1, " ".join(u)), (2, near(t)), (3, near(u)), (9, " ".join(v)), (5, near(v)), (5, " ".join(u)), (7, "alone " * 9), (7, ""), (8, near(t)), (8, near(t)), (8, " ".join(v))]
+    rows += [(20 + i, f"no one else says this number {i} at all") for i in range(5)]
+    sets = [(i, grams(x, 3)) for i, x in rows]
+    alike = [[a is not b and bool(a[1]) and bool(b[1]) and 100 * len(a[1] & b[1]) >= 90 * len(a[1] | b[1]) for b in sets] for a in sets]
+    reach = {i: {i} for i, _ in sets}
+    while True:
+        more = {i: set().union(*(reach[j] | {sets[y][0]} for x, (k, a) in enumerate(sets) if k == i and a for y, (j, b) in enumerate(sets) if alike[x][y]), reach[i]) for i in reach}
+        if more == reach:
+            break
+        reach = more
+    want = sorted((i, len(s), sum(alike[x]), min(reach[i]) if s else i) for x, (i, s) in enumerate(sets))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join.classes(docs, 3, 90).collect())) == want
+    assert {r[3] for r in want if r[0] in (1, 2, 3, 5, 8, 9)} == {1}
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (7, "a b c " * 50_000), (8, "a b c " * 50_000), (9, "ä ö ü"), (10, "Ä ö ü")]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, n_shingles string, gram long")

@@ -80,7 +80,7 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         for s in shingle_sets(batch.column(1), k):
             for held, value in zip(rows, (len(s), *signature(s))):
                 held.append(value)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in rows)], names=["uid", "n", "s1", "s2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in rows)], names=["doc_id", "n", "s1", "s2"])
 
 
 def _keys_of(texts: pa.Array, k: int, threshold_pct: int) -> Iterator[np.ndarray]:
@@ -91,61 +91,78 @@ def _keys_of(texts: pa.Array, k: int, threshold_pct: int) -> Iterator[np.ndarray
 
 
 def _fragmented(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int, shared: Sketch) -> Iterator[pa.RecordBatch]:
+    names = ["n", "s1", "s2", "tag", "need"]
     for batch in batches:
-        rows: list[list] = [[], [], [], []]
-        for i, s in enumerate(shingle_sets(batch.column(1), k)):
+        rows: list[list] = [[] for _ in range(6)]
+        for s in shingle_sets(batch.column(0), k):
+            own = None
             for tag, (need, keys) in enumerate(fragment_keys(s, threshold_pct) if len(s) else []):
                 keys = keys[shared.held(keys)]
                 if len(keys) >= need:
-                    for held, value in zip(rows, (i, tag, need, keys.view(np.int64))):
+                    own = own or (len(s), *signature(s))
+                    for held, value in zip(rows, (*own, tag, need, keys.view(np.int64))):
                         held.append(value)
-        at = pa.array(rows[0], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.list_(pa.int64()))], names=["uid", "tag", "need", "fragments"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in rows[:3]), *(pa.array(v, pa.int32()) for v in rows[3:5]), pa.array(rows[5], pa.list_(pa.int64()))], names=[*names, "fragments"])
 
 
 def _coarse(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Columns: a text, and the set that is looked for: n, s1, s2, uid, block, weight. Another text of the same document has another set."""
     cuts = np.arange(1, 1 << COARSE_BITS, dtype=U) << U(64 - COARSE_BITS)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             rows: list[list] = [[], [], []]
-            for i, s in enumerate(shingle_sets(part.column(1), k)):
+            asked = zip(*(part.column(c).to_pylist() for c in (1, 2, 3)))
+            for i, (s, want) in enumerate(zip(shingle_sets(part.column(0), k), asked)):
+                if (len(s), *signature(s)) != want:
+                    continue
                 for f, piece in enumerate(np.split(s, np.searchsorted(s, cuts))):
                     for held, value in zip(rows, (i, f, piece.tobytes())):
                         held.append(value)
             where = pa.array(rows[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(c).take(where) for c in (0, 2, 3)] + [pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=["uid", "block", "weight", "fragment", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(c).take(where) for c in (4, 5, 6)] + [pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], names=["uid", "block", "weight", "fragment", "keys"])
 
 
 def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, n_links (documents it links with), component_id.
+    """One row per row of ``docs``: doc_id, n_shingles, n_links (rows of other documents, or copies, that its text links
+    with), component_id.
 
     ``docs`` needs an integer id and a text; other columns are not read, whatever their names. Null, empty and blank
     texts have an empty set, link with nothing and are their own component. Fewer than ``k`` words make one n-gram of
-    the whole sequence. Rows that repeat a doc_id with the same text stay separate rows of one class; a null id is kept,
-    with a null component unless its text has copies; links count such rows only where the texts are equal and one of
-    them has an id. Two documents link when 100 * |intersection| >= threshold_pct *
-    |union|.
+    the whole sequence. Rows may repeat a doc_id with any texts: each text links for itself, and the document is in one
+    component with all that any of them links with. A null id is kept, with a null component unless its text has copies;
+    links count such rows only where the texts are equal and one of them has an id. Two texts link when
+    100 * |intersection| >= threshold_pct * |union|.
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    docs = docs.select(F.col(id_col).cast("long").alias("uid"), F.col(text_col).cast("string").alias("text"))
-    sets = scratch.keep(docs.mapInArrow(lambda it: _profile(it, k), "uid long, n long, s1 long, s2 long"), "sets")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sets = scratch.keep(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n long, s1 long, s2 long"), "sets")
+    alike = ["n", "s1", "s2"]
+    # each distinct set by a number of its own, which is written down once; ``first``: a document that has it
+    distinct = sets.filter("n > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"))
+    distinct = scratch.keep(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
 
     def held_of(reps: DataFrame) -> DataFrame:
-        some = docs.filter("uid is not null")
-        shared = docs.sparkSession.sparkContext.broadcast(shared_places(some.select("text"), partial(_keys_of, k=k, threshold_pct=threshold_pct)))
+        some = docs.filter("doc_id is not null").select("text")
+        shared = docs.sparkSession.sparkContext.broadcast(shared_places(some, partial(_keys_of, k=k, threshold_pct=threshold_pct)))
         release(docs.sparkSession)
-        cut = some.mapInArrow(lambda it: _fragmented(it, k, threshold_pct, shared.value), "uid long, tag int, need int, fragments array<long>")
-        return cut.join(reps.select("uid"), "uid").dropDuplicates(["uid", "tag"]).select(F.explode("fragments").alias("bucket"), "uid", "tag", "need")
+        cut = some.mapInArrow(lambda it: _fragmented(it, k, threshold_pct, shared.value), "n long, s1 long, s2 long, tag int, need int, fragments array<long>")
+        return cut.join(distinct.select(*alike, "uid"), alike).dropDuplicates([*alike, "tag"]).select(F.explode("fragments").alias("bucket"), "uid", "tag", "need")
 
     def cut_of(home: DataFrame) -> DataFrame:
-        wanted = docs.join(home.hint("shuffle_hash"), "uid").select("uid", "text", "block", "weight")
-        return wanted.mapInArrow(lambda it: _coarse(it, k), "uid long, block long, weight long, fragment int, keys binary")
+        wanted = home.select("uid", "block", "weight").join(distinct.select("uid", F.col("first").alias("doc_id"), *alike), "uid")
+        texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", *alike, "uid", "block", "weight")
+        return texts.mapInArrow(lambda it: _coarse(it, k), "uid long, block long, weight long, fragment int, keys binary")
 
-    found = link(sets, held_of, cut_of, threshold_pct, scratch)
-    return sets.join(found, ["n", "s1", "s2"], "left").select(
-        F.col("uid").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "uid").alias("component_id")
-    )
+    # documents with several sets hold these together
+    several = sets.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*alike)).alias("a"), F.max(F.struct(*alike)).alias("b")).filter("a <> b").select("doc_id")
+    numbers = sets.filter("n > 0").join(several, "doc_id").join(distinct.select(*alike, "uid"), alike).select("doc_id", "uid").distinct()
+    joined = numbers.join(numbers.groupBy("doc_id").agg(F.min("uid").alias("a")), "doc_id").select("a", F.col("uid").alias("b"))
+    found = link(sets, held_of, cut_of, threshold_pct, scratch, reps=distinct.select("uid", *alike, "weight"), joined=joined)
+    found = scratch.keep(found, "found")
+    firsts = found.join(distinct.select(*alike, "first"), alike).groupBy("component").agg(F.min("first").alias("component_id"))
+    found = found.join(firsts, "component").select(*alike, "links", "component_id")
+    return sets.join(found, alike, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -153,6 +170,22 @@ def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), k=3, threshold_pct=90)
 
 
+#: All pairs that share a shingle, counted; components by following links as far as they go.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, s, row_number() OVER (ORDER BY doc_id) AS r FROM g),
+x AS (SELECT r, len(s) AS size, unnest(s) AS gram FROM n),
+p AS (SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.gram = b.gram AND a.r < b.r AND 100 * least(a.size, b.size) >= 90 * greatest(a.size, b.size)
+  GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(a.size) + any_value(b.size) - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT y.r, z.r FROM n y JOIN n z ON y.doc_id = z.doc_id AND len(y.s) > 0 AND len(z.s) > 0),
+walk(a, b) AS (SELECT r, r FROM n UNION SELECT walk.a, e.b FROM walk JOIN e ON walk.b = e.a),
+c AS (SELECT walk.a AS r, min(doc_id) AS component_id FROM walk JOIN n ON walk.b = n.r GROUP BY walk.a),
+l AS (SELECT a AS r, count(*) AS links FROM (SELECT a, b FROM p UNION SELECT b, a FROM p) GROUP BY a)
+SELECT n.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(coalesce(links, 0) AS BIGINT) AS n_links, component_id FROM n JOIN c ON n.r = c.r LEFT JOIN l ON n.r = l.r
+"""
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class over 5-word shingles at 0.8 the smallest doc_id stays. Rows without an id stay; rows
     that repeat an id stay or go together; all columns stay, whatever their names."""

@@ -124,18 +124,21 @@ def _compared(left: list[bytes], right: list[bytes] | None, threshold_pct: int)
 
 
 def link(
-    sets: DataFrame, held_of: Callable[[DataFrame], DataFrame], cut_of: Callable[[DataFrame], DataFrame], threshold_pct: int, scratch: Scratch, counted: bool = True
+    sets: DataFrame, held_of: Callable[[DataFrame], DataFrame], cut_of: Callable[[DataFrame], DataFrame], threshold_pct: int, scratch: Scratch, counted: bool = True, reps: DataFrame | None = None, joined: DataFrame | None = None
 ) -> DataFrame:
     """Classes of sets: (n, s1, s2, component, links), a row for each distinct set with members.
 
-    ``sets``: uid, n (members), s1, s2 (a 128-bit signature of the members). ``held_of`` takes the representatives (uid,
+    ``sets``: uid, n (members), s1, s2 (a 128-bit signature of the members); or ``reps``, a stored table that has each distinct
+    set once, with weight, the number of its copies. ``joined`` (a, b): sets that belong together without being alike.
+    ``held_of`` takes the representatives (uid,
     n, weight) and returns their buckets (bucket, uid, tag, need), each once: partners share at least ``need`` buckets of
     one tag, so sets that share fewer with all others together have no partner there. With ``counted`` false one shared
     bucket is enough, there are no columns tag and need, and n need not be the exact number of members. ``cut_of`` takes
     (uid, block, n, weight) and returns uid, block, weight, fragment and keys (binary, sorted 64-bit members in that
     fragment). links counts sets with copies.
     """
-    reps = scratch.keep(sets.filter("n > 0 and uid is not null").groupBy("n", "s1", "s2").agg(F.min("uid").alias("uid"), F.count("*").alias("weight")), "reps")
+    if reps is None:
+        reps = scratch.keep(sets.filter("n > 0 and uid is not null").groupBy("n", "s1", "s2").agg(F.min("uid").alias("uid"), F.count("*").alias("weight")), "reps")
     held = scratch.hold(held_of(reps.select("uid", "n", "weight")))
     common = held.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
     near = held.join(common, "bucket")
@@ -189,7 +192,8 @@ def link(
     scratch.drop("packed")
     release(sets.sparkSession)
     links = linked.groupBy("uid").agg(F.sum("links").alias("links"))
-    comp = components(linked.select(F.col("uid").alias("a"), F.col("root").alias("b")), scratch)
+    edges = linked.select(F.col("uid").alias("a"), F.col("root").alias("b"))
+    comp = components(edges if joined is None else edges.unionByName(joined), scratch)
     found = reps.join(links, "uid", "left").join(comp.select(F.col("node").alias("uid"), "component"), "uid", "left")
     return found.select("n", "s1", "s2", F.coalesce("component", "uid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
 
