@@ -108,3 +108,9 @@ def test_archives_within_a_value():
     first, second = 10, 10 + len(one) + 9
     assert media._zip(value, first) == first + len(one) and media._zip(value, second) == second + len(one)
     assert media._zip(value, first + 1) is None
+
+
+def test_columns_of_any_case_are_replaced(spark):
+    rows = spark.createDataFrame([(bytearray(b"xx"), "a/b", 1, 2)], "content binary, declared string, Embedded int, Media_Type int")
+    found = media.sniff(rows, "content", "declared")
+    assert found.select("embedded").first()[0] == [] and media.carve(found, "content").collect() == []

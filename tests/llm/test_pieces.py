@@ -5,6 +5,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemill.llm import pieces as pc
 
@@ -94,3 +95,19 @@ def test_folds_against_brute_force(spark, kind):
 @settings(max_examples=200, deadline=None)
 def test_words_are_the_text(text):
     assert "".join(pc.split_words(text)) == (pc.SPACE + text.replace(" ", pc.SPACE) if text else "")
+
+
+def test_packs_of_an_unstable_input(spark, sf_dir, library, monkeypatch):
+    """Rows that come in another order whenever they are asked for, in many small packs a task."""
+    monkeypatch.setattr(pc, "PACK", 3000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    mixed = docs.repartition(2).withColumn("at", F.rand()).sortWithinPartitions("at").drop("at")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.ids for r in pc.encode(mixed, pc.Pieces.load(PATH)).collect()}
+    assert got == {i: library.encode(t) for i, t in text.items()}
+
+
+def test_decoded_replaces_a_column_of_any_case(spark):
+    model = pc.Pieces.load(PATH)
+    ids = spark.createDataFrame([([model.names.index("▁the")], "x")], "ids array<int>, Decoded string")
+    assert pc.decode(ids, model).select("decoded").first()[0] == "the"

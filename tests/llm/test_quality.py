@@ -94,3 +94,15 @@ def test_repeated_ids(spark):
     model = quality.train(docs, labels)
     got = sorted((r.doc_id, round(r.score, 12)) for r in quality.score(docs, model).collect())
     assert len(got) == 4 and got[2] == got[3] and got[2][1] in {x[1] for x in got[:2]}
+
+
+def test_score_replaces_a_column_of_any_case(spark):
+    rows = spark.createDataFrame([("a", 7)], "text string, Score int")
+    out = quality.score(rows, quality.Additive([]))
+    assert out.select("score").first()[0] == 0.5 and out.columns == ["text", "score"]
+
+
+def test_rows_that_repeat_a_labelled_id_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    assert quality.train(docs, labels, rows=10).base == quality.train(docs, labels, rows=10).base

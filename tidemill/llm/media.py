@@ -274,10 +274,10 @@ def sniff(df: DataFrame, content_col: str, declared_col: str) -> DataFrame:
 
     detected_type is the type of the valid medium at byte 0 (null: none), media_length its bytes, corrected whether that
     differs from what was declared (a null declaration differs), embedded the other media found. A null or empty value
-    has none of them. Columns of those names are replaced; all others are kept.
+    has none of them. Columns of those names, in any case, are replaced; all others are kept.
     """
     added = ["detected_type", "media_length", "corrected", "embedded"]
-    df = df.select([c for c in df.columns if c not in added])
+    df = df.drop(*added)  # in any case
     place, told = df.columns.index(content_col), df.columns.index(declared_col)
     from pyspark.sql.types import StructType
 
@@ -304,8 +304,10 @@ def sniff(df: DataFrame, content_col: str, declared_col: str) -> DataFrame:
 
 
 def carve(df: DataFrame, content_col: str, embedded_col: str = "embedded") -> DataFrame:
-    """One row per embedded medium: the columns of ``df`` without these two, and media_type, media_start, media_bytes."""
-    keep = [c for c in df.columns if c not in (content_col, embedded_col, "media_type", "media_start", "media_bytes")]
+    """One row per embedded medium: the columns of ``df`` without these two, and media_type, media_start, media_bytes, which
+    replace columns of those names in any case. Rows without embedded media, nulls and empty tables give none; rows that
+    repeat give theirs each; contents of any length are cut in place."""
+    keep = df.drop(content_col, embedded_col, "media_type", "media_start", "media_bytes").columns
     each = df.select(*keep, F.col(content_col).alias("_content"), F.explode(embedded_col).alias("_m"))
     cut = F.expr("substring(_content, cast(_m.start + 1 as int), cast(_m.length as int))")
     return each.select(*keep, F.col("_m.type").alias("media_type"), F.col("_m.start").alias("media_start"), cut.alias("media_bytes"))

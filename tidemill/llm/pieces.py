@@ -270,14 +270,16 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     """One row per row of ``docs``: doc_id, ids (array of int). A null or empty text has no ids.
 
     Ids are those of the model's own library without special tokens. Rows that repeat an id, and null ids, are encoded
-    each for itself; other columns are not read; an empty table gives none.
+    each for itself; other columns are not read; an empty table gives none. Texts are read whole, of any length.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "pieces")
+    # packs are numbered as they come, so they are written down before they are read twice
     packs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, "pack long, blob binary")
+    packs = scratch.keep(packs, "packs")
     listed = packs.mapInArrow(_words, "pack long, place int, word string")  # a word once a pack at most
     # distinct words are folded on their own and written down; the join that hands their ids out can be split where many
     # packs hold the same word
-    scratch = Scratch(spark, "pieces")
     known = scratch.keep(word_ids(listed.select("word").distinct(), pieces), "words")
     release(spark)
     found = listed.join(known.hint("merge"), "word").select("pack", "place", "ids")
@@ -293,7 +295,10 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         for blob in packs["blob"].to_pylist():
             t = _open(blob)
             texts = t.column(1)
-            known = {w: raw[4 * cuts[i] : 4 * cuts[i + 1]] for w, i in zip(_distinct(texts), order.tolist())}
+            words = _distinct(texts)
+            if len(words) != len(order):
+                raise ValueError(f"{len(order)} of a pack's {len(words)} words have ids")
+            known = {w: raw[4 * cuts[i] : 4 * cuts[i + 1]] for w, i in zip(words, order.tolist())}
             known["\n"], known[""] = int(bytes_at + 10).to_bytes(4, "little"), b""
 
             def of(word: str) -> bytes:
@@ -318,8 +323,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
 
 def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
-    """``df`` with ``decoded``: the text of the ids, without the dummy prefix. Null ids give null; a column of that name is replaced."""
-    df = df.select([c for c in df.columns if c != "decoded"])
+    """``df`` with ``decoded``: the text of the ids, without the dummy prefix. Null ids give null; a column of that name, in any case, is replaced."""
+    df = df.drop("decoded")  # in any case
     at = df.columns.index(ids_col)
     from pyspark.sql.types import StringType, StructField, StructType
 

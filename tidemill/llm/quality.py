@@ -191,7 +191,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additive:
     """Fit on ``rows`` labels at most, those with the smallest hash of the id. labels: doc_id, label (0 or 1); docs: doc_id,
     text. Labels that repeat an id each count, and each row of ``docs`` that repeats a labelled id is learned from with
-    every label of it. Null ids and other labels are no labels; a null text counts as empty; without any label the model
+    every label of it, as long as these are no more than ``rows`` either. Null ids and other labels are no labels; a null text counts as empty; without any label the model
     scores 0.5."""
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
@@ -202,15 +202,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Additiv
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
-    seen = both.mapInArrow(measure, "doc_id long, label int, x array<double>").toPandas().sort_values(["doc_id", "label"])
+    seen = both.mapInArrow(measure, "doc_id long, label int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(rows).toPandas().sort_values(["doc_id", "label"])
     x = np.stack(seen["x"].to_numpy()) if len(seen) else np.zeros((0, len(FEATURES)))
     return fit(x, seen["label"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Additive, text_col: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1); a column of that name is replaced. Every row gets a score from its own text alone, read
+    """``docs`` with score (0 to 1); a column of that name, in any case, is replaced. Every row gets a score from its own text alone, read
     whole, so rows that repeat an id with other texts differ; null and empty texts get one too."""
-    docs = docs.select([c for c in docs.columns if c != "score"])
+    docs = docs.drop("score")  # in any case
     place = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql.types import DoubleType, StructField, StructType
