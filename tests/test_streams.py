@@ -4,6 +4,7 @@ import json
 import os
 import random
 import shutil
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -140,3 +141,18 @@ def test_rows_without_key_time_or_item(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [(1, None, "1", 4, None)]
     twin = segments.latest(segments.numbered(q.visits(spark.createDataFrame(found, SCHEMA)), "user_id", 3_600_000, 3_600_000), "user_id")
     assert same(got, twin.select(got.columns))
+
+
+def test_progress_of_streams(spark, tmp_path):
+    found = rows(7, n=200)
+    late = [(900, START - timedelta(days=30), 1, "click", 1.0, None)]
+    stream = slices(spark, str(tmp_path), [found[:100], found[100:], late])
+    with network.Progress(spark) as seen:
+        network.run_to_end(network.quiet_sessions(stream, "12 hours", "1 hour"), "t", "append")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for _ in range(100):
+            if seen.seen and all(v["ended"] for v in seen.seen.values()):
+                break
+            time.sleep(0.1)
+    (row,) = seen.table().collect()
+    assert (row.rows, row.late, row.ended) == (201, 1, "done") and row.batches >= 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,9 +32,12 @@ def add_results(adds: DataFrame) -> DataFrame:
     return adds.join(fresh.withColumnRenamed("hash", "_h"), F.col("hash") == F.col("_h"), "left").select("ord", F.coalesce(F.col("ord") == F.col("first_ord"), F.lit(False)).alias("added"))
 
 
-def hash_groups(adds: DataFrame) -> DataFrame:
-    """(hash, urls): distinct URLs by hash, in order of the alphabet."""
-    return adds.groupBy("hash").agg(F.sort_array(F.collect_set("url")).alias("urls"))
+def hash_groups(adds: DataFrame, most: int = 10_000) -> DataFrame:
+    """(hash, part, urls): distinct URLs by hash, in order of the alphabet, ``most`` to a row. A hash that very many URLs share
+    is many rows; it passes a sort, which spills, and is never gathered whole."""
+    place = F.row_number().over(Window.partitionBy("hash").orderBy("url")) - 1
+    placed = adds.select("hash", "url").distinct().withColumn("part", F.floor(place / most))
+    return placed.groupBy("hash", "part").agg(F.sort_array(F.collect_list("url")).alias("urls"))
 
 
 def stats(adds: DataFrame, saved_per_duplicate: int | None = None) -> DataFrame:

@@ -126,11 +126,11 @@ def links_and_routes(links: DataFrame, navigations: DataFrame, id_col: str = "pa
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Pages as records: parsed URL, title, status and final URL as captured (else 200 and the URL itself), sizes and
-    counts of links. ``pages``: page_id, url, html and, if captured, status and final_url."""
+    """Pages as records: parsed URL, title, status and final URL, sizes and counts of links. ``pages``: page_id, url, html and, if
+    captured, status (0 where it is missing) and final_url (else the URL itself); without such a column the status is 200."""
     url = urls.parse_page_url(F.col("url"), F.col("url"), F.lit(0), F.lit(None).cast("string"))
     status = F.col("status") if "status" in pages.columns else F.lit(200)
     final = F.col("final_url") if "final_url" in pages.columns else F.col("url")
     return pages.select(
-        "page_id", url.alias("parsed"), title(F.col("html")).alias("title"), status.cast("int").alias("status"), F.coalesce(final, "url").alias("final_url"), F.length("html").cast("long").alias("chars"), F.size(markup.tags(F.col("html"), "a")).cast("long").alias("anchors")
+        "page_id", url.alias("parsed"), title(F.col("html")).alias("title"), F.coalesce(status.cast("int"), F.lit(0)).alias("status"), F.coalesce(final, "url").alias("final_url"), F.length("html").cast("long").alias("chars"), F.size(markup.tags(F.col("html"), "a")).cast("long").alias("anchors")
     )

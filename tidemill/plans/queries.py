@@ -494,9 +494,10 @@ def dedup_canonical_path(spark, sf_dir):
     return dedup.canonical_paths(rows).select("url", "canonical_path", "is_new")
 
 
-@query(f"SELECT hash, list_sort(list(DISTINCT url)) AS urls FROM {_D} GROUP BY hash")
+@query(f"WITH u AS (SELECT DISTINCT hash, url FROM {_D}), n AS (SELECT *, (row_number() OVER (PARTITION BY hash ORDER BY url) - 1) // 3 AS part FROM u) SELECT hash, part, list(url ORDER BY url) AS urls FROM n GROUP BY hash, part")
 def hash_url_groups(spark, sf_dir):
-    return dedup.hash_groups(_docs(spark, sf_dir))
+    """URLs of each hash, three to a row, so that no row grows with what is common."""
+    return dedup.hash_groups(_docs(spark, sf_dir), 3)
 
 
 @query(f"SELECT CAST(sum(n) AS BIGINT) AS unique_urls, count(*) AS unique_content, CAST(sum(n - 1) AS BIGINT) AS duplicates, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum((n - 1) * 1024) AS BIGINT) AS saved_bytes FROM (SELECT hash, count(*) AS n, arg_min(size, ord) AS size FROM {_D} GROUP BY hash)")
@@ -695,9 +696,15 @@ def url_make_absolute(spark, sf_dir):
 _TITLE = _decode("array_to_string(regexp_extract_all(" + _BARE + r", '<title[^>]*>(.*?)</title>', 1, 'is'), '')")
 
 
-@query(rf"SELECT page_id, {_TITLE} AS title, {_name('url')} AS hostname, 200 AS status, url AS final_url, length(html) AS chars, len(regexp_extract_all({_TAGS}, '<a\b[^>]*>', 0, 'is')) AS anchors FROM pages")
+_STATUS = "CASE WHEN contains(url, '#') THEN 304 WHEN contains(url, '?') THEN 200 END"
+
+
+@query(rf"SELECT page_id, {_TITLE} AS title, {_name('url')} AS hostname, coalesce({_STATUS}, 0) AS status, coalesce(CASE WHEN contains(url, '?') THEN {_clean('url')} END, url) AS final_url, length(html) AS chars, len(regexp_extract_all({_TAGS}, '<a\b[^>]*>', 0, 'is')) AS anchors FROM pages")
 def page_records(spark, sf_dir):
-    rows = extract.page_rows(table(spark, sf_dir, "pages"))
+    """Pages as a browser reports them: some were not modified, some were led elsewhere, some have no status."""
+    pages = table(spark, sf_dir, "pages")
+    pages = pages.withColumn("status", F.when(C("url").contains("#"), 304).when(C("url").contains("?"), 200)).withColumn("final_url", F.when(C("url").contains("?"), urls.clean(C("url"))))
+    rows = extract.page_rows(pages)
     return rows.select("page_id", "title", C("parsed.hostname").alias("hostname"), "status", "final_url", "chars", "anchors")
 
 
@@ -706,6 +713,52 @@ def stored_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", captures.stored_page(C("url"), C("html")).alias("s")).select("page_id", "s.path", "s.bytes")
 
 
+def _files(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """(path, content) written as files; the folder."""
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    mirror.write_mirror(rows.withColumn("ord", F.lit(1)), root)
+    return root
+
+
+@query("SELECT 'p' || page_id || '.html' AS file, CAST(strlen(html) AS BIGINT) AS size, substr(sha256(html), 1, 16) AS hash FROM pages")
+def asset_files(spark, sf_dir):
+    """Stored files by the reader's pushdown of names: pages, but no scripts beside them."""
+    pages, number = table(spark, sf_dir, "pages"), C("page_id").cast("string")
+    each = F.array(F.struct(F.concat(F.lit("p"), number, F.lit(".html")).alias("path"), C("html").cast("binary").alias("content")), F.struct(F.concat(F.lit("js/p"), number, F.lit(".js")).alias("path"), C("url").cast("binary").alias("content")))
+    found = captures.assets(spark, _files(spark, pages.select(F.explode(each).alias("f")).select("f.*"), "assets"), "*.html")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), C("size").cast("long").alias("size"), F.substring(F.sha2("content", 256), 1, 16).alias("hash"))
+
+
+@query(f"SELECT id || '.css' AS file, found FROM {_strings({1: ['a.png', 'x.css'], 2: ['/img/c.gif', 'd.css', '#i'], 3: ['a.woff2', 'b.woff', 'https://s.com/f/c.ttf', 'https://o.com/z.otf'], 4: []})}")
+def style_sheet_files(spark, sf_dir):
+    """References of the style sheets in a folder."""
+    sheets = _css(spark, sf_dir).filter("body <> ''").select(F.concat(C("id").cast("string"), F.lit(".css")).alias("path"), C("body").cast("binary").alias("content"))
+    found = captures.style_sheets(spark, _files(spark, sheets, "sheets"))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), extract.css_urls(C("body")).alias("found"))
+
+
+@query(f"SELECT folder, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'img' WHEN 1 THEN 'css' ELSE 'other' END AS folder, length(text) AS size, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1 GROUP BY folder")
+def assets_by_folder(spark, sf_dir):
+    """Assets that hold something new, written by folder and read back."""
+    kind = F.when(C("ord") % 3 == 0, "image").when(C("ord") % 3 == 1, "css").otherwise("unknown")
+    rows = dedup.canonical_paths(_docs(spark, sf_dir).withColumn("local_path", paths.asset_path(C("url"), kind, C("hash"))))
+    root = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    captures.write_assets(rows, root)
+    return spark.read.parquet(root).groupBy(C("folder").cast("string").alias("folder")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT 'pages' AS what, count(*) AS total, count(*) FILTER (WHERE length(html) < 6000) AS succeeded, count(*) FILTER (WHERE length(html) >= 6000) AS failed FROM pages UNION ALL SELECT 'documents', count(*), count(*) FILTER (WHERE length(text) < 2000), count(*) FILTER (WHERE length(text) >= 2000) FROM documents")
+def progress_counters(spark, sf_dir):
+    """Counters that frames keep of themselves while something else is computed from them."""
+    pages = table(spark, sf_dir, "pages").select("url", (F.length("html") < 6000).alias("ok"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.length("text") < 2000).alias("ok"))
+    one, two, seen_one, seen_two = stats.progress(pages, docs)
+    for df in (one, two):
+        df.write.format("noop").mode("overwrite").save()
+    rows = [(what, o.get["total"], o.get["succeeded"], o.get["failed"]) for what, o in (("pages", seen_one), ("documents", seen_two))]  # two rows of counters
+    return spark.createDataFrame(rows, "what string, total long, succeeded long, failed long")
+
+
 @query(f"SELECT path, sha256(arg_max(html, page_id)) AS body FROM (SELECT page_id, html, {_page_sql('url', chr(92) + '.html?$', 12, True)} AS path FROM pages) GROUP BY path")
 def mirror_pages(spark, sf_dir):
     """Every page as a file of a mirror, read back; of pages with one path the last stays."""

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..plans.lineage import shared_folder
 
@@ -91,3 +92,43 @@ def state_store(spark: SparkSession, provider: str | None):
 def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     """Hand every micro-batch to ``handle``, with progress kept in ``checkpoint``."""
     return stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Progress(StreamingQueryListener):
+    """What the running streams of a session have done so far, by name or id: batches, rows in, rows that came too late,
+    rows of state, and how they ended. ``with Progress(spark) as seen: ...; seen.table()``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.seen = spark, {}
+
+    def __enter__(self) -> Progress:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.streams.removeListener(self)
+
+    def _of(self, event) -> dict:
+        return self.seen.setdefault(str(event.runId), {"name": None, "batches": 0, "rows": 0, "late": 0, "state": 0, "ended": None})
+
+    def onQueryStarted(self, event) -> None:
+        self._of(event)["name"] = event.name or str(event.id)
+
+    def onQueryProgress(self, event) -> None:
+        now, held = event.progress, self._of(event.progress)
+        held["name"] = held["name"] or now.name or str(now.id)
+        held["batches"] += 1
+        held["rows"] += now.numInputRows
+        held["late"] += sum(x.numRowsDroppedByWatermark for x in now.stateOperators)
+        held["state"] = sum(x.numRowsTotal for x in now.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._of(event)["ended"] = event.exception or "done"
+
+    def table(self) -> DataFrame:
+        """A row for each stream."""
+        rows = [(run, *(v[k] for k in ("name", "batches", "rows", "late", "state", "ended"))) for run, v in self.seen.items()]
+        return self.spark.createDataFrame(rows, "run string, name string, batches long, rows long, late long, state long, ended string")
