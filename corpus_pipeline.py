@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last return the
 columns of ``documents``. ``run`` writes what a stage returns as Parquet in the shared folder and rereads it for the next,
-so a lost executor costs no more than the stage at hand.
+so a lost executor costs no more than the stage at hand; what the stage before left is then deleted.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the cleaned documents of ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs

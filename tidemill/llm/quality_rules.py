@@ -31,6 +31,8 @@ TRAIN_ROWS = 6_000
 CALIBRATE = 5
 BITS = 16
 BYTE_GRAMS = (3, 5)
+#: Bytes of text whose n-grams are held at once: about 150 times as much memory.
+PART = 250_000
 L2, STEPS, ENOUGH, MEMORY, TASKS = 0.3, 40, 1e-3, 6, 8
 #: The rules: fewer words, or a larger percentage of words within repeated windows, fail; then the least probability.
 MIN_WORDS, MAX_REPEATED, KEEP_AT = 50, 50, 0.3
@@ -73,7 +75,7 @@ def counts(texts: pa.Array) -> np.ndarray:
 def ngrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For consecutive rows: (rows' first entries and the end, hashed features, their values). The values of a text have length
     one; a text without any n-gram has none."""
-    for _, _, raw, offsets in slices(texts):
+    for _, _, raw, offsets in slices(texts, PART):
         n = len(offsets) - 1
         hashes, _, _, before = words(raw, offsets)
         found = [(np.repeat(np.arange(n), np.diff(before)), mix(hashes ^ U(1)))]
