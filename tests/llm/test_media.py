@@ -22,10 +22,10 @@ def zipped():
 
 
 GIF = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0\0\0\xff\xff\xff" + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02D\x01\0" + b"\x3b"
-JPEG = b"\xff\xd8\xff\xe0\x00\x10JFIF\0" + bytes(9) + b"\xff\xda\x00\x04ab" + b"data\xff\x00more\xff\xd9"
+JPEG = b"\xff\xd8\xff\xe0\x00\x10JFIF\0" + bytes(9) + b"\xff\xc0\x00\x0b\x08\x00\x01\x00\x01\x01\x01\x11\x00" + b"\xff\xda\x00\x04ab" + b"data\xff\x00more\xff\xd9"
 BMP = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"abc\0"
 PDF = b"%PDF-1.4\nstuff\nstartxref\n0\n%%EOF"
-OGG = b"OggS\0" + bytes(21) + b"\x01\x05hello"
+OGG = b"OggS\0" + bytes(17) + bytes.fromhex("d46c02be") + b"\x01\x05hello"
 FLAC = b"fLaC\x80\x00\x00\x22" + bytes(34) + b"\xff\xf8data"
 MP4 = struct.pack(">I", 16) + b"ftypisom\0\0\0\0" + struct.pack(">I", 12) + b"mdatabcd"
 WEBP = b"RIFF" + struct.pack("<I", 16) + b"WEBPVP8L" + struct.pack("<I", 4) + b"abcd"
@@ -68,7 +68,7 @@ def test_round_trip(spark, sf_dir):
         raw = text[r.doc_id].encode()
         padded = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
-        assert r.media_bytes == len(padded) + 44 and "corrected=true" in r.feature
+        assert r.media_bytes == len(padded) + 44 and f"corrected={'true' if r.doc_id % 2 else 'false'}" in r.feature
 
 
 def test_edge_cases(spark):
@@ -114,3 +114,19 @@ def test_columns_of_any_case_are_replaced(spark):
     rows = spark.createDataFrame([(bytearray(b"xx"), "a/b", 1, 2)], "content binary, declared string, Embedded int, Media_Type int")
     found = media.sniff(rows, "content", "declared")
     assert found.select("embedded").first()[0] == [] and media.carve(found, "content").collect() == []
+
+
+def test_checksums_and_frames_are_confirmed():
+    def by_bits(page):
+        crc = 0
+        for byte in page:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = ((crc << 1) ^ 0x04C11DB7 if crc >> 31 else crc << 1) & 0xFFFFFFFF
+        return crc
+
+    bare = OGG[:22] + bytes(4) + OGG[26:]
+    assert by_bits(bare) == media._ogg_sum(bare) == int.from_bytes(OGG[22:26], "little")
+    find = media.Sniffer().media
+    assert find(OGG) and not find(OGG[:-1] + b"O") and not find(JPEG.replace(b"\xff\xc0", b"\xff\xe1"))
+    assert find(OGG + OGG + OGG[:-1]) == [("audio/ogg", 0, 2 * len(OGG))]

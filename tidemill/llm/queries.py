@@ -24,6 +24,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter.OP2_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op8_media_columns": media.OP8_SQL,
     "op9_ngram_jaccard_join": ngram_join.OP9_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
     "op13_conversation_repair": dialog_repair.OP13_SQL,
