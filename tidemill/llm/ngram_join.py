@@ -91,18 +91,18 @@ def _keys_of(texts: pa.Array, k: int, threshold_pct: int) -> Iterator[np.ndarray
 
 
 def _fragmented(batches: Iterator[pa.RecordBatch], k: int, threshold_pct: int, shared: Sketch) -> Iterator[pa.RecordBatch]:
-    names = ["n", "s1", "s2", "tag", "need"]
     for batch in batches:
-        rows: list[list] = [[] for _ in range(6)]
-        for s in shingle_sets(batch.column(0), k):
+        rows: list[list] = [[] for _ in range(7)]
+        for i, s in enumerate(shingle_sets(batch.column(1), k)):
             own = None
             for tag, (need, keys) in enumerate(fragment_keys(s, threshold_pct) if len(s) else []):
                 keys = keys[shared.held(keys)]
                 if len(keys) >= need:
                     own = own or (len(s), *signature(s))
-                    for held, value in zip(rows, (*own, tag, need, keys.view(np.int64))):
+                    for held, value in zip(rows, (i, *own, tag, need, keys.view(np.int64))):
                         held.append(value)
-        yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in rows[:3]), *(pa.array(v, pa.int32()) for v in rows[3:5]), pa.array(rows[5], pa.list_(pa.int64()))], names=[*names, "fragments"])
+        columns = [batch.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(v, pa.int64()) for v in rows[1:4]), *(pa.array(v, pa.int32()) for v in rows[4:6]), pa.array(rows[6], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "tag", "need", "fragments"])
 
 
 def _coarse(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -143,11 +143,13 @@ def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str =
     distinct = scratch.keep(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
 
     def held_of(reps: DataFrame) -> DataFrame:
-        some = docs.filter("doc_id is not null").select("text")
-        shared = docs.sparkSession.sparkContext.broadcast(shared_places(some, partial(_keys_of, k=k, threshold_pct=threshold_pct)))
+        some = docs.filter("doc_id is not null")
+        shared = docs.sparkSession.sparkContext.broadcast(shared_places(some.select("text"), partial(_keys_of, k=k, threshold_pct=threshold_pct)))
         release(docs.sparkSession)
-        cut = some.mapInArrow(lambda it: _fragmented(it, k, threshold_pct, shared.value), "n long, s1 long, s2 long, tag int, need int, fragments array<long>")
-        return cut.join(distinct.select(*alike, "uid"), alike).dropDuplicates([*alike, "tag"]).select(F.explode("fragments").alias("bucket"), "uid", "tag", "need")
+        cut = some.mapInArrow(lambda it: _fragmented(it, k, threshold_pct, shared.value), "doc_id long, n long, s1 long, s2 long, tag int, need int, fragments array<long>")
+        # one document stands for all that have its set: copies are spread by their ids and end here
+        one = distinct.select(F.col("first").alias("doc_id"), *alike, "uid")
+        return cut.join(one, ["doc_id", *alike]).dropDuplicates(["doc_id", *alike, "tag"]).select(F.explode("fragments").alias("bucket"), "uid", "tag", "need")
 
     def cut_of(home: DataFrame) -> DataFrame:
         wanted = home.select("uid", "block", "weight").join(distinct.select("uid", F.col("first").alias("doc_id"), *alike), "uid")
