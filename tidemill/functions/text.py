@@ -7,11 +7,12 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-def _named() -> dict[str, str]:
-    """The named references of HTML 4, by name."""
-    from html.entities import name2codepoint
 
-    return {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+def _named() -> tuple[dict[str, str], list[str]]:
+    """The named references of HTML by name, and the old names that need no semicolon, longest first."""
+    from html.entities import html5
+
+    return {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}, sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 
 def _character(code: Column) -> Column:
@@ -21,17 +22,33 @@ def _character(code: Column) -> Column:
     return F.when(wrong, "\ufffd").when(code.between(128, 159), F.get(old, (code - 128).cast("int"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
-def decode_entities(x: Column) -> Column:
-    """Named (those of HTML 4) and numeric character references as characters, each once; what is none stays as it is.
-    Only text with an ampersand is taken apart."""
-    names = F.from_json(F.lit(json.dumps(_named())), "map<string,string>")
+def decode_entities(x: Column, in_attribute: bool = False) -> Column:
+    """Named and numeric character references as characters, each once; what is none stays as it is.
 
-    def after(p: Column) -> Column:
-        name = F.regexp_extract(p, r"^(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{0,31});", 1)
-        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).try_cast("long")
+    Numbers and the old names need no semicolon; in attributes such a name counts only if neither = nor a letter or digit
+    follows. Only text with an ampersand is taken apart.
+    """
+    named, old = _named()
+    names = F.from_json(F.lit(json.dumps(named)), "map<string,string>")
+    bare = rf"^({'|'.join(old)})" + (r"(?![=A-Za-z0-9])" if in_attribute else "")
+
+    def numbered(p: Column) -> Column:
+        found = F.regexp_extract(p, r"^(#[0-9]+|#[xX][0-9A-Fa-f]+)", 1)
+        digits = F.when(found.rlike("^#[xX]"), F.conv(F.substr(found, F.lit(3)), 16, 10)).otherwise(F.substr(found, F.lit(2)))
+        code = F.coalesce(digits.try_cast("long"), F.lit(1 << 40))
+        rest = F.regexp_replace(p, r"^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?", "")
+        return F.when(found == "", F.concat(F.lit("&"), p)).otherwise(F.concat(_character(F.least(code, F.lit(0x110000))), rest))
+
+    def worded(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]{0,31});", 1)
         common = F.when(name == "amp", "&").when(name == "lt", "<").when(name == "gt", ">").when(name == "quot", '"')
-        char = F.when(name.startswith("#"), _character(code)).otherwise(F.coalesce(common, F.try_element_at(names, name)))
-        return F.when((name == "") | char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substr(p, F.length(name) + 2)))
+        char = F.when(name != "", F.coalesce(common, F.try_element_at(names, name)))
+        short = F.regexp_extract(p, bare, 1)
+        loose = F.when(short == "", F.concat(F.lit("&"), p)).otherwise(F.concat(F.try_element_at(names, short), F.substr(p, F.length(short) + 1)))
+        return F.when(char.isNull(), loose).otherwise(F.concat(char, F.substr(p, F.length(name) + 2)))
+
+    def after(p: Column) -> Column:
+        return F.when(p.startswith("#"), numbered(p)).when(p.rlike("^[A-Za-z]"), worded(p)).otherwise(F.concat(F.lit("&"), p))
 
     def whole(parts: Column) -> Column:
         return F.when(F.size(parts) < 2, parts[0]).otherwise(F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, 1 << 20), after), "")))

@@ -60,7 +60,7 @@ def raw_attribute(tag: Column, name: str) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """The decoded value."""
-    return text.decode_entities(raw_attribute(tag, name))
+    return text.decode_entities(raw_attribute(tag, name), in_attribute=True)
 
 
 def base_url(html: Column, url: Column) -> Column:

@@ -199,7 +199,7 @@ def html_references(df: DataFrame, pages: DataFrame, assets: DataFrame) -> DataF
             found.append(F.struct(F.lit(k).alias("k"), F.lit(attr).alias("attr"), F.lit("page" if kind in ("page", "refresh") else "asset").alias("m"), F.when(ok, ref).alias("ref"), lead.alias("lead")))
         rows = tokens.filter(~F.col("token").startswith("<!--")).withColumn("_open", opened)
         rows = rows.withColumn("_f", F.filter(F.array(*found), lambda x: (x["ref"] != "")))
-        each = rows.select("id", "pos", "url", F.explode("_f").alias("f")).withColumn("f", F.col("f").withField("ref", text.decode_entities(F.col("f.ref")))).filter(~filters.is_non_http(F.col("f.ref")))
+        each = rows.select("id", "pos", "url", F.explode("_f").alias("f")).withColumn("f", F.col("f").withField("ref", text.decode_entities(F.col("f.ref"), in_attribute=True))).filter(~filters.is_non_http(F.col("f.ref")))
         each = each.select("id", "pos", "f.*", urls.resolve(F.col("f.ref"), F.col("url")).alias("_key"))
         each = each.withColumn("_www", F.when(F.col("m") == "asset", urls.www_alternate(F.col("_key"))))
         one, two = (both.select(F.col("_m").alias(f"_m{s}"), F.col("_k").alias(f"_k{s}"), F.col("local_path").alias(f"_p{s}")) for s in "12")
@@ -238,7 +238,7 @@ def html_saved(df: DataFrame) -> DataFrame:
         rel = F.coalesce(raw_attribute(tag, "rel"), F.lit(""))
         attr = F.when(tag.rlike(r"(?i)^<(a|link)\b"), "href").when(tag.rlike(r"(?i)^<(script|img)\b"), "src")
         ok = ~tag.rlike(r"(?i)^<link\b") | (rel == "stylesheet") | F.contains(rel, F.lit("icon"))
-        ref = text.decode_entities(F.when(attr == "href", raw_attribute(tag, "href")).when(attr == "src", raw_attribute(tag, "src")))
+        ref = text.decode_entities(F.when(attr == "href", raw_attribute(tag, "href")).when(attr == "src", raw_attribute(tag, "src")), in_attribute=True)
         rows = tokens.withColumn("_ref", F.when(ok & (ref != ""), ref)).withColumn("_attr", attr).withColumn("_key", urls.resolve(F.col("_ref"), F.col("url"))).filter("_key is not null")
         path = F.when(tag.rlike(r"(?i)^<a\b"), paths.page_path_http(F.col("_key"))).otherwise(paths.asset_path_by_url(F.col("_key")))
         put = lambda p: F.when(F.col("_attr") == "href", _with_attribute(tag, "href", p)).otherwise(_with_attribute(tag, "src", p))
@@ -278,7 +278,7 @@ def css_fonts(df: DataFrame, fonts: DataFrame) -> DataFrame:
     return css(df, fonts, mapped="sheet", unmapped="keep")
 
 
-# -- scripts --------------------------------------------------------------------------------------------------------
+# -- scripts (fixed values: the patterns of framework paths, calls and literals in the passes below) ------------------
 def _script_pass(df: DataFrame, table: DataFrame, pattern: str, group: int, out: Callable[[Column, Column, Column], Column], guard: bool, only_mapped: bool = False, resolved: bool = False) -> DataFrame:
     """One pass over scripts (id, url, base, body). ``out`` makes the new token of (token, reference, new reference)."""
 

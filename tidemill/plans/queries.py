@@ -671,12 +671,12 @@ def page_links_unquoted(spark, sf_dir):
     return extract.hrefs(table(spark, sf_dir, "pages").withColumn("html", html)).select("page_id", "pos", "href")
 
 
-_DECODED = [(1, "é€😀"), (2, "<b> & \u00a0©"), (3, "&nosuch; &amp &"), (4, "€\ufffd\ufffd"), (5, "plain"), (6, "&lt;"), (7, "∴Æ≥")]
+_DECODED = [(1, "é€😀"), (2, "<b> & \u00a0©"), (3, "&nosuch; & & ©x"), (4, "€\ufffd\ufffd"), (5, "plain"), (6, "&lt;"), (7, "∴Æ≥")]
 
 
 @query(f"SELECT * FROM {fx.on_pages_sql([(i, x + ' s.com') for i, x in _DECODED], 'id, out')}")
 def entities_decode(spark, sf_dir):
-    rows = [(1, "&#233;&#x20AC;&#x1F600;"), (2, "&lt;b&gt; &amp; &nbsp;&copy;"), (3, "&nosuch; &amp &"), (4, "&#128;&#0;&#xD800;"), (5, "plain"), (6, "&amp;lt;"), (7, "&there4;&AElig;&ge;")]
+    rows = [(1, "&#233;&#x20AC;&#x1F600;"), (2, "&lt;b&gt; &amp; &nbsp;&copy;"), (3, "&nosuch; &amp & &copyx"), (4, "&#128;&#0;&#xD800;"), (5, "plain"), (6, "&amp;lt;"), (7, "&there4;&AElig;&ge;")]
     return _each(spark, sf_dir, [(i, x + "&#32;s.com") for i, x in rows], "id int, x string").select("id", text.decode_entities(C("x")).alias("out"))
 
 
