@@ -6,10 +6,13 @@ responses, the number in ``props`` is the URL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import exchanges, network, segments
+from .lineage import shared_folder
 from .queries import C, query, table
 
 TIMEOUT, LATE, IDLE_HOURS, QUIET = "2 hours", "1 hour", 24, "12 hours"
@@ -87,3 +90,26 @@ def quiet_sessions_stream(spark, sf_dir):
     """Pages that have been quiet: sessions given out once the watermark has passed their end."""
     found = network.run_to_end(network.quiet_sessions(network.events(spark, sf_dir), QUIET, LATE), "quiet", "append")
     return found.select("user_id", F.unix_micros("begin").alias("began_us"), F.unix_micros("end").alias("quiet_us"), "n")
+
+
+# Events come in up to four days after they happened, in slices of four days.
+_LAG_HOURS, _SLICE, _PATIENCE = 97, 4 * 86_400, "1 day"
+
+
+@query(f"""WITH s AS (SELECT event_id, ts, floor((epoch_us(ts) // 1000000 + event_id % {_LAG_HOURS} * 3600) / {_SLICE}) AS slot FROM events),
+m AS (SELECT slot, (SELECT max(date_trunc('millisecond', ts)) FROM s e WHERE e.slot < a.slot) - INTERVAL {_PATIENCE} AS mark FROM (SELECT DISTINCT slot FROM s) a)
+SELECT event_id, coalesce(ts <= mark, false) AS late FROM s JOIN m USING (slot)""")
+def late_rows_stream(spark, sf_dir):
+    """Events as they come in, slice after slice: which of them are behind the watermark of what had come before."""
+    slot = F.floor((F.floor(F.unix_micros("ts") / 1_000_000) + C("event_id") % _LAG_HOURS * 3600) / _SLICE)
+    rows = table(spark, sf_dir, "events").withColumn("ts", C("ts").cast("timestamp")).withColumn("slot", slot)
+    root = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    split = None
+    for (number,) in sorted(rows.select("slot").distinct().collect()):  # a few
+        rows.filter(C("slot") == number).drop("slot").write.mode("append").parquet(f"{root}/in")
+        split = split or exchanges.LateRows(spark.readStream.schema(rows.drop("slot").schema).parquet(f"{root}/in"), "ts", _PATIENCE, f"{root}/split")
+        split.drain()
+    if split is None:
+        return rows.select("event_id", F.lit(False).alias("late"))
+    in_time = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/split/in_time")
+    return in_time.select("event_id", F.lit(False).alias("late")).unionByName(split.late_rows().select("event_id", F.lit(True).alias("late")))
