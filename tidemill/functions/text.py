@@ -29,7 +29,7 @@ def decode_entities(x: Column, in_attribute: bool = False) -> Column:
     follows. Only text with an ampersand is taken apart.
     """
     named, old = _named()
-    names = F.from_json(F.lit(json.dumps(named)), "map<string,string>")
+    names, old_names = (F.from_json(F.lit(json.dumps(m)), "map<string,string>") for m in (named, {n: named[n] for n in old}))
     bare = rf"^({'|'.join(old)})" + (r"(?![=A-Za-z0-9])" if in_attribute else "")
 
     def numbered(p: Column) -> Column:
@@ -44,7 +44,7 @@ def decode_entities(x: Column, in_attribute: bool = False) -> Column:
         common = F.when(name == "amp", "&").when(name == "lt", "<").when(name == "gt", ">").when(name == "quot", '"')
         char = F.when(name != "", F.coalesce(common, F.try_element_at(names, name)))
         short = F.regexp_extract(p, bare, 1)
-        loose = F.when(short == "", F.concat(F.lit("&"), p)).otherwise(F.concat(F.try_element_at(names, short), F.substr(p, F.length(short) + 1)))
+        loose = F.when(short == "", F.concat(F.lit("&"), p)).otherwise(F.concat(F.try_element_at(old_names, short), F.substr(p, F.length(short) + 1)))
         return F.when(char.isNull(), loose).otherwise(F.concat(char, F.substr(p, F.length(name) + 2)))
 
     def after(p: Column) -> Column:

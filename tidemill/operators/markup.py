@@ -15,14 +15,26 @@ from ..functions import text, urls
 
 #: Elements whose content holds no tags.
 RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes"
-COMMENT = r"<!--(?:-?>|[\s\S]*?(?:--!?>|\z))"
-_DECLARATION = r"<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\z)"
+# What may follow a <. All patterns begin with that one character, which is what a search looks for first.
+COMMENT = r"!--(?:-?>|[\s\S]*?(?:--!?>|\z))"
+_DECLARATION = r"(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\z)"
 #: Attributes: a value in quotes that are never closed reaches to the end.
 _VALUE = r"(?:\"[^\"]*+(?:\"|\z)|'[^']*+(?:'|\z)|[^\s\"'>][^\s>]*+|)"
 INSIDE = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+"
-_RAW_ELEMENT = rf"<({RAW})(?=[\s/>]){INSIDE}>(?:[\s\S]*?(?=</\1(?:[\s/>]|\z))|[\s\S]*+)"
-_TAG = rf"</?[a-zA-Z][^\s/>]*+{INSIDE}(?:>|\z)"
-TOKEN = rf"(?i){COMMENT}|{_DECLARATION}|{_RAW_ELEMENT}|{_TAG}"
+_TAG = rf"/?[a-zA-Z][^\s/>]*+{INSIDE}(?:>|\z)"
+
+
+def one_of(*bodies: str) -> str:
+    """A pattern of what follows a <, in order of precedence."""
+    return f"(?is)<(?:{'|'.join(bodies)})"
+
+
+def raw_element(names: str) -> str:
+    """Elements whose content is text, up to their end tag."""
+    return "|".join(rf"{n}(?=[\s/>]){INSIDE}>(?:[\s\S]*?(?=</{n}(?:[\s/>]|\z))|[\s\S]*+)" for n in names.split("|"))
+
+
+TOKEN = one_of(COMMENT, _DECLARATION, raw_element(RAW), _TAG)
 
 
 def tokens(html: Column) -> Column:
@@ -36,6 +48,11 @@ def _named(html: Column, name: str) -> Column:
 
 def tags(html: Column, name: str) -> Column:
     """The start tags of elements of that name (alternatives by |), in order."""
+    if not set(name.split("|")) & set(RAW.split("|")):
+        # only what is asked for is taken out of the page; the rest is stepped over
+        wanted = rf"((?:{name})(?=[\s/>]){INSIDE})>"
+        found = F.regexp_extract_all(html, F.lit(one_of(COMMENT, _DECLARATION, raw_element(RAW), wanted, _TAG)), F.lit(1))
+        return F.transform(F.filter(found, lambda t: t != ""), lambda t: F.concat(F.lit("<"), t, F.lit(">")))
     opened = F.transform(_named(html, name), lambda t: F.regexp_extract(t, rf"^<[^\s/>]++{INSIDE}>", 0))
     return F.filter(opened, lambda t: t != "")
 

@@ -18,8 +18,9 @@ from . import filters, markup, substrings
 from .extract import IN_TAG
 from .markup import attribute, attribute_pattern, raw_attribute
 
-#: Where tags are none: comments, and elements other than scripts whose content is text.
-SKIPPED = "|".join([markup.COMMENT, *(rf"<{n}(?=[\s/>]){markup.INSIDE}>.*?(?=</{n}[\s/>]|\z)" for n in markup.RAW.split("|") if n not in ("script", "iframe"))])
+#: Where tags are none: comments, and elements other than scripts and frames whose content is text.
+SKIPPED = (markup.COMMENT, markup.raw_element("style|textarea|title|xmp|noembed|noframes"))
+SCRIPT = rf"script\b{IN_TAG}>.*?</script>"
 # Attributes in which pages keep URLs for scripts.
 DATA_ATTRIBUTES = ("data-bg", "data-background", "data-src", "data-href", "data-url", "data-image")
 #: Chunks and media that a framework asks for at run time come from the mirror's folders.
@@ -106,8 +107,8 @@ def html_attributes(df: DataFrame, tag: str, attr: str, kind: str, table: DataFr
         new = F.concat(F.regexp_extract(value, r"(?i)(\d+);\s*url=", 1), F.lit("; url="), path) if kind == "refresh" else path
         return rows.withColumn("out", F.when(F.col("path").isNotNull(), _with_attribute(token, attr, new)))
 
-    script = "" if "script" in tag.split("|") else rf"|<script\b{IN_TAG}>.*?(?=</script[\s/>]|\z)"
-    return rewrite(df, rf"(?is){SKIPPED}{script}|<(?:{tag})\b{IN_TAG}>", replaced)
+    skipped = SKIPPED if "script" in tag.split("|") else (*SKIPPED, markup.raw_element("script"))
+    return rewrite(df, markup.one_of(*skipped, rf"(?:{tag})\b{IN_TAG}>"), replaced)
 
 
 def srcset_value(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def html_srcset(df: DataFrame, table: DataFrame) -> DataFrame:
         both = rows.join(done, F.col("_t") == F.col("_t2"), "left")
         return both.withColumn("out", F.when(F.col("_set").isNotNull(), _with_attribute(F.col("token"), "srcset", F.col("_set"))))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<[a-z][a-z0-9]*\b(?=[^>]*\ssrcset\s*=){IN_TAG}>", replaced)
+    return rewrite(df, markup.one_of(*SKIPPED, rf"[a-z][a-z0-9]*\b(?=[^>]*\ssrcset\s*=){IN_TAG}>"), replaced)
 
 
 def html_imports(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def html_imports(df: DataFrame, table: DataFrame) -> DataFrame:
 
         return rewrite(scripts, inner, one).select("id.id", "id.pos", F.col("body").alias("out"))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<script\b{IN_TAG}>.*?</script>", replaced)
+    return rewrite(df, markup.one_of(*SKIPPED, SCRIPT), replaced)
 
 
 def html_styles(df: DataFrame, table: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def html_styles(df: DataFrame, table: DataFrame) -> DataFrame:
         done = css(rows.select(F.struct("id", "pos", "token").alias("id"), "url", F.col("_v").alias("body")), table, mapped="root", unmapped="keep")
         return done.select("id.id", "id.pos", _with_attribute(F.col("id.token"), "style", F.col("body")).alias("out"))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<[a-z][a-z0-9]*\b(?=[^>]*\sstyle\s*=){IN_TAG}>", replaced)
+    return rewrite(df, markup.one_of(*SKIPPED, rf"[a-z][a-z0-9]*\b(?=[^>]*\sstyle\s*=){IN_TAG}>"), replaced)
 
 
 def html_inject(body: Column, webpack: bool = True, base: bool = True) -> Column:
@@ -210,7 +211,7 @@ def html_references(df: DataFrame, pages: DataFrame, assets: DataFrame) -> DataF
         put = lambda tag, c: _with_attribute(tag, c["attr"], c["new"])
         return rows.select("id", "pos", "token").join(each, ["id", "pos"]).withColumn("out", F.aggregate("_c", F.col("token"), put))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<script\b{IN_TAG}>.*?</script>|<[a-z][a-z0-9]*\b{IN_TAG}>", replaced)
+    return rewrite(df, markup.one_of(*SKIPPED, SCRIPT, rf"[a-z][a-z0-9]*\b{IN_TAG}>"), replaced)
 
 
 def html(df: DataFrame, pages: DataFrame, assets: DataFrame, inject: bool = True) -> DataFrame:
@@ -244,7 +245,7 @@ def html_saved(df: DataFrame) -> DataFrame:
         put = lambda p: F.when(F.col("_attr") == "href", _with_attribute(tag, "href", p)).otherwise(_with_attribute(tag, "src", p))
         return rows.withColumn("out", urls.bound(path, put))
 
-    return rewrite(df, rf"(?is){SKIPPED}|<(?:a|link|script|img)\b{IN_TAG}>", replaced)
+    return rewrite(df, markup.one_of(*SKIPPED, rf"(?:a|link|script|img)\b{IN_TAG}>"), replaced)
 
 
 # -- style sheets ---------------------------------------------------------------------------------------------------
