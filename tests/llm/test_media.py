@@ -26,7 +26,30 @@ JPEG = b"\xff\xd8\xff\xe0\x00\x10JFIF\0" + bytes(9) + b"\xff\xc0\x00\x0b\x08\x00
 BMP = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"abc\0"
 PDF = b"%PDF-1.4\nstuff\nstartxref\n0\n%%EOF"
 OGG = b"OggS\0" + bytes(17) + bytes.fromhex("d46c02be") + b"\x01\x05hello"
-FLAC = b"fLaC\x80\x00\x00\x22" + bytes(34) + b"\xff\xf8data"
+
+
+def crc(data, bits, polynomial):
+    out = 0
+    for byte in data:
+        out ^= byte << bits - 8
+        for _ in range(8):
+            out = (out << 1 ^ polynomial if out >> bits - 1 else out << 1) & (1 << bits) - 1
+    return out.to_bytes(bits // 8, "big")
+
+
+def flac(frames=3, samples=192, known=True):
+    """Eight-bit mono frames with a constant, then verbatim samples, by the format's description."""
+    total = frames * samples if known else 0
+    info = struct.pack(">HH", samples, samples) + bytes(6) + (8000 << 44 | 0 << 41 | 7 << 36 | total).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\x00\x00\x00\x22" + info + b"\x81\x00\x00\x03abc"
+    for i in range(frames):
+        head = b"\xff\xf8" + bytes([0x10 | 4, 0 << 4 | 1 << 1]) + (bytes([i]) if i < 128 else chr(i).encode())
+        body = head + crc(head, 8, 7) + (b"\x00\x05" if i % 2 else b"\x02" + bytes((i * 7 + k) % 251 for k in range(samples)))
+        out += body + crc(body, 16, 0x8005)
+    return out
+
+
+FLAC = flac()
 MP4 = struct.pack(">I", 16) + b"ftypisom\0\0\0\0" + struct.pack(">I", 12) + b"mdatabcd"
 WEBP = b"RIFF" + struct.pack("<I", 16) + b"WEBPVP8L" + struct.pack("<I", 4) + b"abcd"
 ALL = {"image/png": png(), "image/gif": GIF, "image/jpeg": JPEG, "image/bmp": BMP, "application/pdf": PDF, "application/zip": zipped(), "application/gzip": gzip.compress(b"x" * 100_000), "audio/ogg": OGG, "audio/flac": FLAC, "video/mp4": MP4, "image/webp": WEBP, "audio/wav": media.to_wav(b"abc")}
@@ -130,3 +153,13 @@ def test_checksums_and_frames_are_confirmed():
     find = media.Sniffer().media
     assert find(OGG) and not find(OGG[:-1] + b"O") and not find(JPEG.replace(b"\xff\xc0", b"\xff\xe1"))
     assert find(OGG + OGG + OGG[:-1]) == [("audio/ogg", 0, 2 * len(OGG))]
+
+
+def test_flac_frames():
+    find = media.Sniffer().media
+    for value in (flac(1), flac(2), flac(200), flac(4, known=False)):
+        assert find(value) == [("audio/flac", 0, len(value))]
+        assert find(b"text " + value + b" more text" * 3) == [("audio/flac", 5, 5 + len(value))]
+    broken = bytearray(FLAC)
+    broken[-10] ^= 1
+    assert not find(bytes(broken)) and not find(FLAC[:-1]) and not find(FLAC[:60])
