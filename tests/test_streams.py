@@ -156,3 +156,19 @@ def test_progress_of_streams(spark, tmp_path):
             time.sleep(0.1)
     (row,) = seen.table().collect()
     assert (row.rows, row.late, row.ended) == (201, 1, "done") and row.batches >= 3
+
+
+def test_exchanges_of_what_came_in_time(spark, tmp_path):
+    """Slices out of order by up to three hours: late rows go to their table, the rest is joined as a batch would."""
+    r = random.Random(8)
+    found = rows(9, n=500)
+    came = [x for _, x in sorted(((x[1] + timedelta(hours=3 * r.random()), x) for x in found), key=lambda c: c[0])]
+    stream = slices(spark, str(tmp_path / "in"), [came[i : i + 50] for i in range(0, len(came), 50)])
+    split = exchanges.LateRows(stream, "ts", "1 hour", str(tmp_path / "out")).drain()
+    late = {x.event_id for x in split.late_rows().collect()}
+    kept = [x for x in found if x[0] not in late]
+    assert 0 < len(late) < len(found) / 2 and split.in_time().isStreaming
+    got = network.run_to_end(exchanges.exchanges(*q.sides(split.in_time()), "2 hours", "1 hour"), "t", "append")
+    table = spark.createDataFrame(kept, SCHEMA)
+    whole = exchanges.exchanges(*q.sides(table), "2 hours", "1 hour")
+    assert same(got, exchanges.settled(whole, *q.sides(table), "2 hours", "1 hour").select(got.columns))

@@ -55,6 +55,8 @@ def test_one_pattern_of_many_globs(spark):
     kept = {r.text for r in frame(spark, "text", urls).filter(filters.included(F.col("text"), many)).collect()}
     assert kept == {u for u in urls if any(by_hand(g, u) for g in many)} and 0 < len(kept) < len(urls)
     assert len(globs.pattern([f"https://a.com/{i}*" for i in range(1000)])) < 8000
+    nested = ["a" * i + "b" for i in range(1500)]
+    assert frame(spark, "text", ["a" * 1400 + "b", "a" * 1501 + "b"]).filter(filters.included(F.col("text"), nested)).count() == 1
     with pytest.raises(ValueError):
         globs.pattern(["https://a.com/(*"], literal=False)
     assert frame(spark, "text", ["axb"]).filter(F.col("text").rlike(globs.pattern(["a.b"], literal=False))).count() == 1

@@ -26,8 +26,14 @@ def pieces(glob: str, literal: bool = True) -> list[str]:
     return [kind.get(c, "\\" + c if c in _SPECIAL else c) for c in re.sub(r"\*+", "*", glob)]
 
 
-def _tree(lists: list[list[str]], at: int) -> str:
+#: How far beginnings are nested: both pattern compilers recurse.
+DEEPEST = 50
+
+
+def _tree(lists: list[list[str]], at: int, depth: int = 0) -> str:
     """Sorted lists that agree before ``at``, with their common beginnings written once."""
+    if depth == DEEPEST:
+        return f"(?:{'|'.join(''.join(x[at:]) for x in lists)})"
     out = []
     for first, group in groupby(lists, lambda x: x[at] if at < len(x) else None):
         same = list(group)
@@ -37,7 +43,7 @@ def _tree(lists: list[list[str]], at: int) -> str:
         to = at + 1
         while to < min(map(len, same)) and all(x[to] == same[0][to] for x in same):
             to += 1
-        out.append("".join(same[0][at:to]) + (_tree(same, to) if any(len(x) > to for x in same) else ""))
+        out.append("".join(same[0][at:to]) + (_tree(same, to, depth + 1) if any(len(x) > to for x in same) else ""))
     return out[0] if len(out) == 1 else "(?:" + "|".join(out) + ")"
 
 
