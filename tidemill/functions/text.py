@@ -22,18 +22,18 @@ def _character(code: Column) -> Column:
     return F.when(wrong, "\ufffd").when(code.between(128, 159), F.get(old, (code - 128).cast("int"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
-def decode_entities(x: Column, in_attribute: bool = False) -> Column:
+def decode_entities(x: Column, in_attribute: bool = False, closed: bool = False) -> Column:
     """Named and numeric character references as characters, each once; what is none stays as it is.
 
     Numbers and the old names need no semicolon; in attributes such a name counts only if neither = nor a letter or digit
-    follows. Only text with an ampersand is taken apart.
+    follows. With ``closed`` all need one, so a reference that is cut off stays. Only text with an ampersand is taken apart.
     """
     named, old = _named()
     names, old_names = (F.from_json(F.lit(json.dumps(m)), "map<string,string>") for m in (named, {n: named[n] for n in old}))
     bare = rf"^({'|'.join(old)})" + (r"(?![=A-Za-z0-9])" if in_attribute else "")
 
     def numbered(p: Column) -> Column:
-        found = F.regexp_extract(p, r"^(#[0-9]+|#[xX][0-9A-Fa-f]+)", 1)
+        found = F.regexp_extract(p, r"^(#[0-9]+|#[xX][0-9A-Fa-f]+)" + (";" if closed else ""), 1)
         digits = F.when(found.rlike("^#[xX]"), F.conv(F.substr(found, F.lit(3)), 16, 10)).otherwise(F.substr(found, F.lit(2)))
         code = F.coalesce(digits.try_cast("long"), F.lit(1 << 40))
         rest = F.regexp_replace(p, r"^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?", "")
@@ -43,6 +43,8 @@ def decode_entities(x: Column, in_attribute: bool = False) -> Column:
         name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]{0,31});", 1)
         common = F.when(name == "amp", "&").when(name == "lt", "<").when(name == "gt", ">").when(name == "quot", '"')
         char = F.when(name != "", F.coalesce(common, F.try_element_at(names, name)))
+        if closed:
+            return F.when(char.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(char, F.substr(p, F.length(name) + 2)))
         short = F.regexp_extract(p, bare, 1)
         loose = F.when(short == "", F.concat(F.lit("&"), p)).otherwise(F.concat(F.try_element_at(old_names, short), F.substr(p, F.length(short) + 1)))
         return F.when(char.isNull(), loose).otherwise(F.concat(char, F.substr(p, F.length(name) + 2)))

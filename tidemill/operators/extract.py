@@ -17,9 +17,9 @@ JS_IMPORT, JS_FETCH = r"import\([\"']([^\"']+)[\"']\)", r"fetch\([\"']([^\"']+)[
 JS_TEMPLATE, JS_STRING = r"`((?:https?://[^$`]+)|(?:/[^$`]+))`", r"([\"'])(/[^\"'\s)}]+)\1"
 
 
-def title(html: Column) -> Column:
-    """The text of all titles; empty without any."""
-    return text.decode_entities(F.array_join(markup.raw_texts(html, "title"), ""))
+def title(html: Column, closed: bool = False) -> Column:
+    """The text of all titles; empty without any. With ``closed``, character references without a semicolon stay."""
+    return text.decode_entities(F.array_join(markup.raw_texts(html, "title"), ""), closed=closed)
 
 
 #: What a tag holds up to its end: a > within a quoted value does not end it.
@@ -125,12 +125,13 @@ def links_and_routes(links: DataFrame, navigations: DataFrame, id_col: str = "pa
     return links.select(id_col, "link").unionByName(navigations.select(id_col, F.col("url").alias("link"))).filter("link is not null").distinct()
 
 
-def page_rows(pages: DataFrame) -> DataFrame:
+def page_rows(pages: DataFrame, closed: bool = False) -> DataFrame:
     """Pages as records: parsed URL, title, status and final URL, sizes and counts of links. ``pages``: page_id, url, html and, if
-    captured, status (0 where it is missing) and final_url (else the URL itself); without such a column the status is 200."""
+    captured, status (0 where it is missing) and final_url (else the URL itself); without such a column the status is 200.
+    ``closed`` is that of ``title``."""
     url = urls.parse_page_url(F.col("url"), F.col("url"), F.lit(0), F.lit(None).cast("string"))
     status = F.col("status") if "status" in pages.columns else F.lit(200)
     final = F.col("final_url") if "final_url" in pages.columns else F.col("url")
     return pages.select(
-        "page_id", url.alias("parsed"), title(F.col("html")).alias("title"), F.coalesce(status.cast("int"), F.lit(0)).alias("status"), F.coalesce(final, "url").alias("final_url"), F.length("html").cast("long").alias("chars"), F.size(markup.tags(F.col("html"), "a")).cast("long").alias("anchors")
+        "page_id", url.alias("parsed"), title(F.col("html"), closed).alias("title"), F.coalesce(status.cast("int"), F.lit(0)).alias("status"), F.coalesce(final, "url").alias("final_url"), F.length("html").cast("long").alias("chars"), F.size(markup.tags(F.col("html"), "a")).cast("long").alias("anchors")
     )
