@@ -86,3 +86,10 @@ def test_every_term_of_a_long_tail_scores():
     counts = [np.arange(1, 501).astype(np.uint16), *(np.ones(2, np.uint16) for _ in range(500))]
     index = packing.Index(terms, counts, np.array([c.sum() for c in counts]), np.ones(1000), 4.0)
     assert (index.scores(0) > 0).all()
+
+
+def test_ids_are_an_array_and_know_no_special_tokens():
+    tokens = packing.Tokens("byte_bpe_50k")
+    for text in ("", "plain text", "a <|none|> b<|none|>", "<|none", "<|endoftext|>", "  \n\n x  "):
+        ids = tokens.ids(text, True)
+        assert ids.dtype == np.uint32 and ids.tolist() == tokens.exact.encode(text, add_special_tokens=False).ids

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ WINDOW, GRID = 1024, 16
 #: Tails in one inverted index.
 SHARD = 4096
 K1, B = 1.2, 0.75
+#: The id that ends a document.
+END = np.zeros(1, np.uint32)
 
 
 class Tokens:
@@ -38,22 +41,30 @@ class Tokens:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.exact.encode_special_tokens = True
+        self.name = name
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # arrays come from a call that looks for special tokens: none is allowed, so the one that it needs to be fast is text
+        self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|none|>": 1 << 24})
+
+    @cached_property
+    def exact(self):
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
+        found.encode_special_tokens = True
+        return found
 
-    def ids(self, text: str, plain: bool) -> list[int]:
+    def ids(self, text: str, plain: bool) -> np.ndarray:
         if plain and len(text) < 1_000_000:
             try:
-                return self.fast.encode_ordinary(text)
+                return self.fast.encode_to_numpy(text, disallowed_special=())
             except BaseException as e:  # noqa: BLE001  its regex engine may give up, and panics are no Exception
                 if isinstance(e, (KeyboardInterrupt, SystemExit)):
                     raise
-        return self.exact.encode(text, add_special_tokens=False).ids
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _digest(ids: np.ndarray, window: int) -> tuple[list[int], int, bytes, bytes, bytes]:
@@ -87,11 +98,11 @@ def _tokenise(batches: Iterator[pa.RecordBatch], name: str, window: int, vocabul
     for batch in batches:
         out: list[list] = [[] for _ in range(7)]
         for at, to, raw, offsets in slices(batch.column(1), 1 << 24):
-            high = np.concatenate([[0], np.cumsum(raw >= 0xE2)])
-            plain = high[offsets[1:]] == high[offsets[:-1]]
+            before = np.searchsorted(np.flatnonzero(raw >= 0xE2), offsets)
+            plain = before[1:] == before[:-1]
             for i in range(to - at):
                 text = raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8")
-                ids = np.array([*tokens.ids(text, bool(plain[i])), 0], np.uint32)
+                ids = np.concatenate([tokens.ids(text, bool(plain[i])), END])
                 sums, tail, running, terms, counts = _digest(ids, window)
                 df[np.frombuffer(terms, np.uint32)] += 1
                 for held, value in zip(out, (len(ids), number, sums, tail, running, terms, counts)):
