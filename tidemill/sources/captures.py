@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import mirror
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +21,12 @@ def assets(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
     return reader.load(path).select("path", "content", F.col("length").alias("size"))
 
 
+def archived(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """(path, content, size) of the records of one type in a folder of archives, read in ranges of bytes. Unlike ``assets`` and
+    ``style_sheets``, which read files that others stored one by one, the driver lists archives here, not rows."""
+    return mirror.archive(spark, folder).filter(F.col("type") == kind).select(F.col("url").alias("path"), F.col("body").alias("content"), F.col("length").alias("size"))
+
+
 def style_sheets(spark: SparkSession, folder: str) -> DataFrame:
     """(path, body) of the .css files in a folder."""
     return spark.read.text(folder, wholetext=True, pathGlobFilter="*.css").select(F.input_file_name().alias("path"), F.col("value").alias("body"))
