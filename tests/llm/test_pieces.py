@@ -111,3 +111,24 @@ def test_decoded_replaces_a_column_of_any_case(spark):
     model = pc.Pieces.load(PATH)
     ids = spark.createDataFrame([([model.names.index("▁the")], "x")], "ids array<int>, Decoded string")
     assert pc.decode(ids, model).select("decoded").first()[0] == "the"
+
+
+def test_words_are_shuffled_once_and_cut_by_bits(spark, library, monkeypatch):
+    model, ranked = pc.Pieces.load(PATH), pc.Pieces.load(PATH).ranked()
+    words = ["▁the", "▁", "é", "▁日本", "x" * 60, "▁unbelievable", "a🎉b"]
+    got = {r.word: r.cuts for r in pc.word_cuts(spark.createDataFrame([(w,) for w in words], "word string"), model).collect()}
+    for w in words:
+        assert pc.cut_ids(w, got[w], ranked, model.bytes_at) == pc.long_ids(w, ranked, model.bytes_at, "bpe", model.longest)
+    plans, keep = {}, pc.Scratch.keep
+
+    def kept(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(pc.Scratch, "keep", kept)
+    docs = spark.createDataFrame([(1, "the cat"), (2, None), (3, "cat  the\n")], "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in pc.encode(docs, model).collect()} == {1: library.encode("the cat"), 2: [], 3: library.encode("cat  the\n")}
+    # both sides deal the same columns, so that Spark takes one exchange for both
+    dealt = [x for x in plans["cuts"].splitlines() if "hashpartitioning(word" in x]
+    assert len(dealt) == 2 and "ObjectHashAggregate" not in plans["cuts"]
+    assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == "true"

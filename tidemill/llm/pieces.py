@@ -2,14 +2,14 @@
 
 Encoding works on distinct words. A word (a run of spaces, as U+2581, and what follows up to the next) is exploded into
 its substrings of bounded length, an equi-join with the piece table keeps those that are pieces, and grouping by word
-makes the lattice: (start, end, id, score). A Spark higher-order ``aggregate`` folds each lattice to the word's ids:
+makes the lattice: (start, end, id, score). A Spark higher-order ``aggregate`` folds each lattice to where the word is cut:
 
 * ``unigram`` models: Viterbi, the path of the greatest total score,
 * ``bpe`` models: the lattice's merges in order of score, which is what such a model means. The fold walks the edges
   once by rank; where a merge makes an edge of better rank possible, the word is folded again by repeated best merges.
 
 No piece reaches from a word into the next, so a text's ids are its words' ids in order; characters without a piece
-become their UTF-8 bytes' pieces. Texts travel in packs: each pack lists its distinct words once, receives their ids
+become their UTF-8 bytes' pieces. Texts travel in packs: each pack lists its distinct words once, receives their cuts
 and assembles its texts, so that neither texts nor word occurrences are shuffled one by one. Words of more than
 ``LONG_WORD`` characters are merged (or searched) by the same rules within the task.
 """
@@ -31,6 +31,8 @@ SPACE = "▁"
 LONG_WORD = 60
 #: Bytes of text in a pack.
 PACK = 5_000_000
+#: Words of packs in one part of the fold.
+PART = 100_000
 #: What a character without a piece costs a path, beside any score of a real model.
 UNKNOWN = -1e12
 NONE = 2_147_483_647
@@ -150,20 +152,15 @@ _I, _J = "cast(shiftright({e}, 6) & 63 as int)", "cast({e} & 63 as int)"
 # one of better rank possible, which the walk has passed already. An edge is a merge if both its ends are cuts and just
 # one cut lies between them.
 _DIRTY = 1 << 62
-_INNER = "(shiftright(b, {I} + 1) & (shiftleft(1L, {J} - {I} - 1) - 1))"
-_TOP = "if({x} >= 16777216, 24 + cast(log2(shiftright({x}, 24) + 0.5D) as int), cast(log2({x} + 0.5D) as int))"
-_LEFT, _RIGHT = "(m & (shiftleft(1L, {I}) - 1))", f"shiftright(m & {_DIRTY - 1}L, {{J}} + 1)"
+_INSIDE = f"(shiftleft(1L, {_J} - {_I} - 1) - 1)"
+_MERGES = f"{_J} > 0 and (shiftright({{b}}, {_I}) & 1) = 1 and (shiftright({{b}}, {_J}) & 1) = 1 and bit_count(shiftright({{b}}, {_I} + 1) & {_INSIDE}) = 1"
 
 
 def _walk() -> str:
-    """The fold's expression: an aggregate over ``edges``, with ``known`` to look up the two new neighbours of a merge."""
-    i, j = _I.format(e="e"), _J.format(e="e")
-    inner, left, right = (x.format(I=i, J=j) for x in (_INNER, _LEFT, _RIGHT))
-    before = f"{left} <> 0 and coalesce(try_element_at(known, ({_TOP.format(x=left)}) * 64 + {j}) < e, false)"
-    after = f"{right} <> 0 and coalesce(try_element_at(known, {i} * 64 + {j} + 1 + bit_count(({right} & -{right}) - 1)) < e, false)"
-    merged = f"transform(array(b & ~shiftleft({inner}, {i} + 1)), m -> if(({before}) or ({after}), m | {_DIRTY}L, m))[0]"
-    merges = f"{j} - {i} > 1 and (shiftright(b, {i}) & 1) = 1 and (shiftright(b, {j}) & 1) = 1 and bit_count({inner}) = 1"
-    return f"aggregate(edges, shiftleft(1L, length(word) + 1) - 1, (b, e) -> if({merges}, {merged}, b))"
+    """The fold's expression: an aggregate over ``edges``."""
+    merged = f"b & ~shiftleft({_INSIDE}, {_I} + 1)".format(e="e")
+    passed = f"exists(edges, x -> x < e and {_MERGES.format(b='m', e='x')})"
+    return f"aggregate(edges, shiftleft(1L, length(word) + 1) - 1, (b, e) -> if({_MERGES.format(b='b', e='e')}, transform(array({merged}), m -> if({passed}, m | {_DIRTY}L, m))[0], b))"
 
 
 _AGAIN = f"""aggregate(sequence(1, length(word)), sequence(0, length(word)), (b, s) -> if(size(b) < 3, b,
@@ -173,33 +170,56 @@ _AGAIN = f"""aggregate(sequence(1, length(word)), sequence(0, length(word)), (b,
 _VITERBI = """element_at(aggregate(scored, array_repeat(named_struct('s', cast(null as double), 'cuts', array(0)), length(word) + 1), (b, e) ->
   element_at(transform(array(coalesce(get(b, e.i).s, if(e.i = 0, 0D, null)) + e.score), v -> if(v is null or coalesce(get(b, e.j).s >= v, false), b,
     concat(slice(b, 1, e.j), array(named_struct('s', v, 'cuts', concat(get(b, e.i).cuts, array(e.j)))), slice(b, e.j + 2, size(b))))), 1)), -1).cuts"""
-_IDS = """flatten(transform(sequence(1, size(cuts) - 1), t -> if(try_element_at(known, cuts[t - 1] * 64 + cuts[t]) is null,
-  transform(sequence(1, octet_length(encode(substring(word, cuts[t - 1] + 1, 1), 'UTF-8'))),
-    u -> {at} + cast(conv(substring(hex(encode(substring(word, cuts[t - 1] + 1, 1), 'UTF-8')), u * 2 - 1, 2), 16, 10) as int)),
-  array(cast(shiftright(try_element_at(known, cuts[t - 1] * 64 + cuts[t]), 12) & 16777215 as int)))))"""
 
 
-def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) for a table of distinct words of LONG_WORD characters at most.
+def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, cuts) for a table of distinct words of LONG_WORD characters at most: a bit for each place where a piece begins
+    or ends.
 
     Lattice, join and fold keep the partitioning of ``words`` by word, so nothing is shuffled here.
     """
     spark = words.sparkSession
     known = F.broadcast(pieces.frame(spark))  # as many rows as the vocabulary
-    unigram = pieces.kind == "unigram"
-    parts = words.select("word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("i"))
-    # with an empty substring at the start, whose edge is the last and no merge: so every word has one
-    parts = parts.select("word", "i", F.explode(F.expr(f"sequence(if(i = 0, 0, i + 1), least(i + {pieces.longest}, length(word)))")).alias("j")).withColumn("piece", F.expr("substring(word, i + 1, j - i)"))
-    lattice = parts.join(known, "piece").groupBy("word").agg(F.sort_array(F.collect_list(F.expr(_EDGE))).alias("edges"))
-    lattice = lattice.withColumn("known", F.expr(f"map_from_arrays(transform(edges, e -> {_I} * 64 + {_J}), edges)".replace("{e}", "e")))
-    if unigram:
-        scored = parts.filter("j > i").join(known, "piece", "left").filter("id is not null or j = i + 1").groupBy("word")
+    places = "aggregate({cuts}, 0L, (m, c) -> m | shiftleft(1L, c))"
+    if pieces.kind == "unigram":
+        parts = words.select("word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("i"))
+        parts = parts.select("word", "i", F.explode(F.expr(f"sequence(i + 1, least(i + {pieces.longest}, length(word)))")).alias("j")).withColumn("piece", F.expr("substring(word, i + 1, j - i)"))
+        scored = parts.join(known, "piece", "left").filter("id is not null or j = i + 1").groupBy("word")
         scored = scored.agg(F.sort_array(F.collect_list(F.struct("j", "i", F.coalesce("score", F.lit(UNKNOWN)).alias("score")))).alias("scored"))
-        folded = lattice.join(scored, "word").withColumn("cuts", F.expr(_VITERBI))
-    else:
-        cuts = F.expr("filter(sequence(0, length(word)), t -> (shiftright(once, t) & 1) = 1)")
-        folded = lattice.withColumn("once", F.expr(_walk())).withColumn("cuts", F.when(F.col("once") < _DIRTY, cuts).otherwise(F.expr(_AGAIN)))
-    return folded.select("word", F.expr(_IDS.replace("{at}", str(pieces.bytes_at))).alias("ids"))
+        return scored.withColumn("at", F.expr(_VITERBI)).select("word", F.expr(places.format(cuts="at")).alias("cuts"))
+    # single characters are no merges; every word has an empty substring at its start, whose edge is the last and no merge
+    parts = words.select("word", F.explode(F.expr("sequence(0, greatest(length(word) - 2, 0))")).alias("i"))
+    ends = f"if(length(word) < 2, array(0), if(i = 0, concat(array(0), sequence(2, least({pieces.longest}, length(word)))), sequence(i + 2, least(i + {pieces.longest}, length(word)))))"
+    parts = parts.select("word", "i", F.explode(F.expr(ends)).alias("j")).withColumn("piece", F.expr("substring(word, i + 1, j - i)"))
+    lattice = parts.join(known, "piece").groupBy("word").agg(F.sort_array(F.collect_list(F.expr(_EDGE))).alias("edges"))
+    again = f"transform(array(map_from_arrays(transform(edges, e -> {_I} * 64 + {_J}), edges)), known -> {places.format(cuts=_AGAIN)})[0]".replace("{e}", "e")
+    return lattice.withColumn("once", F.expr(_walk())).select("word", F.when(F.col("once") < _DIRTY, F.col("once")).otherwise(F.expr(again)).alias("cuts"))
+
+
+def cut_ids(word: str, cuts: int, pieces: dict[str, tuple[int, int, float]], bytes_at: int) -> list[int]:
+    """The ids of a word that is cut at the bits of ``cuts``."""
+    out, a, rest = [], 0, cuts >> 1
+    while rest:
+        step = (rest & -rest).bit_length()
+        e = pieces.get(word[a : a + step])
+        if e:
+            out.append(e[1])
+        else:
+            out += [bytes_at + x for x in word[a : a + step].encode()]
+        a, rest = a + step, rest >> step
+    return out
+
+
+def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) for a table of distinct words of LONG_WORD characters at most."""
+    shared = words.sparkSession.sparkContext.broadcast((pieces.ranked(), pieces.bytes_at))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [cut_ids(w, c, *shared.value) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return word_cuts(words, pieces).mapInArrow(run, "word string, ids array<int>")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,18 +233,25 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(sizes, base + PACK, "right")))
-            part, out = batch.slice(at, to - at), pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, batch.schema, options=options) as w:
-                w.write_batch(part)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["pack", "blob"])
+            part = batch.slice(at, to - at)
+            words = pa.record_batch([pa.array(_distinct(part.column(1)), pa.string())], names=["word"])
+            columns = [pa.array([number], pa.int64()), pa.array([words.num_rows], pa.int64()), *(pa.array([_close(x, options)], pa.binary()) for x in (words, part))]
+            yield pa.RecordBatch.from_arrays(columns, names=["pack", "n", "words", "blob"])
             number, at = number + 1, to
 
 
+def _close(batch: pa.RecordBatch, options: pa.ipc.IpcWriteOptions) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=options) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
 def _open(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def _parts(texts: pa.ChunkedArray) -> set[str]:
+def _parts(texts: pa.Array | pa.ChunkedArray) -> set[str]:
     """What stands between single spaces, over all texts."""
     seen: set[str] = set()
     for t in texts:
@@ -243,7 +270,7 @@ def _part_words(part: str) -> list[str]:
     return out
 
 
-def _distinct(texts: pa.ChunkedArray) -> list[str]:
+def _distinct(texts: pa.Array | pa.ChunkedArray) -> list[str]:
     """The words of all texts for the lattice, in order."""
     words: set[str] = set()
     for part in _parts(texts):
@@ -260,10 +287,10 @@ def _distinct(texts: pa.ChunkedArray) -> list[str]:
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = _distinct(_open(blob.as_py()).column(1))
+            words = _open(blob.as_py()).column(0).combine_chunks()
             for at in range(0, len(words), 100_000):
                 part = words[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([pack] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), pa.array(part, pa.string())], names=["pack", "place", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), pack)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], names=["pack", "place", "word"])
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,30 +302,36 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     scratch = Scratch(spark, "pieces")
     # packs are numbered as they come, so they are written down before they are read twice
-    packs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, "pack long, blob binary")
+    packs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, "pack long, n long, words binary, blob binary")
     packs = scratch.keep(packs, "packs")
-    listed = packs.mapInArrow(_words, "pack long, place int, word string")  # a word once a pack at most
-    # distinct words are folded on their own and written down; the join that hands their ids out can be split where many
-    # packs hold the same word
-    known = scratch.keep(word_ids(listed.select("word").distinct(), pieces), "words")
+    listed = packs.select("pack", "words").mapInArrow(_words, "pack long, place int, word string")  # a word once a pack at most
+    # words are dealt once: their fold and the join that hands out what it finds stay in these parts, each of bounded size
+    total = packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = listed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART)), "word")
+    grouping = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(grouping)
+    spark.conf.set(grouping, "false")  # hashing falls back to sorting here, after work that is then for nothing
+    try:
+        # the condition always holds; with the same columns both sides of the join read one exchange
+        distinct = dealt.groupBy("word").agg(F.max("pack").alias("p"), F.max("place").alias("q")).filter("p >= 0 and q >= 0").select("word")
+        found = scratch.keep(dealt.join(word_cuts(distinct, pieces).hint("merge"), "word").select("pack", "place", "cuts"), "cuts")
+    finally:
+        spark.conf.set(grouping, before)
+    del listed, dealt, distinct
     release(spark)
-    found = listed.join(known.hint("merge"), "word").select("pack", "place", "ids")
     shared = spark.sparkContext.broadcast((pieces.ranked(), pieces.bytes_at, pieces.kind, pieces.longest))
 
     def assemble(found: pa.Table, packs: pa.Table) -> pa.Table:
         ranked, bytes_at, kind, longest = shared.value
         ids, rows = [], []
-        order = np.argsort(found["place"].to_numpy())
-        told = found["ids"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, cuts = told.values.to_numpy().astype("<i4"), told.offsets.to_numpy()
-        raw = flat.tobytes()
+        cuts = found["cuts"].to_numpy()[np.argsort(found["place"].to_numpy())].tolist()
         for blob in packs["blob"].to_pylist():
             t = _open(blob)
             texts = t.column(1)
             words = _distinct(texts)
-            if len(words) != len(order):
-                raise ValueError(f"{len(order)} of a pack's {len(words)} words have ids")
-            known = {w: raw[4 * cuts[i] : 4 * cuts[i + 1]] for w, i in zip(words, order.tolist())}
+            if len(words) != len(cuts):
+                raise ValueError(f"{len(cuts)} of a pack's {len(words)} words have ids")
+            known = {w: np.array(cut_ids(w, c, ranked, bytes_at), "<i4").tobytes() for w, c in zip(words, cuts)}
             known["\n"], known[""] = int(bytes_at + 10).to_bytes(4, "little"), b""
 
             def of(word: str) -> bytes:
@@ -319,7 +352,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         column = pa.chunked_array([c for r in rows for c in r.chunks], pa.int64()) if rows else pa.chunked_array([], pa.int64())
         return pa.table({"doc_id": column.combine_chunks(), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    return found.groupBy("pack").cogroup(packs.groupBy("pack")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    return found.groupBy("pack").cogroup(packs.select("pack", "blob").groupBy("pack")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
