@@ -132,3 +132,14 @@ def test_words_are_shuffled_once_and_cut_by_bits(spark, library, monkeypatch):
     dealt = [x for x in plans["cuts"].splitlines() if "hashpartitioning(word" in x]
     assert len(dealt) == 2 and "ObjectHashAggregate" not in plans["cuts"]
     assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == "true"
+
+
+def test_packs_are_not_dealt_again(spark, library, monkeypatch):
+    """Packs stay in their buckets, and the words of a pack and bucket travel in one row."""
+    monkeypatch.setattr(pc, "PACK", 40)
+    texts = {1: "the cat\nsat", 2: "the  mat ", 3: None, 4: "", 5: "x" * 90 + " the cat", 6: " \n a", 7: "cat é 🎉"}
+    got = pc.encode(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), pc.Pieces.load(PATH))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(pack") == 1 and "Bucketed: true" in plan
+    assert {r.doc_id: r.ids for r in got.collect()} == {i: library.encode(t or "") for i, t in texts.items()}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("scratch_")]

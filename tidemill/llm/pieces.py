@@ -9,19 +9,23 @@ makes the lattice: (start, end, id, score). A Spark higher-order ``aggregate`` f
   once by rank; where a merge makes an edge of better rank possible, the word is folded again by repeated best merges.
 
 No piece reaches from a word into the next, so a text's ids are its words' ids in order; characters without a piece
-become their UTF-8 bytes' pieces. Texts travel in packs: each pack lists its distinct words once, receives their cuts
-and assembles its texts, so that neither texts nor word occurrences are shuffled one by one. Words of more than
-``LONG_WORD`` characters are merged (or searched) by the same rules within the task.
+become their UTF-8 bytes' pieces. Texts travel in packs: a pack holds its distinct parts once and a number for each
+occurrence, lists its distinct words once, by buckets, receives their cuts and assembles its ids, so that neither texts
+nor words are shuffled one by one. Words of more than ``LONG_WORD`` characters are merged (or searched) by the same
+rules within the task.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pac
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +34,13 @@ from .common import Scratch, release, table
 SPACE = "▁"
 LONG_WORD = 60
 #: Bytes of text in a pack.
-PACK = 5_000_000
+PACK = 8_000_000
 #: Words of packs in one part of the fold.
 PART = 100_000
+#: Buckets of words for each part of the fold, so that parts are of like size.
+BUCKETS = 4
+#: Ids that are decoded at once.
+IDS = 2_000_000
 #: What a character without a piece costs a path, beside any score of a real model.
 UNKNOWN = -1e12
 NONE = 2_147_483_647
@@ -174,26 +182,26 @@ _VITERBI = """element_at(aggregate(scored, array_repeat(named_struct('s', cast(n
 
 def word_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, cuts) for a table of distinct words of LONG_WORD characters at most: a bit for each place where a piece begins
-    or ends.
+    or ends. Columns beside the word stay with it.
 
-    Lattice, join and fold keep the partitioning of ``words`` by word, so nothing is shuffled here.
+    Lattice, join and fold keep the partitioning of ``words`` by any of its columns, so nothing is shuffled here.
     """
-    spark = words.sparkSession
+    spark, keys = words.sparkSession, words.columns
     known = F.broadcast(pieces.frame(spark))  # as many rows as the vocabulary
     places = "aggregate({cuts}, 0L, (m, c) -> m | shiftleft(1L, c))"
     if pieces.kind == "unigram":
-        parts = words.select("word", F.explode(F.expr("sequence(0, length(word) - 1)")).alias("i"))
-        parts = parts.select("word", "i", F.explode(F.expr(f"sequence(i + 1, least(i + {pieces.longest}, length(word)))")).alias("j")).withColumn("piece", F.expr("substring(word, i + 1, j - i)"))
-        scored = parts.join(known, "piece", "left").filter("id is not null or j = i + 1").groupBy("word")
+        parts = words.select(*keys, F.explode(F.expr("sequence(0, length(word) - 1)")).alias("i"))
+        parts = parts.select(*keys, "i", F.explode(F.expr(f"sequence(i + 1, least(i + {pieces.longest}, length(word)))")).alias("j")).withColumn("piece", F.expr("substring(word, i + 1, j - i)"))
+        scored = parts.join(known, "piece", "left").filter("id is not null or j = i + 1").groupBy(*keys)
         scored = scored.agg(F.sort_array(F.collect_list(F.struct("j", "i", F.coalesce("score", F.lit(UNKNOWN)).alias("score")))).alias("scored"))
-        return scored.withColumn("at", F.expr(_VITERBI)).select("word", F.expr(places.format(cuts="at")).alias("cuts"))
+        return scored.withColumn("at", F.expr(_VITERBI)).select(*keys, F.expr(places.format(cuts="at")).alias("cuts"))
     # single characters are no merges; every word has an empty substring at its start, whose edge is the last and no merge
-    parts = words.select("word", F.explode(F.expr("sequence(0, greatest(length(word) - 2, 0))")).alias("i"))
+    parts = words.select(*keys, F.explode(F.expr("sequence(0, greatest(length(word) - 2, 0))")).alias("i"))
     ends = f"if(length(word) < 2, array(0), if(i = 0, concat(array(0), sequence(2, least({pieces.longest}, length(word)))), sequence(i + 2, least(i + {pieces.longest}, length(word)))))"
-    parts = parts.select("word", "i", F.explode(F.expr(ends)).alias("j")).withColumn("piece", F.expr("substring(word, i + 1, j - i)"))
-    lattice = parts.join(known, "piece").groupBy("word").agg(F.sort_array(F.collect_list(F.expr(_EDGE))).alias("edges"))
+    parts = parts.select(*keys, "i", F.explode(F.expr(ends)).alias("j")).withColumn("piece", F.expr("substring(word, i + 1, j - i)"))
+    lattice = parts.join(known, "piece").groupBy(*keys).agg(F.sort_array(F.collect_list(F.expr(_EDGE))).alias("edges"))
     again = f"transform(array(map_from_arrays(transform(edges, e -> {_I} * 64 + {_J}), edges)), known -> {places.format(cuts=_AGAIN)})[0]".replace("{e}", "e")
-    return lattice.withColumn("once", F.expr(_walk())).select("word", F.when(F.col("once") < _DIRTY, F.col("once")).otherwise(F.expr(again)).alias("cuts"))
+    return lattice.withColumn("once", F.expr(_walk())).select(*keys, F.when(F.col("once") < _DIRTY, F.col("once")).otherwise(F.expr(again)).alias("cuts"))
 
 
 def cut_ids(word: str, cuts: int, pieces: dict[str, tuple[int, int, float]], bytes_at: int) -> list[int]:
@@ -226,23 +234,21 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in batches:
-        sizes = np.cumsum([len(x.as_py() or "") for x in batch.column(1)])
+        sizes = np.cumsum(pac.fill_null(pac.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(sizes, base + PACK, "right")))
-            part = batch.slice(at, to - at)
-            words = pa.record_batch([pa.array(_distinct(part.column(1)), pa.string())], names=["word"])
-            columns = [pa.array([number], pa.int64()), pa.array([words.num_rows], pa.int64()), *(pa.array([_close(x, options)], pa.binary()) for x in (words, part))]
-            yield pa.RecordBatch.from_arrays(columns, names=["pack", "n", "words", "blob"])
+            units, plain, codes, rows = _units(batch.slice(at, to - at))
+            columns = [pa.array([x], pa.int64()) for x in (number, len(units), plain)] + [pa.array([x], pa.binary()) for x in (_shut(units), _planes(codes), _close(rows))]
+            yield pa.RecordBatch.from_arrays(columns, names=["pack", "n", "plain", "units", "codes", "rows"])
             number, at = number + 1, to
 
 
-def _close(batch: pa.RecordBatch, options: pa.ipc.IpcWriteOptions) -> bytes:
+def _close(batch: pa.RecordBatch) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batch.schema, options=options) as w:
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_batch(batch)
     return out.getvalue().to_pybytes()
 
@@ -251,14 +257,28 @@ def _open(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def _parts(texts: pa.Array | pa.ChunkedArray) -> set[str]:
-    """What stands between single spaces, over all texts."""
-    seen: set[str] = set()
-    for t in texts:
-        t = t.as_py()
-        if t:
-            seen.update(t.split(" "))
-    return seen
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers (int32), compressed a byte's place at a time."""
+    return len(numbers).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
+
+
+def _shut(units: pa.Array) -> bytes:
+    """Strings as lengths and one text."""
+    lengths, text = _planes(pac.binary_length(units).to_numpy().astype(np.int32)), pac.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units), "")[0].as_buffer()
+    return len(lengths).to_bytes(8, "little") + len(text).to_bytes(8, "little") + lengths + pa.compress(text, "zstd", asbytes=True)
+
+
+def _units_in(blob: bytes) -> pa.Array:
+    n, size = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+    lengths = _numbers(blob[16 : 16 + n])
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets.tobytes()), pa.decompress(blob[16 + n :], size, "zstd"))
 
 
 def _part_words(part: str) -> list[str]:
@@ -270,27 +290,57 @@ def _part_words(part: str) -> list[str]:
     return out
 
 
-def _distinct(texts: pa.Array | pa.ChunkedArray) -> list[str]:
-    """The words of all texts for the lattice, in order."""
-    words: set[str] = set()
-    for part in _parts(texts):
-        words.update(_part_words(part))
-    for t in texts:  # runs of spaces
-        t = t.as_py()
-        if t and ("  " in t or "\n " in t or t[0] == " " or t[-1] == " "):
-            words.update(split_words(t))
-    words.discard("\n")
-    words.discard("")
-    return sorted(w for w in words if len(w) <= LONG_WORD)
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(docs: pa.RecordBatch) -> tuple[pa.Array, int, np.ndarray, pa.RecordBatch]:
+    """What the texts are made of: their distinct parts between single spaces and, from the place that comes next, the words of
+    texts with runs of spaces; all occurrences as numbers of these; (doc_id, count) of the texts in the order of the occurrences."""
+    ids, texts = docs.column(0), pac.fill_null(docs.column(1), "")
+    odd = pac.or_(pac.or_(pac.match_substring(texts, "  "), pac.match_substring(texts, "\n ")), pac.or_(pac.starts_with(texts, " "), pac.ends_with(texts, " ")))
+    empty = pac.equal(texts, "")
+    even = pac.invert(pac.or_(odd, empty))
+    split = pac.split_pattern(texts.filter(even), " ")
+    told = split.flatten().dictionary_encode()
+    parts, codes = told.dictionary, told.indices.to_numpy().astype(np.int32)
+    # the frequent first, then by text, so that numbers and parts are short when compressed
+    often = np.bincount(codes, minlength=len(parts))
+    order = pac.sort_indices(parts).to_numpy().astype(np.int64)
+    order = order[np.argsort(-np.where(often < 4, 0, often)[order], kind="stable")]
+    place = np.empty(len(parts), np.int32)
+    place[order] = np.arange(len(parts), dtype=np.int32)
+    words: dict[str, int] = {}
+    spaced = [[words.setdefault(w, len(parts) + len(words)) for w in split_words(t)] for t in texts.filter(odd).to_pylist()]
+    codes = np.concatenate([place[codes], *(np.array(x, np.int32) for x in spaced)])
+    counts = np.concatenate([pac.list_value_length(split).to_numpy().astype(np.int64), np.array([len(x) for x in spaced], np.int64), np.zeros(pac.sum(empty).as_py() or 0, np.int64)])
+    rows = pa.record_batch([pa.concat_arrays([ids.filter(even), ids.filter(odd), ids.filter(empty)]), pa.array(counts)], names=["doc_id", "count"])
+    return pa.concat_arrays([parts.take(pa.array(order)), pa.array(list(words), pa.string())]), len(parts), codes, rows
+
+
+def _words_of(units: pa.Array, plain: int) -> pa.Array:
+    """The distinct words of units for the lattice."""
+    parts = units[:plain]
+    lined = pac.match_substring(parts, "\n")
+    more = set(units[plain:].to_pylist())
+    for p in parts.filter(lined).to_pylist():
+        more.update(_part_words(p))
+    words = pa.concat_arrays([pac.binary_join_element_wise(SPACE, parts.filter(pac.invert(lined)), ""), pa.array(sorted(more), pa.string())]).unique()
+    return words.filter(pac.and_(pac.and_(pac.not_equal(words, "\n"), pac.not_equal(words, "")), pac.less_equal(pac.utf8_length(words), LONG_WORD)))
+
+
+def _dealt(units: pa.Array, plain: int, buckets: int) -> tuple[pa.Array, np.ndarray]:
+    """The words of units by bucket and text, and their buckets."""
+    words = _words_of(units, plain)
+    words = words.take(pac.sort_indices(words))
+    bucket = (pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    return words.take(pa.array(order)), bucket[order]
+
+
+def _words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = _open(blob.as_py()).column(0).combine_chunks()
-            for at in range(0, len(words), 100_000):
-                part = words[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), pack)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], names=["pack", "place", "word"])
+        for pack, plain, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            words, bucket = _dealt(_units_in(blob.as_py()), plain, buckets)
+            found, starts = np.unique(bucket, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(bucket)), pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), pack)), pac.binary_join(lists, "\n")], names=["word_bucket", "pack", "words"])
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,57 +352,72 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     scratch = Scratch(spark, "pieces")
     # packs are numbered as they come, so they are written down before they are read twice
-    packs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack, "pack long, n long, words binary, blob binary")
-    packs = scratch.keep(packs, "packs")
-    listed = packs.select("pack", "words").mapInArrow(_words, "pack long, place int, word string")  # a word once a pack at most
+    packs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # by buckets, so that they are not dealt again when their words' cuts come to them
+    packs = scratch.keep_bucketed(packs.mapInArrow(_pack, "pack long, n long, plain long, units binary, codes binary, rows binary"), "packs", "pack")
     # words are dealt once: their fold and the join that hands out what it finds stay in these parts, each of bounded size
     total = packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    dealt = listed.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART)), "word")
-    grouping = "spark.sql.execution.useObjectHashAggregateExec"
-    before = spark.conf.get(grouping)
-    spark.conf.set(grouping, "false")  # hashing falls back to sorting here, after work that is then for nothing
+    deal = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    buckets = BUCKETS * deal
+    listed = packs.select("pack", "plain", "units").mapInArrow(lambda it: _words(it, buckets), "word_bucket int, pack long, words string")
+    # a word once a pack at most, the words of a pack and bucket in one row
+    dealt = listed.repartition(deal, "word_bucket").select("word_bucket", "pack", F.posexplode(F.split("words", "\n", -1)).alias("place", "word"))
+    # hashing falls back to sorting here, after work that is then for nothing; a bucket holds all rows of its words
+    settings = ("spark.sql.execution.useObjectHashAggregateExec", "spark.sql.requireAllClusterKeysForCoPartition")
+    before = {k: spark.conf.get(k) for k in settings}
+    for k in settings:
+        spark.conf.set(k, "false")
     try:
         # the condition always holds; with the same columns both sides of the join read one exchange
-        distinct = dealt.groupBy("word").agg(F.max("pack").alias("p"), F.max("place").alias("q")).filter("p >= 0 and q >= 0").select("word")
-        found = scratch.keep(dealt.join(word_cuts(distinct, pieces).hint("merge"), "word").select("pack", "place", "cuts"), "cuts")
+        distinct = dealt.groupBy("word_bucket", "word").agg(F.max("pack").alias("p"), F.max("place").alias("q")).filter("p >= 0 and q >= 0").select("word_bucket", "word")
+        found = dealt.join(word_cuts(distinct, pieces).hint("merge"), ["word_bucket", "word"]).groupBy("word_bucket", "pack")
+        found = found.agg(F.sort_array(F.collect_list(F.struct("place", "cuts"))).alias("found")).select("pack", "word_bucket", F.col("found.cuts").alias("cuts"))
+        found = scratch.keep(found, "cuts")
     finally:
-        spark.conf.set(grouping, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     del listed, dealt, distinct
     release(spark)
     shared = spark.sparkContext.broadcast((pieces.ranked(), pieces.bytes_at, pieces.kind, pieces.longest))
 
     def assemble(found: pa.Table, packs: pa.Table) -> pa.Table:
         ranked, bytes_at, kind, longest = shared.value
-        ids, rows = [], []
-        cuts = found["cuts"].to_numpy()[np.argsort(found["place"].to_numpy())].tolist()
-        for blob in packs["blob"].to_pylist():
-            t = _open(blob)
-            texts = t.column(1)
-            words = _distinct(texts)
+        id_of = {p: e[1] for p, e in ranked.items()}
+        cuts = found["cuts"].combine_chunks()
+        cuts = cuts.take(pac.sort_indices(found["word_bucket"])).flatten().to_numpy().tolist() if len(cuts) else []
+        doc_ids, ids = [], []
+        for plain, units, codes, rows in zip(packs["plain"].to_pylist(), *(packs[c].to_pylist() for c in ("units", "codes", "rows"))):
+            units, rows, codes = _units_in(units), _open(rows), _numbers(codes)
+            words, _ = _dealt(units, plain, buckets)
             if len(words) != len(cuts):
                 raise ValueError(f"{len(cuts)} of a pack's {len(words)} words have ids")
-            known = {w: np.array(cut_ids(w, c, ranked, bytes_at), "<i4").tobytes() for w, c in zip(words, cuts)}
-            known["\n"], known[""] = int(bytes_at + 10).to_bytes(4, "little"), b""
-
-            def of(word: str) -> bytes:
-                b = known.get(word)
-                if b is None:
-                    b = known[word] = np.array(long_ids(word, ranked, bytes_at, kind, longest), "<i4").tobytes()
-                return b
-
-            parts = {p: b"".join(map(of, _part_words(p))) for p in _parts(texts)}
-            for x in texts:
-                text = x.as_py() or ""
-                if "  " in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
-                    b = b"".join(map(of, split_words(text)))
+            # ids of words, then of units that are no single word of the lattice
+            flat, ends, names = array("i"), array("i", [0]), words.to_pylist()
+            for w, c in zip(names, cuts):
+                if c & (c - 2) == 1 and w in id_of:  # one piece
+                    flat.append(id_of[w])
                 else:
-                    b = b"".join(map(parts.__getitem__, text.split(" "))) if text else b""
-                ids.append(np.frombuffer(b, "<i4"))
-            rows.append(t.column(0))
-        column = pa.chunked_array([c for r in rows for c in r.chunks], pa.int64()) if rows else pa.chunked_array([], pa.int64())
-        return pa.table({"doc_id": column.combine_chunks(), "ids": pa.array(ids, pa.list_(pa.int32()))})
-
-    return found.groupBy("pack").cogroup(packs.select("pack", "blob").groupBy("pack")).applyInArrow(assemble, "doc_id long, ids array<int>")
+                    flat.extend(cut_ids(w, c, ranked, bytes_at))
+                ends.append(len(flat))
+            named = units[:plain]
+            named = pa.concat_arrays([pac.binary_join_element_wise(SPACE, named, ""), units[plain:]])
+            at = pac.fill_null(pac.index_in(named, value_set=words), -1).to_numpy().copy()
+            rest = np.flatnonzero(at < 0)
+            known = dict(zip(names, range(len(names)))) if len(rest) else {}
+            for i, u in zip(rest.tolist(), units.take(pa.array(rest)).to_pylist()):
+                for w in _part_words(u) if i < plain else [u]:
+                    k = known.get(w)
+                    flat.extend([bytes_at + 10] if w == "\n" else flat[ends[k] : ends[k + 1]] if k is not None else long_ids(w, ranked, bytes_at, kind, longest) if w else [])
+                at[i] = len(ends) - 1
+                ends.append(len(flat))
+            counts = rows["count"].to_numpy()
+            taken = pa.LargeListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32), pa.int64()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32())).take(pa.array(at.astype(np.int32)[codes]))
+            bounds = taken.offsets.to_numpy()[np.concatenate([[0], np.cumsum(counts)])]
+            ids.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), taken.values))
+            doc_ids += rows["doc_id"].chunks
+        return pa.table({"doc_id": pa.chunked_array(doc_ids, pa.int64()), "ids": pa.chunked_array(ids, pa.list_(pa.int32()))})
+
+    return found.groupBy("pack").cogroup(packs.select("pack", "plain", "units", "codes", "rows").groupBy("pack")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
@@ -366,12 +431,30 @@ def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            texts = []
-            for ids in batch.column(at).to_pylist():
-                b = None if ids is None else b"".join([shared.value[i] for i in ids])
-                texts.append(None if b is None else b[b[:1] == b" " :].decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            sizes = np.cumsum(pac.fill_null(pac.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                base = sizes[start - 1] if start else 0
+                to = max(start + 1, int(np.searchsorted(sizes, base + IDS, "right")))
+                part = batch.slice(start, to - start)
+                lists = part.column(at)
+                text = table.take(lists.flatten())
+                ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset :][np.concatenate([[0], sizes[start:to] - base])]
+                letters = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+                led = np.flatnonzero(np.diff(ends) > 0)
+                led = led[letters[ends[led]] == 32]  # the dummy prefix
+                letters = np.delete(letters[: ends[-1]], ends[led])
+                ends[1:] -= np.cumsum(np.bincount(led, minlength=to - start))
+                whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - start, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(letters.tobytes())])
+                try:
+                    texts = whole.cast(pa.large_string()).cast(pa.string())
+                except pa.ArrowInvalid:
+                    texts = pa.array([b.decode("utf-8", "replace") for b in whole.to_pylist()], pa.string())
+                texts = pac.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*batch.schema.names, "decoded"])
+                start = to
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", StringType())]))
 
