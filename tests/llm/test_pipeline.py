@@ -93,3 +93,31 @@ def test_stages_with_empty_tables(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.collect() == [] and (name == "packing" or out.columns == docs.columns)
+
+
+def test_workers_hand_back_what_a_task_has_freed():
+    import psutil
+
+    from tidemill.llm.common import lean
+
+    above = []
+
+    def hungry(batches):
+        held = [bytes(1000) for _ in range(200_000)]
+        above.append(bytes(1000))  # the heap does not shrink below what is last in it
+        yield from (len(held) for _ in batches)
+
+    before = psutil.Process().memory_info().rss
+    assert list(lean(hungry)(iter([1, 2]))) == [200_000, 200_000]
+    assert psutil.Process().memory_info().rss - before < 100_000_000
+
+
+def test_all_stages_of_large_batches_are_lean():
+    import inspect
+    import re
+
+    from tidemill.llm import langid, ngram_join, setlinks, sketch, substring_dedup
+
+    for module in (langid, ngram_join, setlinks, sketch):
+        assert not re.search(r"mapIn(Arrow|Pandas)\((?!lean\()", inspect.getsource(module)), module.__name__
+    assert len(re.findall(r"mapIn(?:Arrow|Pandas)\(lean\(", inspect.getsource(substring_dedup))) >= 4

@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_split, numbered, release, table
+from .common import hash_split, lean, numbered, release, table
 from .textvec import U, mix
 
 ORDER = 5
@@ -290,7 +290,7 @@ def _estimate(langs: list[str], counts: pa.Table, order: int) -> Model:
 def train(docs: DataFrame, order: int = ORDER, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of all rows of ``docs`` that have a text and a language."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    counts = rows.mapInArrow(lambda it: _count(it, order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(lambda it: _count(it, order)), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     try:
         sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
@@ -321,7 +321,7 @@ def calibrate(model: Model, docs: DataFrame, text_col: str = "text", lang_col: s
             own = np.arange(len(pdf)), pdf["l"].map(places).to_numpy(np.int64)
             yield pd.DataFrame({"lang": pdf["l"].to_numpy(), "chars": chars, "total": -total[own], "square": square[own]})
 
-    seen = some.mapInPandas(measure, "lang string, chars long, total double, square double").filter("chars > 0")
+    seen = some.mapInPandas(lean(measure), "lang string, chars long, total double, square double").filter("chars > 0")
     entropy = F.col("total") / F.col("chars")
     told = [F.percentile_approx(entropy, 0.5, 10_000).alias("mean"), *(F.sum(c).alias(c) for c in ("chars", "total", "square")), F.count("*").alias("n")]
     norm: dict[str, tuple[float, float]] = {}
@@ -364,7 +364,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             new = [pa.array(said["lang_pred"], pa.string()), pa.array(said["score"], pa.float64()), pa.array(said["entropy"], pa.float64(), from_pandas=True), pa.array(said["letters"], pa.int64()), pa.array(said["rejected"], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[x.name for x in schema])
 
-    return numbered(docs).mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(lean(run), schema)
 
 
 def trained_on(docs: DataFrame) -> Model:

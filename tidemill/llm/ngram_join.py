@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, release, table
+from .common import Scratch, lean, only, release, table
 from .setlinks import link, signature
 from .sketch import Sketch, shared_places
 from .textvec import U, mix, shingle_sets
@@ -136,7 +136,7 @@ def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str =
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = scratch.keep(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n long, s1 long, s2 long"), "sets")
+    sets = scratch.keep(docs.mapInArrow(lean(lambda it: _profile(it, k)), "doc_id long, n long, s1 long, s2 long"), "sets")
     alike = ["n", "s1", "s2"]
     # each distinct set by a number of its own, which is written down once; ``first``: a document that has it
     distinct = sets.filter("n > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"))
@@ -146,7 +146,7 @@ def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str =
         some = docs.filter("doc_id is not null")
         shared = docs.sparkSession.sparkContext.broadcast(shared_places(some.select("text"), partial(_keys_of, k=k, threshold_pct=threshold_pct)))
         release(docs.sparkSession)
-        cut = some.mapInArrow(lambda it: _fragmented(it, k, threshold_pct, shared.value), "doc_id long, n long, s1 long, s2 long, tag int, need int, fragments array<long>")
+        cut = some.mapInArrow(lean(lambda it: _fragmented(it, k, threshold_pct, shared.value)), "doc_id long, n long, s1 long, s2 long, tag int, need int, fragments array<long>")
         # one document stands for all that have its set: copies are spread by their ids and end here
         one = distinct.select(F.col("first").alias("doc_id"), *alike, "uid")
         return cut.join(one, ["doc_id", *alike]).dropDuplicates(["doc_id", *alike, "tag"]).select(F.explode("fragments").alias("bucket"), "uid", "tag", "need")
@@ -154,7 +154,7 @@ def classes(docs: DataFrame, k: int = 5, threshold_pct: int = 80, id_col: str =
     def cut_of(home: DataFrame) -> DataFrame:
         wanted = home.select("uid", "block", "weight").join(distinct.select("uid", F.col("first").alias("doc_id"), *alike), "uid")
         texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", *alike, "uid", "block", "weight")
-        return texts.mapInArrow(lambda it: _coarse(it, k), "uid long, block long, weight long, fragment int, keys binary")
+        return texts.mapInArrow(lean(lambda it: _coarse(it, k)), "uid long, block long, weight long, fragment int, keys binary")
 
     # documents with several sets hold these together
     several = sets.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*alike)).alias("a"), F.max(F.struct(*alike)).alias("b")).filter("a <> b").select("doc_id")

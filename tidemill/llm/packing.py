@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, lean, table
 from .textvec import slices
 
 WINDOW, GRID = 1024, 16
@@ -267,10 +267,10 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "key"])
 
     kinds = "doc_id long, doc_tokens long, tail long, running binary, terms binary, counts binary"
-    dealt = tails.select("doc_id", "doc_tokens", "tail", "running", "terms", "counts").mapInArrow(keyed, kinds + ", key long")
+    dealt = tails.select("doc_id", "doc_tokens", "tail", "running", "terms", "counts").mapInArrow(lean(keyed), kinds + ", key long")
     tasks = max(1, min(-(-n // SHARD), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (16 * SHARD)))))  # of 16 shards at most
     dealt = dealt.repartitionByRange(tasks, "key", "doc_id").sortWithinPartitions("key", "doc_id", "tail", "terms")
-    packed = dealt.drop("key").mapInArrow(lambda it: _pack(it, window, *((shared.value[0], mean))), PIECES)
+    packed = dealt.drop("key").mapInArrow(lean(lambda it: _pack(it, window, *((shared.value[0], mean)))), PIECES)
     full = stored.filter(F.size("full") > 0).select("doc_id", "doc_tokens", "first_sequence", F.posexplode("full").alias("i", "crc"))
     full = full.select(
         "doc_id", (F.col("i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens",

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, release
+from .common import Scratch, components, lean, release
 from .textvec import U, mix
 
 #: Sets in a block, on average at most.
@@ -180,14 +180,14 @@ def link(
     del label, placed, left, right
     release(sets.sparkSession)
     grouped = cut_of(home).groupBy("block").agg(F.collect_list(F.struct("uid", "weight", "fragment", "keys")).alias("sets"))  # bounded: a block
-    packed = scratch.keep(grouped.mapInArrow(_pack, "block long, size int, fragments array<binary>"), "packed")
+    packed = scratch.keep(grouped.mapInArrow(lean(_pack), "block long, size int, fragments array<binary>"), "packed")
     scratch.drop("shared")
     scratch.drop("home")
     release(sets.sparkSession)  # the texts' shuffle too
     alone = packed.filter("size > 1").select(F.col("fragments").alias("left"), F.lit(None).cast("array<binary>").alias("right"))
     left, right = (packed.select(F.col("block").alias(s), F.col("fragments").alias(side)) for s, side in (("a", "left"), ("b", "right")))
     apart = pairs.join(left, "a").join(right, "b").select("left", "right")
-    linked = alone.unionByName(apart).mapInArrow(lambda it: _linked(it, threshold_pct), "uid long, root long, links long")
+    linked = alone.unionByName(apart).mapInArrow(lean(lambda it: _linked(it, threshold_pct)), "uid long, root long, links long")
     linked = scratch.keep(linked, "linked")
     scratch.drop("packed")
     release(sets.sparkSession)

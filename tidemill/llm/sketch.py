@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import lean, release
 from .textvec import U
 
 #: Fixed, so that the broadcast (32 MB) is.
@@ -101,7 +101,7 @@ def shared_places(values: DataFrame, keys_of: Callable[[pa.Array], Iterator[np.n
     """The sketch of the keys that ``keys_of`` gives for batches of the one column of ``values``."""
     kinds = "slice int, part long, once binary, more binary"
     tasks = values.rdd.getNumPartitions()
-    rows = values.mapInArrow(lambda it: _seen(it, keys_of), kinds)
+    rows = values.mapInArrow(lean(lambda it: _seen(it, keys_of)), kinds)
     while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
         rows = rows.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("slice", "part").applyInPandas(_merged, kinds)

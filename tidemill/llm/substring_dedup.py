@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, numbered, quoted, release, table
+from .common import Scratch, fresh, lean, numbered, quoted, release, table
 from .setlinks import link
 from .sketch import Sketch, shared_places
 from .textvec import U, mix, powers, shingles, slices, words
@@ -213,7 +213,7 @@ def repeated_paragraphs(docs: DataFrame, units: DataFrame, scratch: Scratch) ->
         wanted = units.select("uid", "doc_id", "rid", "word", "words").join(home, "uid")
         wanted = wanted.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("uid", "block", "weight", "word", "words")).alias("wanted"))  # of one text
         texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "rid"]).select("text", "wanted")
-        return texts.mapInArrow(_cut, "uid long, block long, weight long, fragment int, keys binary")
+        return texts.mapInArrow(lean(_cut), "uid long, block long, weight long, fragment int, keys binary")
 
     found = link(sets, held_of, cut_of, THRESHOLD_PCT, scratch, counted=False)
     told = scratch.keep(units.join(found.filter("links > 0"), [units["words"] == found["n"], units["s1"] == found["s1"], units["s2"] == found["s2"]]).select("component", "doc_id", "rid", "word", "words", "start", "end"), "told")
@@ -253,7 +253,7 @@ def repeated_windows(docs: DataFrame, units: DataFrame, scratch: Scratch) -> Dat
     )
     wanted = wanted.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("word", "side", "s1", "s2")).alias("wanted"))  # of one text
     contexts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "rid"]).select("doc_id", "rid", "text", "wanted")
-    contexts = scratch.keep(contexts.mapInArrow(_contexts, "doc_id long, rid long, word int, side int, s1 long, s2 long, context array<long>, reach array<long>"), "contexts")
+    contexts = scratch.keep(contexts.mapInArrow(lean(_contexts), "doc_id long, rid long, word int, side int, s1 long, s2 long, context array<long>, reach array<long>"), "contexts")
     release(docs.sparkSession)
     theirs = sides.select("s1", "s2", "side", F.col("component_id").alias("doc_id"), F.col("first_word").alias("word"), F.col("first_rid").alias("rid")).distinct()
     theirs = theirs.join(contexts, ["s1", "s2", "side", "doc_id", "word", "rid"]).groupBy("s1", "s2", "side").agg(F.first("context").alias("their_context"), F.first("reach").alias("their_reach"))
@@ -308,13 +308,13 @@ def _spans(docs: DataFrame, least: int) -> DataFrame:
     docs = docs.filter("doc_id is not null and text is not null")
     shared = docs.sparkSession.sparkContext.broadcast(shared_places(docs.select("text"), _window_keys))
     release(docs.sparkSession)
-    units = scratch.keep(docs.select("doc_id", "rid", "text").mapInArrow(partial(_units_of, least=max(least, K), shared=shared), UNITS), "units")
+    units = scratch.keep(docs.select("doc_id", "rid", "text").mapInArrow(lean(partial(_units_of, least=max(least, K), shared=shared)), UNITS), "units")
     found = scratch.keep(repeated_paragraphs(docs, units, scratch), "paragraphs")
     release(docs.sparkSession)
     found = found.unionByName(repeated_windows(docs, units, scratch)).withColumn("removed", F.col("doc_id") > F.col("component_id"))
     # of one text: no more rows than its words
     each = found.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("removed", "word", "words", "start", "end", "component_id"))).alias("spans"))
-    return each.mapInPandas(_merge, "doc_id long, rid long, start long, end long, component_id long, removed boolean")
+    return each.mapInPandas(lean(_merge), "doc_id long, rid long, start long, end long, component_id long, removed boolean")
 
 
 def _units_of(batches: Iterator[pa.RecordBatch], least: int, shared) -> Iterator[pa.RecordBatch]:
